@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixlens.llm import op3_counts, op5_bpe
+from mixlens.llm import op1_quality, op2_packing, op3_counts, op5_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality.query,
+        "op2_best_fit_packing": op2_packing.query,
         "op3_token_counts": op3_counts.query,
         "op5_bpe_round_trip": op5_bpe.query,
     }
