@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixlens.llm import op1_quality, op2_packing, op3_counts, op5_bpe, op6_html, op8_substring, op9_langid, op10_jaccard
+from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality.query,
         "op2_best_fit_packing": op2_packing.query,
         "op3_token_counts": op3_counts.query,
+        "op4_url_filters": op4_urls.query,
         "op5_bpe_round_trip": op5_bpe.query,
         "op6_html_extraction": op6_html.query,
+        "op7_exact_topk": op7_topk.query,
         "op8_substring_dedup": op8_substring.query,
         "op9_language_id": op9_langid.query,
         "op10_jaccard_join": op10_jaccard.query,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": op4_urls.ORACLE}
