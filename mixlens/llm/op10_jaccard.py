@@ -11,7 +11,8 @@ asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ
    already join most of a cluster.
 4. Second pass: in each shingle, only components that are still apart meet, with all their groups of fitting size and
    position; pairs are expanded to their members.
-5. Every candidate pair is verified on whole sets, recomputed from the texts of the documents concerned.
+5. Every candidate pair must pass a bound: two sets share no more than the sum over BINS hash bins of the smaller
+   count.  What passes is verified on whole sets, recomputed from the texts of the documents concerned.
 
 No pass emits all pairs of a group, and none is capped, so no link between different components is lost.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,10 @@ from mixlens.llm.shingles import fingerprint, mix, shingles
 #: Shingles in this share of a chunk's texts (and in FREQUENT_LEAST of them) are ordered last; so many are kept at most.
 #: A hint to the order alone.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.004, 12, 200_000
-#: Rows of a key column that may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a key column, and hashes, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_HASHES = 1_000_000, 4_000_000
+#: Bins of the histogram of a set's hashes that bounds what two sets can share.
+BINS = 256
 
 
 def frequent(rows: DataFrame, k: int) -> np.ndarray:
@@ -55,7 +58,8 @@ def frequent(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """``doc_id, n, fa, fb, pf, prefix``: set size, set fingerprint, prefix fingerprint, the prefix in order."""
+    """``doc_id, n, fa, fb, pf, bins, prefix``: set size, set fingerprint, prefix fingerprint, counts of the set's hashes by
+    bin (null if one is above 255), the prefix in order."""
     shared = rows.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
@@ -65,7 +69,7 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
             for key, (found, span) in zip(keys, shingles(texts, k), strict=True):
                 n = len(found)
                 if not n:
-                    out.append((key, 0, 0, 0, 0, []))
+                    out.append((key, 0, 0, 0, 0, None, []))
                     continue
                 length = n - (percent * n + 99) // 100 + 1
                 rank = -np.minimum(span, 1 << 30)
@@ -73,42 +77,90 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
                     rank = rank + (last[at] == found) * (1 << 40)
                 prefix = found[np.argsort(rank, kind="stable")[:length]]
-                h = np.uint64(n)
+                bins = np.bincount(found & (BINS - 1), minlength=BINS)
+                bins = bins.astype(np.uint8).tobytes() if bins.max() < 256 else None
                 h = int((mix(prefix.view(np.uint64) + np.uint64(7)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
-                out.append((key, n, *fingerprint(found), h, prefix.tolist()))
+                out.append((key, n, *fingerprint(found), h, bins, prefix.tolist()))
             columns = list(zip(*out, strict=True))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    names = ["doc_id", "n", "fa", "fb", "pf", "prefix"]
-    fields = common.schema(**dict.fromkeys(names[:5], common.LONG), prefix=T.ArrayType(common.LONG))
+    names = ["doc_id", "n", "fa", "fb", "pf", "bins", "prefix"]
+    fields = common.schema(**dict.fromkeys(names[:5], common.LONG), bins=T.BinaryType(), prefix=T.ArrayType(common.LONG))
     return rows.mapInArrow(run, fields)
 
 
-def sets(rows: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """``id, found``: whole sets of the documents in ``needed(id)``.  The keys are broadcast if they are few."""
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if its size permits."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def possible(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bins leave room for enough shared shingles."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            keep = np.ones(batch.num_rows, bool)
+            both = np.flatnonzero(np.asarray(batch.column(4).is_valid()) & np.asarray(batch.column(5).is_valid()))
+            if len(both):
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, BINS) for c in (4, 5))
+                keep[both] = (100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= percent * n[both]
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    own = docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "n", "fa", "fb", "bins").dropDuplicates(["doc_id", "n", "fa", "fb"])
+    x, y = (own.select(F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bins").alias(f"bins{i}")) for i in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "binsa", "binsb")
+    return both.mapInArrow(run, common.schema(a=common.LONG, b=common.LONG))
+
+
+def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``doc_id, found``: whole sets of the documents in ``ids``."""
 
     def run(batches):
         for keys, texts in common.text_batches(batches):
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([f.tolist() for f, _ in shingles(texts, k)], pa.list_(pa.int64()))], ["id", "found"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([f.tolist() for f, _ in shingles(texts, k)], pa.list_(pa.int64()))], ["doc_id", "found"])
 
-    few = needed.count() <= BROADCAST_ROWS
-    kept = rows.join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("id"), "left_semi")
-    return common.materialize(kept.mapInArrow(run, common.schema(id=common.LONG, found=T.ArrayType(common.LONG))), "sets")
+    kept = rows.join(few(ids), "doc_id", "left_semi")
+    return common.materialize(kept.mapInArrow(run, common.schema(doc_id=common.LONG, found=T.ArrayType(common.LONG))), "sets")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are alike: 100 * intersection >= percent * union."""
     pairs = common.materialize(pairs.select("a", "b").where("a < b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    whole = sets(rows, common.materialize(ids, "ids"), k)
-    left, right = whole.select(F.col("id").alias("a"), F.col("found").alias("x")), whole.select(F.col("id").alias("b"), F.col("found").alias("y"))
+    pairs = common.materialize(possible(pairs, docs, percent).distinct(), "possible")
+    ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    whole = sets(rows, ids, k)
+    left, right = whole.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), whole.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common_n = F.size(F.array_intersect("x", "y"))
     good = 100 * common_n >= percent * (F.size("x") + F.size("y") - common_n)
     return common.materialize(both.where(good).select("a", "b").distinct(), "links")
 
 
+def shared_index(heads: DataFrame) -> DataFrame:
+    """``g, n, at, token`` of the prefix shingles that two groups or more hold.  Their hashes are broadcast as far as the
+    bound permits; beyond it the index is joined with them."""
+    tokens = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    tokens = common.materialize(tokens.where("m > 1").select("token"), "tokens")
+    if tokens.count() > BROADCAST_HASHES:
+        return heads.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("at", "token")).join(tokens, "token")
+    known = heads.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0)) for b in tokens.toArrow().to_batches())])))
+
+    def run(batches):
+        last = known.value
+        for batch in batches:
+            lists = batch.column(2)
+            values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at = np.arange(len(values)) - (offsets[:-1] - offsets[0])[row]
+            hit = np.flatnonzero(last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values) if len(last) else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(np.asarray(batch.column(c))[row[hit]]) for c in (0, 1)] + [pa.array(at[hit].astype(np.int32)), pa.array(values[hit])], ["g", "n", "at", "token"])
+
+    return heads.select("doc_id", "n", "prefix").mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))
+
+
 def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: documents link when 100 * intersection >= percent * union of
     their sets of ``k``-word shingles."""
@@ -123,21 +175,25 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     groups = classes.groupBy("n", "pf").agg(F.min("c").alias("g"), F.count(F.lit(1)).alias("m"))
     member = common.materialize(classes.join(groups.where("m > 1"), ["n", "pf"]).select("g", "c"), "members")
 
-    # 2. the index: a row for each shingle of a group's prefix that another group may share
+    # 2. the index: a row for each shingle of a group's prefix that another group shares
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    heads = full.join(groups.select("n", "pf", F.col("g").alias("doc_id")), ["n", "pf", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "pf"])
-    index = heads.select(F.col("doc_id").alias("g"), "n", band.alias("band"), F.posexplode("prefix").alias("at", "token"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    index = common.materialize(index.join(shared, "token"), "index")
-
-    # 3. leaders
-    lead = index.groupBy("token", "band").agg(F.min("g").alias("a"))
-    around = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "a")
-    sizes = classes.groupBy("c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    star = index.join(around, ["token", "band"]).where("a <> g").select(F.least("a", "g").alias("a"), F.greatest("a", "g").alias("b"), "n", F.col("a").alias("l")).distinct()
-    star = star.join(sizes.withColumnRenamed("c", "l"), "l").where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))).select("a", "b")
+    tails = full.select("doc_id", "n", "pf").join(groups.select("n", "pf", "g"), ["n", "pf"]).where("doc_id <> g").select("doc_id", "n", "pf")
+    tails = common.materialize(tails.distinct(), "tails")
+    heads = full.join(few(tails), ["doc_id", "n", "pf"], "left_anti")
+    index = common.materialize(shared_index(heads).select("token", "g", "n", "at", band.alias("band")).distinct(), "index")
+
+    # 3. leaders; two prefixes that first meet at places (at, at2) share no more than the shorter rest
+    def fits(n: str, at: str, n2: str, at2: str) -> Column:
+        n, at, n2, at2 = map(F.col, (n, at, n2, at2))
+        room = F.least(n - at, n2 - at2)
+        return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * room >= percent * (n + n2))
+
+    lead = index.groupBy("token", "band").agg(F.min(F.struct("g", "n", "at")).alias("l"))
+    around = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.g").alias("g2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
+    star = index.join(around, ["token", "band"]).where((F.col("g") != F.col("g2")) & fits("n", "at", "n2", "at2"))
+    star = star.select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b")).distinct()
     own = member.where("c <> g").select(F.least("g", "c").alias("a"), F.greatest("g", "c").alias("b"))
-    links = verify(star.union(own), known, k, percent)
+    links = verify(star.union(own), full, known, k, percent)
     part = components(links)
 
     # 4. components that are still apart, with all their groups
@@ -147,17 +203,14 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     parts = whose.select("token", "k").distinct()
     apart = parts.join(parts.withColumnRenamed("k", "k2"), "token").where("k < k2")
     other = whose.select("token", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("k").alias("k2"))
-    # the first shingle that two prefixes share stands at (at, at2), so no more than what follows can be common
-    room = 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
-    met = whose.join(apart, ["token", "k"]).join(other, ["token", "k2"]).where(fits).select("g", "g2").distinct()
+    met = whose.join(apart, ["token", "k"]).join(other, ["token", "k2"]).where(fits("n", "at", "n2", "at2")).select("g", "g2").distinct()
     inside = member.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("k"))
     x, y = (inside.select(F.col("g").alias(g), F.col("c").alias(c)) for g, c in (("g", "x"), ("g2", "y")))
     spread = met.join(x, "g", "left").join(y, "g2", "left").select(F.coalesce("x", "g").alias("x"), F.coalesce("y", "g2").alias("y"))
     within = inside.join(inside.select("g", F.col("c").alias("y"), F.col("k").alias("k2")), "g").where("k < k2").select(F.col("c").alias("x"), "y")
     pairs = spread.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     joined = pairs.join(links, ["a", "b"], "left_anti")
-    more = verify(joined, known, k, percent)
+    more = verify(joined, full, known, k, percent)
     part = common.materialize(components(links.union(more)), "components")
 
     # 5. every row gets its class's component
