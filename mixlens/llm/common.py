@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +85,16 @@ def text_batches(batches, chars: int = 2_000_000):
                 keys, texts, size = [], [], 0
         if keys:
             yield keys, texts
+
+
+def chunks(batch: pa.RecordBatch, chars: int = 2_000_000):
+    """Offsets and numbers of rows whose texts (column 1) hold about ``chars`` bytes."""
+    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)], np.int64) if batch.num_rows else np.zeros(0)
+    at, total = 0, 0
+    for k, n in enumerate(size.tolist()):
+        total += n
+        if total >= chars:
+            yield at, k + 1 - at
+            at, total = k + 1, 0
+    if at < batch.num_rows:
+        yield at, batch.num_rows - at

@@ -90,17 +90,21 @@ def assess(
     max_word_distance: float = 0.30,
     min_letters: int = 200,
     min_words: int = 150,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, the base counts, ``class_distance`` and ``word_distance`` to the nearest reference, ``kept``.
-    ``min_letters`` and ``min_words`` are the guards of the two distances; below them a distance rejects nothing."""
+    ``min_letters`` and ``min_words`` are the guards of the two distances; below them a distance rejects nothing.  The
+    columns named in ``carry`` go along in the struct ``carried``, with a ``row_mark``."""
     names = sorted({w for words in WORD_REFERENCES.values() for w in words})
     word_refs = [[words.get(w, 0) / 1000 for w in names] + [1 - sum(words.values()) / 1000] for words in WORD_REFERENCES.values()]
     class_refs = [[x / sum(q) for x in q] for q in CLASS_REFERENCES.values()]
     c = F.col
-    rows = common.text_rows(df, key, text).withColumn("text", F.coalesce("text", F.lit("")))
+    along = F.struct(*(F.col(f"`{name}`") for name in carry)) if carry else F.lit(None).cast("string")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), along.alias("carried"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
     rows = rows.select(
         "doc_id",
+        "carried",
         words_of(c("text")).alias("words"),
         F.length(without_space(c("text"))).alias("word_chars"),
         F.regexp_replace("text", rf"[a-z{SPACE}]+", "").alias("odd"),
@@ -112,6 +116,7 @@ def assess(
     )
     rows = rows.select(
         "doc_id",
+        "carried",
         "words",
         F.size("words").alias("n_words"),
         c("word_chars").cast("long"),
@@ -130,6 +135,7 @@ def assess(
     count = lambda w: (F.length("common") - F.length(F.replace(c("common"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)
     rows = rows.select(
         "doc_id",
+        "carried",
         c("n_words").cast("long"),
         "word_chars",
         "n_symbols",
@@ -143,7 +149,14 @@ def assess(
     rows = rows.withColumn("class_distance", F.when(c("n_words") > 0, nearest(c("p_class"), class_refs)))
     rows = rows.withColumn("word_distance", F.when(c("n_words") > 0, nearest(c("p_word"), word_refs)))
     far = ((c("word_chars") >= min_letters) & (c("class_distance") > max_class_distance)) | ((c("n_words") >= min_words) & (c("word_distance") > max_word_distance))
-    return rows.withColumn("kept", ~c("base_failed") & ~F.coalesce(far, F.lit(False))).drop("p_class", "p_word")
+    rows = rows.withColumn("kept", ~c("base_failed") & ~F.coalesce(far, F.lit(False))).drop("p_class", "p_word", *([] if carry else ["carried"]))
+    return rows.withColumn("row_mark", F.monotonically_increasing_id()) if carry else rows
+
+
+def kept_rows(df: DataFrame, columns: tuple[str, ...], **parameters) -> DataFrame:
+    """The rows of ``df`` that pass, with ``columns`` alone.  The filter also reads the row mark, which isn't
+    deterministic: so it stays above the projections instead of repeating all of their expressions at the scan."""
+    return assess(df, carry=columns, **parameters).where("kept AND row_mark >= 0").select("carried.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

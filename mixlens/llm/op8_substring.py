@@ -82,13 +82,14 @@ class Cut:
         return b"".join(self.raw[k][edge[j] : edge[j + 1]] for j in np.flatnonzero(~gone).tolist()).decode(), int(gone.sum())
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int = 2, min_words: int = 12, long_words: int = 15) -> DataFrame:
-    """``doc_id, text, n_sentences, n_removed`` for every row, the text without its repeated sentences."""
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int = 2, min_words: int = 12, long_words: int = 15, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, n_sentences, n_removed`` for every row, the text without its repeated sentences; after them the
+    columns named in ``carry``."""
     rows = common.text_rows(df, key, text).withColumn("mark", F.xxhash64("text"))
 
     def spans(batches):
         for batch in batches:
-            for at, size in chunks(batch):
+            for at, size in common.chunks(batch):
                 part = batch.slice(at, size)
                 cut = Cut(part.column(1).to_pylist(), sentences, min_words, long_words)
                 offsets = pa.array(cut.first.astype(np.int32))
@@ -109,11 +110,15 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
     gone = common.materialize(gone, "gone")
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
     small = size["n"] <= BROADCAST_ROWS and size["places"] <= BROADCAST_PLACES
-    full = rows.join(F.broadcast(gone) if small else gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run")
+    along = df.select(*(F.col(f"`{name}`") for name in carry))
+    own = [f"_{k}" for k in range(len(carry))]
+    whole = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{name}`").alias(x) for name, x in zip(carry, own, strict=True)))
+    whole = whole.withColumn("mark", F.xxhash64("text"))
+    full = whole.join(F.broadcast(gone) if small else gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run", *own)
 
     def rebuild(batches):
         for batch in batches:
-            for at, size in chunks(batch):
+            for at, size in common.chunks(batch):
                 part = batch.slice(at, size)
                 texts = part.column(1).to_pylist()
                 cut = Cut(texts, sentences, min_words, long_words)
@@ -121,22 +126,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
                 for k, (places, runs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     if places:
                         texts[k], removed[k] = cut.kept(k, places, runs)
-                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(cut.first)), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
-
-    return full.mapInArrow(rebuild, common.schema(doc_id=common.LONG, text=common.STR, n_sentences=common.LONG, n_removed=common.LONG))
-
-
-def chunks(batch: pa.RecordBatch, chars: int = 2_000_000):
-    """Offsets and numbers of rows whose texts (column 1) hold about ``chars`` bytes."""
-    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)], np.int64) if batch.num_rows else np.zeros(0)
-    at, total = 0, 0
-    for k, n in enumerate(size.tolist()):
-        total += n
-        if total >= chars:
-            yield at, k + 1 - at
-            at, total = k + 1, 0
-    if at < batch.num_rows:
-        yield at, batch.num_rows - at
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(cut.first)), pa.array(removed, pa.int64()), *part.columns[4:]], ["doc_id", "text", "n_sentences", "n_removed", *carry])
+
+    fields = common.schema(doc_id=common.LONG, text=common.STR, n_sentences=common.LONG, n_removed=common.LONG)
+    return full.mapInArrow(rebuild, T.StructType([*fields.fields, *along.schema.fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mixlens.llm import common
 
@@ -196,15 +197,20 @@ def fit(labelled: DataFrame, rows_per_language: int = 300, letters_per_language:
     return labelled.sparkSession.sparkContext.broadcast(model)
 
 
-def predict(df: DataFrame, model: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of each whole text."""
+def predict(df: DataFrame, model: Broadcast, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, lang_pred, score`` of each whole text, after them the columns named in ``carry``."""
+    along = df.select(*(F.col(f"`{name}`") for name in carry))
 
     def run(batches):
-        for keys, texts in common.text_batches(batches):
-            names, score = model.value.predict(texts)
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    return common.text_rows(df, key, text).mapInArrow(run, common.schema(doc_id=common.LONG, lang_pred=common.STR, score=common.DBL))
+        for batch in batches:
+            for at, size in common.chunks(batch):
+                part = batch.slice(at, size)
+                names, score = model.value.predict(part.column(1).to_pylist())
+                yield pa.record_batch([part.column(0), pa.array(names, pa.string()), pa.array(score), *part.columns[2:]], ["doc_id", "lang_pred", "score", *carry])
+
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *along.columns)
+    fields = common.schema(doc_id=common.LONG, lang_pred=common.STR, score=common.DBL)
+    return rows.toDF("doc_id", "text", *(f"_{k}" for k in range(len(carry)))).mapInArrow(run, T.StructType([*fields.fields, *along.schema.fields]))
 
 
 def held_out(key) -> Column:

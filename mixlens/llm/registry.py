@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_rules": op1_quality.query,
         "op2_best_fit_packing": op2_packing.query,
         "op3_token_counts": op3_counts.query,
