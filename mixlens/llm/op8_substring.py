@@ -6,9 +6,9 @@ sentence runs the shortest span of at least ``sentences`` sentences and ``words`
 ASCII case and white space.  Spans are joined globally by a 64-bit hash; the first place of each (by key, then place)
 stays, and every sentence that any other place of a repeated span covers is removed.
 
-Only hashes that occur twice or more leave the counting step with their places.  Counting combines before the shuffle,
-the join of places to first places has one row a hash on one side, and no list is longer than a text's sentences, so a
-passage that a third of all texts hold lands in no one task as a group.
+Counts and first places combine before the shuffle.  Hashes above HOT places (a thousandth of a percent of all, at least
+HOT_LEAST), of which there can be no more than 100,000, are broadcast with their first places, so that their rows never
+meet in one task; the others are joined.  No list is longer than a text's sentences.
 
 Null texts give null and no sentences; rows with a null key pass unchanged and repeat nothing; rows that share key and
 text are one text, and keep or lose the same sentences; rows that share only the key are told apart by their text.  An
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from mixlens.llm import common
 from mixlens.llm.shingles import _power, mix, words
 
-#: Rows, and places in them, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_PLACES = 1_000_000, 4_000_000
+#: A hash with more places than all / HOT_PART, and than HOT_LEAST, is hot.
+HOT_PART, HOT_LEAST = 100_000, 1000
 
 _enders = np.zeros(256, bool)
 _enders[list(b".!?;:")] = True
@@ -85,7 +85,7 @@ class Cut:
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int = 2, min_words: int = 12, long_words: int = 15, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed`` for every row, the text without its repeated sentences; after them the
     columns named in ``carry``."""
-    rows = common.text_rows(df, key, text).withColumn("mark", F.xxhash64("text"))
+    rows = common.text_rows(df, key, text).withColumn("mark", F.hash("text"))
 
     def spans(batches):
         for batch in batches:
@@ -96,25 +96,23 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cut.hash, cut.run)]
                 yield pa.record_batch([part.column(0), part.column(2), *lists], ["doc_id", "mark", "hash", "run"])
 
-    fields = common.schema(doc_id=common.LONG, mark=common.LONG, hash=T.ArrayType(common.LONG), run=T.ArrayType(common.INT))
+    fields = common.schema(doc_id=common.LONG, mark=common.INT, hash=T.ArrayType(common.LONG), run=T.ArrayType(common.INT))
     table = common.materialize(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(spans, fields), "spans")
-    single = table.select(F.explode("hash").alias("hash")).where("hash <> 0")
-    often = common.materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash"), "often")
-    few = often.count() <= BROADCAST_ROWS
-    places = table.select("doc_id", "mark", F.posexplode(F.arrays_zip("hash", "run")).alias("at", "s")).select("doc_id", "mark", "at", "s.hash", "s.run").where("hash <> 0")
-    places = common.materialize(places.join(F.broadcast(often) if few else often, "hash"), "places")
+    places = table.select("doc_id", "mark", F.posexplode(F.arrays_zip("hash", "run")).alias("at", "s")).select("s.hash", "doc_id", "mark", "at", "s.run").where("hash <> 0")
     here = F.struct("doc_id", "mark", "at")
-    heads = places.groupBy("hash").agg(F.min(here).alias("head"))
-    later = places.join(heads, "hash").where(here != F.col("head")).select("doc_id", "mark", "at", "run").distinct()
+    heads = places.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("head")).where("m > 1")
+    heads = common.materialize(heads, "heads")
+    total = table.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()[0]
+    is_hot = F.col("m") > max(HOT_LEAST, total // HOT_PART)
+    hot, rest = F.broadcast(heads.where(is_hot)), heads.where(~is_hot)
+    met = places.join(hot, "hash").unionByName(places.join(hot, "hash", "left_anti").join(rest, "hash"))
+    later = met.where(here != F.col("head")).select("doc_id", "mark", "at", "run").distinct()
     gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "run")).alias("gone"))
-    gone = common.materialize(gone, "gone")
-    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
-    small = size["n"] <= BROADCAST_ROWS and size["places"] <= BROADCAST_PLACES
     along = df.select(*(F.col(f"`{name}`") for name in carry))
     own = [f"_{k}" for k in range(len(carry))]
     whole = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{name}`").alias(x) for name, x in zip(carry, own, strict=True)))
-    whole = whole.withColumn("mark", F.xxhash64("text"))
-    full = whole.join(F.broadcast(gone) if small else gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run", *own)
+    whole = whole.withColumn("mark", F.hash("text"))
+    full = whole.join(gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run", *own)
 
     def rebuild(batches):
         for batch in batches:
