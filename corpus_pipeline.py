@@ -7,6 +7,8 @@ brute-force version.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.02
 
 
+#: Tables that stages before the last have written for themselves.
+_made: list[DataFrame] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete them; those of a session that has ended are left to its cluster."""
+    common.drop(*(df for df in _made if df.sparkSession is spark))
+    _made.clear()
+
+
+def stage(function):
+    """A stage whose own tables go when the next stage begins: its output has been written and read again by then."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark)
+        with common.noting(_made):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and resemble a language."""
     return op1_quality.kept_rows(docs, COLUMNS)
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language stands out; a missing label is filled in."""
     model = op9_langid.fit(op9_langid.labelled(docs))
@@ -30,6 +56,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component under five-word shingles at 80 %: the one with the smallest key."""
     found = op10_jaccard.link(docs, k=5, percent=80)
@@ -42,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return single.unionByName(kept.join(op10_jaccard.few(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without sentences that repeat an earlier passage; those with nothing left go."""
     found = op8_substring.dedup(docs, carry=("lang", "source"))
@@ -51,6 +79,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequences and offsets."""
+    forget(spark)
     return op2_packing.run(docs)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,37 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Where ``materialize`` notes its tables, if a caller wants to delete them together later.
+_notes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noting(tables: list[DataFrame]):
+    """Note the tables that are written meanwhile."""
+    _notes.append(tables)
+    try:
+        yield
+    finally:
+        _notes.remove(tables)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/mixlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    for tables in _notes:
+        tables.append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_rows(df: DataFrame, key: str, text: str) -> DataFrame:

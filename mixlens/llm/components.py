@@ -23,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = common.materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        old, edges = edges, common.materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        common.drop(old)
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
