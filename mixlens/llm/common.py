@@ -17,12 +17,17 @@ from pyspark.sql import types as T
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+#: Our own folders, by application, where the cluster names none.
+_unset: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.  Where the cluster names none (tests), one of our own is set once a session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="mixlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _unset.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="mixlens-")
+        _unset[app] = root
     return root.rstrip("/")
 
 
