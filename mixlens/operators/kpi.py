@@ -83,6 +83,14 @@ def comparison_check(imports: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumn("period_length", F.when(equal, "Same").otherwise("Different")).withColumn("same_dataset", F.when(same, "Yes").otherwise("No")).withColumn("status", F.when(same, "Same dataset selected").when(~equal, "Different period lengths").otherwise("Comparable"))
 
 
+def overview(imports: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: the latest dataset, how many there are, and its company sales."""
+    latest = defaults(imports).select(F.col("current_import").alias("import_id")).join(imports, "import_id").select("import_id", "label", "period_start", "period_end")
+    many = imports.agg(F.count(F.lit(1)).alias("active_imports"))
+    total = results.where(F.col("scope_type") == COMPANY).groupBy("import_id").agg(F.max("denominator").alias("company_sales"))
+    return latest.crossJoin(many).join(total, "import_id", "left")
+
+
 def category_share(facts: DataFrame, by_restaurant: bool = False) -> DataFrame:
     """Legacy category over all, by import and channel [and restaurant], finalized facts; and for all channels."""
     keys = ["import_id", "channel", *(["restaurant_id"] if by_restaurant else [])]

@@ -190,7 +190,12 @@ def result_qa(results: DataFrame, imports: DataFrame, groups: DataFrame, restaur
         F.count(F.lit(1)).alias("rows"), F.countDistinct("metric_result_id").alias("ids"), F.count(F.when(F.col("denominator") == 0, 1)).alias("empty"),
         F.count(F.when((F.col("denominator") == 0) & (F.col("metric_value") != 0), 1)).alias("bad_zero"), F.count(F.when(F.col("numerator") > F.col("denominator"), 1)).alias("over"),
         F.sum(F.when(F.col("scope_type") == "Company", F.col("numerator")).otherwise(0)).alias("company"), F.sum(F.when(F.col("scope_type") == "Restaurant", F.col("numerator")).otherwise(0)).alias("places"),
-        F.countDistinct("restaurant_scope_fingerprint").alias("marks"),
+        F.countDistinct("restaurant_scope_fingerprint").alias("marks"), F.countDistinct("metric_id").alias("metrics"), F.countDistinct("import_id").alias("seen_imports"),
+        F.countDistinct("reporting_group_id").alias("seen_groups"), F.countDistinct(F.when(F.col("scope_type") == "Restaurant", F.col("restaurant_id"))).alias("seen_places"),
+        F.count(F.when(F.col("scope_type") == "Company", 1)).alias("company_rows"), F.count(F.when(F.col("numerator").isNull() | F.col("denominator").isNull() | F.col("metric_value").isNull(), 1)).alias("nulls"),
+        F.count(F.when((F.col("denominator") != 0) & (F.abs(F.col("metric_value") - F.col("numerator").cast("double") / F.col("denominator").cast("double")) > 1e-12), 1)).alias("off"),
+        F.sum(F.when(F.col("scope_type") == "Company", F.col("denominator")).otherwise(0)).alias("company_all"), F.sum(F.when(F.col("scope_type") == "Restaurant", F.col("denominator")).otherwise(0)).alias("places_all"),
+        F.count(F.when(~F.col("metric_result_id").rlike("^MRR-[0-9a-f]{16}$"), 1)).alias("odd_ids"), F.count(F.when((F.col("scope_type") == "Company") != (F.col("restaurant_id") == ""), 1)).alias("odd_scope"),
     )
     one = r.crossJoin(imports.agg(F.count(F.lit(1)).alias("i"))).crossJoin(groups.where("active = 'Yes'").agg(F.count(F.lit(1)).alias("g"))).crossJoin(restaurants.agg(F.count(F.lit(1)).alias("p")))
     v = F.col
@@ -201,5 +206,15 @@ def result_qa(results: DataFrame, imports: DataFrame, groups: DataFrame, restaur
         _check("QA-0504", "Shares at most 1", v("over"), v("over") == 0, "No numerator above its denominator"),
         _check("QA-0505", "Restaurants sum to the company", v("places"), v("places").eqNullSafe(v("company")), "Numerators of both scopes agree"),
         _check("QA-0506", "One restaurant scope", v("marks"), v("marks") <= 1, "All rows have one fingerprint"),
+        _check("QA-0507", "One metric", v("metrics"), v("metrics") <= 1, "All rows are of one metric"),
+        _check("QA-0508", "Imports", v("seen_imports"), v("seen_imports") == v("i"), "Every active import has results"),
+        _check("QA-0509", "Groups", v("seen_groups"), v("seen_groups") == v("g"), "Every active group has results"),
+        _check("QA-0510", "Restaurants", v("seen_places"), v("seen_places") == v("p"), "Every enabled restaurant has results"),
+        _check("QA-0511", "Company rows", v("company_rows"), v("company_rows") == v("i") * v("g"), "One company row an import and group"),
+        _check("QA-0512", "No missing values", v("nulls"), v("nulls") == 0, "Every row has its three values"),
+        _check("QA-0513", "Values are ratios", v("off"), v("off") == 0, "Value is numerator over denominator"),
+        _check("QA-0514", "Denominators sum to the company", v("places_all"), v("places_all").eqNullSafe(v("company_all")), "Denominators of both scopes agree"),
+        _check("QA-0515", "Result id form", v("odd_ids"), v("odd_ids") == 0, "Ids are a prefix and 16 digits"),
+        _check("QA-0516", "Scope and restaurant", v("odd_scope"), v("odd_scope") == 0, "Only company rows lack a restaurant"),
     )
     return one.select(F.explode(checks).alias("c")).select("c.*")

@@ -275,6 +275,12 @@ def comparison_check(spark, root):
     return kpi.comparison_check(m.imports, kpi.defaults(m.imports))
 
 
+@query("SELECT i.import_id, year(i.period_start) || ' full year' AS label, i.period_start, i.period_end, (SELECT count(*) FROM imps) AS active_imports, CAST((SELECT max(ds) FROM res WHERE res.import_id = i.import_id AND scope_type = 'Company') AS DOUBLE) AS company_sales FROM imps i JOIN chosen ON i.import_id = cur")
+def overview(spark, root):
+    m = Model.bind(spark, root)
+    return kpi.overview(m.imports, m.shares())
+
+
 @query(""", ch AS (SELECT import_id, 'All channels' AS channel, legacy_reporting_category_id, sales_amount FROM facts WHERE publication_state = 'Active Finalized'
   UNION ALL SELECT import_id, reporting_channel, legacy_reporting_category_id, sales_amount FROM facts WHERE publication_state = 'Active Finalized' AND reporting_channel <> ''),
 w AS (SELECT import_id, channel, sum(sales_amount) AS d FROM ch GROUP BY 1, 2)

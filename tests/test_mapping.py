@@ -97,3 +97,21 @@ def test_migration_is_idempotent(spark):
     assert {r["plan"]: r["count"] for r in again.groupBy("plan").count().collect()} == {"reuse": 129}
     other = old.withColumn("target_reporting_group_id", F.lit("RPG-0009"))
     assert [r["check_id"] for r in migration.decision_errors(other, wanted, day).collect()] == ["decision-conflict"]
+
+
+def test_rules_are_authored_and_ended(spark):
+    from mixlens.plans import authoring
+
+    nodes, groups = spark.createDataFrame(NODES, NAMES), spark.createDataFrame(GROUPS, S.GROUPS)
+    rules = authoring.add_rule(spark.createDataFrame([MAIN], S.RULES), nodes, groups, "SRC-1", S.PRODUCT, "PRD-1", "RPG-0002", F.lit(DAY))
+    assert {r[0] for r in rules.select("mapping_rule_id").collect()} == {"MAP-1", "MAP-000002"}
+    assert mapping.resolve(nodes, rules, groups, F.lit(DAY)).first()["effective_reporting_group_id"] == "RPG-0002"
+    ended = authoring.end_rule(rules, "MAP-000002")
+    assert mapping.resolve(nodes, ended, groups, F.lit(DAY)).first()["effective_reporting_group_id"] == "RPG-0001"
+    with pytest.raises(Exception, match="no rule"):
+        authoring.end_rule(rules, "MAP-9").collect()
+    for bad in (("PRD-9", "RPG-0001"), ("PRD-1", "RPG-0003")):
+        with pytest.raises(validation.ValidationError):
+            authoring.add_rule(rules, nodes, groups, "SRC-1", S.PRODUCT, *bad, F.lit(DAY))
+    log = spark.createDataFrame([("LOG-000007",)], "log_id string")
+    assert authoring.log_line(log, "refresh", "ok", "mapping", "").first()["log_id"] == "LOG-000008"
