@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mixlens import schema as S
 from mixlens.functions.fingerprint import metric_result_id, restaurant_scope_fingerprint
 from mixlens.functions.scalar import share
+from mixlens.sources.tables import literal
 
 COMPANY, RESTAURANT, ALL_RESTAURANTS = "Company", "Restaurant", "All restaurants"
 
@@ -114,4 +115,4 @@ METRICS = (
 
 def metric_contract(spark) -> DataFrame:
     names = "metric_id display_name value_type numerator denominator scope_dimensions mapping_membership status".split()
-    return spark.createDataFrame(list(METRICS), ", ".join(f"{n} string" for n in names))
+    return literal(spark, list(METRICS), ", ".join(f"{n} string" for n in names))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlens import schema as S
+from mixlens.sources.tables import literal
 
 SOURCE = "SRC-TEST-SALES"
 NOTE = "Approved business-definition migration; stable ID decision."
@@ -156,5 +157,5 @@ def decisions(spark: SparkSession, source: str = SOURCE) -> DataFrame:
     rows += [(S.SUB, node, "Map", group) for node, group in SUB_TARGETS]
     rows += [(S.PRODUCT, node, "Map", group) for node, group in PRODUCT_TARGETS]
     rows += [(S.PRODUCT, node, "Exclude", "") for node in EXCLUDED]
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "seq int, scope_type string, node_id string, rule_action string, target_reporting_group_id string")
+    df = literal(spark, [(k, *r) for k, r in enumerate(rows)], "seq int, scope_type string, node_id string, rule_action string, target_reporting_group_id string")
     return df.withColumn("source_system_id", F.lit(source))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mixlens import schema as S
 from mixlens.functions.scalar import main_node_id
-from mixlens.sources.tables import table
+from mixlens.sources.tables import literal, table
 
 AS_OF = dt.date(2026, 8, 11)
 
@@ -33,16 +33,16 @@ EQUIVALENCES = [("LEGACY-EQ-001", "RPG-0001", "CAT-Brand#1", "Equivalent", "Yes"
 
 
 def groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GROUPS, S.GROUPS)
+    return literal(spark, GROUPS, S.GROUPS)
 
 
 def rules(spark: SparkSession) -> DataFrame:
     rows = [(i, "SRC-1", scope, node, target, action, a, b, status, k) for k, (i, scope, node, target, action, a, b, status) in enumerate(RULES)]
-    return spark.createDataFrame(rows, S.RULES)
+    return literal(spark, rows, S.RULES)
 
 
 def equivalences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EQUIVALENCES, "definition_id string, reporting_group_id string, legacy_category_id string, comparison_status string, active string")
+    return literal(spark, EQUIVALENCES, "definition_id string, reporting_group_id string, legacy_category_id string, comparison_status string, active string")
 
 
 def product_id(key="p_partkey"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mixlens import schema as S
 from mixlens.functions.scalar import days, number, period_label, rule_action, serial_date, text
@@ -15,6 +16,24 @@ def table(spark: SparkSession, root: str, name: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
+def literal(spark: SparkSession, rows: list[tuple], fields: T.StructType | str) -> DataFrame:
+    """A relation of given rows, as SQL VALUES: the optimizer knows its size, so it is broadcast where it is joined."""
+    fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
+    if not rows:
+        return spark.createDataFrame([], fields)
+
+    def show(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"DATE '{value}'" if hasattr(value, "isoformat") else str(value)
+
+    values = ", ".join("(" + ", ".join(map(show, row)) + ")" for row in rows)
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(*(F.col(f.name).cast(f.dataType) for f in fields))
+
+
 def reporting_groups(df: DataFrame) -> DataFrame:
     """Groups with an id; sort order 999999 where blank."""
     order = F.coalesce(F.nullif(F.col("sort_order").cast("int"), F.lit(0)), F.lit(999999))
