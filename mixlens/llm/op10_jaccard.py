@@ -32,29 +32,47 @@ from mixlens.llm import common
 from mixlens.llm.components import components
 from mixlens.llm.shingles import fingerprint, mix, shingles
 
-#: Shingles in this share of a chunk's texts (and in FREQUENT_LEAST of them) are ordered last; so many are kept at most.
-#: A hint to the order alone.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.004, 12, 200_000
+#: Shingles that so many texts of a chunk of so many characters hold, and so many in all, are ordered last, the most
+#: frequent up to a bound on the broadcast.  A hint to the order alone.
+CHUNK_LEAST, CHUNK_CHARS, FREQUENT_LEAST, FREQUENT_MOST = 3, 16_000_000, 20, 1_000_000
+#: Characters hashed at a time.
+HASHED = 1_000_000
 #: Rows of a key column, and hashes, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_HASHES = 1_000_000, 4_000_000
+#: A class of equal sets with more rows than all / HOT_PART, and than HOT_LEAST, is hot.
+HOT_PART, HOT_LEAST = 100_000, 1000
 #: Bins of the histogram of a set's hashes that bounds what two sets can share.
 BINS = 256
 
 
 def frequent(rows: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many texts of some chunk hold, ascending."""
+    """Shingles that many different texts hold, ascending, as counted within chunks: only what occurs several times in a
+    chunk is shuffled."""
 
     def run(batches):
-        for _, texts in common.text_batches(batches, 4_000_000):
-            found = [f for f, _ in shingles(texts, k)]
-            if found:
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
-                often = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(texts))
-                yield pa.record_batch([pa.array(values[often]), pa.array(counts[often])], ["token", "n"])
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+
+        def often():
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *held.values()]), return_counts=True)
+            some = counts >= CHUNK_LEAST
+            return pa.record_batch([pa.array(values[some]), pa.array(counts[some])], ["token", "n"])
+
+        for _, texts in common.text_batches(batches, HASHED):
+            held |= {fingerprint(f): f for f, _ in shingles(texts, k)}
+            size += sum(len(t or "") for t in texts)
+            if size >= CHUNK_CHARS:
+                yield often()
+                held, size = {}, 0
+        yield often()
 
     parts = rows.mapInArrow(run, common.schema(token=common.LONG, n=common.LONG))
-    top = parts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST)
-    return np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64))
+    top = parts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
+    top = common.materialize(top, "frequent")
+    kept = top.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST) if top.count() > FREQUENT_MOST else top
+    out = np.sort(np.asarray(kept.select("token").toArrow().column(0)))
+    common.drop(top)
+    return out
 
 
 def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
@@ -64,12 +82,14 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
 
     def run(batches):
         last = shared.value
-        for keys, texts in common.text_batches(batches):
-            out = []
-            for key, (found, span) in zip(keys, shingles(texts, k), strict=True):
+        for keys, texts in common.text_batches(batches, HASHED):
+            rows_, bins_, firsts = [], [], []
+            for found, span in shingles(texts, k):
                 n = len(found)
                 if not n:
-                    out.append((key, 0, 0, 0, 0, None, []))
+                    rows_.append((0, 0, 0, 0))
+                    bins_.append(None)
+                    firsts.append(found)
                     continue
                 length = n - (percent * n + 99) // 100 + 1
                 rank = -np.minimum(span, 1 << 30)
@@ -78,12 +98,13 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                     rank = rank + (last[at] == found) * (1 << 40)
                 prefix = found[np.argsort(rank, kind="stable")[:length]]
                 bins = np.bincount(found & (BINS - 1), minlength=BINS)
-                bins = bins.astype(np.uint8).tobytes() if bins.max() < 256 else None
-                h = int((mix(prefix.view(np.uint64) + np.uint64(7)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
-                out.append((key, n, *fingerprint(found), h, bins, prefix.tolist()))
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                h = mix(prefix.view(np.uint64) + np.uint64(7)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+                rows_.append((n, *fingerprint(found), int(h.sum(dtype=np.uint64).view(np.int64))))
+                bins_.append(bins.astype(np.uint8).tobytes() if bins.max() < 256 else None)
+                firsts.append(prefix)
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*rows_, strict=True)), pa.array(bins_, pa.binary()), lists], names)
 
     names = ["doc_id", "n", "fa", "fb", "pf", "bins", "prefix"]
     fields = common.schema(**dict.fromkeys(names[:5], common.LONG), bins=T.BinaryType(), prefix=T.ArrayType(common.LONG))
@@ -119,8 +140,10 @@ def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``doc_id, found``: whole sets of the documents in ``ids``."""
 
     def run(batches):
-        for keys, texts in common.text_batches(batches):
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([f.tolist() for f, _ in shingles(texts, k)], pa.list_(pa.int64()))], ["doc_id", "found"])
+        for keys, texts in common.text_batches(batches, HASHED):
+            found = [f for f, _ in shingles(texts, k)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "found"])
 
     kept = rows.join(few(ids), "doc_id", "left_semi")
     return common.materialize(kept.mapInArrow(run, common.schema(doc_id=common.LONG, found=T.ArrayType(common.LONG))), "sets")
@@ -129,14 +152,17 @@ def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are alike: 100 * intersection >= percent * union."""
     pairs = common.materialize(pairs.select("a", "b").where("a < b").distinct(), "pairs")
-    pairs = common.materialize(possible(pairs, docs, percent).distinct(), "possible")
+    pairs, old = common.materialize(possible(pairs, docs, percent).distinct(), "possible"), pairs
+    common.drop(old)
     ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     whole = sets(rows, ids, k)
     left, right = whole.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), whole.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common_n = F.size(F.array_intersect("x", "y"))
     good = 100 * common_n >= percent * (F.size("x") + F.size("y") - common_n)
-    return common.materialize(both.where(good).select("a", "b").distinct(), "links")
+    links = common.materialize(both.where(good).select("a", "b").distinct(), "links")
+    common.drop(pairs, ids, whole)
+    return links
 
 
 def shared_index(heads: DataFrame) -> DataFrame:
@@ -144,9 +170,10 @@ def shared_index(heads: DataFrame) -> DataFrame:
     bound permits; beyond it the index is joined with them."""
     tokens = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     tokens = common.materialize(tokens.where("m > 1").select("token"), "tokens")
-    if tokens.count() > BROADCAST_HASHES:
+    if tokens.count() > BROADCAST_HASHES:  # the written hashes stay, as the join reads them
         return heads.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("at", "token")).join(tokens, "token")
     known = heads.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0)) for b in tokens.toArrow().to_batches())])))
+    common.drop(tokens)
 
     def run(batches):
         last = known.value
@@ -170,14 +197,14 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     full = docs.where("n > 0 AND doc_id IS NOT NULL")
 
     # 1. classes of equal sets, groups of classes with one prefix and size
-    classes = full.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("c"), F.min("pf").alias("pf"))
+    classes = full.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("c"), F.min("pf").alias("pf"), F.count(F.lit(1)).alias("rows"))
     classes = common.materialize(classes, "classes")
     groups = classes.groupBy("n", "pf").agg(F.min("c").alias("g"), F.count(F.lit(1)).alias("m"))
     member = common.materialize(classes.join(groups.where("m > 1"), ["n", "pf"]).select("g", "c"), "members")
 
     # 2. the index: a row for each shingle of a group's prefix that another group shares
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    tails = full.select("doc_id", "n", "pf").join(groups.select("n", "pf", "g"), ["n", "pf"]).where("doc_id <> g").select("doc_id", "n", "pf")
+    tails = full.select("doc_id", "n", "pf").join(groups.select(F.col("g").alias("doc_id"), "n", "pf"), ["doc_id", "n", "pf"], "left_anti")
     tails = common.materialize(tails.distinct(), "tails")
     heads = full.join(few(tails), ["doc_id", "n", "pf"], "left_anti")
     index = common.materialize(shared_index(heads).select("token", "g", "n", "at", band.alias("band")).distinct(), "index")
@@ -211,12 +238,18 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     pairs = spread.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     joined = pairs.join(links, ["a", "b"], "left_anti")
     more = verify(joined, full, known, k, percent)
+    common.drop(index, whose)
     part = common.materialize(components(links.union(more)), "components")
 
     # 5. every row gets its class's component
-    final = classes.join(part.withColumnRenamed("node", "c"), "c", "left").select("n", "fa", "fb", F.coalesce("component", "c").alias("component"))
-    final = final.groupBy("n", "fa", "fb").agg(F.min("component").alias("component"))
-    out = docs.select("doc_id", "n", "fa", "fb").join(final, ["n", "fa", "fb"], "left")
+    final = classes.join(part.withColumnRenamed("node", "c"), "c", "left").select("n", "fa", "fb", "rows", F.coalesce("component", "c").alias("component"))
+    final = common.materialize(final.groupBy("n", "fa", "fb").agg(F.min("component").alias("component"), F.max("rows").alias("rows")), "final")
+    # classes above HOT_LEAST rows and all / HOT_PART, at most HOT_PART of them, never meet their rows in one task
+    total = final.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    is_hot = F.col("rows") > max(HOT_LEAST, total // HOT_PART)
+    hot, rest = F.broadcast(final.where(is_hot).drop("rows")), final.where(~is_hot).drop("rows")
+    small, of = docs.select("doc_id", "n", "fa", "fb"), ["n", "fa", "fb"]
+    out = small.join(hot, of).unionByName(small.join(hot, of, "left_anti").join(rest, of, "left").select(*of, "doc_id", "component"))
     keyed = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), keyed.alias("component_id"))
 
