@@ -10,7 +10,7 @@ asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ
    its own band and of the two beside it), and each class of a group its group's least.  The links that prove true
    already join most of a cluster.
 4. Second pass: in each shingle, only components that are still apart meet, with all their groups of fitting size and
-   position; pairs are expanded to their members.
+   position.  A group stands for the components of all its classes; pairs are expanded to the classes of the two that meet.
 5. Every candidate pair must pass a bound: two sets share no more than the sum over BINS hash bins of the smaller
    count.  What passes is verified on whole sets, recomputed from the texts of the documents concerned.
 
@@ -223,17 +223,19 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     links = verify(star.union(own), full, known, k, percent)
     part = components(links)
 
-    # 4. components that are still apart, with all their groups
-    whose = index.join(part.select(F.col("node").alias("g"), "component"), "g", "left").select("token", "g", "n", "at", F.coalesce("component", "g").alias("k"))
+    # 4. components that are still apart, with all groups that hold a class of theirs
+    inside = member.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("k"))
+    alone = part.select(F.col("node").alias("g"), F.col("component").alias("k")).join(member.select("g"), "g", "left_anti")
+    of = inside.select("g", "k").union(alone).distinct()  # the components of all classes of a group
+    whose = index.join(of, "g", "left").select("token", "g", "n", "at", F.coalesce("k", "g").alias("k"))
     open_ = whose.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
     whose = common.materialize(whose.join(open_, "token"), "open")
     parts = whose.select("token", "k").distinct()
     apart = parts.join(parts.withColumnRenamed("k", "k2"), "token").where("k < k2")
     other = whose.select("token", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("k").alias("k2"))
-    met = whose.join(apart, ["token", "k"]).join(other, ["token", "k2"]).where(fits("n", "at", "n2", "at2")).select("g", "g2").distinct()
-    inside = member.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("k"))
-    x, y = (inside.select(F.col("g").alias(g), F.col("c").alias(c)) for g, c in (("g", "x"), ("g2", "y")))
-    spread = met.join(x, "g", "left").join(y, "g2", "left").select(F.coalesce("x", "g").alias("x"), F.coalesce("y", "g2").alias("y"))
+    met = whose.join(apart, ["token", "k"]).join(other, ["token", "k2"]).where((F.col("g") != F.col("g2")) & fits("n", "at", "n2", "at2")).select("g", "k", "g2", "k2").distinct()
+    x, y = (inside.select(F.col("g").alias(g), F.col("k").alias(k_), F.col("c").alias(c)) for g, k_, c in (("g", "k", "x"), ("g2", "k2", "y")))
+    spread = met.join(x, ["g", "k"], "left").join(y, ["g2", "k2"], "left").select(F.coalesce("x", "g").alias("x"), F.coalesce("y", "g2").alias("y"))
     within = inside.join(inside.select("g", F.col("c").alias("y"), F.col("k").alias("k2")), "g").where("k < k2").select(F.col("c").alias("x"), "y")
     pairs = spread.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     joined = pairs.join(links, ["a", "b"], "left_anti")

@@ -85,6 +85,12 @@ def test_jaccard_order_does_not_decide(spark, monkeypatch):
     assert {tuple(r) for r in op10_jaccard.link(frame(spark, rows)).collect()} == want
 
 
+def test_jaccard_members_beside_the_least(spark):
+    z = [f"long{j:02}word" for j in range(20)] + [f"w{j:02}" for j in range(40)]
+    rows = [(0, " ".join(z[:30] + z[31:])), (1, " ".join(z[:45] + z[46:])), (2, " ".join(z))]
+    assert {r["component_id"] for r in op10_jaccard.link(frame(spark, rows)).collect()} == {0}
+
+
 def test_sentence_spans(spark, monkeypatch):
     monkeypatch.setattr(op8_substring, "HOT_LEAST", 4)
     shared = "Now this passage stands in several texts of the table. It has more than one sentence, and it has enough words to count as repeated. So it goes."
