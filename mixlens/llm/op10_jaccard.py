@@ -4,8 +4,9 @@ A document is its set of distinct word shingles.  Under one order of all shingle
 asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ in size by the factor ``t`` at most.
 
 1. Equal sets are one class.  Classes with the same prefix and size are one *group*; only groups enter the index.
-2. The order puts shingles that many texts hold last, then goes by bytes spanned (long ones are rare), then by hash.  It
-   decides the work, never the result, so what counts as frequent may be found a chunk at a time.
+2. The order puts shingles that many texts hold last, then goes by the bytes of their words (long ones are rare), then by
+   hash: all of it the shingle's own, so that equal sets have equal prefixes whatever their white space.  It decides
+   the work, never the result, so what counts as frequent may be found a chunk at a time.
 3. Group pairs, first pass: within a shingle and size band, each group meets only the band's leaders (the least group of
    its own band and of the two beside it), and each class of a group its group's least.  The links that prove true
    already join most of a cluster.
@@ -197,7 +198,8 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     full = docs.where("n > 0 AND doc_id IS NOT NULL")
 
     # 1. classes of equal sets, groups of classes with one prefix and size
-    classes = full.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("c"), F.min("pf").alias("pf"), F.count(F.lit(1)).alias("rows"))
+    classes = full.groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "pf")).alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = classes.select("n", "fa", "fb", F.col("least.doc_id").alias("c"), F.col("least.pf").alias("pf"), "rows")
     classes = common.materialize(classes, "classes")
     groups = classes.groupBy("n", "pf").agg(F.min("c").alias("g"), F.count(F.lit(1)).alias("m"))
     member = common.materialize(classes.join(groups.where("m > 1"), ["n", "pf"]).select("g", "c"), "members")

@@ -51,15 +51,15 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def shingles(texts: list[str | None], k: int):
-    """For each text its distinct shingles of ``k`` words, ascending, and the bytes each spans; a text with fewer words
-    has its whole sequence as its one shingle, one without words none."""
+    """For each text its distinct shingles of ``k`` words, ascending, and the bytes of each one's words, which white space
+    does not change; a text with fewer words has its whole sequence as its one shingle, one without words none."""
     h, start, end, first = words(texts)
-    n = len(h) - k + 1
+    n, long = len(h) - k + 1, np.concatenate([[0], np.cumsum(end - start)])
     if n > 0:
         whole = np.zeros(n, np.uint64)
         for j in range(k):
             whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n] + np.uint64(j + 1))
-        span = end[k - 1 :] - start[:n]
+        span = long[k:] - long[:n]
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
             found, at = np.unique(whole[a : b - k + 1].view(np.int64), return_index=True)
@@ -68,7 +68,7 @@ def shingles(texts: list[str | None], k: int):
             one = np.uint64(b - a)
             for j in range(a, b):
                 one = mix(np.array([one * np.uint64(3) + h[j]], np.uint64))[0]
-            yield np.array([one], np.uint64).view(np.int64), np.array([end[b - 1] - start[a]])
+            yield np.array([one], np.uint64).view(np.int64), np.array([long[b] - long[a]])
         else:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
 

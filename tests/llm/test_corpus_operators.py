@@ -91,6 +91,16 @@ def test_jaccard_members_beside_the_least(spark):
     assert {r["component_id"] for r in op10_jaccard.link(frame(spark, rows)).collect()} == {0}
 
 
+def test_white_space_does_not_order_shingles(spark):
+    own = random.Random(2)
+    texts = [" ".join("abcdefgh"[k] * own.randint(1, 5) + str(j) for j in range(60)) for k in range(8)]
+    spaced = ["".join(x + own.choice([" ", "   ", "\r\n", "\n\n    "]) for x in t.split(" ")) for t in texts]
+    for a, b in zip(op10_jaccard.shingles(["two words", *texts], 4), op10_jaccard.shingles(["two \r\n words", *spaced], 4), strict=True):
+        assert all(map(np.array_equal, a, b))
+    rows = [(10 * k + j, t) for k, (t, s) in enumerate(zip(texts, spaced, strict=True)) for j, t in enumerate([s, t, f"{t} more"])]
+    assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in op10_jaccard.link(frame(spark, rows)).collect())
+
+
 def test_sentence_spans(spark, monkeypatch):
     monkeypatch.setattr(op8_substring, "HOT_LEAST", 4)
     shared = "Now this passage stands in several texts of the table. It has more than one sentence, and it has enough words to count as repeated. So it goes."
