@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at a word that ends in one of ``.!?;:``, and at a line end; one of more than ``long_words`` words is cut
-after its commas and after words chosen by their hash, so that a passage is cut alike wherever it stands.  From each
-sentence runs the shortest span of at least ``sentences`` sentences and ``words`` words; words count without regard to
+after its commas and, in every WINDOW words without a cut so far, after those whose hash is least, so that a passage is
+cut alike wherever it stands, and no piece of a long sentence has more than WINDOW words.  Whether a word is cut after
+depends on fewer than WINDOW words on either side: a passage of over 50 words holds a whole span.  From each sentence runs the shortest span of at least ``sentences`` sentences and ``words`` words; words count without regard to
 ASCII case and white space.  Spans are joined globally by a 64-bit hash; the first place of each (by key, then place)
 stays, and every sentence that any other place of a repeated span covers is removed.
 
@@ -29,10 +30,25 @@ from mixlens.llm.shingles import _power, mix, words
 #: A hash with more places than all / HOT_PART, and than HOT_LEAST, is hot.
 HOT_PART, HOT_LEAST = 100_000, 1000
 
+#: Words of which one at least ends a piece of a long sentence.
+WINDOW = 9
+
 _enders = np.zeros(256, bool)
 _enders[list(b".!?;:")] = True
 
 
+def least_of_windows(values: np.ndarray) -> np.ndarray:
+    """Whether a value is 0, or the least of WINDOW consecutive values around it."""
+    out, m = values == 0, len(values) - WINDOW + 1
+    if m > 0:
+        low = values[:m].copy()
+        for j in range(1, WINDOW):
+            np.minimum(low, values[j : j + m], out=low)
+        for j in range(WINDOW):
+            out[j : j + m] |= values[j : j + m] == low
+    return out
+
+
 class Cut:
     """The sentences of many texts and the span that begins at each."""
 
@@ -52,7 +68,7 @@ class Cut:
         ends[first[1:][first[1:] > first[:-1]] - 1] = True
         number = np.cumsum(ends) - ends
         size = np.bincount(number)[number]
-        ends |= (size > long_words) & ((data[end - 1] == 44) | ((h & np.uint64(7)) == 0))
+        ends |= (size > long_words) & least_of_windows(np.where(ends | (data[end - 1] == 44), np.uint64(0), h | np.uint64(1)))
         last = np.flatnonzero(ends)
         begin = np.concatenate([[0], last[:-1] + 1])  # first word of each sentence
         self.at = start[begin]

@@ -127,6 +127,20 @@ def test_passages_are_cut_alike_anywhere(spark):
     assert all(r["n_removed"] == 0 for r in op8_substring.dedup(frame(spark, clean)).collect())
 
 
+def test_every_passage_holds_a_span():
+    own = random.Random(4)
+    marks = ["", "", "", ",", "."]
+    for few in (3, 1000, 1000):
+        for trial in range(400):
+            some = marks[: own.randint(1, 5)]
+            make = lambda n, p: " ".join(f"{p}{own.randrange(few)}" + (own.choice(some) if own.random() < 0.15 else "") for _ in range(n))
+            passage = make(51, "w")
+            texts = [f"{make(own.randint(0, 25), a)} {passage} {make(own.randint(0, 25), a)}" for a in "ab"]
+            cut = op8_substring.Cut(texts, 2, 12, 15)
+            x, y = (set(cut.hash[cut.first[k] : cut.first[k + 1]].tolist()) - {0} for k in (0, 1))
+            assert x & y, (few, trial, texts)
+
+
 URLS = ["https://a.spam.net/x", "http://EXAMPLE.net/en/1", "http://www.example.net/en/1?x=/de/", "http://notexample.net/en/", "http://example.com/de/", "http://m.example.com/de", "http://x.org/fr/#a", "http://x.org?fr/", "http://listed.org", "nothing", "://", "", None, "ftp://u@h:80/p?q#r", "http://a.b/c://d"]
 
 
