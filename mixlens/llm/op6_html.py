@@ -3,8 +3,8 @@
 A page is read once into blocks, each with its root-to-leaf path of block elements (tag, class and id words).  Per path,
 text length and punctuation are summed over its blocks and divided by their number.  The ratios are smoothed along the
 page, fused with what the path's names say, and compared with a threshold; the blocks above it are seeds.  The deepest
-element that holds nearly all of the seeds' text is the content node; its blocks are the main text, save those under
-paths whose names mark them as something else.
+element that holds all seeds, or the article or main element around it, is the content node; its blocks are the main text,
+save those under paths whose names mark them as something else.
 
 A narrow map over whole pages: no shuffle.  Null and empty html, and pages without text, give the empty text; null urls
 and keys are kept, repeated rows give a row each, other columns are ignored.
@@ -151,9 +151,9 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(values, 2, mode="edge"), weights / weights.sum(), mode="valid")
 
 
-def main_text(page: str | None, threshold: float = 0.5, share: float = 0.9) -> str:
+def main_text(page: str | None, threshold: float = 0.5) -> str:
     """The main text of a page: the content node's blocks, one a line.  ``threshold`` is a factor on the mean of the fused
-    ratios by text; ``share`` the part of the seeds' text that the content node has to hold."""
+    ratios by text."""
     found = blocks(page) if page else []
     kept = [(e, t) for e, t in found if not e.other]
     if not kept:
@@ -176,7 +176,11 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.9) -> s
             mass[e] += w
             e = e.parent
     total = float(size[seeds].sum())
-    node = max((e for e, w in mass.items() if w >= share * total and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre")), key=lambda e: e.depth)
+    node = max((e for e, w in mass.items() if w >= total and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre")), key=lambda e: e.depth)
+    around = node
+    while around is not None and around.tag not in MAIN_TAGS:
+        around = around.parent
+    node = around or node
     out = []
     for e, text in kept:
         x = e

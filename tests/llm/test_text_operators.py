@@ -207,6 +207,17 @@ def test_main_text(spark):
     assert len(got) == 4 and {r["n_chars"] for r in got if r["page_id"] == 2} == {0} and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_main_text_keeps_all_of_an_article():
+    long, some = "Many words, of the long part. " * 60, "A sentence, of ordinary length. " * 5
+    for tag in ("section", "div", "blockquote"):
+        page = f"<body><nav>Home</nav><article><h1>Head</h1><{tag}><p>{long}</p></{tag}><p>{some}</p><aside>Other</aside></article><p>Foot</p></body>"
+        assert op6_html.main_text(page) == f"Head\n{long.strip()}\n{some.strip()}", tag
+    parts = [f"<section><p>{long}</p><p>{long}</p></section>", f"<section><p>{some * 3}</p></section>"]
+    assert op6_html.main_text(f"<body><div>{''.join(parts)}</div></body>").count("\n") == 2
+    page = f"<article><h1>Head</h1><p>Lede</p><div class=body><p>{long}</p><p>{long}</p></div></article>"
+    assert op6_html.main_text(page).startswith("Head\nLede\nMany")
+
+
 def phrases(sample, text):
     flat = lambda t: "".join(chr(c) if c else " " for c in op9_langid.letters(t))
     s, t = flat(sample), flat(text)
