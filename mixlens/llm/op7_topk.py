@@ -35,10 +35,27 @@ SEGMENTS, LEVELS = 32, 3
 EXACT = 1 << 20
 
 
+def top(keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score and then key; equal pairs count once."""
+    order = np.lexsort((keys, -scores))
+    keys, scores = keys[order], scores[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (scores[1:] != scores[:-1])
+    at = np.flatnonzero(fresh)[:k]
+    return keys[at], scores[at]
+
+
 class Index:
     """A block's vectors of one length, with the segment of each posting and each segment's least and greatest."""
 
     def __init__(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        _, self.whose = np.unique(keys, return_inverse=True)
+        self.clash = len(keys) > 0 and int(self.whose.max()) + 1 < len(keys)
+        if self.clash:  # rows that repeat a key and vector count once
+            rows = np.unique(np.column_stack([keys, vectors]), axis=0)
+            keys, vectors = rows[:, 0].copy(), rows[:, 1:].copy()
+            _, self.whose = np.unique(keys, return_inverse=True)
+            self.clash = int(self.whose.max()) + 1 < len(keys)
         self.keys, self.vectors = keys, vectors
         self.exact = not vectors.size or int(np.abs(vectors).max()) <= EXACT
         if not self.exact or not vectors.shape[1]:
@@ -57,8 +74,7 @@ class Index:
             could = self.possible(key, query.astype(float), k)
         could = could[self.keys[could] != key]
         scores = self.vectors[could] @ query
-        order = np.lexsort((self.keys[could], -scores))[:k]
-        return self.keys[could][order], scores[order]
+        return top(self.keys[could], scores, k)
 
     def possible(self, key: int, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that no proof excludes."""
@@ -79,6 +95,10 @@ class Index:
                 highest += most_now[d][segment[d]]
                 lowest += least_now[d][segment[d]]
             own = lowest[other[could]]
+            if self.clash:  # a key with several vectors proves one place
+                each = np.full(len(self.keys), -np.inf)
+                np.maximum.at(each, self.whose[could][other[could]], own)
+                own = each[each > -np.inf]
             if len(own) <= k:
                 break
             could = could[highest >= np.partition(own, len(own) - k)[len(own) - k] - 0.5]
@@ -96,10 +116,7 @@ class Best:
     def add(self, key: int, keys: np.ndarray, scores: np.ndarray) -> None:
         if key in self.of:
             keys, scores = np.concatenate([self.of[key][0], keys]), np.concatenate([self.of[key][1], scores])
-        keys, at = np.unique(keys, return_index=True) if len(keys) > len(set(keys.tolist())) else (keys, np.arange(len(keys)))
-        scores = scores[at]
-        order = np.lexsort((keys, -scores))[: self.k]
-        self.of[key] = keys[order], scores[order]
+        self.of[key] = top(keys, scores, self.k)
 
 
 def lists(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -197,6 +197,23 @@ def test_top_k(spark):
     assert op7_topk.top_k(df.where("false"), F.col("id") % 100 == 0).count() == 0
 
 
+def test_repeated_rows_take_one_place():
+    r = np.random.default_rng(8)
+    x = np.floor(1024 * r.normal(0, 0.1, (2000, 16))).astype(np.int64)
+    query = x[1]
+    often = np.tile(query * 2, (1500, 1))
+    clash = np.stack([query * 2 - j for j in range(40)])  # one key, many vectors
+    keys, vectors = np.concatenate([np.arange(2000), np.full(1500, 5000), np.full(40, 6000)]), np.concatenate([x, often, clash])
+    mixed = r.permutation(len(keys))
+    keys, vectors = keys[mixed], vectors[mixed]
+    rows = {(-int(v @ query), int(k)) for k, v in zip(keys, vectors, strict=True) if k != 1}
+    for k in (10, 60):
+        best = op7_topk.Best(k)
+        for at in range(0, len(keys), 1800):
+            best.add(1, *op7_topk.Index(keys[at : at + 1800], vectors[at : at + 1800]).best(1, query, k))
+        assert [(-s, i) for i, s in zip(*(x.tolist() for x in best.of[1]), strict=True)] == sorted(rows)[:k]
+
+
 def test_proofs_exclude_most_vectors():
     r = np.random.default_rng(6)
     x = np.floor(1024 * r.normal(0, 0.1, (4000, 16))).astype(np.int64)
