@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from mixlens.llm import common
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for every node of ``edges(a, b)``.  Each step is one
     aggregation and one join; neighbour lists are never gathered.  Edges are cut from their lineage after each pair of
     steps, in the shared folder."""
     edges = common.materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: each neighbour above a node goes to the smallest of the node and its neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,7 +29,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     own = edges.select(F.col("b").alias("a"), "b").distinct()
     return edges.union(own).select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()

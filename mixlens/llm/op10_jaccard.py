@@ -7,11 +7,14 @@ asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ
 2. The order puts shingles that many texts hold last, then goes by the bytes of their words (long ones are rare), then by
    hash: all of it the shingle's own, so that equal sets have equal prefixes whatever their white space.  It decides
    the work, never the result, so what counts as frequent may be found a chunk at a time.
-3. Group pairs, first pass: within a shingle and size band, each group meets only the band's leaders (the least group of
-   its own band and of the two beside it), and each class of a group its group's least.  The links that prove true
-   already join most of a cluster.
-4. Second pass: in each shingle, only components that are still apart meet, with all their groups of fitting size and
-   position.  A group stands for the components of all its classes; pairs are expanded to the classes of the two that meet.
+3. Group pairs, first pass: within a shingle and size band, each group meets only the leaders of its own band and of the
+   two beside it, a leader being the group that holds the shingle with fewest rarer ones, and so lies nearest to the
+   middle of its cluster.  Each class of a group meets its group's least.  The links that prove true already join most of
+   a cluster.
+4. Second pass: in each shingle, only components that are still apart meet (``meet``), by their shapes: the sizes and
+   places that their groups have.  Of two sets the smaller must hold the shingle among its first 2t / (1 + t), so what
+   holds it later only asks.  Shapes that fit are expanded to their groups, and a group stands for all its classes.
+   Classes of one group that are still apart meet in the same way in what follows their common prefix (``beyond``).
 5. Every candidate pair must pass a bound: two sets share no more than the sum over BINS hash bins of the smaller
    count.  What passes is verified on whole sets, recomputed from the texts of the documents concerned.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +70,9 @@ def frequent(rows: DataFrame, k: int) -> np.ndarray:
                 held, size = {}, 0
         yield often()
 
-    parts = rows.mapInArrow(run, common.schema(token=common.LONG, n=common.LONG))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wide = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, min(size // CHUNK_CHARS, 1 << 30)))  # small partitions count together
+    parts = wide.mapInArrow(run, common.schema(token=common.LONG, n=common.LONG))
     top = parts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     top = common.materialize(top, "frequent")
     kept = top.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST) if top.count() > FREQUENT_MOST else top
@@ -76,6 +81,25 @@ def frequent(rows: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def ordered(found: np.ndarray, span: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of a set in the global order."""
+    rank = -np.minimum(span, 1 << 30)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+        rank = rank + (often[at] == found) * (1 << 40)
+    return found[np.argsort(rank, kind="stable")]
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
+
+
+def prefix_mark(prefix: np.ndarray) -> int:
+    """64 bits of a prefix in its order."""
+    h = mix(prefix.view(np.uint64) + np.uint64(7)) * (np.arange(len(prefix), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    return int(h.sum(dtype=np.uint64).view(np.int64))
+
+
 def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
     """``doc_id, n, fa, fb, pf, bins, prefix``: set size, set fingerprint, prefix fingerprint, counts of the set's hashes by
     bin (null if one is above 255), the prefix in order."""
@@ -92,15 +116,9 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                     bins_.append(None)
                     firsts.append(found)
                     continue
-                length = n - (percent * n + 99) // 100 + 1
-                rank = -np.minimum(span, 1 << 30)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                    rank = rank + (last[at] == found) * (1 << 40)
-                prefix = found[np.argsort(rank, kind="stable")[:length]]
+                prefix = ordered(found, span, last)[: prefix_length(n, percent)]
                 bins = np.bincount(found & (BINS - 1), minlength=BINS)
-                h = mix(prefix.view(np.uint64) + np.uint64(7)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-                rows_.append((n, *fingerprint(found), int(h.sum(dtype=np.uint64).view(np.int64))))
+                rows_.append((n, *fingerprint(found), prefix_mark(prefix)))
                 bins_.append(bins.astype(np.uint8).tobytes() if bins.max() < 256 else None)
                 firsts.append(prefix)
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
@@ -167,12 +185,16 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
 
 
 def shared_index(heads: DataFrame) -> DataFrame:
-    """``g, n, at, token`` of the prefix shingles that two groups or more hold.  Their hashes are broadcast as far as the
-    bound permits; beyond it the index is joined with them."""
+    """``g, n, at, token`` of the prefix shingles that two groups or more hold; ``at`` counts the shingles that cannot be
+    shared with a set that shares this one first: those before it, and all of the prefix that no other group holds.  The
+    shared ones' hashes are broadcast as far as the bound permits; beyond it the index is joined with them."""
     tokens = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     tokens = common.materialize(tokens.where("m > 1").select("token"), "tokens")
     if tokens.count() > BROADCAST_HASHES:  # the written hashes stay, as the join reads them
-        return heads.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("at", "token")).join(tokens, "token")
+        flat = heads.select(F.col("doc_id").alias("g"), "n", "pf", F.size("prefix").alias("l"), F.posexplode("prefix").alias("at", "token")).join(tokens, "token")
+        own = Window.partitionBy("g", "n", "pf")
+        later = F.col("l") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("at")) - 1
+        return flat.select("g", "n", later.cast("int").alias("at"), "token")
     known = heads.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0)) for b in tokens.toArrow().to_batches())])))
     common.drop(tokens)
 
@@ -182,19 +204,74 @@ def shared_index(heads: DataFrame) -> DataFrame:
             lists = batch.column(2)
             values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            at = np.arange(len(values)) - (offsets[:-1] - offsets[0])[row]
             hit = np.flatnonzero(last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values) if len(last) else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.asarray(batch.column(c))[row[hit]]) for c in (0, 1)] + [pa.array(at[hit].astype(np.int32)), pa.array(values[hit])], ["g", "n", "at", "token"])
+            row = row[hit]
+            held = np.bincount(row, minlength=batch.num_rows)
+            at = (np.diff(offsets) - held)[row] + np.arange(len(hit)) - (np.cumsum(held) - held)[row]
+            yield pa.record_batch([pa.array(np.asarray(batch.column(c))[row]) for c in (0, 1)] + [pa.array(at.astype(np.int32)), pa.array(values[hit])], ["g", "n", "at", "token"])
 
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))
 
 
+def beyond(rows: DataFrame, ids: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
+    """``g, n, at, token`` for the classes in ``ids`` of what follows their prefix, as far as two sets of that prefix and
+    size must share some of it; the tokens are the prefix's own, the places count from the prefix on."""
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for keys, texts in common.text_batches(batches, HASHED):
+            out = [[np.zeros(0, np.int64)] for _ in names]
+            for key, (found, span) in zip(keys, shingles(texts, k), strict=True):
+                n = len(found)
+                if n:
+                    every, first = ordered(found, span, shared.value), prefix_length(n, percent)
+                    rest = every[first : first + n * (100 - percent) // (100 + percent) + 1].view(np.uint64)
+                    mark = np.array([prefix_mark(every[:first])], np.int64).view(np.uint64) + np.uint64(n)
+                    for column, values in zip(out, (np.full(len(rest), key), np.full(len(rest), n), np.arange(len(rest)), mix(rest ^ mix(mark)).view(np.int64)), strict=True):
+                        column.append(values)
+            yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names)
+
+    names = ["g", "n", "at", "token"]
+    kept = rows.join(few(ids), "doc_id", "left_semi")
+    return kept.mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG)).distinct()
+
+
+def fits(percent: int, n: str, at: str, n2: str, at2: str) -> Column:
+    """Whether two sets may be alike that first meet at places (at, at2): they share no more than the shorter rest."""
+    n, at, n2, at2 = map(F.col, (n, at, n2, at2))
+    room = F.least(n - at, n2 - at2)
+    return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * room >= percent * (n + n2))
+
+
+def band(percent: int) -> Column:
+    """The band of a size: two that are alike lie in one or in neighbours (the half leaves room for rounding)."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.5 / percent))).cast("int")
+
+
+def meet(index: DataFrame, percent: int) -> DataFrame:
+    """``g, k, g2, k2``: the pairs of rows of ``index(token, g, n, at, k)`` that share a token, fit and are of different
+    components ``k``.  Rows of one token, component, size and place are one shape; shapes meet before their rows do."""
+    open_ = index.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
+    rows = common.materialize(index.join(open_, "token").select("token", "n", "at", "k", "g").distinct(), "open")
+    shape = rows.select("token", "n", "at", "k").distinct().withColumn("band", band(percent))
+    small = shape.where(F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n")).withColumnsRenamed({"n": "n2", "at": "at2", "k": "k2"})
+    large = shape.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    order = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("k2") < F.col("k")))
+    both = large.join(small, ["token", "band"]).where(order & (F.col("k") != F.col("k2")) & fits(percent, "n", "at", "n2", "at2")).drop("band")
+    other = rows.withColumnsRenamed({"n": "n2", "at": "at2", "k": "k2", "g": "g2"})
+    found = both.join(rows, ["token", "n", "at", "k"]).join(other, ["token", "n2", "at2", "k2"]).select("g", "k", "g2", "k2").distinct()
+    found = common.materialize(found, "met")
+    common.drop(rows)
+    return found
+
+
 def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: documents link when 100 * intersection >= percent * union of
     their sets of ``k``-word shingles."""
     rows = common.text_rows(df, key, text)
     known = rows.where("doc_id IS NOT NULL")
-    docs = common.materialize(prefixes(rows, k, percent, frequent(rows, k)), "prefixes")
+    often = frequent(rows, k)
+    docs = common.materialize(prefixes(rows, k, percent, often), "prefixes")
     full = docs.where("n > 0 AND doc_id IS NOT NULL")
 
     # 1. classes of equal sets, groups of classes with one prefix and size
@@ -205,21 +282,15 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     member = common.materialize(classes.join(groups.where("m > 1"), ["n", "pf"]).select("g", "c"), "members")
 
     # 2. the index: a row for each shingle of a group's prefix that another group shares
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     tails = full.select("doc_id", "n", "pf").join(groups.select(F.col("g").alias("doc_id"), "n", "pf"), ["doc_id", "n", "pf"], "left_anti")
     tails = common.materialize(tails.distinct(), "tails")
     heads = full.join(few(tails), ["doc_id", "n", "pf"], "left_anti")
-    index = common.materialize(shared_index(heads).select("token", "g", "n", "at", band.alias("band")).distinct(), "index")
-
-    # 3. leaders; two prefixes that first meet at places (at, at2) share no more than the shorter rest
-    def fits(n: str, at: str, n2: str, at2: str) -> Column:
-        n, at, n2, at2 = map(F.col, (n, at, n2, at2))
-        room = F.least(n - at, n2 - at2)
-        return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * room >= percent * (n + n2))
+    index = common.materialize(shared_index(heads).select("token", "g", "n", "at", band(percent).alias("band")).distinct(), "index")
 
-    lead = index.groupBy("token", "band").agg(F.min(F.struct("g", "n", "at")).alias("l"))
+    # 3. leaders
+    lead = index.groupBy("token", "band").agg(F.min(F.struct("at", "g", "n")).alias("l"))
     around = lead.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.g").alias("g2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
-    star = index.join(around, ["token", "band"]).where((F.col("g") != F.col("g2")) & fits("n", "at", "n2", "at2"))
+    star = index.join(around, ["token", "band"]).where((F.col("g") != F.col("g2")) & fits(percent, "n", "at", "n2", "at2"))
     star = star.select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b")).distinct()
     own = member.where("c <> g").select(F.least("g", "c").alias("a"), F.greatest("g", "c").alias("b"))
     links = verify(star.union(own), full, known, k, percent)
@@ -227,23 +298,23 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
 
     # 4. components that are still apart, with all groups that hold a class of theirs
     inside = member.join(part.select(F.col("node").alias("c"), "component"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("k"))
+    inside = common.materialize(inside, "inside")
     alone = part.select(F.col("node").alias("g"), F.col("component").alias("k")).join(member.select("g"), "g", "left_anti")
     of = inside.select("g", "k").union(alone).distinct()  # the components of all classes of a group
-    whose = index.join(of, "g", "left").select("token", "g", "n", "at", F.coalesce("k", "g").alias("k"))
-    open_ = whose.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-    whose = common.materialize(whose.join(open_, "token"), "open")
-    parts = whose.select("token", "k").distinct()
-    apart = parts.join(parts.withColumnRenamed("k", "k2"), "token").where("k < k2")
-    other = whose.select("token", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("k").alias("k2"))
-    met = whose.join(apart, ["token", "k"]).join(other, ["token", "k2"]).where((F.col("g") != F.col("g2")) & fits("n", "at", "n2", "at2")).select("g", "k", "g2", "k2").distinct()
+    met = meet(index.join(of, "g", "left").select("token", "g", "n", "at", F.coalesce("k", "g").alias("k")), percent)
     x, y = (inside.select(F.col("g").alias(g), F.col("k").alias(k_), F.col("c").alias(c)) for g, k_, c in (("g", "k", "x"), ("g2", "k2", "y")))
-    spread = met.join(x, ["g", "k"], "left").join(y, ["g2", "k2"], "left").select(F.coalesce("x", "g").alias("x"), F.coalesce("y", "g2").alias("y"))
-    within = inside.join(inside.select("g", F.col("c").alias("y"), F.col("k").alias("k2")), "g").where("k < k2").select(F.col("c").alias("x"), "y")
-    pairs = spread.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = met.join(x, ["g", "k"], "left").join(y, ["g2", "k2"], "left").select(F.coalesce("x", "g").alias("x"), F.coalesce("y", "g2").alias("y"))
+    split = inside.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("g")
+    split = common.materialize(inside.join(split, "g").select("c", "k"), "split")
+    if not split.isEmpty():
+        after = beyond(known, split.select(F.col("c").alias("doc_id")), k, percent, often).join(split.withColumnRenamed("c", "g"), "g")
+        within = meet(after, percent)
+        pairs = pairs.union(within.select(F.col("g").alias("x"), F.col("g2").alias("y")))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     joined = pairs.join(links, ["a", "b"], "left_anti")
     more = verify(joined, full, known, k, percent)
-    common.drop(index, whose)
     part = common.materialize(components(links.union(more)), "components")
+    common.drop(index, tails, member, inside, split, met)
 
     # 5. every row gets its class's component
     final = classes.join(part.withColumnRenamed("node", "c"), "c", "left").select("n", "fa", "fb", "rows", F.coalesce("component", "c").alias("component"))
