@@ -4,8 +4,8 @@ A document is its set of distinct word shingles.  Under one order of all shingle
 asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ in size by the factor ``t`` at most.
 
 1. Equal sets are one class.  Classes with the same prefix and size are one *group*; only groups enter the index.
-2. The order puts shingles that many texts hold last, then goes by the bytes of their words (long ones are rare), then by
-   hash: all of it the shingle's own, so that equal sets have equal prefixes whatever their white space.  It decides
+2. The order puts shingles that many texts hold last, by powers of two of their number, then goes by the bytes of their
+   words (long ones are rare), then by hash: all of it the shingle's own, so that equal sets have equal prefixes whatever their white space.  It decides
    the work, never the result, so what counts as frequent may be found a chunk at a time.
 3. Group pairs, first pass: within a shingle and size band, each group meets only the leaders of its own band and of the
    two beside it, a leader being the group that holds the shingle with fewest rarer ones, and so lies nearest to the
@@ -38,7 +38,9 @@ from mixlens.llm.shingles import fingerprint, mix, shingles
 
 #: Shingles that so many texts of a chunk of so many characters hold, and so many in all, are ordered last, the most
 #: frequent up to a bound on the broadcast.  A hint to the order alone.
-CHUNK_LEAST, CHUNK_CHARS, FREQUENT_LEAST, FREQUENT_MOST = 3, 16_000_000, 20, 1_000_000
+CHUNK_LEAST, CHUNK_CHARS, FREQUENT_LEAST, FREQUENT_MOST = 2, 16_000_000, 6, 1_000_000
+#: Shingles that many texts hold, ascending, and the powers of two of their numbers.
+Often = tuple[np.ndarray, np.ndarray]
 #: Characters hashed at a time.
 HASHED = 1_000_000
 #: Rows of a key column, and hashes, that may be broadcast.
@@ -49,9 +51,9 @@ HOT_PART, HOT_LEAST = 100_000, 1000
 BINS = 256
 
 
-def frequent(rows: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many different texts hold, ascending, as counted within chunks: only what occurs several times in a
-    chunk is shuffled."""
+def frequent(rows: DataFrame, k: int) -> Often:
+    """Shingles that many different texts hold, as counted within chunks: only what occurs several times in a chunk is
+    shuffled."""
 
     def run(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -76,17 +78,19 @@ def frequent(rows: DataFrame, k: int) -> np.ndarray:
     top = parts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     top = common.materialize(top, "frequent")
     kept = top.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST) if top.count() > FREQUENT_MOST else top
-    out = np.sort(np.asarray(kept.select("token").toArrow().column(0)))
+    found = kept.select("token", F.log2("n").cast("tinyint").alias("c")).toArrow()
+    token, number = np.asarray(found.column(0)), np.asarray(found.column(1))
     common.drop(top)
-    return out
+    order = np.argsort(token)
+    return token[order], number[order]
 
 
-def ordered(found: np.ndarray, span: np.ndarray, often: np.ndarray) -> np.ndarray:
+def ordered(found: np.ndarray, span: np.ndarray, often: Often) -> np.ndarray:
     """The shingles of a set in the global order."""
     rank = -np.minimum(span, 1 << 30)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-        rank = rank + (often[at] == found) * (1 << 40)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], found), len(often[0]) - 1)
+        rank = rank + np.where(often[0][at] == found, often[1][at].astype(np.int64) + 1, 0) * (1 << 40)
     return found[np.argsort(rank, kind="stable")]
 
 
@@ -100,7 +104,7 @@ def prefix_mark(prefix: np.ndarray) -> int:
     return int(h.sum(dtype=np.uint64).view(np.int64))
 
 
-def prefixes(rows: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
+def prefixes(rows: DataFrame, k: int, percent: int, often: Often) -> DataFrame:
     """``doc_id, n, fa, fb, pf, bins, prefix``: set size, set fingerprint, prefix fingerprint, counts of the set's hashes by
     bin (null if one is above 255), the prefix in order."""
     shared = rows.sparkSession.sparkContext.broadcast(often)
@@ -213,7 +217,7 @@ def shared_index(heads: DataFrame) -> DataFrame:
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))
 
 
-def beyond(rows: DataFrame, ids: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
+def beyond(rows: DataFrame, ids: DataFrame, k: int, percent: int, often: Often) -> DataFrame:
     """``g, n, at, token`` for the classes in ``ids`` of what follows their prefix, as far as two sets of that prefix and
     size must share some of it; the tokens are the prefix's own, the places count from the prefix on."""
     shared = rows.sparkSession.sparkContext.broadcast(often)
