@@ -1,20 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks, each with its root-to-leaf path of block elements (tag, class and id words).  Per path,
-text length and punctuation are summed over its blocks and divided by their number.  The ratios are smoothed along the
-page, fused with what the path's names say, and compared with a threshold; the blocks above it are seeds.  The deepest
-element that holds all seeds, or the article or main element around it, is the content node; its blocks are the main text,
-save those under paths whose names mark them as something else.
+text length and punctuation are summed over its blocks and divided by their number, text in links counting for nothing.
+The ratios are smoothed along the page and fused: length times the root of punctuation times the weight of the path's
+names.  A name is evidence, never a verdict: it makes a path's score a few times less or more.  Paths whose score is above
+a threshold, a share of the page's mean, hold the content.  The deepest element around all of them, or the article or
+main element around that, is the content node.  Its blocks are the main text, save those below the threshold under
+names that speak against them, or that are links for the most part.
 
-A narrow map over whole pages: no shuffle.  Null and empty html, and pages without text, give the empty text; null urls
-and keys are kept, repeated rows give a row each, other columns are ignored.
+A narrow map over whole pages: no shuffle, and one pass over tags and elements whatever their nesting.  Null and empty
+html, and pages without text, give the empty text; null urls and keys are kept, repeated rows give a row each, other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section table ul".split()
 )
-SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = set("article aside body div footer form header html main nav ol section table ul dl".split())
 OTHER_TAGS = set("head nav footer aside form menu dialog fieldset".split())
 OTHER_WORDS = set(
@@ -48,6 +49,11 @@ OUTER = {"header", "masthead", "topbar"}
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = set("article articlebody content entry main post story text".split())
 
+#: Last words of names that only say that something is a part.
+PARTS = set("area bar block box button buttons container content form item items link links list panel section wrap wrapper".split())
+#: Elements that are never a content node.
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li td pre".split())
+
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -59,51 +65,93 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
+#: What closes an open element of a group, and what hides open ones from it.
+GROUPS = {"li": "item", "dt": "term", "dd": "term", "td": "cell", "th": "cell", "tr": "row", "option": "option", "thead": "part", "tbody": "part", "tfoot": "part"}
+CLOSES = {"li": ("item",), "dt": ("term",), "dd": ("term",), "td": ("cell",), "th": ("cell",), "tr": ("row", "cell"), "option": ("option",), "thead": ("part", "row", "cell"), "tbody": ("part", "row", "cell"), "tfoot": ("part", "row", "cell")}
+LISTS = {"ul", "ol", "dl", "table", "menu", "select", "div", "body"}
+#: Weights of names: an element for another part, a word for one, such a word that qualifies another, an article's.
+OTHER_TAG, OTHER_WORD, OTHER_PART, ARTICLE = 0.02, 0.1, 0.4, 4.0
+
+
+def weigh(tag: str, names: list[list[str]], article: bool) -> float:
+    """What an element's names say of it.  In a name of several words the last one says what it is, the others how."""
+    weight = OTHER_TAG if tag in OTHER_TAGS or tag in OUTER and not article else 1.0
+    for words in names:
+        for word in words:
+            if word in OTHER_WORDS or word in OUTER and not article:
+                weight *= OTHER_WORD if word == words[-1] or words[0] in OTHER_WORDS and words[-1] in PARTS else OTHER_PART
+                break
+    return weight * (ARTICLE if tag in MAIN_TAGS or any(w[-1] in MAIN_WORDS for w in names) else 1.0)
+
+
 class Element:
-    """A block element: its path's name, its parent, and whether it is part of an article or of something else."""
-
-    __slots__ = ("article", "depth", "name", "other", "parent", "tag")
-
-    def __init__(self, tag: str, attributes: str, parent: Element | None, paths: dict) -> None:
-        words = sorted({w.lower() for m in NAMES.finditer(attributes) for w in WORDS.findall(m[1] or m[2] or m[3] or "")}) if attributes else []
-        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.article = bool(parent and parent.article) or tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words) and tag not in ("html", "body")
-        mark = {tag, *words}
-        named = tag in OTHER_TAGS or not OTHER_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
-        outer = not OUTER.isdisjoint(mark) and not self.article
-        self.other = bool(parent and parent.other) or named or outer or bool(attributes) and tag not in ("html", "body") and bool(HIDDEN.search(attributes))
+    """A block element: its path's name and weight, its parent, and which elements an end tag may leave out are open."""
+
+    __slots__ = ("against", "article", "depth", "name", "number", "open", "parent", "tag", "weight")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, paths: dict, number: int) -> None:
+        names = [w for m in NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split() if (w := [y.lower() for y in WORDS.findall(x)])] if attributes else []
+        self.tag, self.parent, self.number, self.depth = tag, parent, number, parent.depth + 1 if parent else 0
+        self.article = bool(parent and parent.article) or tag in MAIN_TAGS
+        whole = tag in ("html", "body")
+        own = 1.0 if whole else 0.0 if attributes and HIDDEN.search(attributes) else weigh(tag, names, bool(parent and parent.article))
+        self.weight = own * (parent.weight if parent else 1.0)
+        self.against = bool(parent and parent.against) or own < 1.0
         # the number of its path on this page: equal for equal paths
-        self.name = paths.setdefault((parent.name if parent else -1, tag, *words), len(paths))
+        self.name = paths.setdefault((parent.name if parent else -1, tag, *sorted({y for w in names for y in w})), len(paths))
+        self.open = parent.open if parent else {}
+        if tag in SCOPE or tag in LISTS:
+            self.open = {k: e for k, e in self.open.items() if not (tag in SCOPE and k == "p" or tag in LISTS and k != "p")}
+        if group := "p" if tag == "p" else GROUPS.get(tag):
+            self.open = {**self.open, group: self}
 
 
-def blocks(page: str) -> list[tuple[Element, str]]:
-    """The page's blocks in order: element and text, white space collapsed, references decoded, none empty."""
-    out: list[tuple[Element, str]] = []
+def blocks(page: str) -> list[tuple[Element, str, int]]:
+    """The page's blocks in order: element, text (white space collapsed, references decoded, none empty) and how many of
+    its characters are links."""
+    out: list[tuple[Element, str, int]] = []
     paths: dict[tuple, int] = {}
-    root = top = Element("", "", None, paths)
+    root = top = Element("", "", None, paths, 0)
+    made, opened = 1, {}
     parts: list[str] = []
+    linked, link = [], False
     at, n = 0, len(page)
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((top, text))
+                out.append((top, text, min(len(text), len(SPACE.sub(" ", html.unescape("".join(linked))).strip()))))
             parts.clear()
+            linked.clear()
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if link:
+            linked.append(text)
+
+    def leave(to: Element) -> None:
+        """Close all that is open below ``to``."""
+        nonlocal top
+        while top is not to:
+            opened[top.tag] -= 1
+            top = top.parent
 
     while at < n:
         m = MARKUP.search(page, at)
         if not m:
-            parts.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if tag in INLINE:
+            if tag == "a":
+                link = not closing
             continue
         if tag in RAW:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
@@ -120,27 +168,21 @@ def blocks(page: str) -> list[tuple[Element, str]]:
         if tag in VOID:
             continue
         if closing:
-            e = top
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                top = e.parent
+            if opened.get(tag):
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                leave(e.parent)
             continue
-        if tag in CLOSES_P:
-            e = top
-            while e is not root and e.tag != "p" and e.tag not in SCOPE:
-                e = e.parent
-            if e.tag == "p":
-                top = e.parent
-        if tag in SIBLING:
-            e, last = top, None
-            while e is not root and e.tag not in ("ul", "ol", "dl", "table", "menu", "select", "div", "body"):
-                if e.tag in SIBLING[tag]:
-                    last = e
-                e = e.parent
-            if last:
-                top = last.parent
-        top = Element(tag, m[3] or m[6] or "", top, paths)
+        if tag in CLOSES_P and (e := top.open.get("p")):
+            leave(e.parent)
+        for group in CLOSES.get(tag, ()):
+            if e := top.open.get(group):
+                leave(e.parent)
+                break
+        top = Element(tag, m[3] or m[6] or "", top, paths, made)
+        made += 1
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -151,44 +193,71 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(values, 2, mode="edge"), weights / weights.sum(), mode="valid")
 
 
+def scores(found: list[tuple[Element, str, int]]) -> np.ndarray:
+    """The fused ratio of each block's path: the mean over the path's blocks."""
+    _, path = np.unique([e.name for e, _, _ in found], return_inverse=True)
+    number = np.bincount(path)
+    size = np.array([len(t) - linked for _, t, linked in found], float)
+    marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in found], float)
+    text_ratio = smooth((np.bincount(path, size) / number)[path])
+    mark_ratio = smooth((np.bincount(path, marks) / number)[path])
+    fused = text_ratio * np.sqrt(1 + mark_ratio) * np.array([e.weight for e, _, _ in found])
+    return (np.bincount(path, fused) / number)[path]
+
+
+def content_node(found: list[tuple[Element, str, int]], chosen: np.ndarray) -> Element:
+    """The deepest element around all chosen blocks, or the article or main element around it."""
+    chain: list[Element] = []  # from the root to the first of them
+    meets: dict[int, int] = {}  # element: the depth at which the chain passes or leaves it
+    for (e, _, _), c in zip(found, chosen.tolist(), strict=True):
+        if not c:
+            continue
+        e, above = e.parent if e.tag in LEAVES else e, []
+        while e is not None and e.number not in meets:
+            above.append(e)
+            e = e.parent
+        if e is None:
+            chain = above[::-1]
+            meets = {x.number: x.depth for x in chain}
+        else:
+            depth = meets[e.number]
+            meets.update((x.number, depth) for x in above)
+            del chain[depth + 1 :]
+    node = chain[-1]
+    around = node
+    while around is not None and around.tag not in MAIN_TAGS:
+        around = around.parent
+    return around or node
+
+
 def main_text(page: str | None, threshold: float = 0.5) -> str:
     """The main text of a page: the content node's blocks, one a line.  ``threshold`` is a factor on the mean of the fused
     ratios by text."""
-    found = blocks(page) if page else []
-    kept = [(e, t) for e, t in found if not e.other]
-    if not kept:
+    found = [x for x in blocks(page) if x[0].weight > 0] if page else []
+    if not found:
         return ""
-    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for e, text in kept:
-        length[e.name] += len(text)
-        marks[e.name] += len(PUNCTUATION.findall(text))
-        number[e.name] += 1
-    text_ratio = smooth(np.array([length[e.name] / number[e.name] for e, _ in kept]))
-    mark_ratio = smooth(np.array([marks[e.name] / number[e.name] for e, _ in kept]))
-    fused = text_ratio * np.sqrt(1 + mark_ratio) * np.array([4.0 if e.article else 1.0 for e, _ in kept])
-    size = np.array([len(t) for _, t in kept], float)
-    seeds = fused >= threshold * (fused * size).sum() / size.sum()
-    if not seeds.any():
-        seeds[:] = True
-    mass: dict[Element, float] = defaultdict(float)
-    for (e, _), s, w in zip(kept, seeds.tolist(), size.tolist(), strict=True):
-        while s and e is not None:
-            mass[e] += w
+    fused, size = scores(found), np.array([len(t) for _, t, _ in found], float)
+    chosen = fused >= threshold * (fused * size).sum() / size.sum()
+    if not fused.any():  # nothing but links
+        chosen = np.array([not e.against for e, _, _ in found])
+        if not chosen.any():
+            return ""
+    node = content_node(found, chosen)
+    inside = {node.number: True, 0: node.parent is None}
+
+    def within(e: Element) -> bool:
+        above = []
+        while e.number not in inside:
+            above.append(e.number)
             e = e.parent
-    total = float(size[seeds].sum())
-    node = max((e for e, w in mass.items() if w >= total and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre")), key=lambda e: e.depth)
-    around = node
-    while around is not None and around.tag not in MAIN_TAGS:
-        around = around.parent
-    node = around or node
-    out = []
-    for e, text in kept:
-        x = e
-        while x is not None and x is not node:
-            x = x.parent
-        if x is node:
-            out.append(text)
-    return "\n".join(out)
+        inside.update(dict.fromkeys(above, inside[e.number]))
+        return inside[e.number]
+
+    number, links = {}, {}
+    for e, text, linked in found:
+        number[e.name] = number.get(e.name, 0) + len(text)
+        links[e.name] = links.get(e.name, 0) + linked
+    return "\n".join(text for (e, text, _), c in zip(found, chosen.tolist(), strict=True) if within(e) and (c or not e.against and 2 * links[e.name] <= number[e.name]))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
