@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 import numpy as np
@@ -17,17 +17,14 @@ from pyspark.sql import types as T
 MAX_BROADCAST_BYTES = 64 << 20
 
 
-#: Our own folders, by application, where the cluster names none.
-_unset: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share.  Where the cluster names none (tests), one of our own is set once a session."""
+    """The folder all executors share, ``spark.checkpoint.dir``.  Where a session of one machine names none, the warehouse
+    folder stands in; on a cluster a missing setting is an error, as executors might write where others cannot read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _unset.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="mixlens-")
-        _unset[app] = root
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/mixlens-scratch"
     return root.rstrip("/")
 
 
@@ -57,6 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_parts(spark: SparkSession, fields: T.StructType, parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The same for a table that is made part by part: each is written before the next is begun."""
+    path = f"{scratch_root(spark)}/mixlens-{name}-{uuid.uuid4().hex}"
+    for df in parts:
+        df.write.mode("append").parquet(path)
+    out = spark.read.schema(fields).parquet(path)
+    out.scratch_path = path
+    for tables in _notes:
+        tables.append(out)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for df in tables:

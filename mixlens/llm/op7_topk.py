@@ -2,13 +2,15 @@
 
 Components become integers, floor(scale * x).  In a block of vectors, each dimension's postings are sorted by component
 and cut into segments, and a posting's impact is quantised to its segment's least and greatest.  For a query a segment's
-level is the most it can change a score, in LEVELS steps of the greatest; segments are processed level by level, the
-highest first, each adding an interval to the scores of its postings.  What a dimension's unread postings can still add
-is known from the bounds of its unread segments.  Processing stops only when that proves that no more than a few vectors
-can be among the best k, or at the last level; whatever may still be among them is rescored exactly.
+level is the most it can change a score, in powers of two below the greatest; segments are processed level by level, the
+highest first, each adding its bounds to the accumulators of its postings.  What the unread postings of a vector can still
+change is bounded by their number times the greatest impact unread, and by the norms that query and vector have left
+(Cauchy-Schwarz).  As soon as that proves that no more than a few vectors can be among the best k, processing stops and
+the segments below stay unread; what may still be among the best is rescored exactly.
 
-The queries (a stated set) are broadcast in blocks of bounded size, and each block of queries meets all vectors, block
-by block; a task keeps the best k of what it has read, and the tasks' best are merged by a ranked window.
+The queries (a stated set) are broadcast in parts of bounded size, and each part meets all vectors, block by block; a task
+keeps the best k of what it has read, the parts' results are written one after the other to one table, so the plan stays
+the same however many they are, and the tasks' best are merged by a ranked window.
 
 Vectors that are null, or hold null or non-finite components, and null keys, take no part; vectors of another length
 than a query's are no candidates of it; all-zero vectors are candidates like others.  Equal scores go to the smaller
@@ -29,8 +31,8 @@ from mixlens.llm import common
 
 #: Vectors of an index block; bytes of a block of queries.
 BLOCK, QUERY_BYTES = 4096, 32 << 20
-#: Segments of a dimension's postings, and levels of quantised impact.
-SEGMENTS, LEVELS = 32, 3
+#: Segments of a dimension's postings, levels of quantised impact, and the part of a block that is few enough to rescore.
+SEGMENTS, LEVELS, ENOUGH = 64, 8, 6
 #: Components beyond this are scored without the index, in whole numbers alone, as float64 might round their sums.
 EXACT = 1 << 20
 
@@ -46,7 +48,7 @@ def top(keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 class Index:
-    """A block's vectors of one length, with the segment of each posting and each segment's least and greatest."""
+    """A block's vectors of one length: each dimension's postings by component, and each segment's least and greatest."""
 
     def __init__(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         _, self.whose = np.unique(keys, return_inverse=True)
@@ -57,15 +59,18 @@ class Index:
             _, self.whose = np.unique(keys, return_inverse=True)
             self.clash = int(self.whose.max()) + 1 < len(keys)
         self.keys, self.vectors = keys, vectors
+        #: Postings processed and skipped so far.
+        self.read = self.skipped = 0
         self.exact = not vectors.size or int(np.abs(vectors).max()) <= EXACT
         if not self.exact or not vectors.shape[1]:
             return
-        n, width = vectors.shape
-        by_value = np.sort(vectors, axis=0)
-        cuts = np.unique(np.linspace(0, n, SEGMENTS + 1).astype(int))
-        self.low, self.high = by_value[cuts[:-1]].T.astype(float), by_value[cuts[1:] - 1].T.astype(float)  # (width, segments)
-        # postings with equal components share a segment, so its bounds cover them all
-        self.segment = np.stack([np.searchsorted(self.high[d], vectors[:, d], side="left") for d in range(width)])
+        order = np.argsort(vectors, axis=0, kind="stable")
+        by_value = np.take_along_axis(vectors, order, axis=0)
+        self.cuts = np.unique(np.linspace(0, len(keys), SEGMENTS + 1).astype(int))
+        self.postings = np.ascontiguousarray(order.T.astype(np.int32))
+        self.low, self.high = by_value[self.cuts[:-1]].T.astype(float), by_value[self.cuts[1:] - 1].T.astype(float)  # (width, segments)
+        self.square = np.where(self.low * self.high > 0, np.minimum(np.abs(self.low), np.abs(self.high)), 0.0) ** 2
+        self.norm = (vectors.astype(float) ** 2).sum(axis=1)
 
     def best(self, key: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and scores of the k best, by score and then key."""
@@ -78,32 +83,44 @@ class Index:
 
     def possible(self, key: int, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that no proof excludes."""
-        ends = query[:, None] * self.low, query[:, None] * self.high
+        used = np.flatnonzero(query)
+        weight, n = query[used, None], len(self.keys)
+        if not len(used):
+            return np.arange(n)
+        ends = weight * self.low[used], weight * self.high[used]
         most, least = np.maximum(*ends), np.minimum(*ends)
         impact = np.maximum(np.abs(most), np.abs(least))
-        level = np.minimum((impact * (LEVELS / max(impact.max(), 1.0))).astype(np.int8), LEVELS - 1)
+        level = np.minimum(np.log2(max(impact.max(), 1.0) / np.maximum(impact, 1e-9)).astype(np.int64), LEVELS - 1)
+        size, squares = np.diff(self.cuts), self.square[used]
+        high, low, held, q2, v2 = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, float((query**2).sum())), self.norm.copy()
         other = self.keys != key
-        could = np.arange(len(self.keys))
-        for now in range(LEVELS - 1, -1, -1):
-            unread = level < now
-            up = np.where(unread, most, -np.inf).max(axis=1)
-            down = np.where(unread, least, np.inf).min(axis=1)
-            most_now, least_now = np.where(unread, up[:, None], most), np.where(unread, down[:, None], least)
-            highest, lowest = np.zeros(len(could)), np.zeros(len(could))
-            segment = self.segment if len(could) == len(self.keys) else self.segment[:, could]
-            for d in np.flatnonzero(query):
-                highest += most_now[d][segment[d]]
-                lowest += least_now[d][segment[d]]
-            own = lowest[other[could]]
+        could = np.arange(n)
+        for now in range(LEVELS):
+            which, part = np.nonzero(level == now)
+            if len(which):
+                # neighbouring segments of a dimension are one stretch of its postings
+                first = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(part, prepend=-2) != 1))
+                last = np.append(first[1:], len(which)) - 1
+                rows = np.concatenate([self.postings[d, a:b] for d, a, b in zip(used[which[first]].tolist(), self.cuts[part[first]].tolist(), self.cuts[part[last] + 1].tolist(), strict=True)])
+                many = size[part]
+                for total, bound in ((high, most), (low, least), (q2, -np.broadcast_to(weight**2, most.shape)), (v2, -squares)):
+                    total += np.bincount(rows, np.repeat(bound[which, part], many), n)
+                held += np.bincount(rows, minlength=n)
+                self.read += len(rows)
+            if now < 2 and now < LEVELS - 1:
+                continue  # too little is known for a proof
+            left = np.minimum((len(used) - held) * np.where(level > now, impact, 0.0).max(), np.sqrt(np.maximum(q2, 0) * np.maximum(v2, 0)))
+            own = (low - left)[other]
             if self.clash:  # a key with several vectors proves one place
-                each = np.full(len(self.keys), -np.inf)
-                np.maximum.at(each, self.whose[could][other[could]], own)
+                each = np.full(n, -np.inf)
+                np.maximum.at(each, self.whose[other], own)
                 own = each[each > -np.inf]
             if len(own) <= k:
                 break
-            could = could[highest >= np.partition(own, len(own) - k)[len(own) - k] - 0.5]
-            if len(could) <= 4 * k:
+            could = np.flatnonzero(high + left >= np.partition(own, len(own) - k)[len(own) - k] - 0.5)
+            if len(could) <= max(4 * k, n // ENOUGH):
                 break
+        self.skipped += int((size[None, :] * (level > now)).sum())
         return could
 
 
@@ -154,13 +171,16 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, ke
     asked = rows.where(queries)
     size = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
     parts = -(-size // QUERY_BYTES)
-    found = []
-    for part in range(parts):
+    found = common.schema(query_id=common.LONG, vec_id=common.LONG, score=common.LONG)
+    if not parts:
+        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")
+
+    def best_of(part: int) -> DataFrame:
         some = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).dropDuplicates(["id", "v"])
         table = some.toArrow()
         shared = spark.sparkContext.broadcast([(i, np.array(v, np.int64)) for i, v in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)])
 
-        def run(batches, shared=shared):
+        def run(batches):
             best = Best(k)
             for keys, vectors in lists(batches):
                 index = Index(keys, vectors)
@@ -170,12 +190,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, ke
             for i, (keys, scores) in best.of.items():
                 yield pa.record_batch([pa.array(np.full(len(keys), i, np.int64)), pa.array(keys), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, common.schema(query_id=common.LONG, vec_id=common.LONG, score=common.LONG)))
-    if not found:
-        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
+        return rows.mapInArrow(run, found)
+
+    every = best_of(0) if parts == 1 else common.materialize_parts(spark, found, map(best_of, range(parts)), "best")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = every.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
