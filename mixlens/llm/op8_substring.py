@@ -5,11 +5,13 @@ after its commas and, in every WINDOW words without a cut so far, after those wh
 cut alike wherever it stands, and no piece of a long sentence has more than WINDOW words.  Whether a word is cut after
 depends on fewer than WINDOW words on either side: a passage of over 50 words holds a whole span.  From each sentence runs the shortest span of at least ``sentences`` sentences and ``words`` words; words count without regard to
 ASCII case and white space.  Spans are joined globally by a 64-bit hash; the first place of each (by key, then place)
-stays, and every sentence that any other place of a repeated span covers is removed.
+stays, and every sentence that any other place of a repeated span covers is removed, if 32 bits of a second, independent
+hash agree with the first place's: what only shares a hash is left as it is.
 
 Counts and first places combine before the shuffle.  Hashes above HOT places (a thousandth of a percent of all, at least
 HOT_LEAST), of which there can be no more than 100,000, are broadcast with their first places, so that their rows never
-meet in one task; the others are joined.  No list is longer than a text's sentences.
+meet in one task; the others are joined.  No list is longer than a text's sentences.  Texts are not shuffled as long as
+the places to remove are few enough to broadcast (BROADCAST_PLACES); beyond that they are joined with them by key.
 
 Null texts give null and no sentences; rows with a null key pass unchanged and repeat nothing; rows that share key and
 text are one text, and keep or lose the same sentences; rows that share only the key are told apart by their text.  An
@@ -29,6 +31,8 @@ from mixlens.llm.shingles import _power, mix, words
 
 #: A hash with more places than all / HOT_PART, and than HOT_LEAST, is hot.
 HOT_PART, HOT_LEAST = 100_000, 1000
+#: Places to remove that may be broadcast (some 20 bytes each).
+BROADCAST_PLACES = 2_000_000
 
 #: Words of which one at least ends a piece of a long sentence.
 WINDOW = 9
@@ -59,7 +63,7 @@ class Cut:
         n = len(h)
         self.text_at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in self.raw])])
         if not n:
-            self.at, self.hash, self.run = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            self.at, self.hash, self.sure, self.run = *(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.int32) for _ in range(2))
             self.first = np.zeros(len(texts) + 1, np.int64)
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
@@ -79,10 +83,13 @@ class Cut:
         whole = stop <= limit
         stop = np.minimum(stop, len(begin))
         power, inverse = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * power[:n], out=sums[1:])
-        value = mix((sums[bound[stop]] - sums[begin]) * inverse[begin] + (bound[stop] - begin).astype(np.uint64))
-        self.hash = np.where(whole, value.view(np.int64), 0)
+        values = []
+        for words_ in (h, mix(h + np.uint64(0x632BE59BD9B4E019))):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(words_ * power[:n], out=sums[1:])
+            values.append(mix((sums[bound[stop]] - sums[begin]) * inverse[begin] + (bound[stop] - begin).astype(np.uint64)))
+        self.hash = np.where(whole, values[0].view(np.int64), 0)
+        self.sure = np.where(whole, values[1] >> np.uint64(32), np.uint64(0)).astype(np.uint32).view(np.int32)
         self.run = np.where(whole, stop - np.arange(len(begin)), 0).astype(np.int32)
 
     def kept(self, k: int, places: list[int], runs: list[int]) -> tuple[str, int]:
@@ -109,26 +116,28 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
                 part = batch.slice(at, size)
                 cut = Cut(part.column(1).to_pylist(), sentences, min_words, long_words)
                 offsets = pa.array(cut.first.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cut.hash, cut.run)]
-                yield pa.record_batch([part.column(0), part.column(2), *lists], ["doc_id", "mark", "hash", "run"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cut.hash, cut.sure, cut.run)]
+                yield pa.record_batch([part.column(0), part.column(2), *lists], ["doc_id", "mark", "hash", "sure", "run"])
 
-    fields = common.schema(doc_id=common.LONG, mark=common.INT, hash=T.ArrayType(common.LONG), run=T.ArrayType(common.INT))
+    fields = common.schema(doc_id=common.LONG, mark=common.INT, hash=T.ArrayType(common.LONG), sure=T.ArrayType(common.INT), run=T.ArrayType(common.INT))
     table = common.materialize(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(spans, fields), "spans")
-    places = table.select("doc_id", "mark", F.posexplode(F.arrays_zip("hash", "run")).alias("at", "s")).select("s.hash", "doc_id", "mark", "at", "s.run").where("hash <> 0")
-    here = F.struct("doc_id", "mark", "at")
+    places = table.select("doc_id", "mark", F.posexplode(F.arrays_zip("hash", "sure", "run")).alias("at", "s")).select("s.hash", "s.sure", "doc_id", "mark", "at", "s.run").where("hash <> 0")
+    here = F.struct("doc_id", "mark", "at", "sure")
     heads = places.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("head")).where("m > 1")
     heads = common.materialize(heads, "heads")
     total = table.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()[0]
     is_hot = F.col("m") > max(HOT_LEAST, total // HOT_PART)
     hot, rest = F.broadcast(heads.where(is_hot)), heads.where(~is_hot)
     met = places.join(hot, "hash").unionByName(places.join(hot, "hash", "left_anti").join(rest, "hash"))
-    later = met.where(here != F.col("head")).select("doc_id", "mark", "at", "run").distinct()
-    gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "run")).alias("gone"))
+    later = met.where((here != F.col("head")) & (F.col("sure") == F.col("head.sure"))).select("doc_id", "mark", "at", "run").distinct()
+    gone = common.materialize(later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "run")).alias("gone")), "gone")
+    common.drop(table, heads)
+    few = gone.agg(F.coalesce(F.sum(F.size("gone") + 1), F.lit(0))).first()[0] <= BROADCAST_PLACES
     along = df.select(*(F.col(f"`{name}`") for name in carry))
     own = [f"_{k}" for k in range(len(carry))]
     whole = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{name}`").alias(x) for name, x in zip(carry, own, strict=True)))
     whole = whole.withColumn("mark", F.hash("text"))
-    full = whole.join(gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run", *own)
+    full = whole.join(F.broadcast(gone) if few else gone.hint("shuffle_merge"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone.at", "gone.run", *own)
 
     def rebuild(batches):
         for batch in batches:
