@@ -5,15 +5,20 @@ it with longest matches: where no match can be continued a phrase ends and the n
 times the logarithm of the text's length, per letter, is the cross-parsing entropy of Ziv and Merhav; the language
 with the least wins.  ``score`` is how far the second best lies behind: 1 - best / second (1 with one language).
 
-Letters are lower-cased, runs of other characters are one gap.  A document is read whole, in lanes of LANE symbols whose
-phrases end with the lane, so that all lanes of a batch walk the automata in step as table look-ups.
-
-Training text is bounded: ``rows_per_language`` labelled documents each (those whose keys hash lowest), a piece from the
-middle of each, ``letters_per_language`` letters at most, and ``languages`` languages (those with most rows).  Each task
-keeps no more than that many rows a language, so no label gathers in one place.
-
-Null texts and texts without a letter get ``und`` and score 0; where nothing is labelled, all do.  Null keys count as
-training rows like others (their hash is that of no text).  Rows give a row each; other columns are ignored.
+Letters are lower-cased, runs of other characters are one gap.  The most frequent letters have a symbol of their own; any
+other is spelt in four digits of its code point, so no two letters are alike to the automata.  A document is read whole.
+All documents of a batch are cut into lanes of LANE symbols that walk the automata in step as table look-ups; a lane then
+takes over the state in which the one before it ended and is read again until both readings are in one state, from
+where on they are the same.  So a document's phrases are those of one reading from its first letter to its last.
+
+Training text is bounded: of each language whole labelled texts in the order of their keys' hashes, those of at most an
+eighth of ``letters_per_language`` symbols first, until that many are reached (the last one is cut there), and
+``languages`` languages at most (those with most rows; with many languages each gets fewer symbols, so that the tables
+stay below the broadcast bound).  Each task keeps no more than that a language, so no label gathers in one place.
+
+Null texts and texts without a letter get ``und`` and score 0; where nothing is labelled, all do.  Of languages with equal
+entropy the first by name wins, with score 0.  Null keys count as training rows like others (their hash is that of no
+text).  Rows give a row each; other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlens.llm import common
 
-#: Symbols of a lane, and distinct letters that have a symbol of their own (the most frequent; others share one).
-LANE, LETTERS = 512, 62
+#: Symbols of a lane, letters that have a symbol of their own, digits that spell the others, and how many of them.
+LANE, LETTERS, DIGITS, SPELT = 512, 40, 38, 4
 UNKNOWN = "und"
 
 
@@ -98,48 +103,74 @@ def letters(text: str) -> np.ndarray:
 
 
 class Model:
-    """The automata of some languages over one alphabet: 0 fills, 1 is the gap, 2 any other letter."""
+    """The automata of some languages over one alphabet: 0 fills, 1 is the gap, then letters, then digits."""
 
-    def __init__(self, samples: dict[str, np.ndarray]) -> None:
+    def __init__(self, samples: dict[str, np.ndarray], most: int = 1 << 30) -> None:
         self.languages = sorted(samples)
         every = np.concatenate([s[s > 0] for s in samples.values()]) if samples else np.zeros(0, np.uint32)
         values, counts = np.unique(every, return_counts=True)
-        own = np.sort(values[np.argsort(-counts, kind="stable")[:LETTERS]])
-        self.own, self.width = own, len(own) + 3
-        self.tables = [automaton(self.symbols(samples[x]).tolist(), self.width) for x in self.languages]
-        self.weight = np.array([math.log2(max(2, len(samples[x]))) for x in self.languages])
+        self.own = np.sort(values[np.argsort(-counts, kind="stable")[:LETTERS]])
+        self.width = 2 + len(self.own) + DIGITS
+        known = [self.symbols(samples[x])[:most].tolist() for x in self.languages]
+        self.tables = [automaton(x, self.width) for x in known]
+        self.weight = np.array([math.log2(max(2, len(x))) for x in known])
 
     def symbols(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.own):
-            return np.where(found == 0, 1, 2).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.own, found), len(self.own) - 1)
-        return np.where(found == 0, 1, np.where(self.own[at] == found, at + 3, 2)).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.own, found), len(self.own) - 1) if len(self.own) else np.zeros(len(found), int)
+        out = np.where(found == 0, 1, at + 2).astype(np.int32)
+        rare = found > 0
+        if len(self.own):
+            rare &= self.own[at] != found
+        if not rare.any():
+            return out
+        size = np.where(rare, SPELT, 1)
+        end = np.cumsum(size)
+        spelt = np.repeat(out, size)
+        for k in range(SPELT):
+            spelt[end[rare] - 1 - k] = 2 + len(self.own) + found[rare] // DIGITS**k % DIGITS
+        return spelt
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and its phrases by language."""
         found = [letters(t) if t else np.zeros(0, np.uint32) for t in texts]
-        n = np.array([np.count_nonzero(f) for f in found])
-        lanes = np.array([-(-len(f) // LANE) for f in found])
+        n = np.array([np.count_nonzero(f) for f in found], np.int64)
+        found = [self.symbols(f) for f in found]
+        lanes = np.array([-(-len(f) // LANE) for f in found], np.int64)
         total = np.zeros((len(texts), len(self.languages)), np.int64)
         if not lanes.sum():
             return n, total
         grid = np.zeros(lanes.sum() * LANE, np.int32)
         start = np.cumsum(lanes) - lanes
-        for f, a in zip(found, start, strict=True):
-            grid[a * LANE : a * LANE + len(f)] = self.symbols(f)
+        for f, a in zip(found, start.tolist(), strict=True):
+            grid[a * LANE : a * LANE + len(f)] = f
         grid = np.ascontiguousarray(grid.reshape(-1, LANE).T)
         whose = np.repeat(np.arange(len(texts)), lanes)
-        at = np.empty(grid.shape[1], np.int32)
-        ended = np.empty_like(at)
+        begins = np.diff(whose, prepend=-1) != 0
+        ends = np.append(begins[1:], True)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros_like(at), np.zeros_like(at)
-            for row in grid:
-                np.add(state, row, out=at)
-                np.take(table, at, out=state, mode="clip")
-                np.right_shift(state, 31, out=ended)
-                np.subtract(count, ended, out=count)
-                np.bitwise_xor(state, ended, out=state)
-            count += state > 0
+            state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int64)
+            walked = np.empty_like(grid)  # where each step leads; complemented where a phrase ended
+            for row, to in zip(grid, walked, strict=True):
+                np.add(state, row, out=state)
+                np.take(table, state, out=to, mode="clip")
+                ended = to >> 31
+                count -= ended
+                np.bitwise_xor(to, ended, out=state)
+            redo = np.flatnonzero(~begins)
+            while len(redo):
+                now, changed = state[redo - 1], []
+                for row, to in zip(grid, walked, strict=True):
+                    new, old = table[now + row[redo]], to[redo]
+                    to[redo] = new
+                    count[redo] += (old >> 31) - (new >> 31)
+                    now, then = new ^ (new >> 31), old ^ (old >> 31)
+                    apart = now != then
+                    redo, now = redo[apart], now[apart]
+                    if not len(redo):
+                        break
+                state[redo] = now  # these never met: what follows them is read again
+                redo = redo[~ends[redo]] + 1
+            count += ends & (state > 0)
             total[:, k] = np.bincount(whose, weights=count, minlength=len(texts)).astype(np.int64)
         return n, total
 
@@ -156,42 +187,48 @@ class Model:
         return names.tolist(), np.where(n == 0, 0.0, np.clip(score, 0.0, 1.0))
 
 
-def sample(labelled: DataFrame, rows: int, letters_per_language: int, languages: int) -> dict[str, np.ndarray]:
-    """Training text from ``lang, text, place``: of each language the ``rows`` lowest places, a piece of each."""
-    piece = max(1, letters_per_language // rows)
+def sample(labelled: DataFrame, bound: int, languages: int) -> dict[str, np.ndarray]:
+    """Training letters from ``lang, text, place``: whole texts of each language up to ``bound`` letters and gaps."""
 
     def run(batches):
         heaps: dict[str, list] = {}
+        held: dict[str, int] = {}
         counts: dict[str, int] = {}
         for batch in batches:
             for lang, place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 counts[lang] = counts.get(lang, 0) + 1
                 heap = heaps.setdefault(lang, [])
-                if len(heap) < rows or -place > heap[0][0]:
-                    text = text.as_py()
-                    at = max(0, len(text) // 2 - piece)
-                    (heapq.heappush if len(heap) < rows else heapq.heapreplace)(heap, (-place, text[at : at + 4 * piece]))
-        for lang, heap in heaps.items():
-            yield pa.record_batch([pa.array([lang] * len(heap)), pa.array([-p for p, _ in heap], pa.int64()), pa.array([t for _, t in heap]), pa.array([counts[lang]] + [0] * (len(heap) - 1), pa.int64())], ["lang", "place", "text", "n"])
-
-    parts = labelled.select("lang", "place", "text").mapInArrow(run, common.schema(lang=common.STR, place=common.LONG, text=common.STR, n=common.LONG))
+                if held.get(lang, 0) >= bound and (0, -place) < heap[0][:2]:
+                    continue  # it would be the first to go
+                found = letters(text.as_py())
+                if not found.any():
+                    continue
+                heapq.heappush(heap, (-int(8 * len(found) > bound), -place, found[:bound].tobytes()))
+                held[lang] = held.get(lang, 0) + min(len(found), bound)
+                while held[lang] - len(heap[0][2]) // 4 >= bound:
+                    held[lang] -= len(heapq.heappop(heap)[2]) // 4
+        for lang, n in counts.items():
+            heap = sorted(heaps[lang], reverse=True) or [(0, 0, b"")]
+            columns = [pa.array([lang] * len(heap)), pa.array([-x for x, _, _ in heap], pa.int64()), pa.array([-p for _, p, _ in heap], pa.int64()), pa.array([t for _, _, t in heap], pa.binary()), pa.array([n] + [0] * (len(heap) - 1), pa.int64())]
+            yield pa.record_batch(columns, ["lang", "long", "place", "found", "n"])
+
+    parts = labelled.select("lang", "place", "text").mapInArrow(run, common.schema(lang=common.STR, long=common.LONG, place=common.LONG, found=T.BinaryType(), n=common.LONG))
     parts = common.materialize(parts, "sample")
-    top = [r["lang"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    out = {}
-    for lang in top:
-        got = parts.where(F.col("lang") == lang).orderBy("place", "text").limit(rows).select("text").collect()
-        pieces = [letters(r["text"])[:piece] for r in got]
-        joined = np.concatenate([np.append(p, np.uint32(0)) for p in pieces if np.any(p)] or [np.zeros(0, np.uint32)])
-        if np.any(joined):
-            out[lang] = joined[:letters_per_language]
-    return out
-
-
-def fit(labelled: DataFrame, rows_per_language: int = 300, letters_per_language: int = 24_000, languages: int = 32) -> Broadcast:
-    """A model of the languages of ``lang, text, place`` (none null), for the executors.  Its size is bounded by the
-    three parameters; with more than four languages each gets less text, so that the tables stay below the bound."""
+    top = parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    before = Window.partitionBy("lang").orderBy("long", "place", "found").rowsBetween(Window.unboundedPreceding, -1)
+    kept = parts.join(F.broadcast(top), "lang").withColumn("before", F.coalesce(F.sum(F.octet_length("found") / 4).over(before), F.lit(0)))
+    out: dict[str, list[np.ndarray]] = {}
+    for r in kept.where(F.col("before") < bound).orderBy("lang", "long", "place", "found").select("lang", "found").collect():
+        out.setdefault(r["lang"], []).append(np.append(np.frombuffer(r["found"], np.uint32), np.uint32(0)))
+    common.drop(parts)
+    return {lang: joined for lang, x in out.items() if (joined := np.concatenate(x)[:bound]).any()}
+
+
+def fit(labelled: DataFrame, letters_per_language: int = 24_000, languages: int = 256) -> Broadcast:
+    """A model of the languages of ``lang, text, place`` (none null), for the executors.  Its size is bounded by the two
+    parameters; with more than four languages each gets less text, so that the tables stay below the bound."""
     share = min(letters_per_language, 4 * letters_per_language // max(1, min(languages, labelled.select("lang").distinct().limit(languages).count())))
-    model = Model(sample(labelled, rows_per_language, share, languages))
+    model = Model(sample(labelled, share, languages), share)
     if sum(t.nbytes for t in model.tables) > common.MAX_BROADCAST_BYTES:
         raise ValueError("the automata are too large to broadcast")
     return labelled.sparkSession.sparkContext.broadcast(model)
