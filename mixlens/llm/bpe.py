@@ -6,6 +6,11 @@ symbol on the right edge of v's derivation; that rule may in turn be undone by a
 such a chain, so it ends, and its longest length in bytes is the *sufficient lookahead* (after Berglund and van der
 Merwe, "Formalizing BPE Tokenization", 2023).  ``ByteBPE.lookahead`` computes it from the merge list in one pass.  The
 transducer holds a window of that many bytes beyond what it emits; tokens that end before the window are final.
+
+No rule joins across the end of a pre-token, so that end makes all before it stable at once, however near; the lookahead
+is what decides inside a pre-token.  ``Transducer.run`` moves such a window over each text and is the only place that
+emits tokens.  Runs that end within a window are merged many at a time, and the ids of short ones are remembered, up to
+a fixed number; a run that outgrows the window is read on through ``ByteBPE.stream``.
 """
 
 from __future__ import annotations
@@ -13,15 +18,18 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
-from mixlens.llm.pretokens import INNER_SPACE, byte_level_pattern, slices
+from mixlens.llm.pretokens import INNER_SPACE, SLICE, byte_level_pattern, slices
 
-#: Entries that a worker's memo of finished pre-tokens may hold, and bytes of a pre-token that is merged in bulk.
-MEMO_ENTRIES, SHORT = 400_000, 64
+#: Entries that a worker's memo of finished pre-tokens may hold, bytes of a pre-token that is merged in bulk, and
+#: characters of windows that are worked on together.
+MEMO_ENTRIES, SHORT, TOGETHER = 200_000, 64, 1_000_000
 
 
 @cache
@@ -109,31 +117,27 @@ class ByteBPE:
                 heapq.heappush(heap, (r >> 20, h, r & 0xFFFFF, ids[h], new))
         return [x for x in ids if x >= 0]
 
-    def stream(self, data: bytes, block: int = 4096):
+    def stream(self, data: bytes | Iterable[bytes], block: int = 4096) -> Iterator[list[int]]:
         """Token ids of one pre-token, in lists, each as soon as it is stable.  Memory: a window of the lookahead plus
-        a block, whatever the length of ``data``.  With an end-of-word suffix the last byte differs, which is known
+        two blocks, whatever the length of ``data``.  With an end-of-word suffix the last byte differs, which is known
         only at the end, so the window stays open until then."""
-        n = len(data)
-        if n <= 64:
-            ids = [self.byte_id[b] for b in data]
-            if n:
-                ids[-1] = self.last_id[data[-1]]
-            yield self.merge(ids)
-            return
-        at, hold = 0, self.lookahead + block
-        while n - at > hold:
-            found, end, stable = self.merge_long([self.byte_id[b] for b in data[at : at + hold]]), 0, []
-            for x in found:
-                end += len(self.bytes_of[x])
-                if end > block:
-                    break
-                stable.append(x)
-                keep = end
-            at += keep
-            yield stable
-        ids = [self.byte_id[b] for b in data[at:]]
-        ids[-1] = self.last_id[data[-1]]
-        yield self.merge_long(ids)
+        held, hold, at = b"", self.lookahead + block, 0
+        for more in [data] if isinstance(data, bytes) else data:
+            held = held[at:] + more
+            at = 0
+            while len(held) - at > hold:
+                end, stable = at, []
+                for x in self.merge_long([self.byte_id[b] for b in held[at : at + hold]]):
+                    if end + len(self.bytes_of[x]) > at + block:
+                        break
+                    end += len(self.bytes_of[x])
+                    stable.append(x)
+                at = end
+                yield stable
+        if len(held) > at:
+            ids = [self.byte_id[b] for b in held[at:]]
+            ids[-1] = self.last_id[held[-1]]
+            yield self.merge(ids) if len(ids) <= SHORT else self.merge_long(ids)
 
 
 class PairTable:
@@ -235,13 +239,16 @@ class Engine:
 
 
 class Transducer:
-    """Whole texts to ids, packed as little-endian unsigned 32-bit integers, in slices."""
+    """Whole texts to ids, packed as little-endian unsigned 32-bit integers, a window at a time."""
 
     def __init__(self, bpe: ByteBPE) -> None:
         self.bpe, self.engine = bpe, Engine(bpe)
-        self.find = byte_level_pattern().findall
+        self.pattern = byte_level_pattern()
+        self.find, self.added = self.pattern.findall, added_pattern(bpe.added)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        #: Tokens that have left the window, and windows that a run outgrew.
+        self.emitted = self.outgrown = 0
 
     def _pack(self, words: list[str]) -> list[bytes]:
         data = [w.encode() for w in words]
@@ -270,9 +277,9 @@ class Transducer:
         get = self.words.__getitem__
         self.chunks.update((c, b"".join(map(get, found))) for c, found in mixed.items())
 
-    def encode_slices(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of slices that were cut by ``slices``, many at once.  The memo of finished pre-tokens stops
-        growing at MEMO_ENTRIES: what a batch brings beyond that is forgotten after it."""
+    def _merge_windows(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of windows that begin and end with a pre-token.  The memo of finished pre-tokens stops growing at
+        MEMO_ENTRIES: what a call brings beyond that is forgotten after it."""
         heads: list[list[str]] = []
         rests: list[list[str]] = []
         for piece in pieces:
@@ -285,50 +292,93 @@ class Transducer:
                 rests.append(rest)
         chunks = set().union(*rests).difference(self.chunks)
         words = set().union(*heads).difference(self.words)
-        full, known = len(self.chunks) + len(self.words) >= MEMO_ENTRIES, set(self.words) if len(self.words) > MEMO_ENTRIES else None
+        full, many = len(self.chunks) >= MEMO_ENTRIES // 2, len(self.words) >= MEMO_ENTRIES // 2
         self._learn(chunks, words)
         word, chunk = self.words.__getitem__, self.chunks.__getitem__
         out = [b"".join([*map(word, head), *map(chunk, rest)]) for head, rest in zip(heads, rests, strict=True)]
         if full:
             for c in chunks:
                 del self.chunks[c]
-        if known is not None:
-            self.words = {}
+        if many:
+            self.words.clear()
         return out
 
+    def windows(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """The windows of a text in order: start, end, and the id of an added token, or -1 for a run that outgrows the
+        window, or None."""
+        for start, end, special in sections(text, self.added, self.bpe.added):
+            for a, b in slices(text, start, end):
+                if b - a <= 2 * SLICE:
+                    yield a, b, None
+                    continue
+                at = a
+                while at < b:  # no safe cut in sight: pre-token by pre-token
+                    stop = at
+                    while stop < b and (m := self.pattern.match(text, stop, b)) and m.end() - at <= SLICE:
+                        stop = m.end()
+                    if stop > at:
+                        yield at, stop, None
+                    if stop < b and m.end() - stop > SLICE:
+                        yield stop, m.end(), -1
+                        stop = m.end()
+                    at = stop
+            if special is not None:
+                yield end, end, special
+
+    def run(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        """Number of the text and packed ids, in order, as they become stable: windows of TOGETHER characters in all are
+        held at a time, however many or long the texts."""
+        held: list[tuple[int, str | int]] = []
+        size = 0
+
+        def settle() -> Iterator[tuple[int, bytes]]:
+            done = iter(self._merge_windows([w for _, w in held if isinstance(w, str)]))
+            for k, w in held:
+                packed = next(done) if isinstance(w, str) else array("I", [w]).tobytes()
+                self.emitted += len(packed) // 4
+                yield k, packed
+
+        for k, text in enumerate(texts):
+            for a, b, what in self.windows(text or ""):
+                if what == -1:
+                    yield from settle()
+                    held, size = [], 0
+                    self.outgrown += 1
+                    for ids in self.bpe.stream(text[c : min(c + 4096, b)].encode() for c in range(a, b, 4096)):
+                        self.emitted += len(ids)
+                        yield k, array("I", ids).tobytes()
+                    continue
+                held.append((k, text[a:b] if what is None else what))
+                size += b - a
+                if size >= TOGETHER:
+                    yield from settle()
+                    held, size = [], 0
+        yield from settle()
+
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.encode_many([text])[0])
-
-    def encode_many(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Packed ids of each text, in blocks that are slices or added tokens."""
-        pieces: list[str] = []
-        shape: list[list[int | None]] = []
-        for text in texts:
-            own: list[int | None] = []
-            for section, special in sections(text or "", self.bpe.added):
-                for piece in slices(section):
-                    own.append(None)
-                    pieces.append(piece)
-                if special is not None:
-                    own.append(special)
-            shape.append(own)
-        blocks = iter(self.encode_slices(pieces))
-        return [[next(blocks) if x is None else array("I", [x]).tobytes() for x in own] for own in shape]
-
-
-def sections(text: str, added: dict[str, int]):
-    """The text between added tokens, each with the id of the token that follows it (None after the last)."""
-    if not any(t in text for t in added):
-        yield text, None
-        return
+        return b"".join(packed for _, packed in self.run([text]))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for k, packed in self.run(texts):
+            out[k].append(packed)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def added_pattern(added: dict[str, int]) -> re.Pattern | None:
+    """The added tokens, of those that begin at a place the longest first."""
+    return re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+
+def sections(text: str, pattern: re.Pattern | None, added: dict[str, int]) -> Iterator[tuple[int, int, int | None]]:
+    """Start and end of what lies between added tokens, each with the id of the token that follows it (None after the
+    last), in one scan."""
     at = 0
-    while True:
-        found = min(((text.find(t, at), -len(t), t) for t in added if text.find(t, at) >= 0), default=None)
-        if found is None:
-            yield text[at:], None
-            return
-        yield text[at : found[0]], added[found[2]]
-        at = found[0] + len(found[2])
+    for m in pattern.finditer(text) if pattern else ():
+        yield at, m.start(), added[m[0]]
+        at = m.end()
+    yield at, len(text), None
 
 
 class Decoder:

@@ -1,9 +1,12 @@
 """Best-fit packing of token sequences by bin completion with branch and bound.
 
 Only the *lengths* matter to the search, and there are at most ``capacity`` of them, so the driver plans on a histogram
-of bounded size whatever the number of pieces: around the largest length that is left it enumerates undominated
-fillings, takes the best fit as often as the counts allow (one pattern, many sequences) and, while the total is above
-the lower bound, branches over the other fillings, pruned by the waste that a better total still permits.  The k-th
+of bounded size whatever the number of pieces.  The first incumbent is best-fit decreasing.  Around the largest length
+that is left the search enumerates undominated fillings, takes one as often as the counts allow (one pattern, many
+sequences) and lets best fit complete what remains: every such completion that is better is the new incumbent.  While
+the total is above the lower bound it branches over the other fillings; a branch ends when it wastes more than a better
+total permits, or when what it has made and the lower bound of the rest cannot win.  So no plan has more sequences than
+best fit; ``plan`` tells the lower bound too, and a gap that the limits of the search leave open is no secret.  The k-th
 piece of a length then finds its sequence and offset in the plan by arithmetic: pieces are numbered by length with
 counts per (length, bucket), so a length that a third of all pieces have is dealt over all buckets.
 
@@ -13,8 +16,10 @@ rows are packed like others.  An empty table gives an empty result.  Other colum
 
 from __future__ import annotations
 
+import logging
 from array import array
 from bisect import bisect_right
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,9 @@ from mixlens.llm import common
 from mixlens.llm.bpe import worker_transducer
 from mixlens.llm.op5_bpe import vocabulary
 
-#: Limits of the search, not of the data: fillings kept for a largest length, steps and
-#: items of branching to find them, plans tried.
-FILLINGS, STEPS, DEPTH, PLANS = 6, 3000, 10, 24
+#: Limits of the search, not of the data: fillings kept for a largest length, steps and items of branching to find them,
+#: nodes visited, and completions by best fit tried.
+FILLINGS, STEPS, DEPTH, NODES, COMPLETIONS = 6, 600, 10, 6000, 400
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -42,8 +47,8 @@ def cut(df: DataFrame, vocab: Broadcast, capacity: int = 1024, end: int = 2, key
         machine, tail = worker_transducer(vocab.value), array("I", [end]).tobytes()
         for keys, texts in common.text_batches(batches):
             rows = []
-            for key_, blocks in zip(keys, machine.encode_many(texts), strict=True):
-                packed = b"".join([*blocks, tail])
+            for key_, packed in zip(keys, machine.encode_many(texts), strict=True):
+                packed += tail
                 n = len(packed) // 4
                 ends = range(n % capacity or capacity, n + 1, capacity)
                 rows += [(key_, k, max(0, e - capacity), e - max(0, e - capacity), packed[4 * max(0, e - capacity) : 4 * e]) for k, e in enumerate(ends)]
@@ -82,6 +87,7 @@ def fillings(counts: list[int], sizes: list[int], room: int) -> list[tuple[int,
 
     def keep(left: int, found: tuple[int, ...]) -> None:
         if not any(f == found or len(found) <= DEPTH >= len(f) and dominates(f, found) for _, f in best):
+            best[:] = [(w, f) for w, f in best if not (len(found) <= DEPTH >= len(f) and dominates(found, f))]
             best.append((left, found))
             best.sort(key=lambda x: (x[0], len(x[1])))
             del best[FILLINGS:]
@@ -128,35 +134,87 @@ def fill_small(counts: list[int], sizes: list[int], room: int) -> tuple[int, ...
     return (room - most[1], most[1]) if most[0] else None
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns ((length, how many), ...) with the numbers of sequences made by each.  The first descent takes the best
-    fit everywhere; later ones leave it at one point, deepest first, and stop once they waste too much to win."""
+def lower_bound(counts: list[int], capacity: int) -> int:
+    """Sequences that any plan needs: the bound L2 of Martello and Toth, the volume and the large lengths among it."""
+    n, size = np.array(counts, object), np.arange(capacity + 1)
+    number, volume = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * size))
+    half, most = capacity // 2, 0
+    for least in range(half + 1):  # lengths above capacity - least stand alone, those below least count nothing
+        top = capacity - least + 1
+        alone, large = number[-1] - number[top], number[top] - number[half + 1]
+        middle, free = volume[half + 1] - volume[least], large * capacity - (volume[top] - volume[half + 1])
+        most = max(most, alone + large + max(0, -(-(middle - free) // capacity)))
+    return int(most)
+
+
+def best_fit(counts: list[int], capacity: int) -> list[Pattern]:
+    """Best-fit decreasing over a histogram: equal sequences are one entry, found by what room they leave."""
+    open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
+    rooms = 0  # a bit for each room that is left somewhere
+
+    def put(room: int, items: tuple, n: int) -> None:
+        nonlocal rooms
+        if n:
+            open_.setdefault(room, []).append((items, n))
+            rooms |= 1 << room
+
+    for s in range(capacity, 0, -1):
+        c = counts[s]
+        while c:
+            if fit := rooms >> s:
+                room = s + (fit & -fit).bit_length() - 1
+                items, n = open_[room].pop()
+                if not open_[room]:
+                    rooms ^= 1 << room
+            else:
+                room, items, n = capacity, (), c
+            per = room // s
+            full = min(n, c // per)
+            put(room - per * s, (*items, (s, per)), full)
+            c, n = c - full * per, n - full
+            if n and 0 < c < per:
+                put(room - c * s, (*items, (s, c)), 1)
+                c, n = 0, n - 1
+            if items:
+                put(room, items, n)
+    return [x for entries in open_.values() for x in entries]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
+    """Patterns ((length, how many), ...) with the numbers of sequences made by each, and the lower bound.  Branches
+    leave the first descent at one point more each, those that leave it least first."""
     start = [0] * (capacity + 1)
     for size, n in histogram.items():
         start[size] += n
-    total = sum(s * n for s, n in enumerate(start))
-    bound = max(-(-total // capacity), sum(start[capacity // 2 + 1 :]))
-    best, best_n = None, 0
-    todo: list[tuple[dict[int, int], int]] = [({}, 0)]
-    tried = 0
-    while todo and tried < PLANS:
-        choices, _ = todo.pop()
-        tried += 1
-        counts, patterns, made, waste, open_ = start.copy(), [], 0, 0, []
-        step = 0
-        while True:
+    total, bound = sum(s * n for s, n in enumerate(start)), lower_bound(start, capacity)
+    best = best_fit(start, capacity)
+    best_n = sum(n for _, n in best)
+    nodes = completions = turn = 0
+    todo: list[tuple[int, int, dict[int, int]]] = [(0, 0, {})]
+    while todo and best_n > bound and nodes < NODES:
+        _, _, choices = heappop(todo)
+        counts, patterns, made, waste, step = start.copy(), [], 0, 0, 0
+        every = max(1, len(histogram) // 50)
+        while best_n > bound and nodes < NODES:
             sizes = [s for s in range(1, capacity + 1) if counts[s]]
-            if not sizes:
+            if completions < COMPLETIONS and step % every == 0 or not sizes:
+                completions += 1
+                rest = best_fit(counts, capacity)
+                if made + sum(n for _, n in rest) < best_n:
+                    best, best_n = patterns + rest, made + sum(n for _, n in rest)
+            if not sizes or step % every == 0 and made + lower_bound(counts, capacity) >= best_n:
                 break
+            nodes += 1
             largest = sizes[-1]
             counts[largest] -= 1
             options = fillings(counts, sizes if counts[largest] else sizes[:-1], capacity - largest)
             counts[largest] += 1
-            pick = min(choices.get(step, 0), len(options) - 1)
-            if step not in choices and len(options) > 1:
-                open_ += [(step, k) for k in range(1, len(options))]
+            if step > max(choices, default=-1):
+                for k in range(1, len(options)):
+                    turn += 1
+                    heappush(todo, (len(choices) + k, turn, {**choices, step: k}))
             items: dict[int, int] = {}
-            for s in (largest, *options[pick]):
+            for s in (largest, *options[min(choices.get(step, 0), len(options) - 1)]):
                 items[s] = items.get(s, 0) + 1
             copies = min(counts[s] // m for s, m in items.items())
             for s, m in items.items():
@@ -165,16 +223,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
             made += copies
             waste += copies * (capacity - sum(s * m for s, m in items.items()))
             step += 1
-            if best is not None and waste > (best_n - 1) * capacity - total:
-                break
-        else:
-            continue
-        if not any(counts) and (best is None or made < best_n):
-            best, best_n = patterns, made
-            if best_n <= bound:
+            if waste > (best_n - 1) * capacity - total:
                 break
-        todo += [({**choices, s: k}, s) for s, k in open_[-FILLINGS:]]
-    return best or []
+    return best, bound
 
 
 def segments(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
@@ -203,7 +254,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     if any(not 1 <= s <= capacity for s in histogram):
         raise ValueError(f"a length is outside 1 to {capacity}")
-    of = segments(plan(histogram, capacity), capacity)
+    patterns, bound = plan(histogram, capacity)
+    logging.getLogger(__name__).info("%d sequences, at least %d are needed", sum(n for _, n in patterns), bound)
+    of = segments(patterns, capacity)
     key = of["size"] << 44 | of["first"]
 
     def place(batches):

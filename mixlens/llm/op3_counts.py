@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from mixlens.llm import common
-from mixlens.llm.bpe import SHORT, ByteBPE, Engine, sections
+from mixlens.llm.bpe import SHORT, ByteBPE, Engine, added_pattern, sections
 from mixlens.llm.op5_bpe import vocabulary
 from mixlens.llm.pretokens import SPACES, word_level_pattern
 
@@ -34,7 +34,7 @@ class Counter:
 
     def __init__(self, bpe: ByteBPE) -> None:
         self.bpe, self.engine = bpe, Engine(bpe)
-        self.find = word_level_pattern().findall
+        self.find, self.added = word_level_pattern().findall, added_pattern(bpe.added)
         self.whole = self.prove()
         self.memo: dict[str, int] = {}
 
@@ -66,8 +66,9 @@ class Counter:
         special, chunks = [0] * len(texts), []
         for k, text in enumerate(texts):
             own = []
-            for section, token in sections(text or "", self.bpe.added):
-                section = self.normal(section)
+            text = text or ""
+            for start, end, token in sections(text, self.added, self.bpe.added):
+                section = self.normal(text[start:end])
                 own += WHITE.split(section) if SEPARATORS.search(section) else section.split()
                 special[k] += token is not None
             chunks.append(own)

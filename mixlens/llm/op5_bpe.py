@@ -1,12 +1,14 @@
 """BPE encoding and decoding by a bounded-lookahead streaming transducer (see ``mixlens.llm.bpe``).
 
-Both directions are narrow maps: no shuffle, a worker holds one slice of a text beside its memo, and a lost executor
-costs only its own tasks.  Null texts count as empty and give no ids and the empty text; null keys are kept; repeated
+Both directions are narrow maps: no shuffle, a worker holds windows of bounded size beside its memo and its outputs, and a
+lost executor costs only its own tasks.  ``digest`` holds no text's ids or decoded text whole.  Null texts count as empty and give no ids and the empty text; null keys are kept; repeated
 rows give a row each; columns besides the key and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ def encode(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "te
     def run(batches):
         machine = worker_transducer(vocab.value)
         for keys, texts in common.text_batches(batches):
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([b"".join(x) for x in machine.encode_many(texts)], pa.binary())], ["doc_id", "ids"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(machine.encode_many(texts), pa.binary())], ["doc_id", "ids"])
 
     return common.text_rows(df, key, text).mapInArrow(run, common.schema(doc_id=common.LONG, ids=T.BinaryType()))
 
@@ -56,22 +58,36 @@ def round_trip(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str =
     def run(batches):
         machine = worker_transducer(vocab.value)
         for keys, texts in common.text_batches(batches):
-            ids, out = [], []
-            for blocks in machine.encode_many(texts):
-                decoder = Decoder(machine.bpe)
-                out.append("".join(map(decoder.feed, blocks)) + decoder.feed(b"", True))
-                ids.append(b"".join(blocks))
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+            ids, out, decoders = [[] for _ in texts], [[] for _ in texts], [Decoder(machine.bpe) for _ in texts]
+            for k, packed in machine.run(texts):
+                ids[k].append(packed)
+                out[k].append(decoders[k].feed(packed))
+            whole = ["".join(x) + d.feed(b"", True) for x, d in zip(out, decoders, strict=True)]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(map(b"".join, ids), pa.binary()), pa.array(whole, pa.string())], ["doc_id", "ids", "decoded"])
 
     return common.text_rows(df, key, text).mapInArrow(run, common.schema(doc_id=common.LONG, ids=T.BinaryType(), decoded=common.STR))
 
 
+def digest(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the same round trip, made block by block as the encoder emits."""
+
+    def run(batches):
+        machine = worker_transducer(vocab.value)
+        for keys, texts in common.text_batches(batches):
+            count, decoders = [0] * len(texts), [Decoder(machine.bpe) for _ in texts]
+            ids, back = ([hashlib.sha256() for _ in texts] for _ in range(2))
+            for k, packed in machine.run(texts):
+                count[k] += len(packed) // 4
+                ids[k].update(packed)
+                back[k].update(decoders[k].feed(packed).encode())
+            for h, d in zip(back, decoders, strict=True):
+                h.update(d.feed(b"", True).encode())
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(count, pa.int64()), *(pa.array([h.hexdigest() for h in x]) for x in (ids, back))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return common.text_rows(df, key, text).mapInArrow(run, common.schema(doc_id=common.LONG, n_tokens=common.LONG, ids_sha256=common.STR, decoded_sha256=common.STR))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     vocab = vocabulary(spark, common.tokenizer_path("byte_bpe_50k.json"))
-    return round_trip(common.table(spark, sf_dir, "documents"), vocab).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return digest(common.table(spark, sf_dir, "documents"), vocab)

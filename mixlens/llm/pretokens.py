@@ -48,15 +48,15 @@ INNER_SPACE = re.compile(rf"[{SPACES}] (?:[{SPACES}]|\Z)")
 SAFE_CUT = re.compile(rf"(?<=[^{SPACES}])(?= )")
 
 
-def slices(text: str, least: int = SLICE):
-    """Pieces of ``text`` of about ``least`` characters, cut where a space follows a non-space: their pre-tokens are the
-    text's.  A text without such a place stays whole."""
-    at = 0
-    while len(text) - at > least:
-        cut = SAFE_CUT.search(text, at + least)
+def slices(text: str, start: int = 0, end: int | None = None, least: int = SLICE):
+    """Start and end of parts of ``text`` of about ``least`` characters, cut where a space follows a non-space: their
+    pre-tokens are the text's.  What has no such place stays whole."""
+    at, end = start, len(text) if end is None else end
+    while end - at > least:
+        cut = SAFE_CUT.search(text, at + least, end)
         if not cut:
             break
-        yield text[at : cut.start()]
+        yield at, cut.start()
         at = cut.start()
-    if at < len(text) or not at:
-        yield text[at:]
+    if at < end:
+        yield at, end
