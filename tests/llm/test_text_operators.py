@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,33 @@ def test_memo_is_bounded(bpe, monkeypatch):
     assert len(machine.chunks) < 120
 
 
+def test_windows_of_any_text(bpe):
+    machine, lib = Transducer(bpe), library("byte_bpe_50k.json")
+    cases = ["word " * 40_000, "x" * 200_000, "\n" * 150_000 + "x", " " * 140_000, "ab1 " * 3 + "é" * 140_000 + "'s" * 70_000, "<|endoftext|>" * 9000, "a\n" * 100_000, ODD[7] * 30 + " tail"]
+    for text in cases:
+        before = machine.emitted
+        assert list(np.frombuffer(machine.encode(text), "<u4")) == (want := lib.encode(text, add_special_tokens=False).ids)
+        assert machine.emitted - before == len(want)
+    assert machine.outgrown >= 2
+    parts = list(machine.run(cases))
+    assert [k for k, _ in parts] == sorted(k for k, _ in parts) and max(len(p) for _, p in parts) <= 4 * 3 * 65_536
+
+
+def test_a_long_run_keeps_a_bounded_window(bpe):
+    seen = []
+
+    def blocks():
+        for _ in range(3000):
+            seen.append(1)
+            yield b"ab" * 2048
+
+    most = done = 0
+    for ids in bpe.stream(blocks()):
+        done += sum(len(bpe.bytes_of[x]) for x in ids)
+        most = max(most, 4096 * len(seen) - done)
+    assert done == 3000 * 4096 and most <= 4 * 4096 + bpe.lookahead
+
+
 def test_packing(spark, docs):
     lib = library("byte_bpe_50k.json")
     vocab = op5_bpe.vocabulary(spark, common.tokenizer_path("byte_bpe_50k.json"))
@@ -182,13 +210,42 @@ def best(items, capacity):
 @given(st.lists(st.integers(1, 20), max_size=10))
 def test_plan_is_optimal_on_small_cases(items):
     count = collections.Counter(items)
-    made = op2_packing.plan(dict(count), 20)
+    made, bound = op2_packing.plan(dict(count), 20)
     used = collections.Counter()
     for pattern, copies in made:
         assert sum(s * m for s, m in pattern) <= 20
         for s, m in pattern:
             used[s] += m * copies
-    assert used == count and sum(c for _, c in made) <= best(items, 20) + (len(items) > 8)
+    assert used == count and bound <= best(items, 20) == sum(c for _, c in made)
+
+
+def best_fit_decreasing(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else capacity) - x)
+    return len(rooms)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=120), st.integers(1, 4))
+def test_plan_never_makes_more_than_best_fit(items, times):
+    items = items * times
+    count = collections.Counter(items)
+    start = [count[s] for s in range(101)]
+    alone = op2_packing.best_fit(start, 100)
+    assert sum(c for _, c in alone) == best_fit_decreasing(items, 100)
+    made, bound = op2_packing.plan(dict(count), 100)
+    for plan in (alone, made):
+        used = collections.Counter()
+        for pattern, copies in plan:
+            assert sum(s * m for s, m in pattern) <= 100
+            for s, m in pattern:
+                used[s] += m * copies
+        assert used == count
+    assert bound <= sum(c for _, c in made) <= best_fit_decreasing(items, 100)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body><header class="site"><a href="/">Home</a></header>
@@ -202,6 +259,7 @@ def test_main_text(spark):
     assert op6_html.main_text("plain &lt; text") == "plain < text"
     assert op6_html.main_text("<p>a<p>b") == "a\nb"
     assert op6_html.main_text("<div>" * 3000 + "x") == "x"
+    assert op6_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "u", "<p>x", "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")
     got = op6_html.extract(df).collect()
     assert len(got) == 4 and {r["n_chars"] for r in got if r["page_id"] == 2} == {0} and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -218,6 +276,33 @@ def test_main_text_keeps_all_of_an_article():
     assert op6_html.main_text(page).startswith("Head\nLede\nMany")
 
 
+ARTICLE = "".join(f"<p>The river {k} runs to the sea, and it is wide. Boats go up in the morning; they come back, full.</p>" for k in range(5))
+WANT = "\n".join(f"The river {k} runs to the sea, and it is wide. Boats go up in the morning; they come back, full." for k in range(5))
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">%s</div>', '<div class="post share-enabled">%s</div>', '<div class="entry comments-open">%s</div>', '<div id="main-menu-page">%s</div>', '<article><div class="banner">%s</div></article>', '<div class="zz">%s</div>'])
+def test_names_are_no_verdict(wrap):
+    page = f"<body><nav><a>Home</a> <a>About us</a></nav>{wrap % ARTICLE}<div class=footer>(c) us</div></body>"
+    assert op6_html.main_text(page) == WANT
+
+
+def test_ratios_remove_what_no_list_names():
+    links = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(30))
+    short = "".join(f"<div>tag {k}</div>" for k in range(20))
+    page = f"<body><div class=q1><ul>{links}</ul></div><div class=q2><div class=q3>{ARTICLE}<ul>{links}</ul></div><div class=q4>{short}</div></div><div class=q5>Call 555</div></body>"
+    assert op6_html.main_text(page) == WANT
+    found = op6_html.blocks(page)
+    score = dict(zip([t for _, t, _ in found], op6_html.scores(found).tolist(), strict=True))
+    assert score["Topic 3"] == min(score.values()) and max(score, key=score.get) in WANT
+
+
+def test_hostile_pages_are_linear():
+    for page in ("<x>" * 60_000 + "</y>" * 60_000 + "x", "<p><table>" + "<x>" * 30_000 + "<h1>a" * 30_000, "<div>a" * 20_000, "<ul>" + "<li>a" * 50_000, "<" * 50_000, "<table>" + "<tr><td>a" * 30_000):
+        start = time.process_time()
+        op6_html.main_text(page)
+        assert time.process_time() - start < 10
+
+
 def phrases(sample, text):
     flat = lambda t: "".join(chr(c) if c else " " for c in op9_langid.letters(t))
     s, t = flat(sample), flat(text)
@@ -239,12 +324,32 @@ def test_phrases_are_longest_matches(sample, text):
     assert model.phrases([text])[1][0, 0] == phrases(sample, text)
 
 
+def test_lanes_do_not_show(monkeypatch):
+    own = random.Random(3)
+    texts = ["".join(own.choice("abc d") for _ in range(own.randint(0, 400))) for _ in range(60)] + ["a" * 500, "abcabcabd" * 60, "жабц" * 90, "漢字仮名漢字" * 40]
+    model = op9_langid.Model({"x": op9_langid.letters("abc dab cdd aab bca" * 30 + "aaaa"), "y": op9_langid.letters("abcabcabd" * 70 + "漢字仮名")})
+    many = {}
+    for lane in (1 << 14, 64, 7):
+        monkeypatch.setattr(op9_langid, "LANE", lane)
+        many[lane] = model.phrases(texts)[1].tolist()
+    assert many[7] == many[64] == many[1 << 14]
+    assert [x[0] for x in many[7]][:60] == [phrases("abc dab cdd aab bca" * 30 + "aaaa", t) if t else 0 for t in texts[:60]]
+
+
+def test_rare_letters_differ(monkeypatch):
+    monkeypatch.setattr(op9_langid, "LETTERS", 3)
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(300))
+    model = op9_langid.Model({"a": op9_langid.letters(han), "b": op9_langid.letters(han[::-1])})
+    names, _ = model.predict([han[40:90], han[::-1][40:90], "123"])
+    assert names == ["a", "b", "und"]
+
+
 def test_language(spark):
     words = {"en": "the of and to in that was with from this", "de": "der die und den von zu das mit sich auf", "xx": "qua zor blim tuk wem"}
     make = lambda x: " ".join(rng.choice(words[x].split()) for _ in range(60))
     rows = [(k, make(x), x) for k, x in enumerate(["en", "de", "xx"] * 40)]
     train = spark.createDataFrame([*rows, (900, None, "en"), (901, "text", None)], "doc_id long, text string, lang string")
-    model = op9_langid.fit(op9_langid.labelled(train), rows_per_language=20, letters_per_language=2000)
+    model = op9_langid.fit(op9_langid.labelled(train), letters_per_language=2000)
     odd = spark.createDataFrame([(None, make("de")), (1, None), (2, ""), (3, "123 .."), (4, make("xx")), (5, make("en") * 200)], "doc_id long, text string")
     got = by_id(op9_langid.predict(odd, model))
     assert {k: r["lang_pred"] for k, r in got.items()} == {None: "de", 1: "und", 2: "und", 3: "und", 4: "xx", 5: "en"}
