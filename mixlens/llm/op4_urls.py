@@ -4,7 +4,9 @@ Level 0 holds every listed key.  Level 1 holds the corpus's unlisted keys that l
 listed keys that level 1 wrongly accepts, and so on until a level accepts nothing wrongly.  Over the keys it was built
 from, which are *all* keys of the corpus, the first level that rejects a key tells exactly whether it is listed: no join
 and no list of keys is needed where urls are judged.  Levels shrink with the false positive rate, and the bits of each are
-gathered by word, so the driver sees their fixed number of words, never a key.
+gathered by words of 64, so the driver sees their fixed number of words, never a key.  A list too long for a filter of
+MAX_BITS is split by the keys' hashes into shards, each with a cascade of its own over its own keys; the rows are judged
+shard by shard.
 
 Null urls, and those without ``://``, have the empty host and path: no rule fits them, and the empty host is listed only
 if the list says so.  Null keys are kept, repeated rows give a row each, other columns are ignored.  An empty table gives
@@ -14,7 +16,9 @@ an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +26,11 @@ from mixlens.llm import common
 
 #: Rules of the query: (verdict, host, path).  The longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Hosts listed for blocking where no rule fits.
-LISTED = (
-    "spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net", "m.thther.example.org", "blog.ththre.example.org",
-    "ththon.example.com", "m.ththst.example.org", "blog.theran.example.org", "blog.ththor.example.com",
-)
+#: The query's list: every host of the table with one of these words between dots or hyphens.
+LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
 #: Bits a key at level 0, and at the others; hash functions of each.
 FIRST_BITS, BITS, HASHES = 8, 6, 4
-#: A filter's size in bits is bounded: it becomes a literal of the plan.
+#: A filter's size in bits is bounded, as it becomes a literal of the plan.
 MAX_BITS = 1 << 27
 
 
@@ -64,9 +65,9 @@ class Level:
         return [F.pmod(F.pmod(a, F.lit(size)) + k * F.pmod(b, F.lit(size - 1)) + k, F.lit(size)) for k in range(HASHES)]
 
     def accepts(self, key: Column) -> Column:
-        out = F.lit(True)
+        out, bits = F.lit(True), F.lit(self.bits)
         for place in self.places(key, self.size, self.seed):
-            byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             out = out & (F.bit_get(byte, (place % 8).cast("int")) == 1)
         return out
 
@@ -77,11 +78,10 @@ class Level:
         if size > MAX_BITS:
             raise ValueError(f"a filter of {size} bits is above the bound of {MAX_BITS}")
         places = keys.select(F.explode(F.array(*cls.places(F.col("key"), size, seed))).alias("p"))
-        words = places.groupBy(F.shiftright("p", 3).alias("w")).agg(F.bit_or(F.element_at(F.array(*(F.lit(1 << j) for j in range(8))), (F.col("p") % 8 + 1).cast("int"))).alias("b"))
-        bits = bytearray(size // 8)
-        for row in words.collect():
-            bits[row["w"]] = row["b"]
-        return cls(size, seed, bytes(bits))
+        words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+        bits = np.zeros(size // 64, "<i8")
+        bits[np.asarray(words.column(0))] = np.asarray(words.column(1))
+        return cls(size, seed, bits.tobytes())
 
 
 def cascade(universe: DataFrame, listed: DataFrame, levels: int = 40) -> list[Level]:
@@ -100,6 +100,7 @@ def cascade(universe: DataFrame, listed: DataFrame, levels: int = 40) -> list[Le
         for level in out:
             held = held.where(level.accepts(F.col("key")))
         wrong = held
+    common.drop(accepted, outside)
     return out
 
 
@@ -112,19 +113,27 @@ def member(key: Column, levels: list[Level]) -> Column:
 
 
 def judge(df: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, listed``: the longest rule's verdict, else block for a listed host."""
+    """``page_id, host, path, rule, verdict, listed``: the longest rule's verdict, else block for a host in ``listed``,
+    which has them in its column ``key``."""
     host, path = parts(F.col(f"`{url}`").cast("string"))
     rows = df.select(F.col(f"`{key}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    levels = cascade(rows.select(F.col("host").alias("key")), listed)
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", member(F.col("host"), levels))
+    inside = listed.select("key").where("key IS NOT NULL").distinct()
+    shards = max(1, -(-inside.count() * FIRST_BITS * 2 // MAX_BITS))
+    part = lambda c: F.pmod(F.xxhash64(F.lit("shard"), F.col(c)), F.lit(shards))
+    judged = []
+    for shard in range(shards):
+        own = rows.where(part("host") == shard) if shards > 1 else rows
+        levels = cascade(own.select(F.col("host").alias("key")), inside.where(part("key") == shard) if shards > 1 else inside)
+        judged.append(own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", member(F.col("host"), levels)))
     verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return reduce(DataFrame.unionByName, judged).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the urls of all pages."""
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
-    return judge(common.table(spark, sf_dir, "pages"), listed)
+    """Verdicts on the urls of all pages; the list is made of all hosts of the table."""
+    pages = common.table(spark, sf_dir, "pages")
+    hosts = pages.select(parts(F.col("url"))[0].alias("key"))
+    return judge(pages, hosts.where(F.col("key").rlike(LISTED)).distinct())
 
 
 ORACLE = """
@@ -138,10 +147,10 @@ WITH p AS (
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
-    host IN ({hosts}) AS listed
+    regexp_matches(host, '{listed}') AS listed
   FROM u
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM r
-""".format(hosts=", ".join(f"'{h}'" for h in LISTED))
+""".format(listed=LISTED)
