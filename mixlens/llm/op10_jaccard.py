@@ -269,9 +269,24 @@ def meet(index: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+def marks(df: DataFrame, columns: tuple[str, ...], k: int, text: str = "text") -> DataFrame:
+    """``columns`` of every row with ``n_shingles, fa, fb``: the size and fingerprint of its text's set."""
+    own = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)), F.col(f"`{text}`").cast("string").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for at, size in common.chunks(batch, HASHED):
+                part = batch.slice(at, size)
+                rows = [(len(f), *fingerprint(f)) if len(f) else (0, 0, 0) for f, _ in shingles(part.column(len(columns)).to_pylist(), k)]
+                yield pa.record_batch([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names)
+
+    names = [*columns, "n_shingles", "fa", "fb"]
+    return own.mapInArrow(run, T.StructType([*df.select(*(F.col(f"`{c}`") for c in columns)).schema.fields, *common.schema(n_shingles=common.LONG, fa=common.LONG, fb=common.LONG).fields]))
+
+
+def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: documents link when 100 * intersection >= percent * union of
-    their sets of ``k``-word shingles."""
+    their sets of ``k``-word shingles; ``marked``: also ``fa, fb``, the set's fingerprint."""
     rows = common.text_rows(df, key, text)
     known = rows.where("doc_id IS NOT NULL")
     often = frequent(rows, k)
@@ -330,7 +345,7 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     small, of = docs.select("doc_id", "n", "fa", "fb"), ["n", "fa", "fb"]
     out = small.join(hot, of).unionByName(small.join(hot, of, "left_anti").join(rest, of, "left").select(*of, "doc_id", "component"))
     keyed = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), keyed.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), keyed.alias("component_id"), *(["fa", "fb"] if marked else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
