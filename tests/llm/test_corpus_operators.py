@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mixlens.llm import op4_urls, op7_topk, op8_substring, op9_langid, op10_jaccard, registry
+from mixlens.llm import common, op4_urls, op7_topk, op8_substring, op9_langid, op10_jaccard, registry
 
 rng = random.Random(11)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, token long, hash long, component_id long"
@@ -208,12 +208,14 @@ def test_every_passage_holds_a_span():
             assert x & y, (few, trial, texts)
 
 
-URLS = ["https://a.spam.net/x", "http://EXAMPLE.net/en/1", "http://www.example.net/en/1?x=/de/", "http://notexample.net/en/", "http://example.com/de/", "http://m.example.com/de", "http://x.org/fr/#a", "http://x.org?fr/", "http://listed.org", "nothing", "://", "", None, "ftp://u@h:80/p?q#r", "http://a.b/c://d"]
+URLS = ["https://a.spam.net/x", "http://EXAMPLE.net/en/1", "http://www.example.net/en/1?x=/de/", "http://notexample.net/en/", "http://example.com/de/", "http://m.example.com/de", "http://x.org/fr/#a", "http://x.org?fr/", "http://listed.org", "nothing", "://", "", None, "ftp://u@h:80/p?q#r", "http://a.b/c://d", "http://listed.org/" + "x" * 200_000]
 
 
-def test_url_verdicts(spark):
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_url_verdicts(spark, monkeypatch, bits):
+    monkeypatch.setattr(op4_urls, "MAX_BITS", bits)
     df = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(URLS)] + [(None, "http://listed.org/", "h", "r")], "page_id long, url string, host string, rule string")
-    listed = spark.createDataFrame([("listed.org",), ("elsewhere.org",), (None,)], "key string")
+    listed = spark.createDataFrame([("listed.org",), ("elsewhere.org",), (None,), *((f"none{k}.org",) for k in range(9))], "key string")
     got = {r["page_id"]: r for r in op4_urls.judge(df, listed).collect()}
 
     def brute(u):
@@ -302,7 +304,7 @@ def test_pipeline(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.common.materialize(stage(spark, docs, str(tmp_path)), name)
+        docs = common.materialize(stage(spark, docs, str(tmp_path)), name)
         seen[name] = docs
     for name, _ in corpus_pipeline.STAGES[:-1]:
         assert seen[name].columns == list(corpus_pipeline.COLUMNS)
@@ -313,6 +315,16 @@ def test_pipeline(spark, tmp_path):
     assert sum(ids["packing"].values()) == corpus_pipeline.run(spark, str(tmp_path)).count()
 
 
+def test_stages_on_odd_tables(spark):
+    none = frame(spark, [(1, "x")]).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+    long = prose(30)
+    rows = frame(spark, [(5, long), (5, prose(20)), (2, long), (None, prose(20)), (7, None)])  # with clashing columns
+    kept = corpus_pipeline.STAGES[2][1](spark, rows, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] == long) for r in kept) == [(0, False), (2, True), (5, False), (7, False)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).where("false")
     assert op10_jaccard.link(none).count() == op8_substring.dedup(none).count() == 0
