@@ -1,102 +1,14 @@
 """From raw documents to packed sequences: quality rules, language ID, near duplicates, repeated passages, packing.
 
 Each stage works on all its predecessor kept.  All but the last return the columns of ``documents``.  No stage can be
-said in SQL as a whole (language ID and packing cannot), so ``ORACLE_SQL`` is None; tests hold each stage against a
-brute-force version.
+said in SQL as a whole (language ID and packing cannot), so ``ORACLE_SQL`` is None; the tests hold the operator of each
+stage against a brute-force version, and the stages against what they have to keep and drop.
 """
 
 from __future__ import annotations
 
-from functools import wraps
+from mixlens.llm.stages import COLUMNS, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from mixlens.llm import common, op1_quality, op2_packing, op8_substring, op9_langid, op10_jaccard
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least score of a language ID that keeps a document: below, no language stands out at all.
-LEAST_SCORE = 0.02
-
-
-#: Tables that stages before the last have written for themselves.
-_made: list[DataFrame] = []
-
-
-def forget(spark: SparkSession) -> None:
-    """Delete them; those of a session that has ended are left to its cluster."""
-    common.drop(*(df for df in _made if df.sparkSession is spark))
-    _made.clear()
-
-
-def stage(function):
-    """A stage whose own tables go when the next stage begins: its output has been written and read again by then."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark)
-        with common.noting(_made):
-            return function(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@stage
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and resemble a language."""
-    return op1_quality.kept_rows(docs, COLUMNS)
-
-
-@stage
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language stands out; a missing label is filled in."""
-    model = op9_langid.fit(op9_langid.labelled(docs))
-    found = op9_langid.predict(docs, model, carry=("text", "lang", "source", "n_chars"))
-    kept = found.where((F.col("lang_pred") != op9_langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
-
-
-@stage
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component under five-word shingles at 80 %: the one with the smallest key."""
-    found = op10_jaccard.link(docs, k=5, percent=80)
-    gone = common.materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.select(*COLUMNS).join(op10_jaccard.few(gone), "doc_id", "left_anti")
-    again = common.materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept.select(*COLUMNS)
-    single = kept.join(op10_jaccard.few(again), "doc_id", "left_anti").select(*COLUMNS)
-    return single.unionByName(kept.join(op10_jaccard.few(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
-
-
-@stage
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without sentences that repeat an earlier passage; those with nothing left go."""
-    found = op8_substring.dedup(docs, carry=("lang", "source"))
-    left = found.where(F.length(F.trim("text")) > 0)
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequences and offsets."""
-    forget(spark)
-    return op2_packing.run(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("packing", packing),
-]
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
 
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
