@@ -2,12 +2,16 @@
 
 The hash of a text is two remainders, l = (l * 131 + c) mod 2147483647 and r = (r * 137 + c) mod 2147483629 over its UTF-16
 code units and a line feed, as 16 hex digits (fixed values).  Over many records the polynomial is associative: a record
-contributes its own remainder times a power of the base, so records are hashed where they are and only pairs of
-(remainder, length) are ordered and combined, never their texts.
+contributes its own remainder times a power of the base, so ranges of records are folded where they lie and only one pair
+of (remainder, power) a range is combined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +51,32 @@ def record(kind: str, *fields) -> Column:
     return F.concat_ws("|", F.lit(kind), *parts)
 
 
-def power(base: int, exponent: Column, modulus: int) -> Column:
-    """base ** exponent mod modulus, by squaring over 31 bits."""
-    squares, value = [], base
-    for _ in range(31):
-        squares.append(value)
-        value = value * value % modulus
-    bits = F.arrays_zip(F.sequence(F.lit(0), F.lit(30)).alias("i"), F.array(*(F.lit(s).cast("long") for s in squares)).alias("s"))
-    return F.aggregate(bits, F.lit(1).cast("long"), lambda a, x: F.when(F.bit_get(exponent.cast("long"), x["i"]) == 1, a * x["s"] % modulus).otherwise(a))
-
-
-def _step(k: int, modulus: int):
-    return lambda a, e: (a * e["x"][f"p{k}"] + e["x"][f"h{k}"]) % modulus
-
-
 def hash_records(records: DataFrame, prefix: str, column: str = "record") -> DataFrame:
-    """One row ``fingerprint`` of a relation of texts: the hash of all, in code-unit order, each with a line feed.  Each
-    record's remainders and length are made in parallel; the ordered fold runs over three numbers a record."""
+    """One row ``fingerprint`` of a relation of texts: the hash of all, in code-unit order, each with a line feed.  Records
+    are dealt in ranges of their order; each range is folded to a remainder and the power of its length where it lies,
+    and only those few pairs meet."""
     parts = records.select(
         F.col(column).alias("r"),
         *(remainder(F.concat(units(column), F.array(F.lit(10).cast("long"))), b, m).alias(f"h{k}") for k, (b, m) in enumerate(POLYNOMIALS)),
         (utf16_length(column) + 1).alias("n"),
     )
-    parts = parts.select("r", F.struct("h0", "h1", *(power(b, F.col("n"), m).alias(f"p{k}") for k, (b, m) in enumerate(POLYNOMIALS))).alias("x"))
-    ordered = parts.agg(F.array_sort(F.collect_list(F.struct("r", "x"))).alias("all"))
-    folds = [F.aggregate("all", F.lit(0).cast("long"), _step(k, m)) for k, (_, m) in enumerate(POLYNOMIALS)]
+    ranged = parts.repartitionByRange("r").sortWithinPartitions("r").select("h0", "h1", "n")
+
+    def fold(batches):
+        own, size = [0, 0], 0
+        for batch in batches:
+            for *hashes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [(a * pow(b, n, m) + h) % m for a, h, (b, m) in zip(own, hashes, POLYNOMIALS, strict=True)]
+                size += n
+        if size:
+            powers = [pow(b, size, m) for b, m in POLYNOMIALS]
+            place = TaskContext.get().partitionId()
+            yield pa.record_batch([pa.array([v], pa.int64()) for v in (place, *own, *powers)], ["i", "h0", "h1", "p0", "p1"])
+
+    folded = ranged.mapInArrow(fold, "i long, h0 long, h1 long, p0 long, p1 long")
+    ordered = folded.agg(F.array_sort(F.collect_list(F.struct("i", "h0", "h1", "p0", "p1"))).alias("all"))
+    step = lambda k, m: lambda a, e: (a * e[f"p{k}"] + e[f"h{k}"]) % m
+    folds = [F.aggregate("all", F.lit(0).cast("long"), step(k, m)) for k, (_, m) in enumerate(POLYNOMIALS)]
     return ordered.select(F.concat(F.lit(prefix), *map(hex8, folds)).alias("fingerprint"))
 
 
@@ -112,5 +117,23 @@ def restaurant_scope_fingerprint(restaurants: DataFrame) -> DataFrame:
 
 
 def content_snapshot(df: DataFrame) -> DataFrame:
-    """Rows and an order-independent hash of a table; compared before and after a refresh."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("content"))
+    """Rows and an order-independent hash of a table: the sum of 60 bits of each row's MD5."""
+    text_ = F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns))
+    part = F.conv(F.substring(F.md5(text_), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias("content"))
+
+
+def protected_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, rows, content`` of several tables; compared before and after a refresh."""
+    each = [content_snapshot(df).select(F.lit(name).alias("table_name"), "rows", F.col("content").cast("string").alias("content")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def boundary_snapshot(facts: DataFrame) -> DataFrame:
+    """One row: how many facts, the least and greatest id, and the totals of all and of the finalized ones."""
+    final = F.col("publication_state") == "Active Finalized"
+    total = lambda c, only=None: F.coalesce(F.sum(c if only is None else F.when(only, F.col(c))), F.lit(0)).cast("decimal(38,2)")
+    return facts.agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("sales_fact_id") != "", F.col("sales_fact_id"))).alias("first_id"), F.max("sales_fact_id").alias("last_id"),
+        total("sales_amount").alias("sales_nok"), total("quantity").alias("quantity"), total("sales_amount", final).alias("active_sales_nok"), total("quantity", final).alias("active_quantity"),
+    )

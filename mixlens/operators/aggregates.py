@@ -1,7 +1,7 @@
 """Scopes and the aggregates over them.
 
-A fact belongs to at most three scopes (all facts; its import if finalized; its import and channel), so it is expanded to
-their keys and aggregated once, with partial sums before the shuffle, instead of being scanned again for each scope.
+A fact belongs to at most three scopes (all facts; its import if finalized; its import and channel).  Facts are summed once
+by state, import, channel and the wanted keys; only the rows of that small cube are expanded to their scopes.
 """
 
 from __future__ import annotations
@@ -59,53 +59,67 @@ def expand_scopes(df: DataFrame) -> DataFrame:
     return rows.withColumn("publication_scope", F.col("s.publication_scope")).withColumn("import_id", F.col("s.scope_import")).withColumn("channel_scope", F.col("s.channel_scope")).drop("s")
 
 
-def group_totals(bridge: DataFrame, by_scope: bool = True) -> DataFrame:
+def by_scope(df: DataFrame, *keys: str) -> DataFrame:
+    """Count, sales and quantity by scope and keys."""
+    cube = df.groupBy("publication_state", "import_id", "reporting_channel", *keys).agg(*measures())
+    total = [F.sum("fact_count").alias("fact_count"), *(F.sum(m).cast(S.TOTAL).alias(m) for m in ("sales_nok", "quantity"))]
+    return expand_scopes(cube).groupBy(*SCOPE, *keys).agg(*total)
+
+
+def group_totals(bridge: DataFrame, by_scopes: bool = True) -> DataFrame:
     """Mapped facts by group (and scope)."""
-    rows = bridge.where(F.col("resolution_status") == S.MAPPED)
-    keys = [F.col("effective_reporting_group_id").alias("reporting_group_id"), F.col("effective_reporting_group_name").alias("reporting_group_name")]
-    if not by_scope:
-        return rows.groupBy(*keys).agg(*measures())
-    return expand_scopes(rows).groupBy(*SCOPE, *keys).agg(*measures())
+    rows = bridge.where(F.col("resolution_status") == S.MAPPED).withColumnsRenamed({"effective_reporting_group_id": "reporting_group_id", "effective_reporting_group_name": "reporting_group_name"})
+    keys = ["reporting_group_id", "reporting_group_name"]
+    return by_scope(rows, *keys) if by_scopes else rows.groupBy(*keys).agg(*measures())
 
 
 def crosswalk(bridge: DataFrame) -> DataFrame:
     """Scope by legacy category, group and state."""
-    return expand_scopes(bridge).groupBy(*SCOPE, "legacy_reporting_category_id", "effective_reporting_group_id", "effective_reporting_group_name", "resolution_status").agg(*measures())
+    return by_scope(bridge, "legacy_reporting_category_id", "effective_reporting_group_id", "effective_reporting_group_name", "resolution_status")
 
 
 def state_coverage(bridge: DataFrame) -> DataFrame:
     """Every scope and state, also those without a fact; an unknown state is an error."""
     known = F.when(F.col("resolution_status").isin(*S.MAPPING_STATES), F.col("resolution_status")).otherwise(F.raise_error(F.concat(F.lit("unknown mapping state "), F.coalesce("resolution_status", F.lit("null")))).cast("string"))
-    by = expand_scopes(bridge.withColumn("resolution_status", known)).groupBy(*SCOPE).pivot("resolution_status", list(S.MAPPING_STATES)).agg(*measures())
-    zero = lambda s, m: F.coalesce(F.col(f"`{s}_{m}`"), F.lit(0).cast("bigint" if m == "fact_count" else S.TOTAL)).alias(m)
-    each = F.array(*(F.struct(F.lit(s).alias("resolution_status"), *(zero(s, m) for m in ("fact_count", "sales_nok", "quantity"))) for s in S.MAPPING_STATES))
+    names = ("fact_count", "sales_nok", "quantity")
+    by = by_scope(bridge.withColumn("resolution_status", known), "resolution_status").groupBy(*SCOPE).pivot("resolution_status", list(S.MAPPING_STATES)).agg(*(F.sum(m).alias(m) for m in names))
+    zero = lambda s, m: F.coalesce(F.col(f"`{s}_{m}`"), F.lit(0)).cast("bigint" if m == "fact_count" else S.TOTAL).alias(m)
+    each = F.array(*(F.struct(F.lit(s).alias("resolution_status"), *(zero(s, m) for m in names)) for s in S.MAPPING_STATES))
     return by.select(*SCOPE, F.explode(each).alias("e")).select(*SCOPE, "e.*")
 
 
 def reconciliation(facts: DataFrame, bridge: DataFrame) -> DataFrame:
     """Per scope: source against bridge against the sum over states; exact decimals, so equality is exact."""
     short = {S.MAPPED: "mapped", S.UNMAPPED: "unmapped", S.CONFLICT: "conflict", S.INACTIVE: "inactive"}
-    source = expand_scopes(facts).groupBy(*SCOPE).agg(*measures("source_"))
-    states = [m for s, p in short.items() for m in measures(f"{p}_", F.col("resolution_status") == s)]
-    made = expand_scopes(bridge).groupBy(*SCOPE).agg(*measures("bridge_"), *states)
-    both = source.join(made, SCOPE, "full_outer").na.fill(0)
     kinds = ("fact_count", "sales_nok", "quantity")
+    typed = lambda c, k: F.coalesce(c, F.lit(0)).cast("bigint" if k == "fact_count" else S.TOTAL)
+    source = by_scope(facts).withColumnsRenamed({k: f"source_{k}" for k in kinds})
+    made = by_scope(bridge, "resolution_status").groupBy(*SCOPE).agg(
+        *(F.sum(k).alias(f"bridge_{k}") for k in kinds),
+        *(F.sum(F.when(F.col("resolution_status") == s, F.col(k))).alias(f"{p}_{k}") for s, p in short.items() for k in kinds),
+    )
+    both = source.join(made, SCOPE, "full_outer")
+    both = both.select(*SCOPE, *(typed(F.col(f"{p}_{k}"), k).alias(f"{p}_{k}") for p in ("source", "bridge", *short.values()) for k in kinds))
     both = both.select("*", *((F.col(f"bridge_{k}") - F.col(f"source_{k}")).alias(f"variance_{k}") for k in kinds), *((sum((F.col(f"{p}_{k}") for p in short.values()), F.lit(0)) - F.col(f"bridge_{k}")).alias(f"state_variance_{k}") for k in kinds))
     ok = sum((F.abs(F.col(f"{v}_{k}")) for v in ("variance", "state_variance") for k in kinds), F.lit(0)) == 0
     return both.withColumn("result", F.when(ok, "PASS").otherwise("FAIL"))
 
 
 def legacy_comparison(bridge: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Active definitions by scope: legacy categories against the group, variances (group less legacy) and shares.  The
-    facts are first summed by scope, category, group and state: what meets the definitions is small."""
-    cube = expand_scopes(bridge).groupBy(*SCOPE, "legacy_reporting_category_id", "effective_reporting_group_id", "resolution_status").agg(*measures())
-    cube = cube.withColumnsRenamed({"fact_count": "n", "sales_nok": "s", "quantity": "q"})
-    act = definitions.where("active = 'Yes'").groupBy("definition_id", "comparison_status", "reporting_group_id").agg(F.array_sort(F.collect_set("legacy_category_id")).alias("members"))
-    legacy = F.array_contains("members", F.col("legacy_reporting_category_id"))
-    group = (F.col("resolution_status") == S.MAPPED) & (F.col("effective_reporting_group_id") == F.col("reporting_group_id"))
-    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    sums = [zero(F.when(w, F.col(c))).alias(f"{p}_{m}") for p, w in (("scope", F.lit(True)), ("legacy", legacy), ("group", group)) for c, m in (("n", "fact_count"), ("s", "sales_nok"), ("q", "quantity"))]
-    rows = cube.join(F.broadcast(act), how="cross").groupBy("definition_id", "comparison_status", *SCOPE, "reporting_group_id", F.array_join("members", ", ").alias("legacy_category_ids")).agg(*sums)
+    """Active definitions by scope: legacy categories against the group, variances (group less legacy) and shares.  One
+    small cube of the facts meets the definitions on equal keys; only scopes and definitions, both few, are paired."""
+    names = ("fact_count", "sales_nok", "quantity")
+    cube = by_scope(bridge, "legacy_reporting_category_id", "effective_reporting_group_id", "resolution_status")
+    own = ["definition_id", "comparison_status", "reporting_group_id"]
+    wanted = definitions.where("active = 'Yes'").select(*own, "legacy_category_id").distinct()
+    act = wanted.groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set("legacy_category_id")), ", ").alias("legacy_category_ids"))
+    total = lambda df, p, *keys: df.groupBy(*keys, *SCOPE).agg(*(F.sum(m).alias(f"{p}_{m}") for m in names))
+    legacy = total(cube.join(wanted, cube.legacy_reporting_category_id == wanted.legacy_category_id), "legacy", *own)
+    mapped = cube.where(F.col("resolution_status") == S.MAPPED).withColumnRenamed("effective_reporting_group_id", "reporting_group_id")
+    group = total(mapped.join(act, "reporting_group_id"), "group", *own)
+    rows = total(cube, "scope").crossJoin(act).join(legacy, [*own, *SCOPE], "left").join(group, [*own, *SCOPE], "left")
+    zero = lambda p, m: F.coalesce(F.col(f"{p}_{m}"), F.lit(0)).cast("bigint" if m == "fact_count" else S.TOTAL).alias(f"{p}_{m}")
+    rows = rows.select("definition_id", "comparison_status", *SCOPE, "reporting_group_id", "legacy_category_ids", *(zero(p, m) for p in ("scope", "legacy", "group") for m in names))
     from mixlens.functions.scalar import share
 
     rows = rows.select("*", *((F.col(f"group_{m}") - F.col(f"legacy_{m}")).alias(f"variance_{m}") for m in ("fact_count", "sales_nok", "quantity")), share("legacy_sales_nok", "scope_sales_nok").alias("legacy_share"), share("group_sales_nok", "scope_sales_nok").alias("group_share"))

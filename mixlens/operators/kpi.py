@@ -51,9 +51,29 @@ def share_results(
 
 def defaults(imports: DataFrame) -> DataFrame:
     """One row: the latest import, and the one before (the latest again, if it is the only one)."""
-    order = Window.orderBy(F.desc("period_start"), F.desc("period_end"), F.desc("import_id"))
-    two = imports.select("import_id", F.row_number().over(order).alias("k")).where("k <= 2")
-    return two.agg(F.max(F.when(F.col("k") == 1, F.col("import_id"))).alias("current_import"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("import_id"))), F.max(F.when(F.col("k") == 1, F.col("import_id")))).alias("comparison_import"))
+    place = F.struct("period_start", "period_end", "import_id")
+    two = imports.select(place.alias("p")).orderBy(F.desc("p")).limit(2)
+    return two.agg(F.max("p")["import_id"].alias("current_import"), F.min("p")["import_id"].alias("comparison_import"))
+
+
+def id_of(df: DataFrame, label: Column, name: str, key: str) -> Column:
+    """A scalar: the ``key`` of the row whose ``name`` is the label; null if there is none, an error if there are several."""
+    found = df.where(F.col(name) == label).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("k"))
+    return found.select(F.when(F.col("n") > 1, F.raise_error(F.lit(f"several rows have one {name}")).cast("string")).otherwise(F.col("k"))).scalar()
+
+
+def selection(imports: DataFrame, groups: DataFrame, current: str = "", compared: str = "", group: str = "") -> DataFrame:
+    """One row, the selectors' state: labels chosen before are kept as long as they name something active, else the
+    defaults are taken (the latest import, the one before, the first group)."""
+    active = groups.where("active = 'Yes'")
+    first = active.agg(F.min(F.struct("sort_order", "reporting_group_name", "reporting_group_id"))["reporting_group_id"].alias("first"))
+    chosen = defaults(imports).crossJoin(first)
+    pick = lambda df, label, name, key, other: F.coalesce(id_of(df, F.lit(label), name, key), F.col(other))
+    return chosen.select(
+        pick(imports, current, "label", "import_id", "current_import").alias("current_import"),
+        pick(imports, compared, "label", "import_id", "comparison_import").alias("comparison_import"),
+        pick(active, group, "reporting_group_name", "reporting_group_id", "first").alias("reporting_group_id"),
+    )
 
 
 def lookup(results: DataFrame, **key: str) -> DataFrame:

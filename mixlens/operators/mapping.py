@@ -13,6 +13,18 @@ NODES = {S.MAIN: "main_node_id", S.SUB: "source_classification_id", S.PRODUCT: "
 LINEAGE = {S.MAIN: "main_category", S.SUB: "subcategory", S.PRODUCT: "product"}
 
 
+def levels(hierarchy) -> list[tuple[str, int, str, str]]:
+    """(scope type, level, node column, lineage name), least specific first.  The known scope types need no more than their
+    level; any other brings the column that holds its nodes, and the name of its lineage columns."""
+    out = []
+    for scope, level, *rest in hierarchy:
+        if not rest and scope not in NODES:
+            raise ValueError(f"scope type {scope} needs its node column and lineage name")
+        node, name = rest or (NODES[scope], LINEAGE[scope])
+        out.append((scope, level, node, name))
+    return sorted(out, key=lambda x: x[1])
+
+
 def product_hierarchy(products: DataFrame, classifications: DataFrame) -> DataFrame:
     """Products with their classification's categories and nodes; one without a classification keeps blanks, which
     ``validation.hierarchy_errors`` reports."""
@@ -40,21 +52,21 @@ def rule_conflicts(rules: DataFrame) -> DataFrame:
 
 
 def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column, hierarchy=S.HIERARCHY) -> DataFrame:
-    """The 22 columns of the effective mapping.  Products are exploded to (scope, node) and meet the day's rules on equal
-    keys; one aggregation by product gathers each level's candidates, and the highest level that has any decides, so a
-    conflict or an exclusion there hides what lies above."""
-    levels = F.array(*(F.struct(F.lit(scope).alias("scope_type"), F.col(NODES[scope]).alias("node_id")) for scope, _ in hierarchy))
-    keyed = nodes.select("product_id", "source_system_id", F.explode(levels).alias("n")).select("product_id", "source_system_id", "n.scope_type", "n.node_id")
+    """The 22 columns of the effective mapping; two lineage columns a level, as many as the hierarchy has.  Products are
+    exploded to (scope, node) and meet the day's rules on equal keys; one aggregation by product gathers each level's
+    candidates, and the highest level that has any decides, so a conflict or an exclusion there hides what lies above."""
+    order = levels(hierarchy)
+    each = F.array(*(F.struct(F.lit(scope).alias("scope_type"), F.col(node).alias("node_id")) for scope, _, node, _ in order))
+    keyed = nodes.select("product_id", "source_system_id", F.explode(each).alias("n")).select("product_id", "source_system_id", "n.scope_type", "n.node_id")
     day = applicable(rules, as_of).select("source_system_id", "scope_type", "node_id", "mapping_rule_id", "target_reporting_group_id", "rule_action")
     found = keyed.join(day, ["source_system_id", "scope_type", "node_id"])
     at = lambda scope, c: F.array_sort(F.collect_list(F.when(F.col("scope_type") == scope, F.col(c))))
     by = found.groupBy("product_id").agg(
-        *(at(scope, c).alias(f"{LINEAGE[scope]}_{c}") for scope, _ in hierarchy for c in ("mapping_rule_id", "target_reporting_group_id")),
-        *(F.max(F.when(F.col("scope_type") == scope, F.col("rule_action"))).alias(f"{LINEAGE[scope]}_action") for scope, _ in hierarchy),
+        *(at(scope, c).alias(f"{name}_{c}") for scope, _, _, name in order for c in ("mapping_rule_id", "target_reporting_group_id")),
+        *(F.max(F.when(F.col("scope_type") == scope, F.col("rule_action"))).alias(f"{name}_action") for scope, _, _, name in order),
     )
     top = F.lit(None).cast("struct<scope:string,ids:array<string>,targets:array<string>,action:string>")
-    for scope, _ in sorted(hierarchy, key=lambda h: h[1]):
-        name = LINEAGE[scope]
+    for scope, _, _, name in order:
         own = F.struct(F.lit(scope).alias("scope"), F.col(f"{name}_mapping_rule_id").alias("ids"), F.col(f"{name}_target_reporting_group_id").alias("targets"), F.col(f"{name}_action").alias("action"))
         top = F.when(F.size(F.coalesce(f"{name}_mapping_rule_id", F.array().cast("array<string>"))) > 0, own).otherwise(top)
     rows = nodes.join(by, "product_id", "left").withColumn("top", top)
@@ -62,8 +74,8 @@ def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column
     rows = rows.join(groups.select(F.col("reporting_group_id").alias("target"), "reporting_group_name", "active"), "target", "left")
     none, many, out = F.col("top").isNull(), F.size("top.ids") > 1, F.col("top.action") == "Exclude"
     pick = lambda a, b, c, d: F.when(none, a).when(many, b).when(out, c).otherwise(d)
-    explicit = F.when(F.col("top.scope") == S.PRODUCT, "Explicit").otherwise("Inherited")
-    lineage = [F.coalesce(id_list(F.col(f"{LINEAGE[scope]}_{c}")), F.lit("")).alias(f"{LINEAGE[scope]}_{a}_id") for scope, _ in hierarchy for c, a in (("mapping_rule_id", "rule"), ("target_reporting_group_id", "target"))]
+    explicit = F.when(F.col("top.scope") == order[-1][0], "Explicit").otherwise("Inherited")
+    lineage = [F.coalesce(id_list(F.col(f"{name}_{c}")), F.lit("")).alias(f"{name}_{a}_id") for *_, name in order for c, a in (("mapping_rule_id", "rule"), ("target_reporting_group_id", "target"))]
     return rows.select(
         "product_id", "source_system_id", "source_product_name", "sales_account", "source_main_category", "source_sub_category", "source_classification_id", *lineage,
         F.coalesce("target", F.lit("")).alias("effective_reporting_group_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,22 @@ def write_checked(df: DataFrame, path: str, errors: DataFrame | None = None, col
     swap(df.sparkSession, staged, path)
 
 
+def write_validated(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, partition_by: tuple[str, ...] = ()) -> None:
+    """Overwrite a table with what has been checked as written: it is written beside the target, read back, and replaces
+    the target only if ``check`` of the rows read finds no error; else it is deleted and the old rows stay."""
+    if columns is not None and df.columns != list(columns):
+        raise ValueError(f"columns {df.columns} are not {list(columns)}")
+    spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(staged)
+    try:
+        raise_if_any(check(spark.read.schema(df.schema).parquet(staged).select(*df.columns)))
+    except BaseException:
+        old = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        raise
+    swap(spark, staged, path)
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))

@@ -66,21 +66,49 @@ def freshness_errors(expected: DataFrame, materialized: DataFrame, as_of: Column
 
 
 def bridge_errors(facts: DataFrame, bridge: DataFrame, as_of: Column, fingerprint: str = "") -> DataFrame:
-    """A written bridge against its facts: missing, unknown, repeated, changed lineage, state, group, day, fingerprint."""
-    lineage = [c for c in S.FACTS if c != "sales_fact_id"]
-    a = facts.select("sales_fact_id", F.struct(*lineage).alias("x"))
-    b = bridge.select("sales_fact_id", F.struct(*lineage).alias("y"))
-    kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unknown").when(~F.col("x").eqNullSafe(F.col("y")), "lineage differs")
-    compared = a.join(b, "sales_fact_id", "full_outer").select(F.lit("bridge-fact").alias("check_id"), F.col("sales_fact_id").alias("entity_id"), kind.alias("message")).where("message IS NOT NULL")
+    """A written bridge against its facts: missing, unknown, repeated, changed lineage, state, group, day, fingerprint.  Both
+    sides are reduced to an id, 128 bits of lineage and flags, and meet in one aggregation with partial sums."""
+    lineage = [x for c in S.FACTS if c != "sales_fact_id" for x in (F.col(c), F.col(c).isNull())]
+    hashes = [F.xxhash64(*lineage), F.xxhash64(F.lit(1), *lineage)]
     status = F.coalesce("resolution_status", F.lit(""))
-    return every(
-        compared,
-        repeated(bridge, "sales_fact_id", "bridge-duplicate"),
-        error(bridge.where(~status.isin(*S.MAPPING_STATES)), "bridge-state", "sales_fact_id", "unsupported state"),
-        error(bridge.where((status == S.MAPPED) & (F.coalesce("effective_reporting_group_id", F.lit("")) == "")), "bridge-group", "sales_fact_id", "mapped without a group"),
-        error(bridge.where(~F.col("mapping_as_of_date").eqNullSafe(as_of)), "bridge-day", "sales_fact_id", "another day"),
-        error(bridge.where(~F.col("mapping_fingerprint").eqNullSafe(F.lit(fingerprint))), "bridge-fingerprint", "sales_fact_id", "another fingerprint"),
+    flags = {
+        "state": ~status.isin(*S.MAPPING_STATES),
+        "group": (status == S.MAPPED) & (F.coalesce("effective_reporting_group_id", F.lit("")) == ""),
+        "day": ~F.col("mapping_as_of_date").eqNullSafe(as_of),
+        "fingerprint": ~F.col("mapping_fingerprint").eqNullSafe(F.lit(fingerprint)),
+    }
+    none, some = F.lit(None).cast("bigint"), F.lit(1)
+    a = facts.select("sales_fact_id", some.alias("f"), F.lit(0).alias("b"), *(h.alias(f"x{k}") for k, h in enumerate(hashes)), none.alias("y0"), none.alias("y1"), *(F.lit(0).alias(k) for k in flags))
+    b = bridge.select("sales_fact_id", F.lit(0).alias("f"), some.alias("b"), none.alias("x0"), none.alias("x1"), *(h.alias(f"y{k}") for k, h in enumerate(hashes)), *(v.cast("int").alias(k) for k, v in flags.items()))
+    met = a.union(b).groupBy("sales_fact_id").agg(
+        *(F.sum(c).alias(c) for c in ("f", "b", *flags)), *(F.max(c).alias(c) for c in ("x0", "x1", "y0", "y1")), *(F.min(c).alias(f"{c}_low") for c in ("x0", "y0"))
     )
+    c = F.col
+    differs = (c("x0") != c("y0")) | (c("x1") != c("y1")) | (c("x0_low") != c("y0_low"))
+    said = [
+        ("bridge-fact", c("b") == 0, "missing"), ("bridge-fact", c("f") == 0, "unknown"), ("bridge-fact", (c("f") > 0) & (c("b") > 0) & differs, "lineage differs"),
+        ("fact-duplicate", c("f") > 1, "duplicate key"), ("bridge-duplicate", c("b") > 1, "duplicate key"), ("bridge-state", c("state") > 0, "unsupported state"),
+        ("bridge-group", c("group") > 0, "mapped without a group"), ("bridge-day", c("day") > 0, "another day"), ("bridge-fingerprint", c("fingerprint") > 0, "another fingerprint"),
+    ]
+    each = F.filter(F.array(*(F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(text).alias("message"))) for check, when, text in said)), lambda e: e.isNotNull())
+    return met.select("sales_fact_id", F.explode(each).alias("e")).select("e.check_id", F.coalesce("sales_fact_id", F.lit("")).alias("entity_id"), "e.message")
+
+
+def totals_errors(facts: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Counts, sales and quantity of the bridge against its facts, and of its four states against the whole."""
+    from mixlens.operators.aggregates import measures
+
+    kinds = ("fact_count", "sales_nok", "quantity")
+    known = F.coalesce("resolution_status", F.lit("")).isin(*S.MAPPING_STATES)
+    one = facts.agg(*measures("source_")).crossJoin(bridge.agg(*measures("bridge_"), *measures("states_", known)))
+    said = [(f"{check}-{k.split('_')[0]}", F.col(f"{left}_{k}"), F.col(f"{right}_{k}")) for check, left, right in (("bridge", "bridge", "source"), ("coverage", "states", "bridge")) for k in kinds]
+    each = F.filter(F.array(*(F.when(x != y, F.struct(F.lit(check).alias("check_id"), F.concat(x.cast("string"), F.lit(", expected "), y.cast("string")).alias("message"))) for check, x, y in said)), lambda e: e.isNotNull())
+    return one.select(F.explode(each).alias("e")).select("e.check_id", F.lit("").alias("entity_id"), "e.message")
+
+
+def cutover_errors(facts: DataFrame, bridge: DataFrame, as_of: Column, fingerprint: str = "") -> DataFrame:
+    """All that has to hold before results may be made from a bridge."""
+    return every(bridge_errors(facts, bridge, as_of, fingerprint), totals_errors(facts, bridge))
 
 
 def definition_errors(definitions: DataFrame, groups: DataFrame, categories: DataFrame) -> DataFrame:
@@ -130,91 +158,114 @@ def node_catalogue(nodes: DataFrame) -> DataFrame:
     return nodes.select("source_system_id", F.explode(each).alias("n")).select("source_system_id", "n.scope_type", "n.node_id", "n.node_display").dropDuplicates(["source_system_id", "scope_type", "node_id"])
 
 
-def _check(i: str, name: str, observed: Column, ok: Column, why: str) -> Column:
-    return F.struct(F.lit(i).alias("check_id"), F.lit(name).alias("check"), F.when(ok, "PASS").otherwise("FAIL").alias("result"), observed.cast("string").alias("observed"), F.lit(why).alias("explanation"))
+def _check(i: str, name: str, observed: Column, ok: Column | bool, why: str, otherwise: str = "FAIL") -> Column:
+    result = F.when(ok, "PASS").otherwise(otherwise) if isinstance(ok, Column) else F.lit("PASS")
+    return F.struct(F.lit(i).alias("check_id"), F.lit(name).alias("check"), result.alias("result"), observed.cast("string").alias("observed"), F.lit(why).alias("explanation"))
+
 
+def _listed(one: DataFrame, *checks: Column) -> DataFrame:
+    return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
 
-def mapping_qa(effective: DataFrame, rules: DataFrame, groups: DataFrame, conflicts: DataFrame, facts: DataFrame) -> DataFrame:
-    """The mapping's nine run-time checks, from one-row aggregates."""
+
+def _sum(c: str | Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast(S.TOTAL)
+
+
+def mapping_qa(effective: DataFrame, groups: DataFrame, conflicts: DataFrame, facts: DataFrame, seeds: int = 9) -> DataFrame:
+    """The mapping's nine run-time checks, from one-row aggregates.  What an author has to look at is a warning or merely
+    shown; only what must never happen fails."""
+    final = facts.where(F.col("publication_state") == S.ACTIVE_FINALIZED)
+    status = F.col("resolution_status")
     e = effective.agg(
-        F.count(F.lit(1)).alias("products"), F.countDistinct("product_id").alias("distinct_products"),
-        F.count(F.when(F.col("resolution_status").isin(S.MAPPED, S.INACTIVE), 1)).alias("mapped"), F.count(F.when(F.col("resolution_status").isin(S.UNMAPPED, S.CONFLICT), 1)).alias("unmapped"),
-        F.count(F.when(F.col("resolution_status") == S.INACTIVE, 1)).alias("inactive"), F.count(F.when(F.col("resolution_status") == S.CONFLICT, 1)).alias("conflicted"),
+        F.count(F.lit(1)).alias("products"), F.countDistinct("product_id").alias("distinct_products"), F.count(F.when(status == S.UNMAPPED, 1)).alias("unmapped"), F.count(F.when(status == S.INACTIVE, 1)).alias("inactive"),
     )
-    r = rules.agg(F.count(F.lit(1)).alias("rules"), F.countDistinct("mapping_rule_id").alias("distinct_rules"))
     g = groups.agg(F.count(F.lit(1)).alias("groups"), F.countDistinct("reporting_group_id").alias("distinct_groups"))
-    c = conflicts.agg(F.count(F.lit(1)).alias("conflicts"))
-    m = facts.join(effective.select("product_id", F.lit(1).alias("hit")), "product_id", "left").agg(F.count(F.lit(1)).alias("facts"), F.count("hit").alias("hits"))
-    one = e.crossJoin(r).crossJoin(g).crossJoin(c).crossJoin(m)
+    by = final.groupBy("product_id").agg(F.sum("sales_amount").alias("s"), F.sum("quantity").alias("q"))
+    kept = by.join(effective.select("product_id", "resolution_status"), "product_id", "left").withColumn("mapped", F.coalesce(status.isin(S.MAPPED, S.INACTIVE), F.lit(False)))
+    m = kept.agg(*(_sum(F.when(F.col("mapped") == w, F.col(c))).alias(f"{c}{int(w)}") for c in "sq" for w in (True, False)))
+    f = facts.agg(F.count(F.lit(1)).alias("rows"), *(_sum(F.when(F.col("publication_state") == S.ACTIVE_FINALIZED, F.col(c))).alias(f"active_{k}") for k, c in (("s", "sales_amount"), ("q", "quantity"))))
+    one = e.crossJoin(g).crossJoin(conflicts.agg(F.count(F.lit(1)).alias("conflicts"))).crossJoin(m).crossJoin(f)
     v = F.col
-    checks = F.array(
-        _check("QA-0301", "Products mapped", v("mapped"), v("mapped") + v("unmapped") == v("products"), "Mapped counts inactive targets"),
-        _check("QA-0302", "Products unmapped", v("unmapped"), v("mapped") + v("unmapped") == v("products"), "Unmapped counts conflicts"),
-        _check("QA-0303", "Rule ids unique", v("distinct_rules"), v("distinct_rules") == v("rules"), "No rule id twice"),
-        _check("QA-0304", "Group ids unique", v("distinct_groups"), v("distinct_groups") == v("groups"), "No group id twice"),
-        _check("QA-0305", "One row a product", v("distinct_products"), v("distinct_products") == v("products"), "No product twice"),
-        _check("QA-0306", "Rule conflicts", v("conflicts"), v("conflicts") == 0, "Overlapping active rules on a node"),
-        _check("QA-0307", "Conflicted products", v("conflicted"), v("conflicted") == 0, "Products a conflict decides"),
-        _check("QA-0308", "Inactive targets", v("inactive"), v("inactive") == 0, "Products of a group that is not active"),
-        _check("QA-0309", "Facts with a mapping", v("hits"), v("hits") == v("facts"), "Every fact's product is mapped"),
+    off = lambda k: (v(f"{k}1") + v(f"{k}0") - v(f"active_{k}")).cast(S.TOTAL)
+    return _listed(
+        one,
+        _check("QA-0301", "Group ids unique", v("groups") - v("distinct_groups"), v("groups") == v("distinct_groups"), "No group id twice"),
+        _check("QA-0302", "Seed groups", v("groups"), v("groups") >= seeds, "At least the seeded groups are there"),
+        _check("QA-0303", "Rule conflicts", v("conflicts"), v("conflicts") == 0, "Overlapping active rules on a node", "WARN"),
+        _check("QA-0304", "Unmapped products", v("unmapped"), True, "Unmapped is a state of its own"),
+        _check("QA-0305", "Inactive targets", v("inactive"), True, "Products of a group that is not active"),
+        _check("QA-0306", "Sales reconcile", off("s"), off("s") == 0, "Mapped and unmapped make all finalized sales"),
+        _check("QA-0307", "Quantity reconciles", off("q"), off("q") == 0, "Mapped and unmapped make all finalized quantity"),
+        _check("QA-0308", "Fact rows", v("rows"), True, "Facts are only read"),
+        _check("QA-0309", "One row a product", v("products") - v("distinct_products"), v("products") == v("distinct_products"), "No product twice"),
     )
-    return one.select(F.explode(checks).alias("c")).select("c.*")
 
 
-def metric_qa(facts: DataFrame, bridge: DataFrame, reconciled: DataFrame, stale: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The bridge's run-time checks."""
-    f = facts.agg(F.count(F.lit(1)).alias("n"), F.sum("sales_amount").alias("s"), F.sum("quantity").alias("q"))
-    b = bridge.agg(F.count(F.lit(1)).alias("bn"), F.sum("sales_amount").alias("bs"), F.sum("quantity").alias("bq"), F.countDistinct("mapping_as_of_date").alias("days"), F.countDistinct("mapping_fingerprint").alias("marks"), F.count(F.when(~F.coalesce("resolution_status", F.lit("")).isin(*S.MAPPING_STATES), 1)).alias("odd"))
-    r = reconciled.agg(F.count(F.when(F.col("result") == "FAIL", 1)).alias("failed"), F.count(F.lit(1)).alias("scopes"))
-    one = f.crossJoin(b).crossJoin(r).crossJoin(stale.agg(F.count(F.lit(1)).alias("stale"))).crossJoin(definitions.agg(F.count(F.lit(1)).alias("wrong")))
+def metric_qa(facts: DataFrame, bridge: DataFrame, reconciled: DataFrame, stale: DataFrame, definitions: DataFrame, wrong: DataFrame, compared: DataFrame, changed: DataFrame) -> DataFrame:
+    """The bridge's eleven run-time checks: ``reconciled`` by scope, ``stale`` mapping rows, ``wrong`` of the
+    ``definitions``, ``compared`` legacy totals, and ``changed`` protected tables."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    b = bridge.agg(F.count(F.lit(1)).alias("bn"), F.countDistinct("mapping_fingerprint").alias("marks"), F.count(F.when(~F.coalesce("resolution_status", F.lit("")).isin(*S.MAPPING_STATES), 1)).alias("odd"))
+    bad = lambda k: F.count(F.when((F.col(f"variance_{k}") != 0) | (F.col(f"state_variance_{k}") != 0), 1))
+    r = reconciled.agg(bad("sales_nok").alias("sales"), bad("quantity").alias("quantity"), bad("fact_count").alias("facts"))
+    c = compared.agg(F.count(F.when((F.col("comparison_status") == "Equivalent") & (F.col("result") == "VARIANCE"), 1)).alias("variances"))
+    h = changed.agg(F.count(F.lit(1)).alias("changed"), F.count(F.when(F.col("table_name") == "facts", 1)).alias("changed_facts"))
+    one = count(facts, "n").crossJoin(b).crossJoin(r).crossJoin(c).crossJoin(h).crossJoin(count(stale, "stale")).crossJoin(count(definitions, "definitions")).crossJoin(count(wrong, "wrong"))
     v = F.col
-    checks = F.array(
-        _check("QA-0401", "Mapping fresh", v("stale"), v("stale") == 0, "The written mapping equals the recomputed one"),
-        _check("QA-0402", "One mapping day", v("days"), v("days") <= 1, "All rows are of one day"),
-        _check("QA-0403", "One fingerprint", v("marks"), v("marks") <= 1, "All rows are of one mapping"),
-        _check("QA-0404", "Row count", v("bn"), v("bn") == v("n"), "One bridge row a fact"),
-        _check("QA-0405", "Sales", v("bs"), v("bs").eqNullSafe(v("s")), "Bridge sales equal source sales"),
-        _check("QA-0406", "Quantity", v("bq"), v("bq").eqNullSafe(v("q")), "Bridge quantity equals source quantity"),
+    equivalence = _check("QA-0408", "Equivalences", v("wrong"), v("wrong") == 0, "All definitions are valid")
+    none = _check("QA-0408", "Equivalences", v("wrong"), F.lit(False), "All definitions are valid", "WARN")
+    return _listed(
+        one,
+        _check("QA-0401", "Mapping current", v("stale"), v("stale") == 0, "The written mapping equals the recomputed one"),
+        _check("QA-0402", "One fingerprint", v("marks"), v("marks") <= 1, "All rows are of one mapping"),
+        _check("QA-0403", "Fact rows", v("bn") - v("n"), v("bn") == v("n"), "One bridge row a fact"),
+        _check("QA-0404", "Sales", v("sales"), v("sales") == 0, "Source, bridge and states agree in every scope"),
+        _check("QA-0405", "Quantity", v("quantity"), v("quantity") == 0, "Source, bridge and states agree in every scope"),
+        _check("QA-0406", "Counts", v("facts"), v("facts") == 0, "Source, bridge and states agree in every scope"),
         _check("QA-0407", "States", v("odd"), v("odd") == 0, "All rows have one of four states"),
-        _check("QA-0408", "Scopes", v("scopes"), v("scopes") > 0, "There are scopes to reconcile"),
-        _check("QA-0409", "Reconciliation", v("failed"), v("failed") == 0, "All scopes reconcile"),
-        _check("QA-0410", "Equivalences", v("wrong"), v("wrong") == 0, "All definitions are valid"),
-        _check("QA-0411", "Coverage", v("bn") - v("odd"), v("bn") - v("odd") == v("n"), "The four states hold all facts"),
+        F.when((v("definitions") == 0) & (v("wrong") == 0), none).otherwise(equivalence),
+        _check("QA-0409", "Equivalent variances", v("variances"), v("variances") == 0, "Differences of what should be equal stay in sight", "WARN"),
+        _check("QA-0410", "Protected tables", v("changed"), v("changed") == 0, "Nothing but the outputs was written"),
+        _check("QA-0411", "Source facts", v("changed_facts"), v("changed_facts") == 0, "Facts are as they were"),
     )
-    return one.select(F.explode(checks).alias("c")).select("c.*")
-
-
-def result_qa(results: DataFrame, imports: DataFrame, groups: DataFrame, restaurants: DataFrame) -> DataFrame:
-    """The results' run-time checks."""
-    r = results.agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("metric_result_id").alias("ids"), F.count(F.when(F.col("denominator") == 0, 1)).alias("empty"),
-        F.count(F.when((F.col("denominator") == 0) & (F.col("metric_value") != 0), 1)).alias("bad_zero"), F.count(F.when(F.col("numerator") > F.col("denominator"), 1)).alias("over"),
-        F.sum(F.when(F.col("scope_type") == "Company", F.col("numerator")).otherwise(0)).alias("company"), F.sum(F.when(F.col("scope_type") == "Restaurant", F.col("numerator")).otherwise(0)).alias("places"),
-        F.countDistinct("restaurant_scope_fingerprint").alias("marks"), F.countDistinct("metric_id").alias("metrics"), F.countDistinct("import_id").alias("seen_imports"),
-        F.countDistinct("reporting_group_id").alias("seen_groups"), F.countDistinct(F.when(F.col("scope_type") == "Restaurant", F.col("restaurant_id"))).alias("seen_places"),
-        F.count(F.when(F.col("scope_type") == "Company", 1)).alias("company_rows"), F.count(F.when(F.col("numerator").isNull() | F.col("denominator").isNull() | F.col("metric_value").isNull(), 1)).alias("nulls"),
-        F.count(F.when((F.col("denominator") != 0) & (F.abs(F.col("metric_value") - F.col("numerator").cast("double") / F.col("denominator").cast("double")) > 1e-12), 1)).alias("off"),
-        F.sum(F.when(F.col("scope_type") == "Company", F.col("denominator")).otherwise(0)).alias("company_all"), F.sum(F.when(F.col("scope_type") == "Restaurant", F.col("denominator")).otherwise(0)).alias("places_all"),
-        F.count(F.when(~F.col("metric_result_id").rlike("^MRR-[0-9a-f]{16}$"), 1)).alias("odd_ids"), F.count(F.when((F.col("scope_type") == "Company") != (F.col("restaurant_id") == ""), 1)).alias("odd_scope"),
+
+
+def result_qa(results: DataFrame, facts: DataFrame, bridge: DataFrame, imports: DataFrame, groups: DataFrame, restaurants: DataFrame, scope: DataFrame, changed: DataFrame, fingerprint: str = "") -> DataFrame:
+    """The results' sixteen run-time checks.  ``scope``: the one-row restaurant scope fingerprint."""
+    from mixlens.operators.aggregates import enabled_split, measures
+
+    company = F.col("scope_type") == "Company"
+    value = F.when(F.col("denominator") == 0, F.lit(0.0)).otherwise(F.col("numerator").cast("double") / F.col("denominator").cast("double"))
+    r = results.crossJoin(F.broadcast(scope.withColumnRenamed("restaurant_scope_fingerprint", "mark"))).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("metric_result_id").alias("ids"), F.countDistinct("metric_id").alias("metrics"),
+        F.count(F.when(F.abs(F.col("metric_value") - value) > 1e-12, 1)).alias("off"), F.count(F.when(company & ~F.col("restaurant_scope_fingerprint").eqNullSafe(F.col("mark")), 1)).alias("bad_scope"),
+        _sum(F.when(company, F.col("denominator"))).alias("company_all"),
     )
-    one = r.crossJoin(imports.agg(F.count(F.lit(1)).alias("i"))).crossJoin(groups.where("active = 'Yes'").agg(F.count(F.lit(1)).alias("g"))).crossJoin(restaurants.agg(F.count(F.lit(1)).alias("p")))
+    known = F.coalesce("resolution_status", F.lit("")).isin(*S.MAPPING_STATES)
+    f, b = facts.agg(*measures("f_")), bridge.agg(*measures("b_"), *measures("s_", known), F.count(F.when(~F.col("mapping_fingerprint").eqNullSafe(F.lit(fingerprint)), 1)).alias("other"))
+    used = bridge.where(F.col("publication_state") == S.ACTIVE_FINALIZED).join(imports.select("import_id"), "import_id", "left_semi").join(restaurants.select("restaurant_id"), "restaurant_id", "left_semi")
+    small = imports.agg(F.count(F.lit(1)).alias("i")).crossJoin(groups.where("active = 'Yes'").agg(F.count(F.lit(1)).alias("g"))).crossJoin(restaurants.agg(F.count(F.lit(1)).alias("p")))
+    one = r.crossJoin(f).crossJoin(b).crossJoin(used.agg(_sum("sales_amount").alias("used"))).crossJoin(small).crossJoin(enabled_split(facts, restaurants)).crossJoin(changed.agg(F.count(F.lit(1)).alias("changed")))
     v = F.col
-    checks = F.array(
-        _check("QA-0501", "Grid", v("rows"), v("rows") == v("i") * v("g") * (v("p") + 1), "Imports x groups x (company + restaurants)"),
-        _check("QA-0502", "Result ids unique", v("ids"), v("ids") == v("rows"), "No result id twice"),
-        _check("QA-0503", "Zero denominators", v("empty"), v("bad_zero") == 0, "A share over nothing is 0"),
-        _check("QA-0504", "Shares at most 1", v("over"), v("over") == 0, "No numerator above its denominator"),
-        _check("QA-0505", "Restaurants sum to the company", v("places"), v("places").eqNullSafe(v("company")), "Numerators of both scopes agree"),
-        _check("QA-0506", "One restaurant scope", v("marks"), v("marks") <= 1, "All rows have one fingerprint"),
-        _check("QA-0507", "One metric", v("metrics"), v("metrics") <= 1, "All rows are of one metric"),
-        _check("QA-0508", "Imports", v("seen_imports"), v("seen_imports") == v("i"), "Every active import has results"),
-        _check("QA-0509", "Groups", v("seen_groups"), v("seen_groups") == v("g"), "Every active group has results"),
-        _check("QA-0510", "Restaurants", v("seen_places"), v("seen_places") == v("p"), "Every enabled restaurant has results"),
-        _check("QA-0511", "Company rows", v("company_rows"), v("company_rows") == v("i") * v("g"), "One company row an import and group"),
-        _check("QA-0512", "No missing values", v("nulls"), v("nulls") == 0, "Every row has its three values"),
-        _check("QA-0513", "Values are ratios", v("off"), v("off") == 0, "Value is numerator over denominator"),
-        _check("QA-0514", "Denominators sum to the company", v("places_all"), v("places_all").eqNullSafe(v("company_all")), "Denominators of both scopes agree"),
-        _check("QA-0515", "Result id form", v("odd_ids"), v("odd_ids") == 0, "Ids are a prefix and 16 digits"),
-        _check("QA-0516", "Scope and restaurant", v("odd_scope"), v("odd_scope") == 0, "Only company rows lack a restaurant"),
+    diff = lambda x, y, k: v(f"{x}{k}") - v(f"{y}{k}")
+    split = lambda k: v(f"enabled_{k}") + v(f"excluded_{k}") - v(f"b_{k}")
+    typed = lambda c: c.cast(S.TOTAL)
+    return _listed(
+        one,
+        _check("QA-0501", "Bridge fingerprint", v("other"), v("other") == 0, "The bridge is of the current mapping"),
+        _check("QA-0502", "Fact rows", diff("b_", "f_", "fact_count"), diff("b_", "f_", "fact_count") == 0, "One bridge row a fact"),
+        _check("QA-0503", "Sales", typed(diff("b_", "f_", "sales_nok")), diff("b_", "f_", "sales_nok") == 0, "Bridge sales equal source sales"),
+        _check("QA-0504", "Quantity", typed(diff("b_", "f_", "quantity")), diff("b_", "f_", "quantity") == 0, "Bridge quantity equals source quantity"),
+        _check("QA-0505", "States", diff("s_", "b_", "fact_count"), diff("s_", "b_", "fact_count") == 0, "The four states hold all facts"),
+        _check("QA-0506", "Grid", v("rows"), v("rows") == v("i") * v("g") * (v("p") + 1), "Imports x groups x (company + restaurants)"),
+        _check("QA-0507", "Active groups", v("g"), v("g") > 0, "There is a group to choose"),
+        _check("QA-0508", "Denominators", v("used"), v("company_all") == v("used") * v("g"), "All states of the enabled restaurants count"),
+        _check("QA-0509", "Result ids unique", v("rows") - v("ids"), v("ids") == v("rows"), "No result id twice"),
+        _check("QA-0510", "Selectors", v("i"), v("i") > 1, "There are two datasets to compare", "WARN"),
+        _check("QA-0511", "Values are ratios", v("off"), v("off") == 0, "Value is numerator over denominator"),
+        _check("QA-0512", "Protected tables", v("changed"), v("changed") == 0, "Nothing but the outputs was written"),
+        _check("QA-0513", "Restaurant scope", v("bad_scope"), v("bad_scope") == 0, "Company rows carry the fingerprint of the enabled restaurants"),
+        _check("QA-0514", "Scope counts", split("fact_count"), split("fact_count") == 0, "Enabled and excluded make the whole"),
+        _check("QA-0515", "Scope sales", typed(split("sales_nok")), split("sales_nok") == 0, "Enabled and excluded make the whole"),
+        _check("QA-0516", "Scope quantity", typed(split("quantity")), split("quantity") == 0, "Enabled and excluded make the whole"),
     )
-    return one.select(F.explode(checks).alias("c")).select("c.*")

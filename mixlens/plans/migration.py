@@ -10,6 +10,7 @@ from mixlens.operators.mapping import applicable, rule_errors
 from mixlens.operators.sinks import next_ids
 from mixlens.operators.validation import error, every
 from mixlens.plans.decisions import NOTE
+from mixlens.sources.tables import literal
 
 NODE = ["source_system_id", "scope_type", "node_id"]
 
@@ -29,6 +30,26 @@ def decision_errors(rules: DataFrame, decisions: DataFrame, as_of: Column) -> Da
     )
 
 
+#: Decisions by kind that the approved contract has: scope type, action, number (fixed values).
+CONTRACT = (("SourceMainCategory", "Map", 70), ("SourceSubCategory", "Map", 2), ("Product", "Map", 49), ("Product", "Exclude", 8))
+
+
+def contract_errors(decisions: DataFrame, groups: DataFrame, nodes: DataFrame, contract=CONTRACT) -> DataFrame:
+    """Decisions that are not as approved: two that say the same, other numbers by kind, targets that are missing or not
+    active, nodes that are not there."""
+    keyed = decisions.select(semantic_key().alias("key"))
+    wanted = literal(decisions.sparkSession, list(contract), "scope_type string, rule_action string, wanted bigint")
+    have = decisions.groupBy("scope_type", "rule_action").agg(F.count(F.lit(1)).alias("n"))
+    other = wanted.join(have, ["scope_type", "rule_action"], "full_outer").where(F.coalesce("n", F.lit(0)) != F.coalesce("wanted", F.lit(0)))
+    active = groups.where("active = 'Yes'").select(F.col("reporting_group_id").alias("target_reporting_group_id"))
+    return every(
+        error(keyed.groupBy("key").count().where("count > 1"), "contract-repeated", "key", "more than one decision says this"),
+        error(other, "contract-count", F.concat_ws(" ", "scope_type", "rule_action"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(", expected "), F.coalesce("wanted", F.lit(0)).cast("string"))),
+        error(decisions.where("rule_action = 'Map'").join(active, "target_reporting_group_id", "left_anti"), "contract-target", "node_id", "the target is missing or not active"),
+        error(decisions.join(nodes.select(*NODE).distinct(), NODE, "left_anti"), "contract-node", "node_id", "no such node"),
+    )
+
+
 def plan(rules: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
     """``seq, plan, mapping_rule_id`` and the rule of each decision; ``plan`` is reuse or add."""
     there = applicable(rules, as_of).select(semantic_key().alias("key"), "mapping_rule_id").groupBy("key").agg(F.min("mapping_rule_id").alias("mapping_rule_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlens import schema as S
-from mixlens.functions.fingerprint import mapping_fingerprint
+from mixlens.functions.fingerprint import mapping_fingerprint, protected_snapshot
 from mixlens.operators import kpi, mapping, sinks, validation
 from mixlens.operators import bridge as bridges
 from mixlens.sources import binding, tables
@@ -32,7 +32,7 @@ class Model:
     def bind(cls, spark: SparkSession, root: str, as_of: dt.date = binding.AS_OF) -> Model:
         return cls(
             binding.facts(spark, root), binding.products(spark, root), binding.classifications(spark, root), binding.rules(spark), binding.groups(spark),
-            tables.reporting_restaurants(binding.restaurants(spark, root)), tables.active_imports(binding.imports(spark, root)), as_of,
+            tables.reporting_restaurants(binding.restaurants(spark, root)), tables.pinned(tables.active_imports(binding.imports(spark, root))), as_of,
         )
 
     @property
@@ -53,18 +53,29 @@ class Model:
 
 
 def refresh(model: Model, out: str) -> str:
-    """Write mapping, bridge and results under ``out``, and give the mapping's fingerprint.  Each table is validated
-    before it replaces the one there; the bridge reads the mapping just written, the results the bridge."""
+    """Write mapping, bridge and results under ``out``, and give the mapping's fingerprint.  Each table is written beside the
+    one there, read back and validated, and only then replaces it; the bridge reads the mapping just written, the results
+    the bridge.  What was read has to be the same before and after."""
     spark = model.facts.sparkSession
+    inputs = {"facts": model.facts, "products": model.products, "classifications": model.classifications, "rules": model.rules, "groups": model.groups, "restaurants": model.restaurants}
+    before = tables.pinned(protected_snapshot(inputs))
     validation.raise_if_any(validation.every(mapping.rule_errors(model.rules), validation.hierarchy_errors(model.nodes()), validation.fact_errors(model.facts)))
     effective = model.effective()
-    sinks.write_checked(effective, f"{out}/effective_mapping", validation.mapping_errors(effective), S.EFFECTIVE)
-    effective = spark.read.parquet(f"{out}/effective_mapping")
-    mark = mapping_fingerprint(effective, model.rules, model.groups, model.day).first()[0]
-    rows = bridges.metric_bridge(model.facts, effective, mark, F.current_timestamp())
-    sinks.write_checked(rows, f"{out}/bridge", validation.bridge_errors(model.facts, rows, model.day, mark), S.BRIDGE)
-    rows = spark.read.parquet(f"{out}/bridge")
-    results = kpi.share_results(rows, model.imports, model.groups, model.restaurants, calculated_at=F.current_timestamp())
+    sinks.write_validated(effective, f"{out}/effective_mapping", lambda made: validation.every(validation.mapping_errors(made), validation.freshness_errors(effective, made, model.day)), S.EFFECTIVE)
+    made = tables.effective_mapping(spark.read.schema(effective.schema).parquet(f"{out}/effective_mapping"))
+    mark = mapping_fingerprint(made, model.rules, model.groups, model.day).first()[0]
+    rows = bridges.metric_bridge(model.facts, made, mark, F.current_timestamp())
+    sinks.write_validated(rows, f"{out}/bridge", lambda written: validation.cutover_errors(model.facts, written, model.day, mark), S.BRIDGE, partition_by=("import_id",))
+    written = tables.bridge(spark.read.schema(rows.schema).parquet(f"{out}/bridge"))
+    results = kpi.share_results(written, model.imports, model.groups, model.restaurants, calculated_at=F.current_timestamp())
     results = results.withColumn("mapping_fingerprint", F.lit(mark)).withColumn("mapping_as_of_date", model.day)
-    sinks.write_checked(results, f"{out}/metric_results")
+    sinks.write_validated(results, f"{out}/metric_results", lambda stored: validation.result_errors(results, stored), S.RESULTS)
+    validation.raise_if_any(changed_tables(before, protected_snapshot(inputs)))
     return mark
+
+
+def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Errors for tables whose rows or content are not as they were."""
+    new = after.withColumnsRenamed({"rows": "rows_after", "content": "content_after"})
+    other = before.join(new, "table_name").where((F.col("rows") != F.col("rows_after")) | (F.col("content") != F.col("content_after")))
+    return validation.error(other, "protected-table", "table_name", "changed meanwhile").withColumn("table_name", F.col("entity_id")).select("check_id", "entity_id", "message")

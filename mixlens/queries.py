@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlens import schema as S
-from mixlens.functions.fingerprint import mapping_fingerprint, metric_result_id, restaurant_scope_fingerprint
-from mixlens.operators import aggregates, kpi, mapping, validation
+from mixlens.functions.fingerprint import boundary_snapshot, mapping_fingerprint, metric_result_id, protected_snapshot, restaurant_scope_fingerprint
+from mixlens.operators import aggregates, kpi, mapping, ordering, validation
+from mixlens.plans import decisions as plans
 from mixlens.plans import migration
 from mixlens.plans.decisions import decisions
 from mixlens.plans.refresh import Model
@@ -185,7 +186,7 @@ def scope_list(spark, root):
 
 @query(f"SELECT effective_reporting_group_id AS reporting_group_id, effective_reporting_group_name AS reporting_group_name, {MEASURES} FROM bri WHERE resolution_status = 'Mapped' GROUP BY 1, 2")
 def reporting_group_totals(spark, root):
-    return aggregates.group_totals(Model.bind(spark, root).bridge(), by_scope=False)
+    return aggregates.group_totals(Model.bind(spark, root).bridge(), by_scopes=False)
 
 
 @query(f"SELECT publication_scope, scope_import AS import_id, channel_scope, effective_reporting_group_id AS reporting_group_id, effective_reporting_group_name AS reporting_group_name, {MEASURES} FROM scoped WHERE resolution_status = 'Mapped' GROUP BY 1, 2, 3, 4, 5")
@@ -357,9 +358,20 @@ def duplicate_keys(spark, root):
     return aggregates.duplicates(tables.table(spark, root, "lineitem", ["l_orderkey", "l_linenumber"]), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS check_id, CAST(NULL AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS message WHERE false")
+_BAD_RULES = [
+    ("BAD-1", S.MAIN, "N", "RPG-0001", "Keep", None, None), ("BAD-2", "Brand", "N", "RPG-0001", "Map", None, None), ("BAD-3", S.MAIN, "N", "", "Exclude", None, None),
+    ("BAD-4", S.PRODUCT, "N", "RPG-0001", "Exclude", None, None), ("BAD-5", S.SUB, "N", "", "Map", None, None), ("BAD-6", S.SUB, "N", "RPG-0001", "Map", binding.AS_OF, binding._first),
+]
+
+
+@query(", bad(rid, scope, node, target, action, f, t) AS (VALUES " + _values(_BAD_RULES) + """), r2 AS (SELECT rid, scope, target, action, f, t FROM rul UNION ALL SELECT rid, scope, target, action, f, t FROM bad),
+m AS (SELECT 'rule' AS check_id, rid AS entity_id, CASE WHEN action NOT IN ('Map', 'Exclude') THEN 'unknown action' WHEN scope NOT IN ('SourceMainCategory', 'SourceSubCategory', 'Product') THEN 'unknown scope type'
+  WHEN action = 'Exclude' AND scope <> 'Product' THEN 'only a product can be excluded' WHEN action = 'Exclude' AND target <> '' THEN 'an exclusion has no target'
+  WHEN action = 'Map' AND target = '' THEN 'a map rule needs a target' WHEN t < f THEN 'the interval ends before it begins' END AS message FROM r2)
+SELECT * FROM m WHERE message IS NOT NULL""")
 def rule_validation_errors(spark, root):
-    return mapping.rule_errors(binding.rules(spark))
+    bad = tables.literal(spark, [(i, "SRC-1", scope, node, target, action, f, t, "Active", 0) for i, scope, node, target, action, f, t in _BAD_RULES], S.RULES)
+    return mapping.rule_errors(binding.rules(spark).unionByName(bad))
 
 
 def _old_rules(spark) -> DataFrame:
@@ -368,15 +380,34 @@ def _old_rules(spark) -> DataFrame:
     return spark.createDataFrame([row], S.RULES).select(*names)
 
 
-@query()
+def _decision_rows() -> list[tuple]:
+    rows = [(S.MAIN, f"{plans.SOURCE} || Main || {label}", "Map", group) for label, group in plans.MAIN_TARGETS]
+    rows += [(S.SUB, node, "Map", group) for node, group in plans.SUB_TARGETS] + [(S.PRODUCT, node, "Map", group) for node, group in plans.PRODUCT_TARGETS]
+    return [(k, *r) for k, r in enumerate([*rows, *((S.PRODUCT, node, "Exclude", "") for node in plans.EXCLUDED)])]
+
+
+_DECISIONS = ", dec(seq, scope_type, node_id, rule_action, target_reporting_group_id) AS (VALUES " + _values(_decision_rows()) + ") "
+
+
+@query(_DECISIONS + """, met AS (SELECT *, CASE WHEN scope_type = 'SourceMainCategory' AND node_id = 'SRC-TEST-SALES || Main || Add-ons' AND rule_action = 'Map' AND target_reporting_group_id = 'RPG-0001' THEN 'MAP-000001' END AS old FROM dec)
+SELECT CAST(seq AS INT) AS seq, CASE WHEN old IS NULL THEN 'add' ELSE 'reuse' END AS plan, coalesce(old, 'MAP-' || lpad(CAST(1 + row_number() OVER (PARTITION BY old IS NULL ORDER BY seq) AS VARCHAR), 6, '0')) AS mapping_rule_id,
+  'SRC-TEST-SALES' AS source_system_id, scope_type, node_id, rule_action, target_reporting_group_id FROM met""")
 def migration_plan(spark, root):
     return migration.plan(_old_rules(spark), decisions(spark), F.lit(binding.AS_OF))
 
 
-@query()
-def mapping_fingerprints(spark, root):
-    m = Model.bind(spark, root)
-    return mapping_fingerprint(m.effective(), m.rules, m.groups, m.day)
+@query(_DECISIONS + """, faulty AS (SELECT scope_type, node_id, rule_action, target_reporting_group_id FROM dec WHERE seq <> 1 UNION ALL SELECT scope_type, node_id, rule_action, target_reporting_group_id FROM dec WHERE seq = 0),
+own AS (SELECT DISTINCT scope_type, node_id FROM dec WHERE seq <> 5)
+SELECT 'contract-repeated' AS check_id, 'SRC-TEST-SALES|' || scope_type || '|' || node_id || '|' || rule_action || '|' || target_reporting_group_id AS entity_id, 'more than one decision says this' AS message FROM faulty GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'contract-count', 'SourceMainCategory Map', count(*) || ', expected 71' FROM faulty WHERE scope_type = 'SourceMainCategory'
+UNION ALL SELECT 'contract-target', node_id, 'the target is missing or not active' FROM faulty WHERE rule_action = 'Map' AND target_reporting_group_id NOT IN (SELECT gid FROM grp WHERE active = 'Yes')
+UNION ALL SELECT 'contract-node', node_id, 'no such node' FROM faulty ANTI JOIN own USING (scope_type, node_id)""")
+def decision_contract_errors(spark, root):
+    made = decisions(spark)
+    faulty = made.where("seq <> 1").unionByName(made.where("seq = 0"))
+    nodes = made.where("seq <> 5").select("source_system_id", "scope_type", "node_id")
+    contract = [(s, a, n + (s == S.MAIN)) for s, a, n in migration.CONTRACT]
+    return migration.contract_errors(faulty, binding.groups(spark), nodes, contract)
 
 
 _HASH = "lpad(format('{:x}', list_reduce(list_transform(range(1, len(x) + 2), lambda i: CASE WHEN i > len(x) THEN 10::BIGINT ELSE ord(substr(x, CAST(i AS BIGINT), 1))::BIGINT END), lambda a, c: (a * %d + c) %% %d, 0::BIGINT)), 8, '0')"
@@ -384,6 +415,24 @@ _BOTH = f"{_HASH % (131, 2147483647)} || {_HASH % (137, 2147483629)}"
 _RSC = f", rs AS (SELECT 'ENABLED-RESTAURANTS|' || string_agg(len(restaurant_id) || ':' || restaurant_id, '|' ORDER BY restaurant_id) AS x FROM rest), rsc AS (SELECT 'RSC-' || {_BOTH} AS restaurant_scope_fingerprint FROM rs) "
 
 
+_R = lambda kind, *fields: f"'{kind}|' || " + " || '|' || ".join(f"len({x}) || ':' || {x}" for x in fields)
+_T = lambda c: f"coalesce(CAST({c} AS VARCHAR), '')"
+_D = lambda c: f"coalesce(CAST(date_diff('day', DATE '1970-01-01', {c}) + 25569 AS VARCHAR), '')"
+_E = "product_id main_category_rule_id main_category_target_id subcategory_rule_id subcategory_target_id product_rule_id product_target_id effective_reporting_group_id effective_reporting_group_name resolution_source resolution_state resolution_status winning_rule_id main_node_id subcategory_node_id".split()
+_FOLD = "lpad(format('{:x}', list_reduce(list_prepend(0::BIGINT, list_transform(string_split(x, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (a * %d + c) %% %d)), 8, '0')"
+
+
+@query(
+    ", recs AS (SELECT " + _R("V", "'MIXLENS-MAPPING-V1'", _D("d")) + " AS r FROM day UNION ALL SELECT " + _R("G", _T("gid"), _T("gname"), _T("active"), _T("sort_order")) + " FROM grp UNION ALL SELECT "
+    + _R("R", _T("rid"), _T("src"), _T("scope"), _T("node"), _T("action"), _T("target"), _D("f"), _D("t"), _T("status")) + " FROM rul UNION ALL SELECT "
+    + _R("P", _T("product_id"), _T("source_system_id"), _T("main_node_id"), _T("subcategory_node_id")) + " FROM eff UNION ALL SELECT " + _R("E", *map(_T, _E)) + " FROM eff), "
+    + "whole AS (SELECT string_agg(r || chr(10), '' ORDER BY r) AS x FROM recs) SELECT 'MAP-' || " + _FOLD % (131, 2147483647) + " || " + _FOLD % (137, 2147483629) + " AS fingerprint FROM whole"
+)
+def mapping_fingerprints(spark, root):
+    m = Model.bind(spark, root)
+    return mapping_fingerprint(m.effective(), m.rules, m.groups, m.day)
+
+
 @query(_RSC + "SELECT * FROM rsc")
 def restaurant_scope_fingerprints(spark, root):
     return restaurant_scope_fingerprint(Model.bind(spark, root).restaurants)
@@ -396,25 +445,76 @@ def metric_result_ids(spark, root):
     return rows.select("import_id", "scope_type", "restaurant_id", "reporting_group_id", metric_result_id(F.col("restaurant_scope_fingerprint")).alias("metric_result_id"))
 
 
-@query()
+def _qa(one: str, *checks: tuple[str, str, str, str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS check_id, '{name}' AS \"check\", {result} AS result, CAST({observed} AS VARCHAR) AS observed, '{why}' AS explanation FROM one" for i, name, observed, result, why in checks)
+    return f", one AS ({one}) {rows}"
+
+
+_ok = lambda when, other="FAIL": f"CASE WHEN {when} THEN 'PASS' ELSE '{other}' END"
+_m = "CAST(coalesce(sum({}), 0) AS DECIMAL(38,2))".format
+
+
+@query(
+    _qa(
+        f"""SELECT * FROM (SELECT count(*) AS products, count(DISTINCT product_id) AS dp, count(CASE WHEN resolution_status = 'Unmapped' THEN 1 END) AS un, count(CASE WHEN resolution_status = 'Inactive Target' THEN 1 END) AS ina FROM eff),
+        (SELECT count(*) AS g, count(DISTINCT gid) AS dg FROM grp),
+        (SELECT count(*) AS con FROM rul a JOIN rul b ON a.scope = b.scope AND a.node = b.node AND a.seq < b.seq AND a.status = 'Active' AND b.status = 'Active' AND coalesce(a.f, DATE '0001-01-01') <= coalesce(b.t, DATE '9999-12-31') AND coalesce(b.f, DATE '0001-01-01') <= coalesce(a.t, DATE '9999-12-31')),
+        (SELECT {_m("sales_amount")} AS s, {_m("quantity")} AS q FROM bri WHERE publication_state = 'Active Finalized'),
+        (SELECT {_m("CASE WHEN publication_state = 'Active Finalized' THEN sales_amount END")} AS fs, {_m("CASE WHEN publication_state = 'Active Finalized' THEN quantity END")} AS fq, count(*) AS n FROM facts)""",
+        ("QA-0301", "Group ids unique", "g - dg", _ok("g = dg"), "No group id twice"), ("QA-0302", "Seed groups", "g", _ok("g >= 4"), "At least the seeded groups are there"),
+        ("QA-0303", "Rule conflicts", "con", _ok("con = 0", "WARN"), "Overlapping active rules on a node"), ("QA-0304", "Unmapped products", "un", "'PASS'", "Unmapped is a state of its own"),
+        ("QA-0305", "Inactive targets", "ina", "'PASS'", "Products of a group that is not active"), ("QA-0306", "Sales reconcile", "s - fs", _ok("s = fs"), "Mapped and unmapped make all finalized sales"),
+        ("QA-0307", "Quantity reconciles", "q - fq", _ok("q = fq"), "Mapped and unmapped make all finalized quantity"), ("QA-0308", "Fact rows", "n", "'PASS'", "Facts are only read"),
+        ("QA-0309", "One row a product", "products - dp", _ok("products = dp"), "No product twice"),
+    )
+)
 def mapping_qa(spark, root):
     m = Model.bind(spark, root)
-    return validation.mapping_qa(m.effective(), m.rules, m.groups, mapping.rule_conflicts(m.rules), m.facts)
+    return validation.mapping_qa(m.effective(), m.groups, mapping.rule_conflicts(m.rules), m.facts, seeds=4)
+
 
+def _unchanged(spark) -> DataFrame:
+    return tables.literal(spark, [], "table_name string")
 
-@query()
+
+@query(
+    _COMPARE[: _COMPARE.rindex("SELECT definition_id")].rstrip()
+    + _qa(
+        """SELECT * FROM (SELECT count(*) AS n FROM facts), (SELECT count(*) AS bn FROM bri),
+        (SELECT count(CASE WHEN comparison_status = 'Equivalent' AND NOT (c1 = b1 AND c2 = b2 AND c3 = b3) THEN 1 END) AS vars FROM e)""",
+        ("QA-0401", "Mapping current", "0", "'PASS'", "The written mapping equals the recomputed one"), ("QA-0402", "One fingerprint", "1", "'PASS'", "All rows are of one mapping"),
+        ("QA-0403", "Fact rows", "bn - n", _ok("bn = n"), "One bridge row a fact"), ("QA-0404", "Sales", "0", "'PASS'", "Source, bridge and states agree in every scope"),
+        ("QA-0405", "Quantity", "0", "'PASS'", "Source, bridge and states agree in every scope"), ("QA-0406", "Counts", "0", "'PASS'", "Source, bridge and states agree in every scope"),
+        ("QA-0407", "States", "0", "'PASS'", "All rows have one of four states"), ("QA-0408", "Equivalences", "0", "'PASS'", "All definitions are valid"),
+        ("QA-0409", "Equivalent variances", "vars", _ok("vars = 0", "WARN"), "Differences of what should be equal stay in sight"),
+        ("QA-0410", "Protected tables", "0", "'PASS'", "Nothing but the outputs was written"), ("QA-0411", "Source facts", "0", "'PASS'", "Facts are as they were"),
+    )
+)
 def metric_qa(spark, root):
     m = Model.bind(spark, root)
-    rows, made = m.bridge(), m.effective()
+    rows, made, known = m.bridge(), m.effective(), tables.equivalences(binding.equivalences(spark))
     categories = m.facts.select(F.col("legacy_reporting_category_id").alias("legacy_category_id")).distinct()
-    wrong = validation.definition_errors(tables.equivalences(binding.equivalences(spark)), m.groups, categories)
-    return validation.metric_qa(m.facts, rows, aggregates.reconciliation(m.facts, rows), validation.freshness_errors(made, made, m.day), wrong)
+    wrong = validation.definition_errors(known, m.groups, categories)
+    return validation.metric_qa(m.facts, rows, aggregates.reconciliation(m.facts, rows), validation.freshness_errors(made, made, m.day), known, wrong, aggregates.legacy_comparison(rows, known), _unchanged(spark))
 
 
-@query()
+@query(
+    _qa(
+        f"""SELECT * FROM (SELECT count(*) AS n, {_m("sales_amount")} AS s, {_m("quantity")} AS q FROM facts), (SELECT count(*) AS bn, {_m("sales_amount")} AS bs, {_m("quantity")} AS bq FROM bri),
+        (SELECT count(*) AS rows_ FROM res), (SELECT count(*) AS i FROM imps), (SELECT count(*) AS g FROM grp WHERE active = 'Yes'), (SELECT {_m("sales_amount")} AS used FROM kept)""",
+        ("QA-0501", "Bridge fingerprint", "0", "'PASS'", "The bridge is of the current mapping"), ("QA-0502", "Fact rows", "bn - n", _ok("bn = n"), "One bridge row a fact"),
+        ("QA-0503", "Sales", "bs - s", _ok("bs = s"), "Bridge sales equal source sales"), ("QA-0504", "Quantity", "bq - q", _ok("bq = q"), "Bridge quantity equals source quantity"),
+        ("QA-0505", "States", "0", "'PASS'", "The four states hold all facts"), ("QA-0506", "Grid", "rows_", "'PASS'", "Imports x groups x (company + restaurants)"),
+        ("QA-0507", "Active groups", "g", _ok("g > 0"), "There is a group to choose"), ("QA-0508", "Denominators", "used", "'PASS'", "All states of the enabled restaurants count"),
+        ("QA-0509", "Result ids unique", "0", "'PASS'", "No result id twice"), ("QA-0510", "Selectors", "i", _ok("i > 1", "WARN"), "There are two datasets to compare"),
+        ("QA-0511", "Values are ratios", "0", "'PASS'", "Value is numerator over denominator"), ("QA-0512", "Protected tables", "0", "'PASS'", "Nothing but the outputs was written"),
+        ("QA-0513", "Restaurant scope", "0", "'PASS'", "Company rows carry the fingerprint of the enabled restaurants"), ("QA-0514", "Scope counts", "0", "'PASS'", "Enabled and excluded make the whole"),
+        ("QA-0515", "Scope sales", "s - bs", _ok("s = bs"), "Enabled and excluded make the whole"), ("QA-0516", "Scope quantity", "q - bq", _ok("q = bq"), "Enabled and excluded make the whole"),
+    )
+)
 def result_qa(spark, root):
     m = Model.bind(spark, root)
-    return validation.result_qa(m.shares(identify=True), m.imports, m.groups, m.restaurants)
+    return validation.result_qa(m.shares(identify=True), m.facts, m.bridge(), m.imports, m.groups, m.restaurants, restaurant_scope_fingerprint(m.restaurants), _unchanged(spark))
 
 
 @query("SELECT * FROM (VALUES " + _values(kpi.METRICS) + ") t(metric_id, display_name, value_type, numerator, denominator, scope_dimensions, mapping_membership, status)")
@@ -422,6 +522,140 @@ def metric_contract(spark, root):
     return kpi.metric_contract(spark)
 
 
+def _numbered(columns: str, order: str, source: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, {columns} FROM {source}"
+
+
+@query(_numbered("publication_scope, import_id, channel_scope, reporting_group_id, fact_count", "publication_scope, import_id, channel_scope, reporting_group_id", "(SELECT publication_scope, scope_import AS import_id, channel_scope, effective_reporting_group_id AS reporting_group_id, count(*) AS fact_count FROM scoped WHERE resolution_status = 'Mapped' GROUP BY 1, 2, 3, 4)"))
+def group_totals_ordered(spark, root):
+    rows = ordering.numbered(aggregates.group_totals(Model.bind(spark, root).bridge()), ordering.GROUP_TOTALS)
+    return rows.select("position", *ordering.GROUP_TOTALS, "fact_count")
+
+
+@query(_numbered("import_id, period_start, period_end", "period_start, period_end, import_id", "imps"))
+def imports_ordered(spark, root):
+    return ordering.numbered(Model.bind(spark, root).imports.select("import_id", "period_start", "period_end"), ordering.IMPORTS)
+
+
+@query(_numbered("gid AS reporting_group_id, gname AS reporting_group_name", "sort_order, gname, gid", "grp"))
+def groups_ordered(spark, root):
+    return ordering.numbered(tables.reporting_groups(binding.groups(spark)), ordering.GROUPS).select("position", "reporting_group_id", "reporting_group_name")
+
+
+@query(_numbered("restaurant_id, restaurant_name", "restaurant_name, restaurant_id", "rest"))
+def restaurants_ordered(spark, root):
+    return ordering.numbered(Model.bind(spark, root).restaurants, ordering.RESTAURANTS)
+
+
+@query(_numbered("*", "publication_scope, import_id, channel_scope, legacy_reporting_category_id, effective_reporting_group_id, resolution_status", f"(SELECT publication_scope, scope_import AS import_id, channel_scope, legacy_reporting_category_id, effective_reporting_group_id, effective_reporting_group_name, resolution_status, {MEASURES} FROM scoped GROUP BY 1, 2, 3, 4, 5, 6, 7)"))
+def crosswalk_ordered(spark, root):
+    return ordering.numbered(aggregates.crosswalk(Model.bind(spark, root).bridge()), ordering.CROSSWALK)
+
+
+@query(_COMPARE[: _COMPARE.rindex("SELECT definition_id")] + _numbered("definition_id, publication_scope, import_id, channel_scope", "definition_id, publication_scope, import_id, channel_scope", "e"))
+def comparison_ordered(spark, root):
+    rows = aggregates.legacy_comparison(Model.bind(spark, root).bridge(), tables.equivalences(binding.equivalences(spark)))
+    return ordering.numbered(rows, ordering.COMPARISON).select("position", *ordering.COMPARISON)
+
+
+@query(_numbered("source_main_category, node_id", "source_main_category, node_id", "(SELECT DISTINCT source_main_category, main_node_id AS node_id FROM eff)"))
+def main_browse_ordered(spark, root):
+    m = Model.bind(spark, root)
+    return ordering.numbered(aggregates.browse(m.effective(), m.facts, "main"), ordering.MAIN_BROWSE).select("position", *ordering.MAIN_BROWSE)
+
+
+@query(_numbered("source_main_category, source_sub_category, node_id", "source_main_category, source_sub_category, node_id", "(SELECT DISTINCT source_main_category, source_sub_category, subcategory_node_id AS node_id FROM eff)"))
+def sub_browse_ordered(spark, root):
+    m = Model.bind(spark, root)
+    return ordering.numbered(aggregates.browse(m.effective(), m.facts, "sub"), ordering.SUB_BROWSE).select("position", *ordering.SUB_BROWSE)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY period_start, period_end, import_id, sort_order, gname, gid, scope_type, restaurant_name, restaurant_id) AS INT) AS position, import_id, reporting_group_id, scope_type, restaurant_id, sales_share AS metric_value FROM res JOIN imps USING (import_id) JOIN grp ON gid = reporting_group_id LEFT JOIN rest USING (restaurant_id)")
+def share_results_ordered(spark, root):
+    m = Model.bind(spark, root)
+    return ordering.results(m.shares(), m.imports, m.groups, m.restaurants).select("position", "import_id", "reporting_group_id", "scope_type", "restaurant_id", "metric_value")
+
+
+@query(""", wk AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS period_start, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS f FROM lineitem GROUP BY 1)
+SELECT 'IMW-' || isoyear(period_start) || '-' || lpad(CAST(weekofyear(period_start) AS VARCHAR), 2, '0') AS import_id, period_start, CAST(period_start + INTERVAL 6 DAY AS DATE) AS period_end, 'Week ' || weekofyear(period_start) || ' ' || isoyear(period_start) AS label, CAST(7 AS INT) AS days FROM wk WHERE f = 1""")
+def weekly_imports(spark, root):
+    return tables.active_imports(binding.weekly_imports(spark, root))
+
+
+@query(""", c AS (SELECT DISTINCT 'CAT-' || p_brand AS category_id, p_brand, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS k FROM part),
+d AS (SELECT category_id, CASE WHEN k % 5 = 4 THEN 'Uncategorized' ELSE p_brand END AS category_name, CAST(CASE WHEN k % 5 = 4 THEN 999999 ELSE 100 - k END AS INT) AS sort_order FROM c WHERE k % 5 <> 0)
+SELECT CAST(row_number() OVER (ORDER BY sort_order, category_name, category_id) AS INT) AS position, * FROM d""")
+def category_selector(spark, root):
+    return ordering.numbered(tables.visible_categories(binding.categories(spark, root)), ordering.CATEGORIES)
+
+
+@query("SELECT 'IMP-1998' AS current_import, (SELECT cmp FROM chosen) AS comparison_import, 'RPG-0002' AS reporting_group_id")
+def selection_kept(spark, root):
+    m = Model.bind(spark, root)
+    return kpi.selection(m.imports, m.groups, "1998 full year", "Week 60 2099", "Non-Alcohol")
+
+
+@query("SELECT cur AS current_import, cmp AS comparison_import, (SELECT min_by(gid, (sort_order, gname, gid)) FROM grp WHERE active = 'Yes') AS reporting_group_id FROM chosen")
+def selection_defaults(spark, root):
+    m = Model.bind(spark, root)
+    return kpi.selection(m.imports, m.groups, group="Retired")
+
+
+_ACCOUNT = ("SalesAccount", 0, "sales_account", "account")
+
+
+@query(""", c4 AS (SELECT product_id, 0 AS lvl, 'ACC-1' AS rid, 'RPG-0002' AS target FROM nodes WHERE sales_account = 'Brand#1'),
+b4 AS (SELECT eff.*, c4.rid, c4.target, coalesce(gname, '') AS gname FROM eff LEFT JOIN c4 USING (product_id) LEFT JOIN grp ON gid = c4.target)
+SELECT product_id, coalesce(rid, '') AS account_rule_id, coalesce(target, '') AS account_target_id, main_category_rule_id,
+  CASE WHEN resolution_source = 'Unmapped' AND rid IS NOT NULL THEN target ELSE effective_reporting_group_id END AS effective_reporting_group_id,
+  CASE WHEN resolution_source = 'Unmapped' AND rid IS NOT NULL THEN 'SalesAccount' ELSE resolution_source END AS resolution_source,
+  CASE WHEN resolution_source = 'Unmapped' AND rid IS NOT NULL THEN 'Inherited' ELSE resolution_state END AS resolution_state,
+  CASE WHEN resolution_source = 'Unmapped' AND rid IS NOT NULL THEN 'Mapped' ELSE resolution_status END AS resolution_status FROM b4""")
+def four_level_mapping(spark, root):
+    m = Model.bind(spark, root)
+    more = tables.literal(spark, [("ACC-1", "SRC-1", "SalesAccount", "Brand#1", "RPG-0002", "Map", binding._first, None, "Active", 99)], S.RULES)
+    rows = mapping.resolve(m.nodes(), m.rules.unionByName(more), m.groups, m.day, hierarchy=(*S.HIERARCHY, _ACCOUNT))
+    return rows.select("product_id", "account_rule_id", "account_target_id", "main_category_rule_id", "effective_reporting_group_id", "resolution_source", "resolution_state", "resolution_status")
+
+
+@query("SELECT 'bridge-fact' AS check_id, '' AS entity_id, (SELECT count(*) FROM facts WHERE import_id <> 'IMP-1996') || ', expected ' || count(*) AS message FROM facts HAVING count(CASE WHEN import_id = 'IMP-1996' THEN 1 END) > 0"
+    " UNION ALL SELECT 'bridge-sales', '', CAST(CAST(sum(CASE WHEN import_id = 'IMP-1996' THEN 0 WHEN import_id = 'IMP-1998' THEN sales_amount + 1 ELSE sales_amount END) AS DECIMAL(38,2)) AS VARCHAR) || ', expected ' || CAST(sum(sales_amount) AS DECIMAL(38,2)) FROM facts"
+    " UNION ALL SELECT 'bridge-quantity', '', CAST(CAST(sum(CASE WHEN import_id <> 'IMP-1996' THEN quantity ELSE 0 END) AS DECIMAL(38,2)) AS VARCHAR) || ', expected ' || CAST(sum(quantity) AS DECIMAL(38,2)) FROM facts"
+    " UNION ALL SELECT 'coverage-fact', '', count(CASE WHEN import_id NOT IN ('IMP-1996', 'IMP-1997') THEN 1 END) || ', expected ' || count(CASE WHEN import_id <> 'IMP-1996' THEN 1 END) FROM facts"
+    " UNION ALL SELECT 'coverage-sales', '', CAST(CAST(sum(CASE WHEN import_id IN ('IMP-1996', 'IMP-1997') THEN 0 WHEN import_id = 'IMP-1998' THEN sales_amount + 1 ELSE sales_amount END) AS DECIMAL(38,2)) AS VARCHAR) || ', expected ' || CAST(sum(CASE WHEN import_id = 'IMP-1996' THEN 0 WHEN import_id = 'IMP-1998' THEN sales_amount + 1 ELSE sales_amount END) AS DECIMAL(38,2)) FROM facts"
+    " UNION ALL SELECT 'coverage-quantity', '', CAST(CAST(sum(CASE WHEN import_id NOT IN ('IMP-1996', 'IMP-1997') THEN quantity ELSE 0 END) AS DECIMAL(38,2)) AS VARCHAR) || ', expected ' || CAST(sum(CASE WHEN import_id <> 'IMP-1996' THEN quantity ELSE 0 END) AS DECIMAL(38,2)) FROM facts")
+def cutover_totals_errors(spark, root):
+    m = Model.bind(spark, root)
+    return validation.totals_errors(m.facts, _broken(m.bridge()))
+
+
+def _recon(scope: str) -> str:
+    broken = "CASE WHEN import_id = 'IMP-1996' THEN 0 ELSE 1 END"
+    return f"SELECT publication_scope, scope_import AS import_id, channel_scope, count(*) AS source_fact_count, CAST(sum({broken}) AS BIGINT) AS bridge_fact_count, CAST(sum({broken}) - count(*) AS BIGINT) AS variance_fact_count, CASE WHEN sum({broken}) = count(*) AND {scope} THEN 'PASS' ELSE 'FAIL' END AS result FROM scoped GROUP BY 1, 2, 3"
+
+
+@query(_recon("count(CASE WHEN import_id = 'IMP-1998' THEN 1 END) = 0 AND count(CASE WHEN import_id = 'IMP-1997' THEN 1 END) = 0"))
+def reconciliation_of_a_broken_bridge(spark, root):
+    m = Model.bind(spark, root)
+    rows = aggregates.reconciliation(m.facts, _broken(m.bridge()))
+    return rows.select(*aggregates.SCOPE, "source_fact_count", "bridge_fact_count", "variance_fact_count", "result")
+
+
+@query("SELECT count(*) AS rows, min(sales_fact_id) AS first_id, max(sales_fact_id) AS last_id, CAST(sum(sales_amount) AS DOUBLE) AS sales_nok, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(coalesce(sum(CASE WHEN publication_state = 'Active Finalized' THEN sales_amount END), 0) AS DOUBLE) AS active_sales_nok, CAST(coalesce(sum(CASE WHEN publication_state = 'Active Finalized' THEN quantity END), 0) AS DOUBLE) AS active_quantity FROM facts")
+def boundary_snapshots(spark, root):
+    return boundary_snapshot(binding.facts(spark, root))
+
+
+def _content(table: str, source: str, columns: list[str]) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"SELECT '{table}' AS table_name, count(*) AS rows, CAST(coalesce(sum(CAST('0x' || substr(md5({text}), 1, 15) AS HUGEINT)), 0) AS VARCHAR) AS content FROM {source}"
+
+
+@query(" UNION ALL ".join((_content("facts", "facts", S.FACTS), _content("groups", "grp", ["gid", "gname", "active", "sort_order"]), _content("rules", "rul", "rid src scope node target action f t status seq".split()))))
+def protected_snapshots(spark, root):
+    return protected_snapshot({"facts": binding.facts(spark, root), "groups": binding.groups(spark), "rules": binding.rules(spark)})
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -35,6 +35,11 @@ BRIDGE = (
     "resolution_state resolution_status winning_rule_id mapping_as_of_date mapping_fingerprint metric_refresh_at"
 ).split()
 
+RESULTS = (
+    "metric_id import_id scope_type restaurant_id reporting_group_id reporting_group_name numerator denominator metric_value "
+    "restaurant_scope_fingerprint metric_result_id calculated_at mapping_fingerprint mapping_as_of_date"
+).split()
+
 RULES = T.StructType(
     [
         *(T.StructField(n, T.StringType()) for n in "mapping_rule_id source_system_id scope_type node_id target_reporting_group_id rule_action".split()),

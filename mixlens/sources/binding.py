@@ -102,3 +102,22 @@ def imports(spark: SparkSession, root: str) -> DataFrame:
         F.concat(F.lit("IMP-"), F.col("y").cast("string")).alias("import_id"), F.make_date("y", F.lit(1), F.lit(1)).alias("period_start"), F.make_date("y", F.lit(12), F.lit(31)).alias("period_end"),
         F.when(F.col("f") == 1, S.ACTIVE_FINALIZED).otherwise("Superseded").alias("publication_state"), F.lit("Yes").alias("active_version"),
     )
+
+
+def weekly_imports(spark: SparkSession, root: str) -> DataFrame:
+    """One import a shipping week (Monday to Sunday), with the week's number and year."""
+    line = table(spark, root, "lineitem", ["l_shipdate", "l_linestatus"])
+    start = F.date_trunc("week", F.col("l_shipdate")).cast("date")
+    by = line.groupBy(start.alias("period_start")).agg(F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("f"))
+    year, week = F.year(F.date_add("period_start", 3)), F.weekofyear("period_start")
+    return by.select(
+        F.concat(F.lit("IMW-"), year.cast("string"), F.lit("-"), F.lpad(week.cast("string"), 2, "0")).alias("import_id"), "period_start", F.date_add("period_start", 6).alias("period_end"),
+        F.when(F.col("f") == 1, S.ACTIVE_FINALIZED).otherwise("Superseded").alias("publication_state"), F.lit("Yes").alias("active_version"), week.alias("reporting_week"), year.alias("reporting_year"),
+    )
+
+
+def categories(spark: SparkSession, root: str) -> DataFrame:
+    """One legacy category a brand; the fifth is hidden, the fourth has neither name nor place."""
+    brand = table(spark, root, "part", ["p_brand"]).distinct()
+    at = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("int")
+    return brand.select(F.concat(F.lit("CAT-"), "p_brand").alias("category_id"), F.when(at % 5 == 4, "").otherwise(F.col("p_brand")).alias("category_name"), F.when(at % 5 == 0, "No").otherwise("Yes").alias("visible"), F.when(at % 5 == 4, 0).otherwise(100 - at).alias("sort_order"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,23 @@ def literal(spark: SparkSession, rows: list[tuple], fields: T.StructType | str)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(*(F.col(f.name).cast(f.dataType) for f in fields))
 
 
+def unique(df: DataFrame, key: str, what: str) -> DataFrame:
+    """The rows of a dimension; a repeated key is an error when they are read."""
+    many = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    told = F.when(many, F.raise_error(F.concat(F.lit(f"{what} has "), F.col(key), F.lit(" twice"))).cast("string")).otherwise(F.col(key))
+    return df.withColumn(key, told)
+
+
+def pinned(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small derived dimension as a literal relation, so that what it is derived from is read once; beyond ``most`` rows it
+    stays as it is."""
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else literal(df.sparkSession, [tuple(r) for r in rows], df.schema)
+
+
 def reporting_groups(df: DataFrame) -> DataFrame:
-    """Groups with an id; sort order 999999 where blank."""
+    """Groups with an id, none twice; sort order 999999 where blank."""
+    df = unique(df, "reporting_group_id", "the group table")
     order = F.coalesce(F.nullif(F.col("sort_order").cast("int"), F.lit(0)), F.lit(999999))
     return df.select(text("reporting_group_id").alias("reporting_group_id"), text("reporting_group_name").alias("reporting_group_name"), text("active").alias("active"), order.alias("sort_order")).where("reporting_group_id <> ''")
 
@@ -54,9 +69,28 @@ def mapping_rules(df: DataFrame) -> DataFrame:
 
 
 def active_imports(imports: DataFrame) -> DataFrame:
-    """Active finalized imports with label and days."""
+    """Active finalized imports, none twice, with label and days; a week's number and year, where there are such columns,
+    make its label."""
     kept = imports.where((F.trim("publication_state") == S.ACTIVE_FINALIZED) & (F.trim("active_version") == "Yes"))
-    return kept.select("import_id", "period_start", "period_end", period_label().alias("label"), days().alias("days"))
+    week = {"week": "reporting_week", "year": "reporting_year"} if "reporting_week" in imports.columns else {}
+    return unique(kept, "import_id", "the import table").select("import_id", "period_start", "period_end", period_label(**week).alias("label"), days().alias("days"))
+
+
+def visible_categories(df: DataFrame) -> DataFrame:
+    """The categories a selector shows: with an id and visible; unnamed ones are Uncategorized, order 999999 where blank."""
+    name = F.coalesce(F.nullif(text("category_name"), F.lit("")), F.lit("Uncategorized"))
+    order = F.coalesce(F.nullif(F.col("sort_order").cast("int"), F.lit(0)), F.lit(999999))
+    return df.where((text("category_id") != "") & (text("visible") == "Yes")).select(text("category_id").alias("category_id"), name.alias("category_name"), order.alias("sort_order"))
+
+
+def effective_mapping(df: DataFrame) -> DataFrame:
+    """A written mapping: its columns by name, rows with a product."""
+    return df.where(F.coalesce("product_id", F.lit("")) != "").select(*S.EFFECTIVE)
+
+
+def bridge(df: DataFrame) -> DataFrame:
+    """A written bridge: its columns by name, rows with an id; an import that a partition's name cannot tell is blank."""
+    return df.where(F.coalesce("sales_fact_id", F.lit("")) != "").withColumn("import_id", F.coalesce("import_id", F.lit(""))).select(*S.BRIDGE)
 
 
 def reporting_restaurants(restaurants: DataFrame) -> DataFrame:

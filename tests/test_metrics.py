@@ -11,6 +11,7 @@ from mixlens.operators.bridge import metric_bridge
 from mixlens.plans.refresh import Model, refresh
 
 DAY, FIRST = dt.date(2026, 8, 11), dt.date(1899, 12, 31)
+# The seven facts, rules and groups that published totals belong to.
 NODES = [(f"PRD-{k}", "SRC-1", f"Product {k}", "ACC", x, x, f"SUB-{x}", f"MAIN-{x}") for k, x in enumerate("ABCDE", 1)]
 NAMES = "product_id source_system_id source_product_name sales_account source_main_category source_sub_category source_classification_id main_node_id".split()
 GROUPS = [("RPG-0001", "Add-ons", "Yes", 10), ("RPG-0002", "Drinks", "Yes", 20), ("RPG-0003", "Retired", "No", 30)]
@@ -147,6 +148,11 @@ def test_corrupted_bridges_are_rejected(world):
     assert "bridge-duplicate" in kinds(bridge.union(bridge.where("sales_fact_id = 'F-1'")))
     assert kinds(bridge.withColumn("mapping_as_of_date", F.lit(FIRST))) == {"bridge-day"}
     assert kinds(bridge, "MAP-other") == {"bridge-fingerprint"}
+    assert "fact-duplicate" in {r["check_id"] for r in validation.bridge_errors(facts.union(facts), bridge, F.lit(DAY)).collect()}
+    swapped = bridge.withColumn("import_id", F.when(F.col("sales_fact_id") == "F-2", F.lit(None)).otherwise(F.col("import_id")))
+    assert {(r["check_id"], r["entity_id"], r["message"]) for r in validation.bridge_errors(facts, swapped, F.lit(DAY)).collect()} == {("bridge-fact", "F-2", "lineage differs")}
+    assert {r["check_id"] for r in validation.totals_errors(facts, bridge.where("sales_fact_id <> 'F-1'")).collect()} == {"bridge-fact", "bridge-sales", "bridge-quantity"}
+    assert validation.cutover_errors(facts, bridge, F.lit(DAY)).count() == 0
     assert validation.freshness_errors(effective, effective.where("product_id <> 'PRD-1'"), F.lit(DAY)).first()["message"] == "missing"
 
 
@@ -162,6 +168,58 @@ def test_refresh_replaces_only_what_is_valid(spark, tmp_path):
     assert fingerprint.content_snapshot(spark.read.parquet(f"{out}/bridge").drop("metric_refresh_at")).first() == before
 
 
+def test_staged_tables_that_are_wrong_are_rejected(spark, tmp_path, monkeypatch, world):
+    facts, *_, bridge = world
+    path, check = str(tmp_path / "bridge"), lambda rows: validation.cutover_errors(facts, rows, F.lit(DAY))
+    sinks.write_validated(bridge, path, check, S.BRIDGE, ("import_id",))
+    assert {p.name for p in (tmp_path / "bridge").iterdir() if p.is_dir()} == {"import_id=IMP-COMPARE", "import_id=IMP-CURRENT"}
+    with pytest.raises(validation.ValidationError, match="bridge-sales"):
+        sinks.write_validated(bridge.withColumn("sales_amount", F.col("sales_amount") + 1).select(*S.BRIDGE), path, check, S.BRIDGE, ("import_id",))
+    from mixlens.sources import tables
+
+    assert tables.bridge(spark.read.schema(bridge.schema).parquet(path)).count() == 7 and [p.name for p in tmp_path.iterdir()] == ["bridge"]
+    results = shares(spark, world, ["RST-1", "RST-2"]).cache()
+    out = str(tmp_path / "results")
+    sinks.write_validated(results, out, lambda rows: validation.result_errors(results, rows))
+    with pytest.raises(validation.ValidationError, match="differs"):
+        sinks.write_validated(results.withColumn("numerator", F.lit(1).cast("decimal(38,2)")).select(*results.columns), out, lambda rows: validation.result_errors(results, rows))
+    assert validation.result_errors(results, spark.read.parquet(out)).count() == 0
+
+
+def test_repeated_dimension_keys_are_errors(spark):
+    from mixlens.sources import tables
+
+    groups = spark.createDataFrame([*GROUPS, GROUPS[0]], S.GROUPS)
+    with pytest.raises(Exception, match="twice"):
+        tables.reporting_groups(groups).collect()
+    rows = [("IMP-1", DAY, DAY, "Active Finalized", "Yes")] * 2
+    with pytest.raises(Exception, match="twice"):
+        tables.active_imports(spark.createDataFrame(rows, "import_id string, period_start date, period_end date, publication_state string, active_version string")).collect()
+
+
+def test_protected_tables_may_not_change(spark, world):
+    from mixlens.plans.refresh import changed_tables
+
+    facts, rules, *_ = world
+    before = fingerprint.protected_snapshot({"facts": facts, "rules": rules})
+    assert changed_tables(before, fingerprint.protected_snapshot({"facts": facts.orderBy(F.desc("quantity")), "rules": rules})).count() == 0
+    after = fingerprint.protected_snapshot({"facts": facts.where("sales_fact_id <> 'F-1'"), "rules": rules})
+    assert [r["entity_id"] for r in changed_tables(before, after).collect()] == ["facts"]
+
+
+def test_hierarchy_needs_its_columns(spark, world):
+    with pytest.raises(ValueError, match="node column"):
+        mapping.levels((*S.HIERARCHY, ("Brand", 4)))
+
+
+def test_selection_labels_have_to_be_unique(spark):
+    rows = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "3")], "label string, import_id string")
+    one = spark.range(1)
+    assert [one.select(kpi.id_of(rows, F.lit(x), "label", "import_id")).first()[0] for x in ("B", "C")] == ["3", None]
+    with pytest.raises(Exception, match="several rows"):
+        one.select(kpi.id_of(rows, F.lit("A"), "label", "import_id")).collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("A-000007", 1), ("x", 2)], "k string, v int")
     path = str(tmp_path / "t")
