@@ -34,6 +34,16 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION = r"""[.,;:!?'"()\-]"""
 
 
+def common_words(word_references: dict[str, dict[str, int]] = WORD_REFERENCES) -> list[str]:
+    return sorted({w for words in word_references.values() for w in words})
+
+
+def references(words: dict[str, dict[str, int]], classes: dict[str, tuple[int, ...]]) -> tuple[list[list[float]], list[list[float]]]:
+    """Word histograms (over all common words and the rest) and class histograms, a language each, from per mille."""
+    names = common_words(words)
+    return [[own.get(w, 0) / 1000 for w in names] + [1 - sum(own.values()) / 1000] for own in words.values()], [[x / sum(q) for x in q] for q in classes.values()]
+
+
 def words_of(text: Column) -> Column:
     """The runs of characters that are no ASCII white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
@@ -90,14 +100,16 @@ def assess(
     max_word_distance: float = 0.30,
     min_letters: int = 200,
     min_words: int = 150,
+    word_references: dict[str, dict[str, int]] = WORD_REFERENCES,
+    class_references: dict[str, tuple[int, ...]] = CLASS_REFERENCES,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, the base counts, ``class_distance`` and ``word_distance`` to the nearest reference, ``kept``.
     ``min_letters`` and ``min_words`` are the guards of the two distances; below them a distance rejects nothing.  The
+    references are per mille of common words and of character classes by language; a language more is an entry more.  The
     columns named in ``carry`` go along in the struct ``carried``, with a ``row_mark``."""
-    names = sorted({w for words in WORD_REFERENCES.values() for w in words})
-    word_refs = [[words.get(w, 0) / 1000 for w in names] + [1 - sum(words.values()) / 1000] for words in WORD_REFERENCES.values()]
-    class_refs = [[x / sum(q) for x in q] for q in CLASS_REFERENCES.values()]
+    names = common_words(word_references)
+    word_refs, class_refs = references(word_references, class_references)
     c = F.col
     along = F.struct(*(F.col(f"`{name}`") for name in carry)) if carry else F.lit(None).cast("string")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), along.alias("carried"))
@@ -160,5 +172,6 @@ def kept_rows(df: DataFrame, columns: tuple[str, ...], **parameters) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules over every document."""
-    return assess(common.table(spark, sf_dir, "documents"))
+    """The rules over every document; distances to six places."""
+    found = assess(common.table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard
+from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard, oracles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": op4_urls.ORACLE}
+    return oracles.oracle_sql()
