@@ -240,14 +240,18 @@ def test_cascade_is_exact(spark):
     assert marked.where("m <> (key like '%7')").count() == 0
 
 
-def test_url_query_against_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_sql(spark, name):
     root = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{root}/pages.parquet')")
-    df = op4_urls.query(spark, root)
-    cur = con.execute(op4_urls.ORACLE)
+    for table in ("pages", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{root}/{table}.parquet')")
+    df = registry.queries()[name](spark, root)
+    cur = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
-    assert {tuple(r[n] for n in names) for r in df.collect()} == set(cur.fetchall())
+    assert sorted(names) == sorted(df.columns)
+    got = sorted((tuple(r[n] for n in names) for r in df.collect()), key=str)
+    assert got == sorted(cur.fetchall(), key=str)
 
 
 def test_top_k(spark):

@@ -324,6 +324,20 @@ def test_phrases_are_longest_matches(sample, text):
     assert model.phrases([text])[1][0, 0] == phrases(sample, text)
 
 
+def test_scores_against_brute_force():
+    own = random.Random(12)
+    make = lambda letters_, n: " ".join("".join(own.choice(letters_) for _ in range(own.randint(2, 6))) for _ in range(n))
+    known = {"a": make("abcde", 80), "b": make("cdefg", 80), "c": make("abefg", 80)}
+    model = op9_langid.Model({x: op9_langid.letters(t) for x, t in known.items()})
+    texts = [make(own.choice(["abcde", "cdefg", "abefg"]), own.randint(1, 60)) for _ in range(30)]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores.tolist(), strict=True):
+        entropy = {x: phrases(t, text) * np.log2(len(op9_langid.letters(t))) / sum(map(str.isalpha, text)) for x, t in known.items()}
+        first, second = sorted(entropy.values())[:2]
+        assert entropy[name] == first and name == min(x for x in entropy if entropy[x] == first)
+        assert abs(score - (1 - first / second)) < 1e-9
+
+
 def test_lanes_do_not_show(monkeypatch):
     own = random.Random(3)
     texts = ["".join(own.choice("abc d") for _ in range(own.randint(0, 400))) for _ in range(60)] + ["a" * 500, "abcabcabd" * 60, "жабц" * 90, "漢字仮名漢字" * 40]
