@@ -5,8 +5,9 @@ it with longest matches: where no match can be continued a phrase ends and the n
 times the logarithm of the text's length, per letter, is the cross-parsing entropy of Ziv and Merhav; the language
 with the least wins.  ``score`` is how far the second best lies behind: 1 - best / second (1 with one language).
 
-Letters are lower-cased, runs of other characters are one gap.  The most frequent letters have a symbol of their own; any
-other is spelt in four digits of its code point, so no two letters are alike to the automata.  A document is read whole.
+Letters are lower-cased, runs of other characters are one gap.  The most frequent letters have a symbol of their own; the
+others of the training text are spelt in digits of their code points, so no two of them are alike to the automata; a letter
+that no training text has is a phrase.  A document is read whole.
 All documents of a batch are cut into lanes of LANE symbols that walk the automata in step as table look-ups; a lane then
 takes over the state in which the one before it ended and is read again until both readings are in one state, from
 where on they are the same.  So a document's phrases are those of one reading from its first letter to its last.
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from mixlens.llm import common
 
 #: Symbols of a lane, letters that have a symbol of their own, digits that spell the others, and how many of them.
-LANE, LETTERS, DIGITS, SPELT = 512, 40, 38, 4
+LANE, LETTERS, DIGITS, SPELT = 512, 60, 17, 5
 UNKNOWN = "und"
 
 
@@ -103,31 +104,32 @@ def letters(text: str) -> np.ndarray:
 
 
 class Model:
-    """The automata of some languages over one alphabet: 0 fills, 1 is the gap, then letters, then digits."""
+    """The automata of some languages over one alphabet: 0 fills, 1 is the gap, 2 a letter that none has, then letters and digits."""
 
     def __init__(self, samples: dict[str, np.ndarray], most: int = 1 << 30) -> None:
         self.languages = sorted(samples)
         every = np.concatenate([s[s > 0] for s in samples.values()]) if samples else np.zeros(0, np.uint32)
         values, counts = np.unique(every, return_counts=True)
         self.own = np.sort(values[np.argsort(-counts, kind="stable")[:LETTERS]])
-        self.width = 2 + len(self.own) + DIGITS
+        self.spelt = np.setdiff1d(values, self.own)
+        self.width = 3 + len(self.own) + (DIGITS if len(self.spelt) else 0)
         known = [self.symbols(samples[x])[:most].tolist() for x in self.languages]
         self.tables = [automaton(x, self.width) for x in known]
         self.weight = np.array([math.log2(max(2, len(x))) for x in known])
 
     def symbols(self, found: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.own, found), len(self.own) - 1) if len(self.own) else np.zeros(len(found), int)
-        out = np.where(found == 0, 1, at + 2).astype(np.int32)
-        rare = found > 0
+        out = np.where(found == 0, 1, 2).astype(np.int32)
         if len(self.own):
-            rare &= self.own[at] != found
+            at = np.minimum(np.searchsorted(self.own, found), len(self.own) - 1)
+            out = np.where(self.own[at] == found, at + 3, out).astype(np.int32)
+        rare = np.isin(found, self.spelt) if len(self.spelt) and (out == 2).any() else np.zeros(1, bool)
         if not rare.any():
             return out
         size = np.where(rare, SPELT, 1)
         end = np.cumsum(size)
         spelt = np.repeat(out, size)
         for k in range(SPELT):
-            spelt[end[rare] - 1 - k] = 2 + len(self.own) + found[rare] // DIGITS**k % DIGITS
+            spelt[end[rare] - 1 - k] = 3 + len(self.own) + found[rare] // DIGITS**k % DIGITS
         return spelt
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
