@@ -27,11 +27,15 @@ import numpy as np
 
 from mixlens.llm.pretokens import INNER_SPACE, SLICE, byte_level_pattern, slices
 
-#: Entries that a worker's memo of finished pre-tokens may hold, bytes of a pre-token that is merged in bulk, and
-#: characters of windows that are worked on together.
+#: Entries that each half of a worker's memo of finished pre-tokens holds before it becomes the older half, bytes of a
+#: pre-token that is merged in bulk, and characters of windows that are worked on together.
 MEMO_ENTRIES, SHORT, TOGETHER = 200_000, 64, 1_000_000
 
 
+#: ASCII punctuation and symbols: a run of them after letters is one pre-token.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 @cache
 def byte_symbols() -> dict[str, int]:
     """The published byte-to-character table: printable Latin-1 stands for itself, the rest follow from U+0100."""
@@ -247,6 +251,8 @@ class Transducer:
         self.find, self.added = self.pattern.findall, added_pattern(bpe.added)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        #: What the memo has not met since it last turned.
+        self.older: dict[str, bytes] = {}
         #: Tokens that have left the window, and windows that a run outgrew.
         self.emitted = self.outgrown = 0
 
@@ -267,19 +273,29 @@ class Transducer:
         return out
 
     def _learn(self, chunks: set[str], words: set[str]) -> None:
-        """Enter chunks (what follows a space that begins a pre-token) and pre-tokens that aren't known yet."""
+        """Enter chunks (what follows a space that begins a pre-token) and pre-tokens that aren't known yet.  Letters with
+        ASCII marks after them are two pre-tokens; what is neither that nor letters alone is left to the pattern."""
         plain = [c for c in chunks if c.isalpha()]
-        mixed = {c: self.find(" " + c) for c in chunks if not c.isalpha()}
-        words = list(words.union(*mixed.values()).difference(self.words))
+        rest = list(chunks.difference(plain))
+        bases = [c.rstrip(MARKS) for c in rest]
+        marked = [k for k, base in enumerate(bases) if base.isalpha()]
+        tails = [rest[k][len(bases[k]) :] for k in marked]
+        mixed = {rest[k]: self.find(" " + rest[k]) for k in set(range(len(rest))).difference(marked)}
+        fresh = {bases[k] for k in marked}.difference(self.chunks, plain)
+        again = fresh.intersection(self.older)
+        self.chunks.update(zip(again, map(self.older.__getitem__, again)))  # noqa: B905
+        plain.extend(fresh.difference(again))
+        words = list(words.union(tails, *mixed.values()).difference(self.words))
         packed = self._pack([*words, *(" " + c for c in plain)])
         self.words.update(zip(words, packed))  # noqa: B905
         self.chunks.update(zip(plain, packed[len(words) :], strict=True))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, found))) for c, found in mixed.items())
+        chunk, word = self.chunks.__getitem__, self.words.__getitem__
+        self.chunks.update((rest[k], chunk(bases[k]) + word(tail)) for k, tail in zip(marked, tails, strict=True))
+        self.chunks.update((c, b"".join(map(word, found))) for c, found in mixed.items())
 
     def _merge_windows(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of windows that begin and end with a pre-token.  The memo of finished pre-tokens stops growing at
-        MEMO_ENTRIES: what a call brings beyond that is forgotten after it."""
+        """Packed ids of windows that begin and end with a pre-token.  The memo has two halves: a full one becomes the
+        older, and of that one what is met again moves to the new; the rest is forgotten with it."""
         heads: list[list[str]] = []
         rests: list[list[str]] = []
         for piece in pieces:
@@ -291,16 +307,15 @@ class Transducer:
                 heads.append(self.find(first))
                 rests.append(rest)
         chunks = set().union(*rests).difference(self.chunks)
-        words = set().union(*heads).difference(self.words)
-        full, many = len(self.chunks) >= MEMO_ENTRIES // 2, len(self.words) >= MEMO_ENTRIES // 2
-        self._learn(chunks, words)
+        again = chunks.intersection(self.older)
+        self.chunks.update(zip(again, map(self.older.__getitem__, again)))  # noqa: B905
+        self._learn(chunks.difference(again), set().union(*heads).difference(self.words))
         word, chunk = self.words.__getitem__, self.chunks.__getitem__
         out = [b"".join([*map(word, head), *map(chunk, rest)]) for head, rest in zip(heads, rests, strict=True)]
-        if full:
-            for c in chunks:
-                del self.chunks[c]
-        if many:
-            self.words.clear()
+        if len(self.chunks) >= MEMO_ENTRIES:
+            self.older, self.chunks = self.chunks, {}
+        if len(self.words) >= MEMO_ENTRIES // 4:
+            self.words = {}
         return out
 
     def windows(self, text: str) -> Iterator[tuple[int, int, int | None]]:
