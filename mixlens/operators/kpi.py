@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlens import schema as S
@@ -26,7 +26,8 @@ def share_results(
     """Every import x active group x (company, each enabled restaurant): a group's mapped sum over the sum of all states.
 
     One scan and one aggregation by (import, restaurant, group) with partial sums; the company's rows and both sums are
-    rolled up from that small cube, and the dense grid is a product of dimensions alone."""
+    rolled up from that small cube once (the groups of a scope as a map), and the dense grid is a product of dimensions
+    alone."""
     enabled = restaurants.select("restaurant_id")
     kept = bridge.where(F.col("publication_state") == S.ACTIVE_FINALIZED).join(imports.select("import_id"), "import_id", "left_semi").join(enabled, "restaurant_id", "left_semi")
     group = F.when(F.col("resolution_status") == S.MAPPED, F.col("effective_reporting_group_id"))
@@ -34,14 +35,14 @@ def share_results(
     scope = F.explode(F.array(F.struct(F.lit(COMPANY).alias("scope_type"), F.lit("").alias("restaurant_id")), F.struct(F.lit(RESTAURANT).alias("scope_type"), F.col("restaurant_id").alias("restaurant_id"))))
     rolled = cube.select("import_id", "g", "s", scope.alias("x")).groupBy("import_id", "x.scope_type", "x.restaurant_id", "g").agg(F.sum("s").alias("s"))
     keys = ["import_id", "scope_type", "restaurant_id"]
-    whole = rolled.groupBy(*keys).agg(F.sum("s").alias("d"))
-    part = rolled.where("g IS NOT NULL").select(*keys, F.col("g").alias("reporting_group_id"), F.col("s").alias("n"))
+    held = F.collect_list(F.when(F.col("g").isNotNull(), F.struct("g", "s")))
+    sums = rolled.groupBy(*keys).agg(F.sum("s").alias("d"), F.map_from_entries(held).alias("by_group"))
     active = groups.where("active = 'Yes'").select("reporting_group_id", "reporting_group_name")
     company = restaurants.sparkSession.range(1).select(F.lit(COMPANY).alias("scope_type"), F.lit("").alias("restaurant_id"))
     places = company.unionByName(enabled.select(F.lit(RESTAURANT).alias("scope_type"), "restaurant_id"))
     grid = imports.select("import_id").crossJoin(active).crossJoin(places)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(S.TOTAL)
-    rows = grid.join(whole, keys, "left").join(part, [*keys, "reporting_group_id"], "left")
+    rows = grid.join(sums, keys, "left").withColumn("n", F.col("by_group")[F.col("reporting_group_id")])
     rows = rows.select(F.lit(metric).alias("metric_id"), *keys, "reporting_group_id", "reporting_group_name", zero(F.col("n")).alias("numerator"), zero(F.col("d")).alias("denominator"), share("n", "d").alias("metric_value"))
     if not identify:
         return rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,21 @@ class Model:
     rules: DataFrame
     groups: DataFrame
     restaurants: DataFrame
-    imports: DataFrame
+    import_rows: DataFrame
     as_of: dt.date
 
     @classmethod
     def bind(cls, spark: SparkSession, root: str, as_of: dt.date = binding.AS_OF) -> Model:
         return cls(
             binding.facts(spark, root), binding.products(spark, root), binding.classifications(spark, root), binding.rules(spark), binding.groups(spark),
-            tables.reporting_restaurants(binding.restaurants(spark, root)), tables.pinned(tables.active_imports(binding.imports(spark, root))), as_of,
+            tables.reporting_restaurants(binding.restaurants(spark, root)), binding.imports(spark, root), as_of,
         )
 
+    @cached_property
+    def imports(self) -> DataFrame:
+        """The active imports, derived once."""
+        return tables.pinned(tables.active_imports(self.import_rows))
+
     @property
     def day(self):
         return F.lit(self.as_of)

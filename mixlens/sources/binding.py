@@ -64,7 +64,7 @@ def classifications(spark: SparkSession, root: str) -> DataFrame:
 
 def restaurants(spark: SparkSession, root: str) -> DataFrame:
     nation = table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    return nation.select(restaurant_id("n_nationkey").alias("restaurant_id"), F.col("n_name").alias("source_name"), F.col("n_name").alias("display_name"), F.lit("Active").alias("status"), F.when(F.col("n_regionkey") == 4, "No").otherwise("Yes").alias("reporting_enabled"))
+    return nation.select(restaurant_id("n_nationkey").alias("restaurant_id"), F.col("n_name").alias("source_name"), F.col("n_name").alias("display_name"), F.lit("Active").alias("status"), F.when(F.col("n_regionkey").eqNullSafe(4), "No").otherwise("Yes").alias("reporting_enabled"))
 
 
 def restaurant_id(key):
@@ -90,7 +90,7 @@ def facts(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce("o_orderpriority", F.lit("")).alias("reporting_channel"),
         F.col("l_quantity").cast(S.MONEY).alias("quantity"),
         F.col("l_extendedprice").cast(S.MONEY).alias("sales_amount"),
-        F.when(F.col("l_linestatus") == "F", S.ACTIVE_FINALIZED).otherwise("Superseded").alias("publication_state"),
+        F.when(F.col("l_linestatus").eqNullSafe("F"), S.ACTIVE_FINALIZED).otherwise("Superseded").alias("publication_state"),
     )
 
 
