@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
@@ -17,14 +20,23 @@ from pyspark.sql import types as T
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+#: Folders of sessions of one machine that name none, by application; removed when the process ends.
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``.  Where a session of one machine names none, the warehouse
-    folder stands in; on a cluster a missing setting is an error, as executors might write where others cannot read."""
+    """The folder all executors share, ``spark.checkpoint.dir``.  A local session that names none (tests, the benchmark) gets
+    one of its own; on a cluster a missing setting is an error, as executors would write where others cannot read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir") + "/mixlens-scratch"
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="mixlens-")
+            atexit.register(shutil.rmtree, folder, True)
+            _own[app] = f"file://{folder}"
+        root = _own[app]
     return root.rstrip("/")
 
 
@@ -127,9 +139,9 @@ def text_batches(batches, chars: int = 2_000_000):
             yield keys, texts
 
 
-def chunks(batch: pa.RecordBatch, chars: int = 2_000_000):
-    """Offsets and numbers of rows whose texts (column 1) hold about ``chars`` bytes."""
-    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)], np.int64) if batch.num_rows else np.zeros(0)
+def chunks(batch: pa.RecordBatch, chars: int = 2_000_000, column: int = 1):
+    """Offsets and numbers of rows whose texts (of one column) hold about ``chars`` bytes."""
+    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64) if batch.num_rows else np.zeros(0)
     at, total = 0, 0
     for k, n in enumerate(size.tolist()):
         total += n

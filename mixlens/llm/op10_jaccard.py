@@ -275,7 +275,7 @@ def marks(df: DataFrame, columns: tuple[str, ...], k: int, text: str = "text") -
 
     def run(batches):
         for batch in batches:
-            for at, size in common.chunks(batch, HASHED):
+            for at, size in common.chunks(batch, HASHED, len(columns)):
                 part = batch.slice(at, size)
                 rows = [(len(f), *fingerprint(f)) if len(f) else (0, 0, 0) for f, _ in shingles(part.column(len(columns)).to_pylist(), k)]
                 yield pa.record_batch([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names)
