@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlens import schema as S
-from mixlens.functions.fingerprint import boundary_snapshot, mapping_fingerprint, metric_result_id, protected_snapshot, restaurant_scope_fingerprint
-from mixlens.operators import aggregates, kpi, mapping, ordering, validation
+from mixlens.functions import scalar
+from mixlens.functions.fingerprint import boundary_snapshot, mapping_fingerprint, metric_result_id, protected_snapshot, record, restaurant_scope_fingerprint
+from mixlens.operators import aggregates, kpi, mapping, ordering, sinks, validation
+from mixlens.plans import authoring, migration
 from mixlens.plans import decisions as plans
-from mixlens.plans import migration
 from mixlens.plans.decisions import decisions
 from mixlens.plans.refresh import Model
 from mixlens.sources import binding, tables
@@ -656,6 +657,81 @@ def protected_snapshots(spark, root):
     return protected_snapshot({"facts": binding.facts(spark, root), "groups": binding.groups(spark), "rules": binding.rules(spark)})
 
 
+@query("SELECT rid AS mapping_rule_id, 'SRC-1|' || scope || '|' || node || '|' || action || '|' || CASE WHEN action = 'Exclude' THEN '' ELSE target END AS semantic_key, " + _R("R", _T("rid"), _T("target"), _D("t")) + " AS record, CAST(date_diff('day', DATE '1970-01-01', f) + 25569 AS INT) AS from_serial, f AS from_date FROM rul")
+def rule_identity(spark, root):
+    return binding.rules(spark).select(
+        "mapping_rule_id", scalar.semantic_key().alias("semantic_key"), record("R", "mapping_rule_id", "target_reporting_group_id", scalar.date_serial("effective_to")).alias("record"),
+        scalar.date_serial("effective_from").alias("from_serial"), scalar.serial_date(scalar.date_serial("effective_from")).alias("from_date"),
+    )
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> '')), ', ') AS words, abs(p_retailprice - round(p_retailprice, 1)) <= greatest(1e-6, abs(round(p_retailprice, 1)) * 1e-12) AS almost FROM part")
+def delimited_and_almost_equal(spark, root):
+    part = tables.table(spark, root, "part", ["p_partkey", "p_name", "p_retailprice"])
+    return part.select("p_partkey", scalar.delimited(F.replace("p_name", F.lit(" "), F.lit(" , "))).alias("words"), scalar.almost_equal("p_retailprice", F.round("p_retailprice", 1)).alias("almost"))
+
+
+@query("SELECT rid AS mapping_rule_id, target AS target_reporting_group_id, CASE WHEN rid = 'MAP-000005' THEN 'Inactive' ELSE status END AS status FROM rul UNION ALL SELECT 'MAP-000013', 'RPG-0002', 'Active'")
+def rule_authoring(spark, root):
+    m = Model.bind(spark, root)
+    more = authoring.add_rule(m.rules, m.nodes(), m.groups, "SRC-1", S.PRODUCT, "PRD-000009", "RPG-0002", m.day)
+    return authoring.end_rule(more, "MAP-000005").select("mapping_rule_id", "target_reporting_group_id", "status")
+
+
+_NEW_RULES = [
+    ("MAP-000001", S.MAIN, "SRC-1 || Main || ECONOMY", "RPG-0001"), ("MAP-000101", S.MAIN, "SRC-1 || Main || Nowhere", "RPG-0002"), ("MAP-000102", S.MAIN, "SRC-1 || Main || LARGE", "RPG-0004"), ("MAP-000103", S.MAIN, "SRC-1 || Main || LARGE", "RPG-9999"),
+]
+
+
+@query(", nr(rid, scope, node, target) AS (VALUES " + _values(_NEW_RULES) + ") SELECT 'rule-target' AS check_id, rid AS entity_id, 'the target is not active' AS message FROM nr WHERE target NOT IN (SELECT gid FROM grp WHERE active = 'Yes') UNION ALL SELECT 'rule-node', rid, 'no such node' FROM nr WHERE node NOT IN (SELECT main_node_id FROM nodes) UNION ALL SELECT 'rule-id', rid, 'the id is in use' FROM nr WHERE rid IN (SELECT rid FROM rul)")
+def authoring_validation_errors(spark, root):
+    m = Model.bind(spark, root)
+    new = tables.literal(spark, [(i, "SRC-1", scope, node, target, "Map", None, None, "Active", 0) for i, scope, node, target in _NEW_RULES], S.RULES)
+    return validation.authoring_errors(m.rules, new, validation.node_catalogue(m.nodes()), m.groups)
+
+
+_BAD_DEFINITIONS = [("D-1", "RPG-0001", "CAT-Brand#1", "Equivalent", "Yes"), ("D-1", "RPG-0002", "CAT-Brand#1", "Partial", "Yes"), ("D-2", "RPG-7777", "CAT-Brand#2", "Equivalent", "Yes"), ("D-3", "RPG-0003", "CAT-None", "Same", "Yes")]
+
+
+@query(", bd(did, gid, cat, cstat, active) AS (VALUES " + _values(_BAD_DEFINITIONS) + """)
+SELECT 'equivalence-group' AS check_id, did AS entity_id, 'unknown group' AS message FROM bd WHERE gid NOT IN (SELECT gid FROM grp)
+UNION ALL SELECT 'equivalence-category', did, 'unknown category' FROM bd WHERE cat NOT IN (SELECT legacy_reporting_category_id FROM facts)
+UNION ALL SELECT 'equivalence-status', did, 'unknown comparison status' FROM bd WHERE cstat NOT IN ('Equivalent', 'Partial', 'Not Comparable')
+UNION ALL SELECT 'equivalence-target', did, 'more than one group' FROM bd GROUP BY did HAVING count(DISTINCT gid) > 1
+UNION ALL SELECT 'equivalence-mixed', did, 'more than one status' FROM bd GROUP BY did HAVING count(DISTINCT cstat) > 1
+UNION ALL SELECT 'equivalence-member', did, 'repeated category' FROM bd GROUP BY did, cat HAVING count(*) > 1""")
+def definition_validation_errors(spark, root):
+    known = tables.category_ids(binding.facts(spark, root).select(F.col("legacy_reporting_category_id").alias("legacy_category_id")).distinct())
+    wrong = tables.equivalences(tables.literal(spark, _BAD_DEFINITIONS, "definition_id string, reporting_group_id string, legacy_category_id string, comparison_status string, active string"))
+    return validation.definition_errors(wrong, binding.groups(spark), known)
+
+
+@query("SELECT 'fact-blank' AS check_id, '' AS entity_id, 'blank sales_fact_id' AS message FROM facts WHERE import_id = 'IMP-1996' UNION ALL SELECT 'fact-duplicate', sales_fact_id, 'duplicate key' FROM facts WHERE import_id = 'IMP-1997' UNION ALL SELECT 'fact-duplicate', '', 'duplicate key' FROM facts WHERE import_id = 'IMP-1996' HAVING count(*) > 1 UNION ALL SELECT 'fact-product', sales_fact_id, 'blank product' FROM facts WHERE import_id = 'IMP-1998'")
+def fact_validation_errors(spark, root):
+    rows = binding.facts(spark, root)
+    rows = rows.unionByName(rows.where("import_id = 'IMP-1997'"))
+    rows = rows.withColumn("product_id", F.when(F.col("import_id") == "IMP-1998", "").otherwise(F.col("product_id")))
+    return validation.fact_errors(rows.withColumn("sales_fact_id", F.when(F.col("import_id") == "IMP-1996", "").otherwise(F.col("sales_fact_id"))))
+
+
+@query("SELECT 'result' AS check_id, import_id || '|' || scope_type || '|' || restaurant_id || '|' || reporting_group_id AS entity_id, CASE WHEN scope_type = 'Company' THEN 'missing' ELSE 'differs' END AS message FROM res WHERE scope_type = 'Company' OR reporting_group_id = 'RPG-0002'")
+def result_validation_errors(spark, root):
+    made = Model.bind(spark, root).shares(identify=True)
+    stored = made.where("scope_type <> 'Company'").withColumn("metric_value", F.when(F.col("reporting_group_id") == "RPG-0002", -1.0).otherwise(F.col("metric_value")))
+    return validation.result_errors(made, stored)
+
+
+@query("SELECT gid AS reporting_group_id, CASE WHEN gid = 'RPG-0004' THEN 'Back' ELSE gname END AS reporting_group_name, CASE WHEN gid = 'RPG-0004' THEN 'Yes' ELSE active END AS active, CAST(sort_order AS INT) AS sort_order FROM grp UNION ALL SELECT 'RPG-0005', 'New', 'Yes', 50")
+def group_upsert(spark, root):
+    changes = tables.literal(spark, [("RPG-0004", "Back", "Yes", 40), ("RPG-0005", "New", "Yes", 50)], S.GROUPS)
+    return sinks.upsert(binding.groups(spark), changes, "reporting_group_id")
+
+
+@query(f"SELECT {MEASURES} FROM bri WHERE publication_state = 'Active Finalized' AND import_id = 'IMP-1996' AND reporting_channel = '1-URGENT'")
+def one_scope_totals(spark, root):
+    return aggregates.totals(aggregates.in_scope(Model.bind(spark, root).bridge(), S.ACTIVE_FINALIZED, "IMP-1996", "1-URGENT", "All restaurants"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
