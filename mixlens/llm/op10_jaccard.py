@@ -20,8 +20,9 @@ asks share a shingle among the first ``n - ceil(t * n) + 1`` of each, and differ
 
 No pass emits all pairs of a group, and none is capped, so no link between different components is lost.
 
-Null or blank texts, and null keys, have or take no links: their component is their own key.  Equal rows are one node;
-rows that share a key but not a text follow their own texts.  Other columns are ignored.  An empty table gives none.
+Null or blank texts, and null keys, have or take no links: their component is their own key.  Equal rows are one node; a
+text is known by the least key that has it, so texts with the same least key are one node, and any other row follows its own
+text.  Other columns are ignored.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def possible(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bins leave room for enough shared shingles."""
+def possible(pairs: DataFrame, ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs, of documents in ``ids``, whose bins leave room for enough shared shingles."""
 
     def run(batches):
         for batch in batches:
@@ -152,7 +153,6 @@ def possible(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep[both] = (100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= percent * n[both]
             yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     own = docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "n", "fa", "fb", "bins").dropDuplicates(["doc_id", "n", "fa", "fb"])
     x, y = (own.select(F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bins").alias(f"bins{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "binsa", "binsb")
@@ -175,8 +175,9 @@ def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are alike: 100 * intersection >= percent * union."""
     pairs = common.materialize(pairs.select("a", "b").where("a < b").distinct(), "pairs")
-    pairs, old = common.materialize(possible(pairs, docs, percent).distinct(), "possible"), pairs
-    common.drop(old)
+    ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    pairs, old = common.materialize(possible(pairs, ids, docs, percent).distinct(), "possible"), pairs
+    common.drop(old, ids)
     ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     whole = sets(rows, ids, k)
     left, right = whole.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), whole.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
@@ -333,7 +334,7 @@ def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text
     joined = pairs.join(links, ["a", "b"], "left_anti")
     more = verify(joined, full, known, k, percent)
     part = common.materialize(components(links.union(more)), "components")
-    common.drop(index, tails, member, inside, split, met)
+    common.drop(index, tails, member, inside, split, met, links, more)
 
     # 5. every row gets its class's component
     final = classes.join(part.withColumnRenamed("node", "c"), "c", "left").select("n", "fa", "fb", "rows", F.coalesce("component", "c").alias("component"))
