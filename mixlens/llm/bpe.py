@@ -26,16 +26,18 @@ from functools import cache
 import numpy as np
 
 from mixlens.llm.pretokens import INNER_SPACE, SLICE, byte_level_pattern, slices
+from mixlens.llm.shingles import _of_byte, _power, mix
 
-#: Entries that each half of a worker's memo of finished pre-tokens holds before it becomes the older half, bytes of a
+#: Entries that each half of a worker's memo of finished parts holds before it becomes the older half, bytes of a
 #: pre-token that is merged in bulk, and characters of windows that are worked on together.
-MEMO_ENTRIES, SHORT, TOGETHER = 200_000, 64, 1_000_000
-
-
+MEMO_ENTRIES, SHORT, TOGETHER = 300_000, 64, 600_000
 #: ASCII punctuation and symbols: a run of them after letters is one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+_sure = mix(_of_byte)
+
+
 @cache
 def byte_symbols() -> dict[str, int]:
     """The published byte-to-character table: printable Latin-1 stands for itself, the rest follow from U+0100."""
@@ -242,6 +244,44 @@ class Engine:
         return merge_many(self.table, symbols, lengths)
 
 
+def ragged(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` values from ``at`` on, one after the other."""
+    return values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class Memo:
+    """Ids of finished parts by 128 bits of their bytes: sorted tables, each more than twice as large as the next."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[np.ndarray, ...]] = []
+        self.ids, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def look(self, key: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each key, the number -1 where it isn't held."""
+        at, n = np.zeros(len(key), np.int64), np.full(len(key), -1, np.int64)
+        for keys, sures, places, numbers in self.tables:
+            open_ = np.flatnonzero(n < 0)
+            found = np.minimum(np.searchsorted(keys, key[open_]), len(keys) - 1)
+            hit = (keys[found] == key[open_]) & (sures[found] == sure[open_])
+            at[open_[hit]], n[open_[hit]] = places[found[hit]], numbers[found[hit]]
+        return at, n
+
+    def add(self, key: np.ndarray, sure: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Keys (ascending) that aren't held, with their ids one after the other."""
+        if not len(key):
+            return
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        new = (key, sure, self.used + np.cumsum(n) - n, n)
+        self.used, self.size = self.used + len(ids), self.size + len(key)
+        while self.tables and len(self.tables[-1][0]) <= 2 * len(new[0]):
+            both = [np.concatenate(x) for x in zip(self.tables.pop(), new, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            new = tuple(x[order] for x in both)
+        self.tables.append(new)
+
+
 class Transducer:
     """Whole texts to ids, packed as little-endian unsigned 32-bit integers, a window at a time."""
 
@@ -249,74 +289,104 @@ class Transducer:
         self.bpe, self.engine = bpe, Engine(bpe)
         self.pattern = byte_level_pattern()
         self.find, self.added = self.pattern.findall, added_pattern(bpe.added)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        #: What the memo has not met since it last turned.
-        self.older: dict[str, bytes] = {}
+        #: What was met since the memo last turned, and what was met before.
+        self.memo, self.older = Memo(), Memo()
         #: Tokens that have left the window, and windows that a run outgrew.
         self.emitted = self.outgrown = 0
 
-    def _pack(self, words: list[str]) -> list[bytes]:
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts that are whole pre-tokens, and how many each has.  A space and letters are one pre-token; with
+        ASCII marks after them two; what is neither is left to the pattern."""
+        words: dict[str, int] = {}
+        number = lambda w: words.setdefault(w, len(words))
+        held, count = [], []
+        for part in parts:
+            base = part.rstrip(MARKS)
+            if base[1:].isalpha() and base[0] == " ":
+                held.append(number(base))
+                if base is not part and len(base) < len(part):
+                    held.append(number(part[len(base) :]))
+                    count.append(2)
+                else:
+                    count.append(1)
+            else:
+                found = self.find(part)
+                held.extend(map(number, found))
+                count.append(len(found))
         data = [w.encode() for w in words]
-        short = [k for k, d in enumerate(data) if len(d) <= SHORT]
-        out = [b""] * len(words)
-        if short:
-            ids, counts = self.engine([data[k] for k in short])
-            packed, at = ids.astype("<u4").tobytes(), 0
-            for k, end in zip(short, (4 * np.cumsum(counts)).tolist(), strict=True):
-                out[k] = packed[at:end]
-                at = end
-        if len(short) < len(words):
-            for k, d in enumerate(data):
-                if len(d) > SHORT:
-                    out[k] = b"".join(array("I", ids).tobytes() for ids in self.bpe.stream(d))
-        return out
-
-    def _learn(self, chunks: set[str], words: set[str]) -> None:
-        """Enter chunks (what follows a space that begins a pre-token) and pre-tokens that aren't known yet.  Letters with
-        ASCII marks after them are two pre-tokens; what is neither that nor letters alone is left to the pattern."""
-        plain = [c for c in chunks if c.isalpha()]
-        rest = list(chunks.difference(plain))
-        bases = [c.rstrip(MARKS) for c in rest]
-        marked = [k for k, base in enumerate(bases) if base.isalpha()]
-        tails = [rest[k][len(bases[k]) :] for k in marked]
-        mixed = {rest[k]: self.find(" " + rest[k]) for k in set(range(len(rest))).difference(marked)}
-        fresh = {bases[k] for k in marked}.difference(self.chunks, plain)
-        again = fresh.intersection(self.older)
-        self.chunks.update(zip(again, map(self.older.__getitem__, again)))  # noqa: B905
-        plain.extend(fresh.difference(again))
-        words = list(words.union(tails, *mixed.values()).difference(self.words))
-        packed = self._pack([*words, *(" " + c for c in plain)])
-        self.words.update(zip(words, packed))  # noqa: B905
-        self.chunks.update(zip(plain, packed[len(words) :], strict=True))
-        chunk, word = self.chunks.__getitem__, self.words.__getitem__
-        self.chunks.update((rest[k], chunk(bases[k]) + word(tail)) for k, tail in zip(marked, tails, strict=True))
-        self.chunks.update((c, b"".join(map(word, found))) for c, found in mixed.items())
+        short = np.array([len(d) <= SHORT for d in data], bool)
+        runs = [d for d in data if len(d) <= SHORT]
+        ids, n = self.engine(runs) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        size, place = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        size[short], place[short] = n, np.cumsum(n) - n
+        for k in np.flatnonzero(~short).tolist():
+            long = [x for more in self.bpe.stream(data[k]) for x in more]
+            place[k], size[k] = len(ids), len(long)
+            ids = np.concatenate([ids, np.array(long, np.int64)])
+        held, count = np.array(held, np.int64), np.array(count, np.int64)
+        total = np.concatenate([[0], np.cumsum(size[held])])
+        ends = np.cumsum(count)
+        return ragged(ids, place[held], size[held]).astype(np.uint32), total[ends] - total[ends - count]
 
     def _merge_windows(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of windows that begin and end with a pre-token.  The memo has two halves: a full one becomes the
-        older, and of that one what is met again moves to the new; the rest is forgotten with it."""
-        heads: list[list[str]] = []
-        rests: list[list[str]] = []
-        for piece in pieces:
+        """Packed ids of windows that begin and end with a pre-token.  A window is cut into parts that are whole pre-tokens,
+        at its spaces or, where spaces stand beside white space, at its pre-tokens; equal parts are looked up or learnt
+        once.  The memo has two halves: a full one becomes the older, and of that one what is met again moves to the new."""
+        if not pieces:
+            return []
+        raw = [p.encode() for p in pieces]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(data):
+            return [b""] * len(pieces)
+        size = np.array([len(r) for r in raw], np.int64)
+        piece_at = np.cumsum(size) - size
+        first = data == 32
+        first[piece_at[size > 0]] = True
+        for k, piece in enumerate(pieces):
             if INNER_SPACE.search(piece):
-                heads.append(self.find(piece))
-                rests.append([])
-            else:
-                first, *rest = piece.split(" ")
-                heads.append(self.find(first))
-                rests.append(rest)
-        chunks = set().union(*rests).difference(self.chunks)
-        again = chunks.intersection(self.older)
-        self.chunks.update(zip(again, map(self.older.__getitem__, again)))  # noqa: B905
-        self._learn(chunks.difference(again), set().union(*heads).difference(self.words))
-        word, chunk = self.words.__getitem__, self.chunks.__getitem__
-        out = [b"".join([*map(word, head), *map(chunk, rest)]) for head, rest in zip(heads, rests, strict=True)]
-        if len(self.chunks) >= MEMO_ENTRIES:
-            self.older, self.chunks = self.chunks, {}
-        if len(self.words) >= MEMO_ENTRIES // 4:
-            self.words = {}
-        return out
+                own = first[piece_at[k] : piece_at[k] + size[k]]
+                own[:] = False
+                own[np.cumsum([0, *(len(w.encode()) for w in self.find(piece)[:-1])])] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(data))
+        power, inverse = _power(len(data) + 1)
+        keys = []
+        for table in (_of_byte, _sure):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * power[: len(data)], out=sums[1:])
+            keys.append(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        key, which, whose = np.unique(keys[0], return_index=True, return_inverse=True)
+        sure = keys[1][which]
+        if not np.array_equal(sure[whose], keys[1]):  # two parts under one key: each for itself
+            which, whose = np.arange(len(start)), np.arange(len(start))
+            at, n, held = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64), None
+        else:
+            at, n = self.memo.look(key, sure)
+            held = self.memo.ids
+        lost = np.flatnonzero(n < 0)
+        new_n = np.zeros(0, np.int64)
+        new_ids = np.zeros(0, np.uint32)
+        if len(lost):
+            old_at, old_n = self.older.look(key[lost], sure[lost]) if held is not None else (np.zeros(len(lost), np.int64), np.full(len(lost), -1, np.int64))
+            fresh = np.flatnonzero(old_n < 0)
+            whole = data.tobytes()
+            ids, count = self._learn([whole[a:b].decode() for a, b in zip(start[which[lost[fresh]]].tolist(), end[which[lost[fresh]]].tolist(), strict=True)])
+            place, new_n = old_at.copy(), old_n.copy()
+            place[fresh], new_n[fresh] = self.older.used + np.cumsum(count) - count, count
+            new_ids = ragged(np.concatenate([self.older.ids[: self.older.used], ids]), place, new_n)
+            if held is not None:
+                self.memo.add(key[lost], sure[lost], new_ids, new_n)
+        own_at = at.copy()
+        source = np.concatenate([new_ids, held[: self.memo.used]]) if held is not None else new_ids
+        own_at += len(new_ids)
+        own_at[lost] = np.cumsum(new_n) - new_n
+        n[lost] = new_n
+        out = ragged(source, own_at[whose], n[whose]).astype("<u4").tobytes()
+        bound = 4 * np.concatenate([[0], np.cumsum(n[whose])])
+        cut = bound[np.searchsorted(start, np.append(piece_at, len(data)))].tolist()
+        if self.memo.size >= MEMO_ENTRIES:
+            self.older, self.memo = self.memo, Memo()
+        return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def windows(self, text: str) -> Iterator[tuple[int, int, int | None]]:
         """The windows of a text in order: start, end, and the id of an added token, or -1 for a run that outgrows the
