@@ -127,7 +127,7 @@ def test_memo_is_bounded(bpe, monkeypatch):
         text = " ".join(f"w{k}x{j}" for j in range(50))
         assert list(np.frombuffer(machine.encode(text), "<u4")) == lib.encode(text, add_special_tokens=False).ids
         assert list(np.frombuffer(machine.encode(text + " again"), "<u4")) == lib.encode(text + " again", add_special_tokens=False).ids
-    assert len(machine.chunks) + len(machine.older) < 120
+    assert machine.memo.size + machine.older.size < 120
 
 
 def test_windows_of_any_text(bpe):
