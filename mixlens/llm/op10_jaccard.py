@@ -190,16 +190,14 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
 
 
 def shared_index(heads: DataFrame) -> DataFrame:
-    """``g, n, at, token`` of the prefix shingles that two groups or more hold; ``at`` counts the shingles that cannot be
-    shared with a set that shares this one first: those before it, and all of the prefix that no other group holds.  The
+    """``g, n, at, token`` of the prefix shingles that two groups or more hold in their prefixes; ``at`` is the shingle's place in
+    the order.  Of two sets that share a shingle at places (at, at2) and none before, no more than the shorter rest is
+    shared.  A shingle that no other prefix holds may still lie behind another set's prefix, so only the place counts.  The
     shared ones' hashes are broadcast as far as the bound permits; beyond it the index is joined with them."""
     tokens = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     tokens = common.materialize(tokens.where("m > 1").select("token"), "tokens")
     if tokens.count() > BROADCAST_HASHES:  # the written hashes stay, as the join reads them
-        flat = heads.select(F.col("doc_id").alias("g"), "n", "pf", F.size("prefix").alias("l"), F.posexplode("prefix").alias("at", "token")).join(tokens, "token")
-        own = Window.partitionBy("g", "n", "pf")
-        later = F.col("l") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("at")) - 1
-        return flat.select("g", "n", later.cast("int").alias("at"), "token")
+        return heads.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("at", "token")).join(tokens, "token").select("g", "n", "at", "token")
     known = heads.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0)) for b in tokens.toArrow().to_batches())])))
     common.drop(tokens)
 
@@ -207,12 +205,10 @@ def shared_index(heads: DataFrame) -> DataFrame:
         last = known.value
         for batch in batches:
             lists = batch.column(2)
-            values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+            values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             hit = np.flatnonzero(last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values) if len(last) else np.zeros(0, np.int64)
-            row = row[hit]
-            held = np.bincount(row, minlength=batch.num_rows)
-            at = (np.diff(offsets) - held)[row] + np.arange(len(hit)) - (np.cumsum(held) - held)[row]
+            row, at = row[hit], hit - offsets[row[hit]]
             yield pa.record_batch([pa.array(np.asarray(batch.column(c))[row]) for c in (0, 1)] + [pa.array(at.astype(np.int32)), pa.array(values[hit])], ["g", "n", "at", "token"])
 
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))

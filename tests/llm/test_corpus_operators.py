@@ -113,6 +113,31 @@ def test_classes_of_one_group_meet(spark):
         assert got == root
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 95), (4, 50)])
+def test_links_of_isolated_pairs(spark, k, percent):
+    """Pairs of texts apart from all others, one made from the other by a run of words before, behind, taken out, put in or
+    changed in single places: no link may be lost, whatever of the order lies behind a prefix."""
+    own = random.Random(k * percent)
+    long_word = lambda n=0: "".join(own.choice("abcdefghijklmnop") for _ in range(n or own.randint(2, 14)))
+    rows, kinds = [], ("front", "behind", "out", "in", "single")
+    for p in range(400):
+        a = [long_word() for _ in range(own.randint(20, 120))]
+        part, kind = 1 + own.randrange(max(1, (120 - percent) * len(a) // 100)), kinds[p % 5]
+        at = own.randrange(len(a))
+        run = [long_word(own.choice([0, 20])) for _ in range(part)]
+        b = {"front": run + a, "behind": a + run, "out": a[:at] + a[at + part :], "in": a[:at] + run + a[at:]}.get(kind)
+        if b is None:
+            b = a.copy()
+            for _ in range(1 + part // 5):
+                b[own.randrange(len(b))] = long_word()
+        rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+    sets = {d: shingles(t, k) for d, t in rows}
+    alike = {2 * p for p in range(400) if 100 * len(sets[2 * p] & sets[2 * p + 1]) >= percent * len(sets[2 * p] | sets[2 * p + 1])}
+    got = {r["doc_id"]: r["component_id"] for r in op10_jaccard.link(frame(spark, rows), k, percent).collect()}
+    assert 40 < len(alike) < 400 and {d for d in got if d % 2 == 0 and got[d + 1] == d} == alike
+    assert all(got[d] == d for d in got if d % 2 == 0)
+
+
 def test_links_under_varied_white_space(spark):
     own = random.Random(5)
     rows = []
