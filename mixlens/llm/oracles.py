@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mixlens.llm import op1_quality, op4_urls
+from mixlens.llm import op1_quality, op4_urls, op11_trie, op13_hotjoin
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')".format
 
@@ -69,4 +69,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality(), "op4_url_filters": op4_urls.ORACLE, "op7_exact_topk": TOP_K, "op10_jaccard_join": COMPONENTS}
+    return {
+        "op1_quality_rules": quality(), "op4_url_filters": op4_urls.ORACLE, "op7_exact_topk": TOP_K, "op10_jaccard_join": COMPONENTS,
+        "op11_prefix_trie": op11_trie.oracle(op13_hotjoin.crc32("CAST(c AS VARCHAR)")), "op13_hot_key_join": op13_hotjoin.ORACLE,
+    }

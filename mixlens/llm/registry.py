@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard, oracles
+from mixlens.llm import op1_quality, op2_packing, op3_counts, op4_urls, op5_bpe, op6_html, op7_topk, op8_substring, op9_langid, op10_jaccard, op11_trie, op12_pii, op13_hotjoin, oracles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring.query,
         "op9_language_id": op9_langid.query,
         "op10_jaccard_join": op10_jaccard.query,
+        "op11_prefix_trie": op11_trie.query,
+        "op12_pii": op12_pii.query,
+        "op13_hot_key_join": op13_hotjoin.query,
     }
 
 
