@@ -18,6 +18,15 @@ def metric_bridge(facts: DataFrame, effective: DataFrame, fingerprint: Column |
     return rows.withColumn("mapping_fingerprint", mark).withColumn("metric_refresh_at", when).select(*S.BRIDGE)
 
 
+def metric_bridge_as_of(facts: DataFrame, effective: DataFrame, day: str = "fact_date", fingerprint: Column | str = "", refreshed_at: Column | None = None) -> DataFrame:
+    """The bridge in which each fact has the mapping of its product on the fact's own day (``mapping.resolve_as_of``)."""
+    mapping = effective.select("product_id", F.col("as_of_date").alias(day), "effective_reporting_group_id", "effective_reporting_group_name", "resolution_source", "resolution_state", "resolution_status", "winning_rule_id")
+    rows = facts.join(mapping, ["product_id", day], "left").withColumn("mapping_as_of_date", F.col(day))
+    mark = fingerprint if isinstance(fingerprint, Column) else F.lit(fingerprint)
+    when = refreshed_at if refreshed_at is not None else F.lit(None).cast("timestamp")
+    return rows.withColumn("mapping_fingerprint", mark).withColumn("metric_refresh_at", when).select(*S.BRIDGE)
+
+
 def only_enabled(facts: DataFrame, restaurants: DataFrame) -> DataFrame:
     """Rows of enabled restaurants."""
     return facts.join(restaurants.select("restaurant_id"), "restaurant_id", "left_semi")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlens import schema as S
-from mixlens.functions.scalar import hierarchy_level, id_list, in_effect, intervals_overlap, main_node_id
+from mixlens.functions.scalar import hierarchy_level, id_list, in_effect, main_node_id
+from mixlens.operators import intervals
 
 #: Column of a product that holds its node at each scope type.
 NODES = {S.MAIN: "main_node_id", S.SUB: "source_classification_id", S.PRODUCT: "product_id"}
+#: What a rule is about, and what it says.
+NODE, RULE = ["source_system_id", "scope_type", "node_id"], ["mapping_rule_id", "target_reporting_group_id", "rule_action"]
 LINEAGE = {S.MAIN: "main_category", S.SUB: "subcategory", S.PRODUCT: "product"}
 
 
@@ -42,13 +45,27 @@ def applicable(rules: DataFrame, as_of: Column) -> DataFrame:
 
 
 def rule_conflicts(rules: DataFrame) -> DataFrame:
-    """Pairs of active rules on one node whose intervals overlap, in input order."""
+    """Pairs of active rules on one node whose intervals overlap, in input order (``seq``, then id).  A sweep leaves the rules that
+    overlap some other; those meet by buckets of days, so a node with many rules costs what its pairs do.  A rule that ends before
+    it begins is in no pair; ``rule_errors`` tells it."""
     act = rules.where("status = 'Active'")
-    a, b = act.alias("a"), act.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("source_system_id", "scope_type", "node_id")]
-    overlap = intervals_overlap(F.col("a.effective_from"), F.col("a.effective_to"), F.col("b.effective_from"), F.col("b.effective_to"))
-    found = a.join(b, [*same, F.col("a.seq") < F.col("b.seq"), overlap])
-    return found.select(F.col("a.mapping_rule_id").alias("left_rule_id"), F.col("b.mapping_rule_id").alias("right_rule_id"), F.col("a.scope_type").alias("scope_type"), F.col("a.node_id").alias("node_id"), F.lit("Overlap").alias("status"))
+    place = act.select(*NODE, F.struct("seq", "mapping_rule_id").alias("rule"), "effective_from", "effective_to")
+    met = intervals.overlaps(place, NODE, "effective_from", "effective_to", "rule")
+    left, right = F.least("a", "b"), F.greatest("a", "b")
+    return met.select(left["mapping_rule_id"].alias("left_rule_id"), right["mapping_rule_id"].alias("right_rule_id"), "scope_type", "node_id", F.lit("Overlap").alias("status"))
+
+
+def rule_overlaps(rules: DataFrame) -> DataFrame:
+    """Every active rule with whether it overlaps one of its node that begins earlier or later, and the start of its chain of
+    overlaps."""
+    act = rules.where("status = 'Active'").select("mapping_rule_id", *NODE, "effective_from", "effective_to")
+    return intervals.sweep(act, NODE, "effective_from", "effective_to", "mapping_rule_id")
+
+
+def _exploded(nodes: DataFrame, order, *keep: str) -> DataFrame:
+    """A row for each product and level, with the level's node."""
+    each = F.array(*(F.struct(F.lit(scope).alias("scope_type"), F.col(node).alias("node_id")) for scope, _, node, _ in order))
+    return nodes.select(*keep, "source_system_id", F.explode(each).alias("n")).select(*keep, "source_system_id", "n.scope_type", "n.node_id")
 
 
 def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column, hierarchy=S.HIERARCHY) -> DataFrame:
@@ -56,12 +73,28 @@ def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column
     exploded to (scope, node) and meet the day's rules on equal keys; one aggregation by product gathers each level's
     candidates, and the highest level that has any decides, so a conflict or an exclusion there hides what lies above."""
     order = levels(hierarchy)
-    each = F.array(*(F.struct(F.lit(scope).alias("scope_type"), F.col(node).alias("node_id")) for scope, _, node, _ in order))
-    keyed = nodes.select("product_id", "source_system_id", F.explode(each).alias("n")).select("product_id", "source_system_id", "n.scope_type", "n.node_id")
-    day = applicable(rules, as_of).select("source_system_id", "scope_type", "node_id", "mapping_rule_id", "target_reporting_group_id", "rule_action")
-    found = keyed.join(day, ["source_system_id", "scope_type", "node_id"])
+    found = _exploded(nodes, order, "product_id").join(applicable(rules, as_of).select(*NODE, *RULE), NODE)
+    return _decided(nodes.withColumn("as_of_date", as_of), found, groups, order, ["product_id"])
+
+
+def resolve_as_of(asked: DataFrame, nodes: DataFrame, rules: DataFrame, groups: DataFrame, hierarchy=S.HIERARCHY, day: str = "as_of_date", width: int = 32) -> DataFrame:
+    """The same for each product and day in ``asked(product_id, day)``, once each.  The days that a node is asked for, not its
+    products, meet the node's rules, by equi-join on node and bucket of days; a main category's candidates of a day are found once
+    for all its products."""
+    order = levels(hierarchy)
+    days = asked.select("product_id", F.col(day).alias("as_of_date")).where("as_of_date IS NOT NULL").distinct()
+    rows = nodes.join(days, "product_id")
+    keyed = _exploded(rows, order, "product_id", "as_of_date")
+    points = keyed.select(*NODE, "as_of_date").distinct()
+    act = rules.where("status = 'Active'").select(*NODE, *RULE, "effective_from", "effective_to")
+    met = intervals.interval_join(points, act, NODE, "as_of_date", "effective_from", "effective_to", width, intervals.extent(asked, day))
+    return _decided(rows, keyed.join(met, [*NODE, "as_of_date"]), groups, order, ["product_id", "as_of_date"])
+
+
+def _decided(rows: DataFrame, found: DataFrame, groups: DataFrame, order, keys: list[str]) -> DataFrame:
+    """The effective mapping of ``rows`` (products, with ``as_of_date``), one a key, from the candidates ``found``."""
     at = lambda scope, c: F.array_sort(F.collect_list(F.when(F.col("scope_type") == scope, F.col(c))))
-    by = found.groupBy("product_id").agg(
+    by = found.groupBy(*keys).agg(
         *(at(scope, c).alias(f"{name}_{c}") for scope, _, _, name in order for c in ("mapping_rule_id", "target_reporting_group_id")),
         *(F.max(F.when(F.col("scope_type") == scope, F.col("rule_action"))).alias(f"{name}_action") for scope, _, _, name in order),
     )
@@ -69,7 +102,7 @@ def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column
     for scope, _, _, name in order:
         own = F.struct(F.lit(scope).alias("scope"), F.col(f"{name}_mapping_rule_id").alias("ids"), F.col(f"{name}_target_reporting_group_id").alias("targets"), F.col(f"{name}_action").alias("action"))
         top = F.when(F.size(F.coalesce(f"{name}_mapping_rule_id", F.array().cast("array<string>"))) > 0, own).otherwise(top)
-    rows = nodes.join(by, "product_id", "left").withColumn("top", top)
+    rows = rows.join(by, keys, "left").withColumn("top", top)
     rows = rows.withColumn("target", F.when((F.size("top.ids") == 1) & (F.col("top.action") != "Exclude"), F.col("top.targets")[0]))
     rows = rows.join(groups.select(F.col("reporting_group_id").alias("target"), "reporting_group_name", "active"), "target", "left")
     none, many, out = F.col("top").isNull(), F.size("top.ids") > 1, F.col("top.action") == "Exclude"
@@ -84,7 +117,7 @@ def resolve(nodes: DataFrame, rules: DataFrame, groups: DataFrame, as_of: Column
         pick("Unmapped", "Explicit conflict", "Explicit exclusion", explicit).alias("resolution_state"),
         pick(S.UNMAPPED, S.CONFLICT, S.UNMAPPED, F.when(F.col("active").eqNullSafe("Yes"), S.MAPPED).otherwise(S.INACTIVE)).alias("resolution_status"),
         F.coalesce(id_list(F.col("top.ids")), F.lit("")).alias("winning_rule_id"),
-        "main_node_id", F.col("source_classification_id").alias("subcategory_node_id"), as_of.alias("as_of_date"),
+        "main_node_id", F.col("source_classification_id").alias("subcategory_node_id"), "as_of_date",
     )
 
 

@@ -733,8 +733,12 @@ def one_scope_totals(spark, root):
 
 
 def queries() -> dict[str, Query]:
+    import mixlens.dated_queries  # noqa: F401  (registers more)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import mixlens.dated_queries  # noqa: F401
+
     return dict(_oracles)

@@ -71,8 +71,9 @@ def restaurant_id(key):
     return F.concat(F.lit("RST-"), F.lpad(F.col(key).cast("string"), 2, "0"))
 
 
-def facts(spark: SparkSession, root: str) -> DataFrame:
-    """One fact a line item.  Parts, suppliers and nations join as dimensions; orders give the channel."""
+def facts(spark: SparkSession, root: str, dated: bool = False) -> DataFrame:
+    """One fact a line item.  Parts, suppliers and nations join as dimensions; orders give the channel.  ``dated``: also
+    ``fact_date``, the day it was shipped."""
     line = table(spark, root, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus"])
     orders = table(spark, root, "orders", ["o_orderkey", "o_orderpriority"])
     supplier = table(spark, root, "supplier", ["s_suppkey", "s_nationkey"])
@@ -91,6 +92,7 @@ def facts(spark: SparkSession, root: str) -> DataFrame:
         F.col("l_quantity").cast(S.MONEY).alias("quantity"),
         F.col("l_extendedprice").cast(S.MONEY).alias("sales_amount"),
         F.when(F.col("l_linestatus").eqNullSafe("F"), S.ACTIVE_FINALIZED).otherwise("Superseded").alias("publication_state"),
+        *([day.alias("fact_date")] if dated else []),
     )
 
 
