@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mixlens import schema as S
 from mixlens.functions import scalar
 from mixlens.functions.fingerprint import record
 from mixlens.operators import bridge as bridges
-from mixlens.operators import mapping
+from mixlens.operators import kpi, mapping, merge, planned
 from mixlens.plans.refresh import Model
 from mixlens.queries import _D, _R, _T, query
-from mixlens.sources import binding, dated, tables
+from mixlens.sources import binding, dated, scratch, tables
+from mixlens.streaming import supersession
 
 _G = "'GRP-' || lpad(CAST({} AS VARCHAR), 3, '0')".format
 _K = "CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT)"
@@ -85,3 +87,112 @@ def dated_rule_identity(spark, root):
         scalar.date_serial("effective_from").alias("from_serial"), scalar.serial_date(scalar.date_serial("effective_from")).alias("from_date"),
     )
 
+
+
+# Stored tables and streams: the tables are written and read again in the shared folder.
+
+def _corrections(rows):
+    """Changes to stored facts, by their order: amounts of 1996, some of 1997 moved to 1998, some of 1999 taken out, new ones in 2000."""
+    key = F.split("sales_fact_id", "-")[0].cast("long")
+    wrong = rows.where("import_id = 'IMP-1996'").where(key % 10 == 0).withColumn("quantity", (F.col("quantity") + 1).cast("decimal(18,2)")).withColumn("gone", F.lit(False))
+    moved = rows.where("import_id = 'IMP-1997'").where(key % 97 == 0).withColumn("import_id", F.lit("IMP-1998")).withColumn("gone", F.lit(False))
+    out = rows.where("import_id = 'IMP-1999'").where(key % 50 == 0).withColumn("gone", F.lit(True))
+    new = rows.where("import_id = 'IMP-2000'").where(key % 100 == 0).withColumn("sales_fact_id", F.concat(F.lit("N-"), "sales_fact_id")).withColumn("gone", F.lit(False))
+    return wrong.unionByName(moved).unionByName(out).unionByName(new)
+
+
+@query(""", mf AS (SELECT sales_fact_id, import_id, quantity, sales_amount, CAST(string_split(sales_fact_id, '-')[1] AS BIGINT) AS k FROM facts),
+mr AS (SELECT sales_fact_id, CASE WHEN import_id = 'IMP-1997' AND k % 97 = 0 THEN 'IMP-1998' ELSE import_id END AS import_id, CASE WHEN import_id = 'IMP-1996' AND k % 10 = 0 THEN quantity + 1 ELSE quantity END AS quantity, sales_amount FROM mf WHERE NOT (import_id = 'IMP-1999' AND k % 50 = 0)
+  UNION ALL SELECT 'N-' || sales_fact_id, import_id, quantity, sales_amount FROM mf WHERE import_id = 'IMP-2000' AND k % 100 = 0)
+SELECT sales_fact_id, import_id, CAST(quantity AS DOUBLE) AS quantity, CAST(sales_amount AS DOUBLE) AS sales_amount FROM mr""")
+def facts_after_merge(spark, root):
+    path = scratch.folder(spark, "facts")
+    rows = binding.facts(spark, root).select("sales_fact_id", "import_id", "quantity", "sales_amount")
+    rows.repartition("import_id").write.partitionBy("import_id").parquet(path)
+    changes = _corrections(rows)
+    merge.merge(changes, path, ["sales_fact_id"], "import_id", deleted=F.col("gone"))
+    return spark.read.parquet(path).select("sales_fact_id", "import_id", "quantity", "sales_amount")
+
+
+def _published(spark, root):
+    """Facts of shipping months and the states of these, as three deliveries of a stream: ``delivery`` and the columns of an event."""
+    line = tables.table(spark, root, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"])
+    part = tables.table(spark, root, "part", ["p_partkey", "p_brand"])
+    day = F.col("l_shipdate").cast("date")
+    month = F.concat(F.lit("IMM-"), F.date_format(day, "yyyy-MM"))
+    none = lambda t: F.lit(None).cast(t)
+    key = F.col("l_orderkey")
+    facts = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+        (key % 3).alias("delivery"), month.alias("import_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day.cast("string")).alias("sales_fact_id"),
+        F.col("l_returnflag").alias("reporting_channel"), F.concat(F.lit("RPG-"), "p_brand").alias("reporting_group_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("sales_amount"),
+        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"), none("string").alias("publication_state"), none("long").alias("version"), (key % 30 == 0).alias("again"),
+    )
+    repeated = facts.where("again").withColumn("delivery", F.lit(2))
+    months = line.select(month.alias("import_id"), F.month(day).alias("m")).distinct()
+    told = lambda when, state, v: months.where(when).select(F.lit(v - 1).alias("delivery"), "import_id", none("string").alias("sales_fact_id"), none("string").alias("reporting_channel"), none("string").alias("reporting_group_id"), none("decimal(18,2)").alias("sales_amount"), none("decimal(18,2)").alias("quantity"), F.lit(state).alias("publication_state"), F.lit(v).cast("long").alias("version"))
+    return facts.drop("again").unionByName(repeated.drop("again")).unionByName(told("m <> 1", S.ACTIVE_FINALIZED, 1)).unionByName(told("m % 4 = 0", "Superseded", 2)).unionByName(told("m % 8 = 0", S.ACTIVE_FINALIZED, 3))
+
+
+@query(""", lm AS (SELECT 'IMM-' || strftime(l_shipdate, '%Y-%m') AS import_id, month(l_shipdate) AS m, l_returnflag AS reporting_channel, 'RPG-' || p_brand AS reporting_group_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS s, CAST(l_quantity AS DECIMAL(18,2)) AS q FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
+SELECT import_id, reporting_channel, reporting_group_id, count(*) AS fact_count, CAST(sum(s) AS DOUBLE) AS sales_nok, CAST(sum(q) AS DOUBLE) AS quantity FROM lm WHERE m <> 1 AND (m % 4 <> 0 OR m % 8 = 0) GROUP BY 1, 2, 3""")
+def cube_after_supersession(spark, root):
+    path, arrived = scratch.folder(spark, "cube"), scratch.folder(spark, "events")
+    events = _published(spark, root)
+    for k in range(3):
+        events.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(supersession.EVENTS).parquet(arrived)
+        supersession.start(stream, path, f"{path}-checkpoint").awaitTermination()
+    return supersession.cube(spark, path)
+
+
+# Planned metrics.
+
+def _baskets(m):
+    """The bridge with the order of each fact as its basket."""
+    return m.bridge().withColumn("basket_id", F.split("sales_fact_id", "-")[0].cast("long"))
+
+
+@query(""", ab AS (SELECT import_id, restaurant_id, CAST(string_split(sales_fact_id, '-')[1] AS BIGINT) AS b, CASE WHEN resolution_status = 'Mapped' THEN effective_reporting_group_id END AS gid FROM kept),
+ap AS (SELECT import_id, 'Company' AS scope_type, '' AS restaurant_id, b, gid FROM ab UNION ALL SELECT import_id, 'Restaurant', restaurant_id, b, gid FROM ab),
+aw AS (SELECT import_id, scope_type, restaurant_id, count(DISTINCT b) AS baskets FROM ap GROUP BY 1, 2, 3), ag AS (SELECT import_id, scope_type, restaurant_id, gid, count(DISTINCT b) AS n FROM ap GROUP BY 1, 2, 3, 4)
+SELECT aw.import_id, aw.scope_type, aw.restaurant_id, grp.gid AS reporting_group_id, coalesce(n, 0) AS group_baskets, baskets, CAST(coalesce(n, 0) AS DOUBLE) / CAST(baskets AS DOUBLE) AS attach_rate
+FROM aw CROSS JOIN grp LEFT JOIN ag ON ag.import_id = aw.import_id AND ag.scope_type = aw.scope_type AND ag.restaurant_id = aw.restaurant_id AND ag.gid = grp.gid WHERE grp.active = 'Yes'""")
+def attach_rate(spark, root):
+    m = Model.bind(spark, root)
+    return planned.attach_rate(_baskets(m), m.imports, m.groups, m.restaurants)
+
+
+_PARTS = """, pb AS (SELECT cur, cmp, scope_type, restaurant_id, reporting_group_id AS gid, CAST(coalesce(max(CASE WHEN import_id = cur THEN ns END), 0) * 100 AS HUGEINT) AS n1, CAST(coalesce(max(CASE WHEN import_id = cmp THEN ns END), 0) * 100 AS HUGEINT) AS n0,
+    CAST(coalesce(max(CASE WHEN import_id = cur THEN ds END), 0) * 100 AS HUGEINT) AS d1, CAST(coalesce(max(CASE WHEN import_id = cmp THEN ds END), 0) * 100 AS HUGEINT) AS d0 FROM res, chosen WHERE import_id IN (cur, cmp) GROUP BY 1, 2, 3, 4, 5),
+pc AS (SELECT * FROM pb WHERE scope_type = 'Company'),
+pr AS (SELECT pb.*, pc.d1 AS t1, pc.d0 AS t0 FROM pb JOIN pc USING (gid) WHERE pb.scope_type = 'Restaurant'),
+pu AS (SELECT *, CASE WHEN t1 = 0 THEN 0 ELSE (n1 * 1000000000000) // t1 END AS c1, CASE WHEN t0 = 0 THEN 0 ELSE (n0 * 1000000000000) // t0 END AS c0, CASE WHEN t1 = 0 THEN 0 ELSE (d1 * 1000000000000) // t1 END AS w1, CASE WHEN t0 = 0 THEN 0 ELSE (d0 * 1000000000000) // t0 END AS w0,
+    CASE WHEN d1 = 0 THEN 0 ELSE (n1 * 1000000000000) // d1 END AS s1, CASE WHEN d0 = 0 THEN 0 ELSE (n0 * 1000000000000) // d0 END AS s0 FROM pr),
+pp AS (SELECT cur, cmp, gid, restaurant_id, CAST(c1 - c0 AS BIGINT) AS change, CAST(((w0 + w1) * (s1 - s0)) // 2000000000000 AS BIGINT) AS rate FROM pu),
+ps AS (SELECT gid, sum(rate) AS rate, sum(change - rate) AS mix FROM pp GROUP BY 1),
+pt AS (SELECT pc.*, rate, mix, CASE WHEN d1 = 0 THEN 0 ELSE (n1 * 1000000000000) // d1 END - CASE WHEN d0 = 0 THEN 0 ELSE (n0 * 1000000000000) // d0 END AS change, n1 - CASE WHEN d0 = 0 THEN 0 ELSE (n0 * d1) // d0 END AS impact FROM pc LEFT JOIN ps USING (gid))
+"""
+
+
+@query(_PARTS + "SELECT cur AS current_import, cmp AS comparison_import, gid AS reporting_group_id, restaurant_id, change, rate, change - rate AS mix FROM pp")
+def share_change_by_restaurant(spark, root):
+    m = Model.bind(spark, root)
+    return planned.change_parts(m.shares(), kpi.defaults(m.imports))
+
+
+@query(_PARTS + "SELECT cur AS current_import, cmp AS comparison_import, gid AS reporting_group_id, CAST(change AS BIGINT) AS change, CAST(coalesce(rate, 0) AS BIGINT) AS rate, CAST(coalesce(mix, 0) AS BIGINT) AS mix, CAST(change - coalesce(rate, 0) - coalesce(mix, 0) AS BIGINT) AS rounding, CAST(n1 - n0 AS BIGINT) AS change_cents, CAST(impact AS BIGINT) AS impact_cents, CAST(n1 - n0 - impact AS BIGINT) AS volume_cents FROM pt")
+def share_change_parts(spark, root):
+    m = Model.bind(spark, root)
+    return planned.change_summary(m.shares(), kpi.defaults(m.imports))
+
+
+@query(""", tb AS (SELECT restaurant_id, CAST(date_trunc('week', CAST(right(sales_fact_id, 10) AS DATE)) AS DATE) AS week, CASE WHEN resolution_status = 'Mapped' THEN effective_reporting_group_id ELSE '' END AS gid, sales_amount FROM bri WHERE publication_state = 'Active Finalized' AND restaurant_id IN (SELECT restaurant_id FROM rest)),
+tw AS (SELECT restaurant_id, week, sum(sales_amount) AS d FROM tb GROUP BY 1, 2), tg AS (SELECT restaurant_id, week, gid, sum(sales_amount) AS n FROM tb GROUP BY 1, 2, 3),
+tx AS (SELECT tw.restaurant_id, tw.week, grp.gid, coalesce(n, 0) AS n, d, date_diff('day', DATE '1970-01-01', tw.week) AS k, CASE WHEN d = 0 THEN 0.0::DOUBLE ELSE CAST(coalesce(n, 0) AS DOUBLE) / CAST(d AS DOUBLE) END AS s FROM tw CROSS JOIN grp LEFT JOIN tg ON tg.restaurant_id = tw.restaurant_id AND tg.week = tw.week AND tg.gid = grp.gid WHERE grp.active = 'Yes'),
+ty AS (SELECT *, sum(n) OVER r AS rn, sum(d) OVER r AS rd, count(*) OVER r AS c, lag(week) OVER o AS pw, k - lag(k) OVER o AS gap, s - lag(s) OVER o AS ch, rank() OVER p AS rk, dense_rank() OVER p AS dr FROM tx
+  WINDOW o AS (PARTITION BY restaurant_id, gid ORDER BY k), r AS (PARTITION BY restaurant_id, gid ORDER BY k RANGE BETWEEN 27 PRECEDING AND CURRENT ROW), p AS (PARTITION BY week, gid ORDER BY s DESC))
+SELECT restaurant_id, gid AS reporting_group_id, week, CAST(n AS DOUBLE) AS sales, CAST(d AS DOUBLE) AS all_sales, s AS week_share, CASE WHEN rd = 0 THEN 0.0::DOUBLE ELSE CAST(rn AS DOUBLE) / CAST(rd AS DOUBLE) END AS moving_share, c AS weeks_counted, pw AS previous_week, CAST(gap // 7 AS INT) AS weeks_since, ch AS change, CAST(rk AS INT) AS rank, CAST(dr AS INT) AS dense_rank FROM ty""")
+def weekly_trend(spark, root):
+    m = Model.bind(spark, root)
+    rows = m.bridge().withColumn("fact_date", F.right("sales_fact_id", F.lit(10)).cast("date"))
+    return planned.trend(rows, m.restaurants, m.groups, "fact_date")
