@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mixlens import queries as base
 from mixlens import schema as S
-from mixlens.functions import scalar
-from mixlens.functions.fingerprint import record
+from mixlens.functions import merkle, scalar
+from mixlens.functions.fingerprint import protected_snapshot, record, restaurant_scope_fingerprint
+from mixlens.operators import aggregates, kpi, mapping, merge, metrics, planned, validation
 from mixlens.operators import bridge as bridges
-from mixlens.operators import kpi, mapping, merge, planned
+from mixlens.plans import refresh
 from mixlens.plans.refresh import Model
 from mixlens.queries import _D, _R, _T, query
 from mixlens.sources import binding, dated, scratch, tables
@@ -196,3 +198,133 @@ def weekly_trend(spark, root):
     m = Model.bind(spark, root)
     rows = m.bridge().withColumn("fact_date", F.right("sales_fact_id", F.lit(10)).cast("date"))
     return planned.trend(rows, m.restaurants, m.groups, "fact_date")
+
+
+# Metrics from rows alone, and where two versions of the facts differ.
+
+_SHARE_ROWS = [
+    ("KPI-0001", "sales_amount", "effective_reporting_group_id", {"resolution_status": [S.MAPPED]}, {}),
+    ("KPI-QUANTITY-SHARE", "quantity", "effective_reporting_group_id", {"resolution_status": [S.MAPPED]}, {}),
+    ("KPI-URGENT-SHARE", "sales_amount", "legacy_reporting_category_id", {"reporting_channel": ["1-URGENT", "2-HIGH"]}, {"reporting_channel": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}),
+    ("MEASURE-FACT-COUNT", "fact_count", "", {}, None),
+]
+
+
+def _metric(name: str, measure: str, member: str, part: str, whole: str | None) -> str:
+    total = f"sum({measure}) FILTER (WHERE {{}})".format
+    den = f", (SELECT {total(whole)} FROM cp b WHERE b.import_id = a.import_id AND b.scope_type = a.scope_type AND b.place = a.place)" if whole else ", NULL"
+    return f"SELECT '{name}' AS metric_id, import_id, scope_type, place AS restaurant_id, {member} AS member, {total(part)} AS n{den} AS d FROM cp a GROUP BY import_id, scope_type, place, {member} HAVING count(*) FILTER (WHERE {part}) > 0"
+
+
+@query(", cp AS MATERIALIZED (SELECT *, 'Company' AS scope_type, '' AS place FROM kept UNION ALL SELECT *, 'Restaurant', restaurant_id FROM kept), cm AS ("
+    + " UNION ALL ".join((
+        _metric("KPI-0001", "sales_amount", "effective_reporting_group_id", "resolution_status = 'Mapped'", "true"), _metric("KPI-QUANTITY-SHARE", "quantity", "effective_reporting_group_id", "resolution_status = 'Mapped'", "true"),
+        _metric("KPI-URGENT-SHARE", "sales_amount", "legacy_reporting_category_id", "reporting_channel IN ('1-URGENT', '2-HIGH')", "reporting_channel IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"), _metric("MEASURE-FACT-COUNT", "CAST(1 AS DECIMAL(18,2))", "''", "true", None),
+    )) + ") SELECT metric_id, import_id, scope_type, restaurant_id, member, CAST(n AS DOUBLE) AS numerator, CAST(d AS DOUBLE) AS denominator, CASE WHEN metric_id = 'MEASURE-FACT-COUNT' THEN CAST(n AS DOUBLE) WHEN d = 0 THEN 0.0::DOUBLE ELSE CAST(n AS DOUBLE) / CAST(d AS DOUBLE) END AS metric_value FROM cm")
+def metrics_from_rows(spark, root):
+    m = Model.bind(spark, root)
+    return metrics.compute(metrics.definitions(spark, _SHARE_ROWS), m.bridge(), m.imports, m.restaurants)
+
+
+def _changed_facts(rows):
+    """A later version of the facts: some corrected, some gone, some new."""
+    k = F.split("sales_fact_id", "-")[0].cast("long")
+    kept = rows.where((k % 1000 != 7) | (F.col("import_id") != "IMP-1997"))
+    new = rows.where((k % 1000 == 11) & (F.col("import_id") == "IMP-1998")).withColumn("sales_fact_id", F.concat(F.lit("N-"), "sales_fact_id"))
+    return kept.withColumn("quantity", F.when(k % 500 == 3, F.col("quantity") + 1).otherwise(F.col("quantity")).cast(S.MONEY)).unionByName(new)
+
+
+_VERSIONS = """, fk AS (SELECT *, CAST(string_split(sales_fact_id, '-')[1] AS BIGINT) AS k FROM facts),
+v1 AS (SELECT sales_fact_id AS id, CAST(quantity AS VARCHAR) AS q FROM fk), v2 AS (SELECT sales_fact_id AS id, CAST(CASE WHEN k % 500 = 3 THEN quantity + 1 ELSE quantity END AS VARCHAR) AS q FROM fk WHERE NOT (k % 1000 = 7 AND import_id = 'IMP-1997')
+  UNION ALL SELECT 'N-' || sales_fact_id, CAST(quantity AS VARCHAR) FROM fk WHERE k % 1000 = 11 AND import_id = 'IMP-1998'),
+vd AS (SELECT coalesce(v1.id, v2.id) AS id, CASE WHEN v1.id IS NULL THEN 'added' WHEN v2.id IS NULL THEN 'removed' WHEN v1.q <> v2.q THEN 'changed' END AS kind FROM v1 FULL JOIN v2 ON v1.id = v2.id)
+"""
+
+
+@query(_VERSIONS + ", vn AS (SELECT DISTINCT left(md5(id), 3) AS node FROM vd WHERE kind IS NOT NULL), n1 AS (SELECT left(md5(id), 3) AS node, count(*) AS n FROM v1 GROUP BY 1), n2 AS (SELECT left(md5(id), 3) AS node, count(*) AS n FROM v2 GROUP BY 1) SELECT node, coalesce(n1.n, 0) AS rows_before, coalesce(n2.n, 0) AS rows_after FROM vn LEFT JOIN n1 USING (node) LEFT JOIN n2 USING (node)")
+def changed_fact_ranges(spark, root):
+    rows = binding.facts(spark, root)
+    return merkle.changed_leaves(merkle.tree(rows, "sales_fact_id"), merkle.tree(_changed_facts(rows), "sales_fact_id"))
+
+
+@query(_VERSIONS + "SELECT id AS key, kind FROM vd WHERE kind IS NOT NULL")
+def changed_facts(spark, root):
+    rows = binding.facts(spark, root)
+    later = _changed_facts(rows)
+    return merkle.changed_rows(rows, later, "sales_fact_id", merkle.changed_leaves(merkle.tree(rows, "sales_fact_id"), merkle.tree(later, "sales_fact_id")))
+
+
+# Run-time checks of broken tables: every check's result is computed, and most of them fail.
+
+_LATER = _VERSIONS + """, later AS (SELECT * EXCLUDE (k) REPLACE (CAST(CASE WHEN k % 500 = 3 THEN quantity + 1 ELSE quantity END AS DECIMAL(18,2)) AS quantity) FROM fk WHERE NOT (k % 1000 = 7 AND import_id = 'IMP-1997')
+  UNION ALL SELECT * EXCLUDE (k) REPLACE ('N-' || sales_fact_id AS sales_fact_id) FROM fk WHERE k % 1000 = 11 AND import_id = 'IMP-1998'),
+""" + f"c1 AS ({base._content('facts', 'facts', S.FACTS)}), c2 AS ({base._content('facts', 'later', S.FACTS)}), cd AS (SELECT count(*) AS changed FROM c1, c2 WHERE c1.rows <> c2.rows OR c1.content <> c2.content)"
+_BRO = """, bro AS (SELECT * REPLACE (CASE WHEN import_id = 'IMP-1997' THEN 'Other' ELSE resolution_status END AS resolution_status, CAST(CASE WHEN import_id = 'IMP-1998' THEN sales_amount + 1 ELSE sales_amount END AS DECIMAL(18,2)) AS sales_amount), CASE WHEN import_id = 'IMP-1999' THEN 'MAP-OLD' ELSE '' END AS mark FROM bri WHERE import_id <> 'IMP-1996'),
+bone AS (SELECT count(*) AS bn, CAST(sum(sales_amount) AS DECIMAL(38,2)) AS bs, CAST(sum(quantity) AS DECIMAL(38,2)) AS bq, count(DISTINCT mark) AS marks, count(CASE WHEN resolution_status = 'Other' THEN 1 END) AS odd FROM bro),
+fone AS (SELECT count(*) AS n, CAST(sum(sales_amount) AS DECIMAL(38,2)) AS s, CAST(sum(quantity) AS DECIMAL(38,2)) AS q FROM facts)"""
+_there, _known, _more = "import_id <> 'IMP-1996'", "import_id NOT IN ('IMP-1996', 'IMP-1997')", "sales_amount + CASE WHEN import_id = 'IMP-1998' THEN 1 ELSE 0 END"
+_SCOPES = f""", sr AS (SELECT publication_scope, scope_import, channel_scope, count(*) AS n, sum(sales_amount) AS s, sum(quantity) AS q,
+  count(*) FILTER (WHERE {_there}) AS bn, coalesce(sum({_more}) FILTER (WHERE {_there}), 0) AS bs, coalesce(sum(quantity) FILTER (WHERE {_there}), 0) AS bq,
+  count(*) FILTER (WHERE {_known}) AS kn, coalesce(sum({_more}) FILTER (WHERE {_known}), 0) AS ks, coalesce(sum(quantity) FILTER (WHERE {_known}), 0) AS kq FROM scoped GROUP BY 1, 2, 3),
+so AS (SELECT count(*) FILTER (WHERE s <> bs OR bs <> ks) AS sales, count(*) FILTER (WHERE q <> bq OR bq <> kq) AS quantity, count(*) FILTER (WHERE n <> bn OR bn <> kn) AS facts FROM sr)"""
+_WRONG = base._oracles["definition_validation_errors"][len(base.BASE) :].split("\nSELECT", 1)
+_BAD = f"{_WRONG[0]}, werr AS (SELECT{_WRONG[1]})"
+
+
+def _marked_broken(m):
+    return base._broken(m.bridge()).withColumn("mapping_fingerprint", F.when(F.col("import_id") == "IMP-1999", "MAP-OLD").otherwise(F.col("mapping_fingerprint")))
+
+
+def _changes(m):
+    """Tables whose content is not as it was: the facts."""
+    return refresh.differing(protected_snapshot({"facts": m.facts, "products": m.products}), protected_snapshot({"facts": _changed_facts(m.facts), "products": m.products}))
+
+
+@query(
+    base._COMPARE[: base._COMPARE.rindex("SELECT definition_id")].rstrip() + _BRO + _SCOPES + _BAD + _LATER
+    + base._qa(
+        """SELECT * FROM fone, bone, so, cd, (SELECT count(*) AS stale FROM nodes WHERE source_main_category IN ('SMALL', 'LARGE')), (SELECT count(*) AS wrong FROM werr),
+        (SELECT count(CASE WHEN comparison_status = 'Equivalent' AND NOT (c1 = b1 AND c2 = b2 AND c3 = b3) THEN 1 END) AS vars FROM e)""",
+        ("QA-0401", "Mapping current", "stale", base._ok("stale = 0"), "The written mapping equals the recomputed one"), ("QA-0402", "One fingerprint", "marks", base._ok("marks <= 1"), "All rows are of one mapping"),
+        ("QA-0403", "Fact rows", "bn - n", base._ok("bn = n"), "One bridge row a fact"), ("QA-0404", "Sales", "sales", base._ok("sales = 0"), "Source, bridge and states agree in every scope"),
+        ("QA-0405", "Quantity", "quantity", base._ok("quantity = 0"), "Source, bridge and states agree in every scope"), ("QA-0406", "Counts", "facts", base._ok("facts = 0"), "Source, bridge and states agree in every scope"),
+        ("QA-0407", "States", "odd", base._ok("odd = 0"), "All rows have one of four states"), ("QA-0408", "Equivalences", "wrong", base._ok("wrong = 0"), "All definitions are valid"),
+        ("QA-0409", "Equivalent variances", "vars", base._ok("vars = 0", "WARN"), "Differences of what should be equal stay in sight"),
+        ("QA-0410", "Protected tables", "changed", base._ok("changed = 0"), "Nothing but the outputs was written"), ("QA-0411", "Source facts", "changed", base._ok("changed = 0"), "Facts are as they were"),
+    )
+)
+def metric_qa_of_faults(spark, root):
+    m = Model.bind(spark, root)
+    made, broken, known = m.effective(), _marked_broken(m), tables.equivalences(binding.equivalences(spark))
+    old = made.where("source_main_category <> 'SMALL'").withColumn("winning_rule_id", F.when(F.col("source_main_category") == "LARGE", "MAP-999999").otherwise(F.col("winning_rule_id")))
+    categories = tables.category_ids(m.facts.select(F.col("legacy_reporting_category_id").alias("legacy_category_id")).distinct())
+    faulty = tables.equivalences(tables.literal(spark, base._BAD_DEFINITIONS, "definition_id string, reporting_group_id string, legacy_category_id string, comparison_status string, active string"))
+    wrong = validation.definition_errors(faulty, m.groups, categories)
+    return validation.metric_qa(m.facts, broken, aggregates.reconciliation(m.facts, broken), validation.freshness_errors(made, old, m.day), known, wrong, aggregates.legacy_comparison(m.bridge(), known), _changes(m))
+
+
+@query(
+    _BRO + _LATER + """, rf AS (SELECT *, CASE WHEN scope_type = 'Restaurant' AND reporting_group_id = 'RPG-0003' THEN -1.0 ELSE sales_share END AS v, import_id = 'IMP-1996' AND scope_type = 'Company' AS other_mark FROM res WHERE NOT (scope_type = 'Company' AND reporting_group_id = 'RPG-0002')),
+    rt AS (SELECT * FROM rf UNION ALL SELECT * FROM rf WHERE restaurant_id = 'RST-05'),
+    ro AS (SELECT count(*) AS rows_, count(DISTINCT (import_id, scope_type, restaurant_id, reporting_group_id)) AS ids, count(CASE WHEN abs(v - sales_share) > 1e-12 THEN 1 END) AS off, count(CASE WHEN other_mark THEN 1 END) AS bad_scope, CAST(coalesce(sum(CASE WHEN scope_type = 'Company' THEN ds END), 0) AS DECIMAL(38,2)) AS company_all FROM rt),
+    us AS (SELECT CAST(coalesce(sum(sales_amount), 0) AS DECIMAL(38,2)) AS used FROM bro WHERE publication_state = 'Active Finalized' AND import_id IN (SELECT import_id FROM imps) AND restaurant_id IN (SELECT restaurant_id FROM rest))"""
+    + base._qa(
+        "SELECT * FROM fone, bone, ro, us, cd, (SELECT count(*) AS i FROM imps), (SELECT count(*) AS g FROM grp WHERE active = 'Yes'), (SELECT count(*) AS p FROM rest)",
+        ("QA-0501", "Bridge fingerprint", "bn", base._ok("bn = 0"), "The bridge is of the current mapping"), ("QA-0502", "Fact rows", "bn - n", base._ok("bn = n"), "One bridge row a fact"),
+        ("QA-0503", "Sales", "bs - s", base._ok("bs = s"), "Bridge sales equal source sales"), ("QA-0504", "Quantity", "bq - q", base._ok("bq = q"), "Bridge quantity equals source quantity"),
+        ("QA-0505", "States", "-odd", base._ok("odd = 0"), "The four states hold all facts"), ("QA-0506", "Grid", "rows_", base._ok("rows_ = i * g * (p + 1)"), "Imports x groups x (company + restaurants)"),
+        ("QA-0507", "Active groups", "g", base._ok("g > 0"), "There is a group to choose"), ("QA-0508", "Denominators", "used", base._ok("company_all = used * g"), "All states of the enabled restaurants count"),
+        ("QA-0509", "Result ids unique", "rows_ - ids", base._ok("rows_ = ids"), "No result id twice"), ("QA-0510", "Selectors", "i", base._ok("i > 1", "WARN"), "There are two datasets to compare"),
+        ("QA-0511", "Values are ratios", "off", base._ok("off = 0"), "Value is numerator over denominator"), ("QA-0512", "Protected tables", "changed", base._ok("changed = 0"), "Nothing but the outputs was written"),
+        ("QA-0513", "Restaurant scope", "bad_scope", base._ok("bad_scope = 0"), "Company rows carry the fingerprint of the enabled restaurants"), ("QA-0514", "Scope counts", "n - bn", base._ok("n = bn"), "Enabled and excluded make the whole"),
+        ("QA-0515", "Scope sales", "s - bs", base._ok("s = bs"), "Enabled and excluded make the whole"), ("QA-0516", "Scope quantity", "q - bq", base._ok("q = bq"), "Enabled and excluded make the whole"),
+    )
+)
+def result_qa_of_faults(spark, root):
+    m = Model.bind(spark, root)
+    company, group = F.col("scope_type") == "Company", F.col("reporting_group_id")
+    made = m.shares(identify=True).where(~(company & (group == "RPG-0002")))
+    made = made.withColumn("metric_value", F.when(~company & (group == "RPG-0003"), -1.0).otherwise(F.col("metric_value")))
+    made = made.withColumn("restaurant_scope_fingerprint", F.when(company & (F.col("import_id") == "IMP-1996"), "RSC-OLD").otherwise(F.col("restaurant_scope_fingerprint")))
+    made = made.unionByName(made.where("restaurant_id = 'RST-05'"))
+    return validation.result_qa(made, m.facts, _marked_broken(m), m.imports, m.groups, m.restaurants, restaurant_scope_fingerprint(m.restaurants), _changes(m), "MAP-NEW")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,16 @@ def record(kind: str, *fields) -> Column:
     return F.concat_ws("|", F.lit(kind), *parts)
 
 
+def powers(base: int, exponents: np.ndarray, modulus: int) -> np.ndarray:
+    """``base ** exponents % modulus`` for a modulus below 2^31, by squaring for all at once."""
+    out, square, rest = np.ones(len(exponents), np.uint64), base % modulus, exponents.copy()
+    while rest.any():
+        odd = (rest & np.uint64(1)).astype(bool)
+        out[odd] = out[odd] * np.uint64(square) % np.uint64(modulus)
+        square, rest = square * square % modulus, rest >> np.uint64(1)
+    return out
+
+
 def hash_records(records: DataFrame, prefix: str, column: str = "record") -> DataFrame:
     """One row ``fingerprint`` of a relation of texts: the hash of all, in code-unit order, each with a line feed.  Records
     are dealt in ranges of their order; each range is folded to a remainder and the power of its length where it lies,
@@ -65,13 +76,17 @@ def hash_records(records: DataFrame, prefix: str, column: str = "record") -> Dat
     def fold(batches):
         own, size = [0, 0], 0
         for batch in batches:
-            for *hashes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = [(a * pow(b, n, m) + h) % m for a, h, (b, m) in zip(own, hashes, POLYNOMIALS, strict=True)]
-                size += n
+            if not batch.num_rows:
+                continue
+            *hashes, n = (np.asarray(c).astype(np.uint64) for c in batch.columns)
+            ends = np.cumsum(n, dtype=np.uint64)
+            for k, (h, (b, m)) in enumerate(zip(hashes, POLYNOMIALS, strict=True)):
+                terms = h * powers(b, ends[-1] - ends, m) % np.uint64(m)
+                own[k] = (own[k] * pow(b, int(ends[-1]), m) + int(terms.sum(dtype=np.uint64))) % m
+            size += int(ends[-1])
         if size:
-            powers = [pow(b, size, m) for b, m in POLYNOMIALS]
             place = TaskContext.get().partitionId()
-            yield pa.record_batch([pa.array([v], pa.int64()) for v in (place, *own, *powers)], ["i", "h0", "h1", "p0", "p1"])
+            yield pa.record_batch([pa.array([v], pa.int64()) for v in (place, *own, *(pow(b, size, m) for b, m in POLYNOMIALS))], ["i", "h0", "h1", "p0", "p1"])
 
     folded = ranged.mapInArrow(fold, "i long, h0 long, h1 long, p0 long, p1 long")
     ordered = folded.agg(F.array_sort(F.collect_list(F.struct("i", "h0", "h1", "p0", "p1"))).alias("all"))

@@ -19,13 +19,23 @@ SUB_BROWSE = ("source_main_category", "source_sub_category", "node_id")
 CATEGORIES = ("sort_order", "category_name", "category_id")
 
 
-def arranged(df: DataFrame, keys: tuple[str | Column, ...]) -> DataFrame:
-    return df.orderBy(*keys)
+#: Columns of names, which are ordered as a language orders them; ids and codes go by their bytes.
+NAMES = {"restaurant_name", "reporting_group_name", "category_name"}
+#: The root collation; any of Spark's, such as ``nb`` for Norwegian, may be given instead.
+COLLATION = "UNICODE"
 
 
-def numbered(df: DataFrame, keys: tuple[str | Column, ...]) -> DataFrame:
+def _keys(keys: tuple[str | Column, ...], collation: str) -> list[Column]:
+    return [F.collate(F.col(k), collation) if isinstance(k, str) and k in NAMES else F.col(k) if isinstance(k, str) else k for k in keys]
+
+
+def arranged(df: DataFrame, keys: tuple[str | Column, ...], collation: str = COLLATION) -> DataFrame:
+    return df.orderBy(*_keys(keys, collation))
+
+
+def numbered(df: DataFrame, keys: tuple[str | Column, ...], collation: str = COLLATION) -> DataFrame:
     """A report with ``position``, from 1."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*_keys(keys, collation))))
 
 
 def results(df: DataFrame, imports: DataFrame, groups: DataFrame, restaurants: DataFrame) -> DataFrame:

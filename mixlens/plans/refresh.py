@@ -80,8 +80,12 @@ def refresh(model: Model, out: str) -> str:
     return mark
 
 
-def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Errors for tables whose rows or content are not as they were."""
+def differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``table_name`` of the tables whose rows or content are not as they were."""
     new = after.withColumnsRenamed({"rows": "rows_after", "content": "content_after"})
-    other = before.join(new, "table_name").where((F.col("rows") != F.col("rows_after")) | (F.col("content") != F.col("content_after")))
-    return validation.error(other, "protected-table", "table_name", "changed meanwhile").withColumn("table_name", F.col("entity_id")).select("check_id", "entity_id", "message")
+    return before.join(new, "table_name").where((F.col("rows") != F.col("rows_after")) | (F.col("content") != F.col("content_after"))).select("table_name")
+
+
+def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Errors for these tables."""
+    return validation.error(differing(before, after), "protected-table", "table_name", "changed meanwhile")
