@@ -4,9 +4,14 @@ A page is read once into blocks, each with its root-to-leaf path of block elemen
 text length and punctuation are summed over its blocks and divided by their number, text in links counting for nothing.
 The ratios are smoothed along the page and fused: length times the root of punctuation times the weight of the path's
 names.  A name is evidence, never a verdict: it makes a path's score a few times less or more.  Paths whose score is above
-a threshold, a share of the page's mean, hold the content.  The deepest element around all of them, or the article or
-main element around that, is the content node.  Its blocks are the main text, save those below the threshold under
-names that speak against them, or that are links for the most part.
+a threshold, a share of the page's mean, hold the content; where an article or main element has text that no name speaks
+against, only such text is asked, so no block beside the article decides, however long.  The deepest element around all of
+them, or the article or main element around that, is the content node.  Its blocks are the main text, save those below the
+threshold under names that speak against them; and, where the content node is no article, paths that are links for the most
+part and lie before or behind all content.
+
+Reader comments are told by their structure: two or more siblings of one path that each name an author or a time, or two or more
+siblings of one path under an element with a word of discussions in its name.  Articles beside one another are no comments.
 
 A narrow map over whole pages: no shuffle, and one pass over tags and elements whatever their nesting.  Null and empty
 html, and pages without text, give the empty text; null urls and keys are kept, repeated rows give a row each, other
@@ -54,6 +59,10 @@ PARTS = set("area bar block box button buttons container content form item items
 #: Elements that are never a content node.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li td pre".split())
 
+#: Words of who wrote something, or when; and of parts that hold what readers wrote, if it is several pieces alike.
+SIGNED = set("author byline date posted published time timestamp user username avatar".split())
+READERS = set("discussion discussions feedback opinions reactions reader readers responses talk talkback thread threads".split())
+
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -87,7 +96,7 @@ def weigh(tag: str, names: list[list[str]], article: bool) -> float:
 class Element:
     """A block element: its path's name and weight, its parent, and which elements an end tag may leave out are open."""
 
-    __slots__ = ("against", "article", "depth", "name", "number", "open", "parent", "tag", "weight")
+    __slots__ = ("against", "alike", "article", "depth", "name", "number", "open", "out", "parent", "readers", "signed", "tag", "weight")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, paths: dict, number: int) -> None:
         names = [w for m in NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split() if (w := [y.lower() for y in WORDS.findall(x)])] if attributes else []
@@ -99,12 +108,73 @@ class Element:
         self.against = bool(parent and parent.against) or own < 1.0
         # the number of its path on this page: equal for equal paths
         self.name = paths.setdefault((parent.name if parent else -1, tag, *sorted({y for w in names for y in w})), len(paths))
+        # children that are signed (under readers' names: all), by path
+        self.signed, self.alike, self.out, words = False, None, None, {y for w in names for y in w}
+        self.readers = not words.isdisjoint(READERS)
+        if parent and parent.readers:
+            parent.count(self)
+        if not words.isdisjoint(SIGNED):
+            self.sign()
         self.open = parent.open if parent else {}
         if tag in SCOPE or tag in LISTS:
             self.open = {k: e for k, e in self.open.items() if not (tag in SCOPE and k == "p" or tag in LISTS and k != "p")}
         if group := "p" if tag == "p" else GROUPS.get(tag):
             self.open = {**self.open, group: self}
 
+    def count(self, child: Element) -> None:
+        self.alike = self.alike or {}
+        self.alike[child.name] = self.alike.get(child.name, 0) + 1
+
+    def sign(self) -> None:
+        """An author or a time stands in this element, and so in all around it."""
+        e = self
+        while e is not None and not e.signed:
+            e.signed = True
+            if e.parent is not None and not e.parent.readers:
+                e.parent.count(e)
+            e = e.parent
+
+    def piece(self) -> bool:
+        """Whether this is one of several signed pieces alike; an article is one only inside another."""
+        alike = self.parent.alike if self.parent else None
+        return bool(alike) and alike.get(self.name, 0) > 1 and (self.signed or self.parent.readers) and (self.tag not in MAIN_TAGS or self.parent.article)
+
+
+def comments(found: list[tuple[Element, str, int]]) -> np.ndarray:
+    """Which blocks are comments of readers: pieces alike, and an element (no article) most of whose text such pieces are."""
+    whole: dict[int, int] = {}
+    pieces: dict[int, int] = {}
+    kept = np.zeros(len(found), bool)
+    chains = []
+    for e, text, _ in found:
+        chain, x = [], e
+        while x is not None and x.out is None:
+            chain.append(x)
+            x = x.parent
+        out = x.out if x is not None else (False, False)
+        for y in reversed(chain):  # whether some element above has pieces, and whether this lies in one
+            y.out = out = (out[0] or bool(y.alike), out[1] or y.piece())
+        if e.out[0]:
+            chains.append(e)
+    if not chains:
+        return kept
+    for e, text, _ in found:
+        x, inside = e, False
+        while x is not None and x.out[0]:
+            if x.alike:
+                whole[x.number] = whole.get(x.number, 0) + len(text)
+                pieces[x.number] = pieces.get(x.number, 0) + len(text) * inside
+            inside = inside or x.piece()
+            x = x.parent
+    for k, (e, _, _) in enumerate(found):
+        x = e
+        gone = e.out[1]
+        while not gone and x is not None and x.out[0]:
+            gone = bool(x.alike) and x.tag not in MAIN_TAGS and x.tag not in ("html", "body", "") and 2 * pieces[x.number] >= whole[x.number] > 0
+            x = x.parent
+        kept[k] = gone
+    return kept if not kept.all() else np.zeros(len(found), bool)
+
 
 def blocks(page: str) -> list[tuple[Element, str, int]]:
     """The page's blocks in order: element, text (white space collapsed, references decoded, none empty) and how many of
@@ -152,6 +222,8 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         if tag in INLINE:
             if tag == "a":
                 link = not closing
+            if not closing and not top.signed and (tag == "time" or (m[3] and any(not SIGNED.isdisjoint(y.lower() for y in WORDS.findall(x[1] or x[2] or x[3] or "")) for x in NAMES.finditer(m[3])))):
+                top.sign()
             continue
         if tag in RAW:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
@@ -236,10 +308,13 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     found = [x for x in blocks(page) if x[0].weight > 0] if page else []
     if not found:
         return ""
+    found = [x for x, gone in zip(found, comments(found).tolist(), strict=True) if not gone]
     fused, size = scores(found), np.array([len(t) for _, t, _ in found], float)
-    chosen = fused >= threshold * (fused * size).sum() / size.sum()
+    high = fused >= threshold * (fused * size).sum() / size.sum()
+    own = np.array([e.article and not e.against and 2 * linked < len(t) for e, t, linked in found])
+    chosen = own & (fused >= threshold * (fused * size)[own].sum() / size[own].sum()) if own.any() else high
     if not fused.any():  # nothing but links
-        chosen = np.array([not e.against for e, _, _ in found])
+        chosen = high = np.array([not e.against for e, _, _ in found])
         if not chosen.any():
             return ""
     node = content_node(found, chosen)
@@ -257,7 +332,13 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     for e, text, linked in found:
         number[e.name] = number.get(e.name, 0) + len(text)
         links[e.name] = links.get(e.name, 0) + linked
-    return "\n".join(text for (e, text, _), c in zip(found, chosen.tolist(), strict=True) if within(e) and (c or not e.against and 2 * links[e.name] <= number[e.name]))
+    first, *_, last = [*np.flatnonzero(chosen).tolist()] * 2
+    whole = node.article or node.tag in MAIN_TAGS
+
+    def text_of_it(k: int, e: Element) -> bool:
+        return high[k] or not e.against and (whole or first < k < last or 2 * links[e.name] <= number[e.name])
+
+    return "\n".join(text for k, (e, text, _) in enumerate(found) if within(e) and text_of_it(k, e))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
