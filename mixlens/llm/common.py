@@ -54,11 +54,12 @@ def noting(tables: list[DataFrame]):
         _notes.remove(tables)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` to a table of its own in the shared folder and read it back: cuts lineage, survives lost executors.  ``by``:
+    columns that partition it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/mixlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     for tables in _notes:

@@ -5,8 +5,8 @@ listed keys that level 1 wrongly accepts, and so on until a level accepts nothin
 from, which are *all* keys of the corpus, the first level that rejects a key tells exactly whether it is listed: no join
 and no list of keys is needed where urls are judged.  Levels shrink with the false positive rate, and the bits of each are
 gathered by words of 64, so the driver sees their fixed number of words, never a key.  A list too long for a filter of
-MAX_BITS is split by the keys' hashes into shards, each with a cascade of its own over its own keys; the rows are judged
-shard by shard.
+MAX_BITS is split by the keys' hashes into shards, each with a cascade of its own over its own keys; the rows are written once by shard and
+judged shard by shard.
 
 Null urls, and those without ``://``, have the empty host and path: no rule fits them, and the empty host is listed only
 if the list says so.  Null keys are kept, repeated rows give a row each, other columns are ignored.  An empty table gives
@@ -16,7 +16,6 @@ an empty result.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,35 +111,56 @@ def member(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def judge(df: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(df: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", hosts: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed``: the longest rule's verdict, else block for a host in ``listed``,
-    which has them in its column ``key``."""
+    which has them in its column ``key``.  ``hosts``: all distinct hosts of ``df``, if they are known already."""
+    spark = df.sparkSession
     host, path = parts(F.col(f"`{url}`").cast("string"))
     rows = df.select(F.col(f"`{key}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    inside = listed.select("key").where("key IS NOT NULL").distinct()
+    inside = common.materialize(listed.select("key").where("key IS NOT NULL").distinct(), "listed")
     shards = max(1, -(-inside.count() * FIRST_BITS * 2 // MAX_BITS))
-    part = lambda c: F.pmod(F.xxhash64(F.lit("shard"), F.col(c)), F.lit(shards))
-    judged = []
-    for shard in range(shards):
-        own = rows.where(part("host") == shard) if shards > 1 else rows
-        levels = cascade(own.select(F.col("host").alias("key")), inside.where(part("key") == shard) if shards > 1 else inside)
-        judged.append(own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", member(F.col("host"), levels)))
-    verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
-    return reduce(DataFrame.unionByName, judged).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
+
+    def verdicts(own: DataFrame, levels: list[Level]) -> DataFrame:
+        own = own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", member(F.col("host"), levels))
+        verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
+        return own.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
+
+    universe = hosts if hosts is not None else rows.select(F.col("host").alias("key"))
+    if shards == 1:
+        levels = cascade(universe, inside)
+        common.drop(inside)
+        return verdicts(rows, levels)
+    # parsed rows are written once, by shard; each shard is read, judged with its own filters and added to the result, so a
+    # plan never holds more than one shard's filters
+    shard = lambda c: F.pmod(F.xxhash64(F.lit("shard"), F.col(c)), F.lit(shards)).cast("int")
+    parsed = common.materialize(rows.withColumn("shard", shard("host")), "urls", "shard")
+    keys = common.materialize(universe.select("key").distinct().withColumn("shard", shard("key")), "hosts", "shard")
+    known = common.materialize(inside.withColumn("shard", shard("key")), "keys", "shard")
+
+    def each():
+        for k in range(shards):
+            yield verdicts(parsed.where(F.col("shard") == k).drop("shard"), cascade(keys.where(F.col("shard") == k), known.where(F.col("shard") == k)))
+
+    fields = common.schema(page_id=common.LONG, host=common.STR, path=common.STR, rule=common.STR, verdict=common.STR, listed=common.BOOL)
+    out = common.materialize_parts(spark, fields, each(), "verdicts")
+    common.drop(inside, parsed, keys, known)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the urls of all pages; the list is made of all hosts of the table."""
+    """Verdicts on the urls of all pages; the list is made of all hosts of the table, which are written once."""
     pages = common.table(spark, sf_dir, "pages")
-    hosts = pages.select(parts(F.col("url"))[0].alias("key"))
-    return judge(pages, hosts.where(F.col("key").rlike(LISTED)).distinct())
+    hosts = common.materialize(pages.select(parts(F.col("url"))[0].alias("key")).distinct(), "hosts")
+    out = judge(pages, hosts.where(F.col("key").rlike(LISTED)), hosts=hosts)
+    common.drop(hosts)
+    return out
 
 
 ORACLE = """
 WITH p AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), u AS (
-  SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
 ), r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
