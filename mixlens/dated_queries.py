@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from mixlens import queries as base
 from mixlens import schema as S
 from mixlens.functions import merkle, scalar
 from mixlens.functions.fingerprint import protected_snapshot, record, restaurant_scope_fingerprint
-from mixlens.operators import aggregates, kpi, mapping, merge, metrics, planned, validation
+from mixlens.operators import aggregates, kpi, mapping, merge, metrics, ordering, planned, validation
 from mixlens.operators import bridge as bridges
-from mixlens.plans import refresh
+from mixlens.plans import migration, refresh
 from mixlens.plans.refresh import Model
 from mixlens.queries import _D, _R, _T, query
 from mixlens.sources import binding, dated, scratch, tables
@@ -53,9 +55,9 @@ _RULE = "rid AS mapping_rule_id, 'SRC-1' AS source_system_id, scope AS scope_typ
 def dated_rules(spark, root):
     return mapping.levels_of(tables.mapping_rules(dated.rules(spark, root))).drop("seq")
 
-@query(DATED + "SELECT gid AS reporting_group_id, gname AS reporting_group_name, active, sort_order FROM dgrp")
+@query(DATED + "SELECT CAST(row_number() OVER (ORDER BY sort_order, gname, gid) AS INT) AS position, gid AS reporting_group_id, gname AS reporting_group_name, active, sort_order FROM dgrp")
 def brand_groups(spark, root):
-    return tables.reporting_groups(dated.groups(spark, root))
+    return ordering.numbered(tables.reporting_groups(dated.groups(spark, root)), ordering.GROUPS)
 
 @query(DATED + "SELECT sales_fact_id, product_id, day AS mapping_as_of_date, effective_reporting_group_id, coalesce(gname, '') AS effective_reporting_group_name, resolution_source, resolution_state, resolution_status, winning_rule_id FROM dfacts JOIN deff USING (product_id, day) LEFT JOIN dgrp ON gid = effective_reporting_group_id")
 def bridge_as_of_shipping(spark, root):
@@ -328,3 +330,39 @@ def result_qa_of_faults(spark, root):
     made = made.withColumn("restaurant_scope_fingerprint", F.when(company & (F.col("import_id") == "IMP-1996"), "RSC-OLD").otherwise(F.col("restaurant_scope_fingerprint")))
     made = made.unionByName(made.where("restaurant_id = 'RST-05'"))
     return validation.result_qa(made, m.facts, _marked_broken(m), m.imports, m.groups, m.restaurants, restaurant_scope_fingerprint(m.restaurants), _changes(m), "MAP-NEW")
+
+
+# A migration whose decisions and rules both come from the tables.
+
+def _decisions(spark, root):
+    """One decision a subcategory: its brand's group."""
+    part = tables.table(spark, root, "part", ["p_type", "p_brand"]).distinct()
+    k = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("int")
+    return part.select(
+        (k * 10000 + F.ascii("p_type") * 100 + F.ascii(F.substring("p_type", 2, 1))).alias("seq"), F.lit("SRC-1").alias("source_system_id"), F.lit(S.SUB).alias("scope_type"),
+        F.concat(F.lit("SCL-"), "p_type", F.lit("-"), "p_brand").alias("node_id"), F.lit("Map").alias("rule_action"), F.concat(F.lit("GRP-"), F.lpad(k.cast("string"), 3, "0")).alias("target_reporting_group_id"),
+    )
+
+
+_DAY = dt.date(1997, 7, 1)
+_DEC = DATED + f""", bd AS (SELECT DISTINCT CAST({_K} * 10000 + ascii(p_type) * 100 + ascii(substr(p_type, 2, 1)) AS INT) AS seq, 'SCL-' || p_type || '-' || p_brand AS node, {_G(_K)} AS target, {_K} AS k FROM part),
+old AS (SELECT node, target, min(rid) AS rid FROM dact WHERE scope = 'SourceSubCategory' AND (f IS NULL OR f <= DATE '{_DAY}') AND (t IS NULL OR t >= DATE '{_DAY}') GROUP BY 1, 2),
+pl AS (SELECT bd.*, old.rid FROM bd LEFT JOIN old ON old.node = bd.node AND old.target = bd.target)"""
+
+
+@query(_DEC + """ SELECT seq, CASE WHEN rid IS NULL THEN 'add' ELSE 'reuse' END AS plan, coalesce(rid, 'MAP-' || lpad(CAST(row_number() OVER (PARTITION BY rid IS NULL ORDER BY seq) AS VARCHAR), 6, '0')) AS mapping_rule_id, 'SRC-1' AS source_system_id, 'SourceSubCategory' AS scope_type, node AS node_id, 'Map' AS rule_action, target AS target_reporting_group_id FROM pl""")
+def brand_migration_plan(spark, root):
+    return migration.plan(dated.rules(spark, root), _decisions(spark, root), F.lit(_DAY))
+
+
+@query(_DEC + """, fd AS (SELECT node, target, k FROM bd UNION ALL SELECT node, target, k FROM bd WHERE k = 1),
+known AS (SELECT DISTINCT source_classification_id AS node FROM nodes WHERE sales_account <> 'Brand#2')
+SELECT 'contract-repeated' AS check_id, 'SRC-1|SourceSubCategory|' || node || '|Map|' || target AS entity_id, 'more than one decision says this' AS message FROM fd GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'contract-count', 'SourceSubCategory Map', count(*) || ', expected 150' FROM fd HAVING count(*) <> 150
+UNION ALL SELECT 'contract-target', node, 'the target is missing or not active' FROM fd WHERE target NOT IN (SELECT gid FROM dgrp WHERE active = 'Yes')
+UNION ALL SELECT 'contract-node', node, 'no such node' FROM fd WHERE node NOT IN (SELECT node FROM known)""")
+def brand_contract_errors(spark, root):
+    made = _decisions(spark, root)
+    one = F.col("target_reporting_group_id") == "GRP-001"
+    nodes = validation.node_catalogue(Model.bind(spark, root).nodes().where("sales_account <> 'Brand#2'"))
+    return migration.contract_errors(made.unionByName(made.where(one)), dated.groups(spark, root), nodes, [(S.SUB, "Map", 150)])
