@@ -10,7 +10,7 @@ from mixlens import queries as base
 from mixlens import schema as S
 from mixlens.functions import merkle, scalar
 from mixlens.functions.fingerprint import protected_snapshot, record, restaurant_scope_fingerprint
-from mixlens.operators import aggregates, kpi, mapping, merge, metrics, ordering, planned, validation
+from mixlens.operators import aggregates, kpi, mapping, merge, metrics, ordering, planned, sinks, validation
 from mixlens.operators import bridge as bridges
 from mixlens.plans import migration, refresh
 from mixlens.plans.refresh import Model
@@ -366,3 +366,54 @@ def brand_contract_errors(spark, root):
     one = F.col("target_reporting_group_id") == "GRP-001"
     nodes = validation.node_catalogue(Model.bind(spark, root).nodes().where("sales_account <> 'Brand#2'"))
     return migration.contract_errors(made.unionByName(made.where(one)), dated.groups(spark, root), nodes, [(S.SUB, "Map", 150)])
+
+
+# What a refresh leaves, as it was written and read again.
+
+@query(f"SELECT {base.FACTS}, effective_reporting_group_id, effective_reporting_group_name, resolution_source, resolution_state, resolution_status, winning_rule_id, mapping_as_of_date FROM bri")
+def refreshed_bridge(spark, root):
+    m, out = Model.bind(spark, root), scratch.folder(spark, "refresh")
+    refresh.refresh(m, out)
+    rows = tables.bridge(spark.read.parquet(f"{out}/bridge"))
+    return rows.drop("mapping_fingerprint", "metric_refresh_at")
+
+
+@query(base._RSC + f", k AS (SELECT *, concat_ws('|', 'KPI-0001', import_id, reporting_group_id, scope_type, restaurant_id, CASE WHEN scope_type = 'Company' THEN restaurant_scope_fingerprint ELSE '' END, 'All channels', 'Active Finalized') AS x FROM res, rsc) SELECT 'MRR-' || {base._BOTH} AS metric_result_id, import_id, scope_type, restaurant_id, reporting_group_id, reporting_group_name, CAST(ns AS DOUBLE) AS numerator, CAST(ds AS DOUBLE) AS denominator, sales_share AS metric_value, restaurant_scope_fingerprint, d AS mapping_as_of_date FROM k, day")
+def refreshed_results(spark, root):
+    m, out = Model.bind(spark, root), scratch.folder(spark, "refresh")
+    refresh.refresh(m, out)
+    return spark.read.parquet(f"{out}/metric_results").drop("metric_id", "calculated_at", "mapping_fingerprint")
+
+
+@query("SELECT * FROM eff")
+def stored_mapping(spark, root):
+    m, path = Model.bind(spark, root), scratch.folder(spark, "mapping")
+    made = m.effective()
+    sinks.write_checked(made.limit(0), path, columns=S.EFFECTIVE)  # an older, empty mapping is replaced
+    sinks.write_validated(made, path, validation.mapping_errors, S.EFFECTIVE)
+    return tables.effective_mapping(spark.read.schema(made.schema).parquet(path))
+
+
+@query(", lg AS (SELECT import_id, count(*) AS n FROM facts GROUP BY 1) SELECT 'LOG-' || lpad(CAST(row_number() OVER (ORDER BY import_id NOT IN (SELECT import_id FROM imps), import_id) AS VARCHAR), 6, '0') AS log_id, 'load' AS action, CASE WHEN import_id IN (SELECT import_id FROM imps) THEN 'OK' ELSE 'SKIPPED' END AS status, 'Facts' AS area, import_id || ': ' || n || ' rows' AS detail FROM lg")
+def stored_log(spark, root):
+    """A line for each import, appended to a log that is made once and keeps its lines."""
+    path, m = scratch.folder(spark, "log"), Model.bind(spark, root)
+    fields = "log_id string, logged_at timestamp, build string, action string, status string, area string, detail string"
+    sinks.create_if_absent(spark.createDataFrame([], fields), path)
+    counts = m.facts.groupBy("import_id").agg(F.count(F.lit(1)).alias("n")).join(m.imports.select("import_id", F.lit(True).alias("known")), "import_id", "left")
+    for known in (True, False):  # two appends; ids go on from the greatest stored
+        log = spark.read.schema(fields).parquet(path)
+        lines = counts.where(F.col("known").isNotNull() if known else F.col("known").isNull()).select(
+            F.lit("").alias("log_id"), F.current_timestamp().alias("logged_at"), F.lit("").alias("build"), F.lit("load").alias("action"), F.lit("OK" if known else "SKIPPED").alias("status"), F.lit("Facts").alias("area"),
+            F.concat("import_id", F.lit(": "), F.col("n").cast("string"), F.lit(" rows")).alias("detail"),
+        )
+        sinks.append(sinks.next_ids(lines, log, "log_id", "LOG-", ["detail"]), path)
+        sinks.create_if_absent(spark.createDataFrame([], fields), path)  # there already: nothing is lost
+    return spark.read.schema(fields).parquet(path).select("log_id", "action", "status", "area", "detail")
+
+
+@query(", fw AS (SELECT 'bridge-fact' AS check_id, sales_fact_id AS entity_id, 'missing' AS message FROM facts WHERE import_id = 'IMP-1996' UNION ALL SELECT 'bridge-state', sales_fact_id, 'unsupported state' FROM facts WHERE import_id = 'IMP-1997' UNION ALL SELECT 'bridge-fact', sales_fact_id, 'lineage differs' FROM facts WHERE import_id = 'IMP-1998') SELECT * FROM fw ORDER BY check_id, entity_id LIMIT 10")
+def first_messages(spark, root):
+    """The ten errors that a failed write would tell."""
+    m = Model.bind(spark, root)
+    return validation.first(validation.bridge_errors(m.facts, base._broken(m.bridge()), m.day))

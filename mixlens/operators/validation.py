@@ -14,9 +14,14 @@ class ValidationError(ValueError):
     """Raised before anything is written."""
 
 
+def first(errors: DataFrame, most: int = 10) -> DataFrame:
+    """The first messages, by check and entity."""
+    return errors.orderBy("check_id", "entity_id").limit(most)
+
+
 def raise_if_any(errors: DataFrame, most: int = 10) -> None:
     """Raise with the first messages, if there are any."""
-    found = errors.orderBy("check_id", "entity_id").limit(most).collect()
+    found = first(errors, most).collect()
     if found:
         raise ValidationError("; ".join(f"{r['check_id']} {r['entity_id']}: {r['message']}" for r in found))
 
