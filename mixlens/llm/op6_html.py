@@ -62,6 +62,7 @@ LEAVES = set("p h1 h2 h3 h4 h5 h6 li td pre".split())
 #: Words of who wrote something, or when; and of parts that hold what readers wrote, if it is several pieces alike.
 SIGNED = set("author byline date posted published time timestamp user username avatar".split())
 READERS = set("discussion discussions feedback opinions reactions reader readers responses talk talkback thread threads".split())
+HINT = re.compile("author|byline|date|posted|published|time|user|avatar", re.I)
 
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 MARKUP = re.compile(
@@ -222,7 +223,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         if tag in INLINE:
             if tag == "a":
                 link = not closing
-            if not closing and not top.signed and (tag == "time" or (m[3] and any(not SIGNED.isdisjoint(y.lower() for y in WORDS.findall(x[1] or x[2] or x[3] or "")) for x in NAMES.finditer(m[3])))):
+            if not closing and not top.signed and (tag == "time" or (m[3] and HINT.search(m[3]) and any(not SIGNED.isdisjoint(y.lower() for y in WORDS.findall(x[1] or x[2] or x[3] or "")) for x in NAMES.finditer(m[3])))):
                 top.sign()
             continue
         if tag in RAW:
