@@ -72,7 +72,7 @@ def nearest(p: Column, references: list[list[float]]) -> Column:
 
 def repeated_words(words: Column, n: Column, keys: Column) -> Column:
     """How many words lie in a three-word window that the text holds twice or more.  ``keys``: sorted longs, 40 bits of
-    the window's hash above 23 bits of its place."""
+    the window's hash above 23 bits of its place; null if no two windows have one hash."""
     place = lambda k: F.element_at(keys, k).bitwiseAND(0x7FFFFF).cast("int")
     near = lambda k: F.shiftright(F.element_at(keys, k), 23) == F.shiftright(F.element_at(keys, k + 1), 23)
 
@@ -89,7 +89,7 @@ def repeated_words(words: Column, n: Column, keys: Column) -> Column:
     slow = F.flatten(F.transform(slow_runs, lambda k: F.array(F.element_at(windows, k)["i"], F.element_at(windows, k + 1)["i"])))
     starts = F.when(clean & (n < 1 << 23), quick).otherwise(slow)
     covered = F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
-    return F.when(n < 4, 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    return F.when((n < 4) | keys.isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
 
 
 def assess(
@@ -122,10 +122,8 @@ def assess(
         F.regexp_replace("text", rf"[a-z{SPACE}]+", "").alias("odd"),
         lines.alias("lines"),
     )
-    hashes = F.transform(
-        F.sequence(F.lit(0), c("n_words") - 3),
-        lambda i: F.shiftleft(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)), 23).bitwiseOR(i.cast("long")),
-    )
+    # 40 bits of each window; only a text in which some are equal is sorted
+    hashes = F.transform(F.sequence(F.lit(0), c("n_words") - 3), lambda i: F.shiftrightunsigned(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)), 24))
     rows = rows.select(
         "doc_id",
         "carried",
@@ -143,8 +141,10 @@ def assess(
         ).alias("classes"),
         F.concat(F.lit("|"), F.array_join(F.filter("words", lambda w: F.lower(w).isin(names)), "||"), F.lit("|")).alias("common"),
     )
-    rows = rows.withColumn("keys", F.when(c("n_words") >= 4, F.sort_array(hashes))).withColumn("common", F.lower("common"))
-    count = lambda w: (F.length("common") - F.length(F.replace(c("common"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)
+    rows = rows.withColumn("windows", F.when(c("n_words") >= 4, hashes)).withColumn("common", F.lower("common"))
+    keys = F.sort_array(F.transform("windows", lambda h, i: F.shiftleft(h, 23).bitwiseOR(i.cast("long"))))
+    rows = rows.withColumn("keys", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), keys))
+    count = lambda w: (F.octet_length("common") - F.octet_length(F.replace(c("common"), F.lit(f"|{w}|"), F.lit("")))) / (len(w.encode()) + 2)
     rows = rows.select(
         "doc_id",
         "carried",
