@@ -1,5 +1,4 @@
-"""Orders of the reports.  Reports are small (scopes by groups, restaurants or categories), so a running number over one may
-use a single ordered window; facts are never sorted."""
+"""Orders of the reports.  Facts are never sorted."""
 
 from __future__ import annotations
 
@@ -7,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.operators.aggregates import SCOPE
+from mixlens.sources import scratch
 
 GROUP_TOTALS = (*SCOPE, "reporting_group_id")
 IMPORTS = ("period_start", "period_end", "import_id")
@@ -34,8 +34,17 @@ def arranged(df: DataFrame, keys: tuple[str | Column, ...], collation: str = COL
 
 
 def numbered(df: DataFrame, keys: tuple[str | Column, ...], collation: str = COLLATION) -> DataFrame:
-    """A report with ``position``, from 1."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*_keys(keys, collation))))
+    """A report with ``position``, from 1.  Rows are dealt in ranges of their order and written; each range is numbered by itself, from
+    the number of rows in those before it, so no task sees the whole report."""
+    spark, order, path = df.sparkSession, _keys(keys, collation), scratch.folder(df.sparkSession, "ordered")
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return rows.withColumn("position", place.cast("int")).drop("_part", "_before")
 
 
 def results(df: DataFrame, imports: DataFrame, groups: DataFrame, restaurants: DataFrame) -> DataFrame:

@@ -114,3 +114,18 @@ def test_fold_of_records(spark):
     assert fingerprint.hash_records(df, "X-").first()[0] == "X-" + "".join(want)
     e = np.array([0, 1, 2, 77, 2**40 + 5], np.uint64)
     assert fingerprint.powers(131, e, 2147483647).tolist() == [pow(131, int(x), 2147483647) for x in e]
+
+
+def test_numbers_over_many_ranges(spark):
+    own = random.Random(3)
+    rows = [(own.choice("abé😀Z") * own.randint(0, 3), own.randrange(9), k) for k in range(500)] + [(None, 1, 999)]
+    df = spark.createDataFrame(rows, "restaurant_name string, n int, k int").repartition(6)
+    for collation in ("UNICODE", "UTF8_BINARY"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = ordering.numbered(df, ("restaurant_name", "n", "k"), collation).orderBy("position").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want = ordering.arranged(df.coalesce(1), ("restaurant_name", "n", "k"), collation).collect()
+        assert [r["position"] for r in got] == list(range(1, 502)) and [r["k"] for r in got] == [r["k"] for r in want]
+    assert ordering.numbered(df.limit(0), ("n",)).collect() == []
