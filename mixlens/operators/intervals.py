@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.functions.scalar import in_effect
+from mixlens.sources import scratch
 
 LOW, HIGH = "0001-01-01", "9999-12-31"
 
@@ -38,12 +39,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], point:
 def sweep(intervals: DataFrame, on: list[str], start: str, end: str, ident: str, width: int = 64) -> DataFrame:
     """The intervals with ``overlaps_earlier`` and ``overlaps_later`` (whether another of the key that begins earlier, or later,
     overlaps; equal starts go by ``ident``) and ``cluster_from``, the start of the chain of overlaps an interval is in.
-    Intervals that end before they begin hold no day and are left out.  n log n: rows are sorted in their bucket, and what buckets
-    before and after hold comes from one row a bucket."""
+    Intervals that end before they begin hold no day and are left out.  n log n: rows are sorted in their bucket, once and written, and what
+    buckets before and after hold comes from one row a bucket."""
     s, e = F.coalesce(start, F.lit(LOW).cast("date")), F.coalesce(end, F.lit(HIGH).cast("date"))
     rows = intervals.withColumn("_s", s).withColumn("_e", e).where("_s <= _e").withColumn("_b", _bucket(F.col("_s"), width))
     own = Window.partitionBy(*on, "_b").orderBy("_s", ident)
-    rows = rows.withColumn("_end", F.max("_e").over(own.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.lead("_s").over(own))
+    rows = scratch.stored(rows.withColumn("_end", F.max("_e").over(own.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.lead("_s").over(own)), "sweep")
     over = Window.partitionBy(*on).orderBy("_b")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*on, "_b").agg(F.max("_e").alias("_me"), F.min("_s").alias("_ms")).select(*on, "_b", F.max("_me").over(before).alias("_past"), F.lead("_ms").over(over).alias("_ahead"))
@@ -61,7 +62,7 @@ def overlaps(intervals: DataFrame, on: list[str], start: str, end: str, ident: s
     """``on, a, b``: the idents of all pairs that overlap, ``a`` beginning first (equal starts by ident).  The sweep leaves only
     intervals that overlap some other; then each one's start is a point that meets the intervals that hold it, so the work follows
     the number of pairs there are."""
-    held = sweep(intervals, on, start, end, ident).where("overlaps_earlier OR overlaps_later").select(*on, ident, start, end)
+    held = scratch.stored(sweep(intervals, on, start, end, ident).where("overlaps_earlier OR overlaps_later").select(*on, ident, start, end), "overlapping")
     first = held.agg(F.date_sub(F.min(start), 1)).scalar()  # an open start lies before all others
     begun = F.coalesce(start, first, F.lit(LOW).cast("date"))
     points = held.select(*on, F.col(ident).alias("b"), begun.alias("_point"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mixlens import schema as S
 from mixlens.functions.scalar import hierarchy_level, id_list, in_effect, main_node_id
 from mixlens.operators import intervals
+from mixlens.sources import scratch
 
 #: Column of a product that holds its node at each scope type.
 NODES = {S.MAIN: "main_node_id", S.SUB: "source_classification_id", S.PRODUCT: "product_id"}
@@ -82,12 +83,12 @@ def resolve_as_of(asked: DataFrame, nodes: DataFrame, rules: DataFrame, groups:
     products, meet the node's rules, by equi-join on node and bucket of days; a main category's candidates of a day are found once
     for all its products."""
     order = levels(hierarchy)
-    days = asked.select("product_id", F.col(day).alias("as_of_date")).where("as_of_date IS NOT NULL").distinct()
+    days = scratch.stored(asked.select("product_id", F.col(day).alias("as_of_date")).where("as_of_date IS NOT NULL").distinct(), "days")
     rows = nodes.join(days, "product_id")
     keyed = _exploded(rows, order, "product_id", "as_of_date")
     points = keyed.select(*NODE, "as_of_date").distinct()
     act = rules.where("status = 'Active'").select(*NODE, *RULE, "effective_from", "effective_to")
-    met = intervals.interval_join(points, act, NODE, "as_of_date", "effective_from", "effective_to", width, intervals.extent(asked, day))
+    met = intervals.interval_join(points, act, NODE, "as_of_date", "effective_from", "effective_to", width, intervals.extent(days, "as_of_date"))
     return _decided(rows, keyed.join(met, [*NODE, "as_of_date"]), groups, order, ["product_id", "as_of_date"])
 
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -26,3 +26,11 @@ def folder(spark: SparkSession, name: str) -> str:
             _own[app] = f"file://{own}"
         root = _own[app]
     return f"{root.rstrip('/')}/mixlens-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written there and read again: what several branches of a plan read is made once, and a lost executor costs its
+    tasks alone.  The table stays until the folder is cleaned."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
