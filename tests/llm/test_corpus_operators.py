@@ -269,7 +269,7 @@ def test_cascade_is_exact(spark):
 def test_query_against_sql(spark, name):
     root = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("pages", "documents", "embeddings"):
+    for table in ("pages", "documents", "embeddings", "conversations", "clicks", "sales"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{root}/{table}.parquet')")
     df = registry.queries()[name](spark, root)
     cur = con.execute(registry.oracle_sql()[name])
