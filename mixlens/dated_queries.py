@@ -16,6 +16,7 @@ from mixlens.plans import migration, refresh
 from mixlens.plans.refresh import Model
 from mixlens.queries import _D, _R, _T, query
 from mixlens.sources import binding, dated, scratch, tables
+from mixlens.streaming import imports as arrivals
 from mixlens.streaming import supersession
 
 _G = "'GRP-' || lpad(CAST({} AS VARCHAR), 3, '0')".format
@@ -417,3 +418,14 @@ def first_messages(spark, root):
     """The ten errors that a failed write would tell."""
     m = Model.bind(spark, root)
     return validation.first(validation.bridge_errors(m.facts, base._broken(m.bridge()), m.day))
+
+
+@query("SELECT sales_fact_id, import_id, effective_reporting_group_id, resolution_status, winning_rule_id, CAST(sales_amount AS DOUBLE) AS sales_amount FROM bri")
+def streamed_bridge(spark, root):
+    """The bridge of facts that arrive as a stream, every tenth of them twice."""
+    m, arrived, out = Model.bind(spark, root), scratch.folder(spark, "arriving"), scratch.folder(spark, "streamed")
+    facts = m.facts.withColumn("arrived_at", F.right("sales_fact_id", F.lit(10)).cast("timestamp"))
+    facts.unionByName(facts.where("quantity % 10 = 0")).write.parquet(arrived)
+    stream = spark.readStream.schema(facts.schema).parquet(arrived)
+    arrivals.start(stream, scratch.stored(m.effective(), "effective"), out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).select("sales_fact_id", "import_id", "effective_reporting_group_id", "resolution_status", "winning_rule_id", "sales_amount")
