@@ -3,7 +3,8 @@
 1. A turn is the 128-bit hash of its role and text (``turns``); texts are read once and never shuffled.
 2. Conversations are dealt by id and sorted; each task streams its own and keeps a small trie (``local_tries``): a node is the
    128-bit hash of its parent and its last turn, and so is the same everywhere.  It holds the smallest member, the number of
-   members, and its ancestors 1, 2, 4, 8 ... levels above.  At NODES nodes the table is handed on and begun anew.
+   members, and its ancestors 1, 2, 4, 8 ... levels above.  At NODES nodes the table is handed on and begun anew, within a
+   conversation too, so the longest one needs no more than its path.
 3. Node tables merge by hash: least member, sum of members (on the map side first, then by node).  A conversation's end goes
    into a list by node and id range of RANGE, so a list is bounded however many conversations end at one node.
 4. Roll-up by doubling: after step k a node has the sums of all descendants less than 2^k levels below; the next step adds the
@@ -75,20 +76,23 @@ def local_tries(batches):
     """Partial node tables and lists of ends of sorted paths; rows with ``bucket`` are lists of ends."""
     nodes: dict[bytes, list] = {}
     ends: dict[tuple[bytes, int], list[int]] = {}
-    conv, path, seen = None, [ROOT], 0
+    conv, path, seen = None, bytearray(ROOT), 0  # a path is its nodes' hashes, end to end
+
+    def at(depth):
+        return bytes(path[16 * depth : 16 * depth + 16])
 
     def visit(key, chars):
         held = nodes.get(key)
         if held is None:
-            depth = len(path) - 1
-            nodes[key] = [depth, conv, 1, chars, [path[depth - (1 << k)] for k in range(depth.bit_length())]]
+            depth = len(path) // 16 - 1
+            nodes[key] = [depth, conv, 1, chars, [at(depth - (1 << k)) for k in range(depth.bit_length())]]
         else:
             held[1] = min(held[1], conv)
             held[2] += 1
 
     def end():
         if conv is not None:
-            ends.setdefault((path[-1], conv // RANGE), []).append(conv)
+            ends.setdefault((bytes(path[-16:]), conv // RANGE), []).append(conv)
 
     def handed():
         keys = list(nodes) + [k for k, _ in ends]
@@ -104,17 +108,17 @@ def local_tries(batches):
         for c, part, turn, chars, skip in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if c != conv:
                 end()
-                if len(nodes) + len(ends) >= NODES:
-                    yield handed()
-                conv, path, seen = c, [ROOT], 0
+                conv, path, seen = c, bytearray(ROOT), 0
                 visit(ROOT, 0)
+            if len(nodes) + len(ends) >= NODES:
+                yield handed()
             if part:
                 seen += 1
                 if seen <= skip:
                     continue
             if turn is not None:
-                key = hashlib.blake2b(path[-1] + turn, digest_size=16).digest()
-                path.append(key)
+                key = hashlib.blake2b(path[-16:] + turn, digest_size=16).digest()
+                path += key
                 visit(key, chars)
     end()
     yield handed()

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,27 @@ def test_trie_against_brute_force(spark, monkeypatch):
     assert trie_rows(spark, rows) == want
 
 
+def test_a_long_conversation_is_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(op11_trie, "NODES", 50)
+    own = random.Random(2)
+    marks = [bytes([own.randrange(256)]) * 16 for _ in range(3000)]
+    rows = [(5, 0, None, None, 0), *((5, 1, m, 1, 0) for m in marks), (6, 0, None, None, 0), *((6, 1, m, 1, 0) for m in marks[:10])]
+    fields = [pa.int64(), pa.int8(), pa.binary(), pa.int64(), pa.int32()]
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 700], strict=True), fields, strict=True)], ["conv_id", "part", "turn", "chars", "skip"]) for k in range(0, len(rows), 700)]
+    parts = list(op11_trie.local_tries(batches))
+    assert max(p.num_rows for p in parts) <= 51 and len(parts) > 50
+    counts, depths = collections.Counter(), {}
+    for r in (r for p in parts for r in p.to_pylist() if r["bucket"] is None):
+        counts[r["key"]] += r["n_convs"]
+        depths[r["key"]] = r["depth"]
+    by_depth = {d: k for k, d in depths.items()}
+    assert sorted(depths.values()) == list(range(3001))
+    assert all(counts[by_depth[d]] == 1 + (d <= 10) for d in range(3001))
+    for r in (r for p in parts for r in p.to_pylist() if r["bucket"] is None):
+        assert r["up"] == [by_depth[r["depth"] - (1 << k)] for k in range(r["depth"].bit_length())]
+    assert sorted(r["ids"] for p in parts for r in p.to_pylist() if r["bucket"] is not None) == [[5], [6]]
+
+
 def test_trie_of_nothing_and_of_plain_paths(spark):
     assert trie_rows(spark, []) == []
     df = spark.createDataFrame([(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 1, "v", "b")], "conv_id long, turn long, role string, text string")
