@@ -113,7 +113,7 @@ SELECT sales_fact_id, import_id, CAST(quantity AS DOUBLE) AS quantity, CAST(sale
 def facts_after_merge(spark, root):
     path = scratch.folder(spark, "facts")
     rows = binding.facts(spark, root).select("sales_fact_id", "import_id", "quantity", "sales_amount")
-    rows.repartition("import_id").write.partitionBy("import_id").parquet(path)
+    sinks.dealt(rows, "import_id").write.partitionBy("import_id").parquet(path)
     changes = _corrections(rows)
     merge.merge(changes, path, ["sales_fact_id"], "import_id", deleted=F.col("gone"))
     return spark.read.parquet(path).select("sales_fact_id", "import_id", "quantity", "sales_amount")
@@ -146,7 +146,7 @@ def cube_after_supersession(spark, root):
     for k in range(3):
         events.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(arrived)
         stream = spark.readStream.schema(supersession.EVENTS).parquet(arrived)
-        supersession.start(stream, path, f"{path}-checkpoint").awaitTermination()
+        supersession.start(stream, path, f"{path}-checkpoint", compact_every=1).awaitTermination()
     return supersession.cube(spark, path)
 
 

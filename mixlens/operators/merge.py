@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixlens.operators.sinks import dealt
 from mixlens.operators.validation import raise_if_any
 
 
@@ -112,7 +113,7 @@ def merge(changes: DataFrame, path: str, key: list[str], partition: str, deleted
     mark = uuid.uuid4().hex
     staged, old = f"{path.rstrip('/')}.staged-{mark}", f"{path.rstrip('/')}.old-{mark}"
     try:
-        made.repartition(partition).write.partitionBy(partition).parquet(staged)
+        dealt(made, partition).write.partitionBy(partition).parquet(staged)
         if check is not None:
             raise_if_any(check(spark.read.schema(current.schema).parquet(staged).select(*current.columns)))
         names = sorted(_directory(spark, partition, v) for v in touched)

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from mixlens.operators.validation import raise_if_any
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows gathered by the columns that will partition their table, so that a task writes few folders and a folder has few files.
+    Adaptive execution cuts what is large into tasks of the advisory size, so a value that a large part of all rows has is written
+    by many tasks, and puts small values together."""
+    return df.hint("rebalance", *by) if by else df
+
+
 def write_checked(df: DataFrame, path: str, errors: DataFrame | None = None, columns: list[str] | None = None, partition_by: tuple[str, ...] = ()) -> None:
     """Overwrite a table, once its errors are known to be none and its columns are those expected.  It is written beside
     the target first; the target is replaced by renaming, so a failure leaves the old rows as they were."""
@@ -19,7 +26,7 @@ def write_checked(df: DataFrame, path: str, errors: DataFrame | None = None, col
     if errors is not None:
         raise_if_any(errors)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(staged)
+    dealt(df, *partition_by).write.partitionBy(*partition_by).parquet(staged)
     swap(df.sparkSession, staged, path)
 
 
@@ -29,7 +36,7 @@ def write_validated(df: DataFrame, path: str, check: Callable[[DataFrame], DataF
     if columns is not None and df.columns != list(columns):
         raise ValueError(f"columns {df.columns} are not {list(columns)}")
     spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(staged)
+    dealt(df, *partition_by).write.partitionBy(*partition_by).parquet(staged)
     try:
         raise_if_any(check(spark.read.schema(df.schema).parquet(staged).select(*df.columns)))
     except BaseException:

@@ -11,6 +11,9 @@ repeated after a failure writes the same again:
 A fact counts once: ids seen are kept by import and batch, and a batch meets only those of the imports it brings, however late a
 repeat comes.  The state with the greatest version holds, so states may come late or twice; an import of which no state is known is
 not active.  Facts that come late for a superseded import enter ``sums`` and appear if it is reinstated.
+
+``compact`` puts all batches before one into a base of few files, so what a batch reads follows the imports and their cells, not the
+number of batches since the stream began.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mixlens import schema as S
+from mixlens.operators.sinks import dealt
 
 KEYS = ["import_id", "reporting_channel", "reporting_group_id"]
 MEASURES = {"fact_count": "long", "sales_nok": "decimal(38,2)", "quantity": "decimal(38,2)"}
@@ -29,12 +33,32 @@ _SUMS = ", ".join(f"{k} string" for k in KEYS) + ", " + ", ".join(f"{k} {t}" for
 _STATES, _SEEN = "import_id string, version long, active boolean, batch_id long", "sales_fact_id string, batch_id long, import_id string"
 
 
+def _place(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbers(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The numbers of the folders ``column=number`` of a path."""
+    fs, p = _place(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{column}="))
+
+
+def compacted(spark: SparkSession, path: str) -> int:
+    """The first batch that the base does not hold; 0 without a base.  A base counts once its mark is there."""
+    whole = [n for n in _numbers(spark, f"{path}/base", "upto") if (at := _place(spark, f"{path}/base/upto={n}/_whole"))[0].exists(at[1])]
+    return max(whole, default=0)
+
+
 def _stored(spark: SparkSession, path: str, name: str, fields: str) -> DataFrame:
-    """All batches of a table; none before the first."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    """All batches of a table, those of the base as one; none before the first."""
+    upto, rows = compacted(spark, path), spark.createDataFrame([], fields)
+    if _numbers(spark, f"{path}/{name}", "batch_id"):
+        rows = spark.read.schema(fields).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").where(F.col("batch_id") >= upto)
+    if upto:
+        rows = spark.read.schema(fields).parquet(f"{path}/base/upto={upto}/{name}").unionByName(rows)
+    return rows
 
 
 def _write(df: DataFrame, path: str, name: str, batch: int, by: tuple[str, ...] = ()) -> None:
@@ -78,9 +102,48 @@ def apply(batch: DataFrame, number: int, path: str) -> None:
         batch.unpersist()
 
 
-def start(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Follow a stream of ``EVENTS`` into the tables under ``path``."""
-    writer = events.writeStream.foreachBatch(lambda df, number: apply(df, number, path)).option("checkpointLocation", checkpoint)
+def _mark(spark: SparkSession, path: str) -> None:
+    fs, p = _place(spark, f"{path}/_whole")
+    fs.create(p, True).close()
+
+
+def compact(spark: SparkSession, path: str, number: int) -> bool:
+    """Put the batches before ``number`` into a new base: sums and changes added up by cell, the latest state of each import, the ids
+    seen by import.  Batches from ``number`` on, which may yet be repeated, stay as they are.  The base is written whole, then
+    marked, then what it holds is deleted; a failure before the mark leaves the old base and its batches valid, one after it leaves
+    only folders that nothing reads and the next call deletes.  It runs between batches, by the process that applies them."""
+    upto = compacted(spark, path)
+    if number > upto:
+        place = f"{path}/base/upto={number}"
+        last, before = F.lit(number - 1).cast("long").alias("batch_id"), F.col("batch_id") < number
+        added = [F.sum(c).cast(t).alias(c) for c, t in MEASURES.items()]
+        for name in ("sums", "changes"):
+            cells = _stored(spark, path, name, _SUMS).where(before).groupBy(*KEYS).agg(*added)
+            cells.select(*KEYS, *MEASURES, last).write.mode("overwrite").parquet(f"{place}/{name}")
+        states = _stored(spark, path, "states", _STATES).where(before).groupBy("import_id").agg(F.max("version").alias("version"), F.max_by("active", "version").alias("active"))
+        states.select("import_id", "version", "active", last).write.mode("overwrite").parquet(f"{place}/states")
+        seen = dealt(_stored(spark, path, "seen", _SEEN).where(before).select("sales_fact_id", last, "import_id"), "import_id")
+        seen.write.mode("overwrite").partitionBy("import_id").parquet(f"{place}/seen")
+        _mark(spark, place)
+    upto = max(upto, number)
+    gone = [f"{path}/{name}/batch_id={n}" for name in ("sums", "states", "changes", "seen") for n in _numbers(spark, f"{path}/{name}", "batch_id") if n < upto]
+    gone += [f"{path}/base/upto={n}" for n in _numbers(spark, f"{path}/base", "upto") if n != upto]
+    for old in gone:
+        fs, p = _place(spark, old)
+        fs.delete(p, True)
+    return bool(gone)
+
+
+def start(events: DataFrame, path: str, checkpoint: str, available_now: bool = True, compact_every: int = 0) -> StreamingQuery:
+    """Follow a stream of ``EVENTS`` into the tables under ``path``; with ``compact_every``, all but the last batch are compacted after
+    each so many."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        apply(batch, number, path)
+        if compact_every and number and number % compact_every == 0:
+            compact(batch.sparkSession, path, number)
+
+    writer = events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -41,6 +41,23 @@ def test_only_touched_partitions_are_written(spark, table):
     assert merge.merge(changes.limit(0).drop("gone"), table, ["id"], "p") == []
 
 
+def test_large_partitions_are_written_by_many_tasks(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(40_000).selectExpr("id", "sha2(CAST(id AS string), 512) AS v", "CASE WHEN id % 100 = 0 THEN concat('p', id % 5) ELSE 'hot' END AS p").repartition(6)
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        sinks.write_checked(rows, path, partition_by=("p",))
+        count = lambda p: len(glob.glob(f"{path}/p={p}/*.parquet"))
+        assert count("hot") > 3 and all(count(p) == 1 for p in ("p0",))
+        merge.merge(spark.createDataFrame([(1, "new", "hot")], "id long, v string, p string"), path, ["id"], "p")
+        assert count("hot") > 3 and spark.read.parquet(path).count() == 40_000
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+
+
 def test_null_partition_and_an_emptied_one(spark, table):
     changes = spark.createDataFrame([(9, "x", None, False), *((k, "", "p 1/x", True) for k in range(1, 100, 5))], FIELDS + ", gone boolean")
     merge.merge(changes, table, ["id"], "p", deleted=changes["gone"])
@@ -114,12 +131,32 @@ def test_cube_equals_the_recomputed_one_after_every_batch(spark, tmp_path):
     assert {r[0] for r in want} == {"I1"}
 
 
+def test_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    batches, path = events(9), f"{tmp_path}/cube"
+    for k, rows in enumerate(batches):
+        supersession.apply(as_frame(spark, rows), k, path)
+        if k == 2:
+            with monkeypatch.context() as m:  # lost before the new base counts
+                m.setattr(supersession, "_mark", lambda *a: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    supersession.compact(spark, path, k)
+        elif k:
+            assert supersession.compact(spark, path, k)
+            supersession.apply(as_frame(spark, rows), k, path)  # the batch behind the base is delivered again
+        want = rows_of(supersession.recomputed(as_frame(spark, [r for b in batches[: k + 1] for r in b])))
+        assert rows_of(supersession.cube(spark, path)) == want
+    assert supersession.compacted(spark, path) == 4 and os.listdir(f"{path}/base") == ["upto=4"] and os.listdir(f"{path}/seen") == ["batch_id=4"]
+    os.makedirs(f"{path}/sums/batch_id=1")  # left over by a deletion that failed
+    assert supersession.compact(spark, path, 4) and not supersession.compact(spark, path, 4)
+    assert want and rows_of(supersession.cube(spark, path)) == want
+
+
 def test_cube_of_a_stream(spark, tmp_path):
     batches, path = events(6), f"{tmp_path}/cube"
     for part in (batches[:2], batches[2:]):  # a second run goes on from the checkpoint
         for rows in part:
             as_frame(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(supersession.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        supersession.start(stream, path, f"{tmp_path}/checkpoint").awaitTermination()
+        supersession.start(stream, path, f"{tmp_path}/checkpoint", compact_every=2).awaitTermination()
         done = [r for b in (batches[:2] if part is not batches[2:] and len(part) == 2 else batches) for r in b]
         assert rows_of(supersession.cube(spark, path)) == rows_of(supersession.recomputed(as_frame(spark, done)))
