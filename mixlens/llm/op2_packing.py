@@ -244,10 +244,12 @@ def segments(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add ``sequence_id, offset`` to a table of pieces with a ``length`` from 1 to ``capacity``.  ``pieces`` has to be
-    a written table, as it is read twice; all other columns go along."""
+    a written table, as it is read twice; all other columns go along.  Rows are dealt by their place in the table's files, so
+    exact copies spread as other rows do."""
     spark, own = pieces.sparkSession, pieces.columns
     buckets = max(common.partitions(spark), 1)
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
+    place_of = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    dealt = pieces.select(*own, place_of.alias("__h")).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
@@ -267,7 +269,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             new = [pa.array(of["base"][at] + turn), pa.array(of["offset"][at] + slot * length)]
             yield pa.record_batch([*batch.columns[:-2], *new], [*own, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "__b").orderBy(*own)
+    order = Window.partitionBy("length", "__b").orderBy("__h", *own)
     ranked = dealt.withColumn("__r", F.row_number().over(order)).join(starts, ["length", "__b"])
     fields = T.StructType([*pieces.schema.fields, *common.schema(sequence_id=common.LONG, offset=common.LONG).fields])
     return ranked.select(*own, F.col("length").alias("__l"), (F.col("__r") - 1 + F.col("__at")).alias("__k")).mapInArrow(place, fields)

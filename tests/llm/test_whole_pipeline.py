@@ -10,6 +10,7 @@ from bisect import bisect_left, insort
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mixlens.llm import common, op2_packing, op9_langid, oracles, stages
@@ -153,3 +154,5 @@ def test_packing_of_rows_that_repeat_exactly(spark):
     assert collections.Counter(tuple(r)[:5] for r in got) == collections.Counter(rows)
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
     assert whole_and_gapless(got) <= plain_best_fit([r[3] for r in rows])
+    buckets = pieces.select(F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(4)).alias("b"), "doc_id").where("doc_id = 7")
+    assert all(150 < r["count"] < 300 for r in buckets.groupBy("b").count().collect())
