@@ -75,7 +75,7 @@ def frequent(rows: DataFrame, k: int) -> Often:
 
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     wide = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, min(size // CHUNK_CHARS, 1 << 30)))  # small partitions count together
-    parts = wide.mapInArrow(run, common.schema(token=common.LONG, n=common.LONG))
+    parts = wide.mapInArrow(common.trimmed(run), common.schema(token=common.LONG, n=common.LONG))
     top = parts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     top = common.materialize(top, "frequent")
     kept = top.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST) if top.count() > FREQUENT_MOST else top
@@ -132,7 +132,7 @@ def prefixes(rows: DataFrame, k: int, percent: int, often: Often) -> DataFrame:
 
     names = ["doc_id", "n", "fa", "fb", "pf", "bins", "prefix"]
     fields = common.schema(**dict.fromkeys(names[:5], common.LONG), bins=T.BinaryType(), prefix=T.ArrayType(common.LONG))
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(common.trimmed(run), fields)
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def possible(pairs: DataFrame, ids: DataFrame, docs: DataFrame, percent: int) ->
     own = docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "n", "fa", "fb", "bins").dropDuplicates(["doc_id", "n", "fa", "fb"])
     x, y = (own.select(F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bins").alias(f"bins{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "binsa", "binsb")
-    return both.mapInArrow(run, common.schema(a=common.LONG, b=common.LONG))
+    return both.mapInArrow(common.trimmed(run), common.schema(a=common.LONG, b=common.LONG))
 
 
 def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -169,7 +169,7 @@ def sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "found"])
 
     kept = rows.join(few(ids), "doc_id", "left_semi")
-    return common.materialize(kept.mapInArrow(run, common.schema(doc_id=common.LONG, found=T.ArrayType(common.LONG))), "sets")
+    return common.materialize(kept.mapInArrow(common.trimmed(run), common.schema(doc_id=common.LONG, found=T.ArrayType(common.LONG))), "sets")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def shared_index(heads: DataFrame) -> DataFrame:
             row, at = row[hit], hit - offsets[row[hit]]
             yield pa.record_batch([pa.array(np.asarray(batch.column(c))[row]) for c in (0, 1)] + [pa.array(at.astype(np.int32)), pa.array(values[hit])], ["g", "n", "at", "token"])
 
-    return heads.select("doc_id", "n", "prefix").mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))
+    return heads.select("doc_id", "n", "prefix").mapInArrow(common.trimmed(run), common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG))
 
 
 def beyond(rows: DataFrame, ids: DataFrame, k: int, percent: int, often: Often) -> DataFrame:
@@ -234,7 +234,7 @@ def beyond(rows: DataFrame, ids: DataFrame, k: int, percent: int, often: Often)
 
     names = ["g", "n", "at", "token"]
     kept = rows.join(few(ids), "doc_id", "left_semi")
-    return kept.mapInArrow(run, common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG)).distinct()
+    return kept.mapInArrow(common.trimmed(run), common.schema(g=common.LONG, n=common.LONG, at=common.INT, token=common.LONG)).distinct()
 
 
 def fits(percent: int, n: str, at: str, n2: str, at2: str) -> Column:
@@ -278,7 +278,7 @@ def marks(df: DataFrame, columns: tuple[str, ...], k: int, text: str = "text") -
                 yield pa.record_batch([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names)
 
     names = [*columns, "n_shingles", "fa", "fb"]
-    return own.mapInArrow(run, T.StructType([*df.select(*(F.col(f"`{c}`") for c in columns)).schema.fields, *common.schema(n_shingles=common.LONG, fa=common.LONG, fb=common.LONG).fields]))
+    return own.mapInArrow(common.trimmed(run), T.StructType([*df.select(*(F.col(f"`{c}`") for c in columns)).schema.fields, *common.schema(n_shingles=common.LONG, fa=common.LONG, fb=common.LONG).fields]))
 
 
 def link(df: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:

@@ -57,7 +57,7 @@ def cut(df: DataFrame, vocab: Broadcast, capacity: int = 1024, end: int = 2, key
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     fields = common.schema(doc_id=common.LONG, piece=common.INT, start=common.LONG, length=common.LONG, ids=T.BinaryType())
-    return common.text_rows(df, key, text).mapInArrow(run, fields)
+    return common.text_rows(df, key, text).mapInArrow(common.trimmed(run), fields)
 
 
 def dominates(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
@@ -272,7 +272,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     order = Window.partitionBy("length", "__b").orderBy("__h", *own)
     ranked = dealt.withColumn("__r", F.row_number().over(order)).join(starts, ["length", "__b"])
     fields = T.StructType([*pieces.schema.fields, *common.schema(sequence_id=common.LONG, offset=common.LONG).fields])
-    return ranked.select(*own, F.col("length").alias("__l"), (F.col("__r") - 1 + F.col("__at")).alias("__k")).mapInArrow(place, fields)
+    return ranked.select(*own, F.col("length").alias("__l"), (F.col("__r") - 1 + F.col("__at")).alias("__k")).mapInArrow(common.trimmed(place), fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

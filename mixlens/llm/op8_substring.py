@@ -120,7 +120,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
                 yield pa.record_batch([part.column(0), part.column(2), *lists], ["doc_id", "mark", "hash", "sure", "run"])
 
     fields = common.schema(doc_id=common.LONG, mark=common.INT, hash=T.ArrayType(common.LONG), sure=T.ArrayType(common.INT), run=T.ArrayType(common.INT))
-    table = common.materialize(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(spans, fields), "spans")
+    table = common.materialize(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(common.trimmed(spans), fields), "spans")
     places = table.select("doc_id", "mark", F.posexplode(F.arrays_zip("hash", "sure", "run")).alias("at", "s")).select("s.hash", "s.sure", "doc_id", "mark", "at", "s.run").where("hash <> 0")
     here = F.struct("doc_id", "mark", "at", "sure")
     heads = places.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("head")).where("m > 1")
@@ -152,7 +152,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", sentences: int
                 yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(cut.first)), pa.array(removed, pa.int64()), *part.columns[4:]], ["doc_id", "text", "n_sentences", "n_removed", *carry])
 
     fields = common.schema(doc_id=common.LONG, text=common.STR, n_sentences=common.LONG, n_removed=common.LONG)
-    return full.mapInArrow(rebuild, T.StructType([*fields.fields, *along.schema.fields]))
+    return full.mapInArrow(common.trimmed(rebuild), T.StructType([*fields.fields, *along.schema.fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

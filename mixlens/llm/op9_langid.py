@@ -214,7 +214,7 @@ def sample(labelled: DataFrame, bound: int, languages: int) -> dict[str, np.ndar
             columns = [pa.array([lang] * len(heap)), pa.array([-x for x, _, _ in heap], pa.int64()), pa.array([-p for _, p, _ in heap], pa.int64()), pa.array([t for _, _, t in heap], pa.binary()), pa.array([n] + [0] * (len(heap) - 1), pa.int64())]
             yield pa.record_batch(columns, ["lang", "long", "place", "found", "n"])
 
-    parts = labelled.select("lang", "place", "text").mapInArrow(run, common.schema(lang=common.STR, long=common.LONG, place=common.LONG, found=T.BinaryType(), n=common.LONG))
+    parts = labelled.select("lang", "place", "text").mapInArrow(common.trimmed(run), common.schema(lang=common.STR, long=common.LONG, place=common.LONG, found=T.BinaryType(), n=common.LONG))
     parts = common.materialize(parts, "sample")
     top = parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     before = Window.partitionBy("lang").orderBy("long", "place", "found").rowsBetween(Window.unboundedPreceding, -1)
@@ -249,7 +249,7 @@ def predict(df: DataFrame, model: Broadcast, key: str = "doc_id", text: str = "t
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *along.columns)
     fields = common.schema(doc_id=common.LONG, lang_pred=common.STR, score=common.DBL)
-    return rows.toDF("doc_id", "text", *(f"_{k}" for k in range(len(carry)))).mapInArrow(run, T.StructType([*fields.fields, *along.schema.fields]))
+    return rows.toDF("doc_id", "text", *(f"_{k}" for k in range(len(carry)))).mapInArrow(common.trimmed(run), T.StructType([*fields.fields, *along.schema.fields]))
 
 
 def held_out(key) -> Column:
