@@ -50,3 +50,8 @@ def test_shared_product_ids(spark, shared, name):
     cur = con.execute(queries.oracle_sql()[name])
     at = [[d[0] for d in cur.description].index(c) for c in columns]
     assert collections.Counter(tuple(r[c] for c in columns) for r in df.collect()) == collections.Counter(tuple(r[k] for k in at) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["result_qa", "result_qa_of_faults"])
+def test_result_checks_of_shared_product_ids(spark, shared, name):
+    test_shared_product_ids(spark, shared, name)
