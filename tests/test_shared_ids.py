@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from mixlens import queries
 from mixlens.functions import fingerprint
+from mixlens.operators import bridge, validation
+from mixlens.plans.refresh import Model
 
 
 def test_records_are_folded_in_blocks(spark):
@@ -55,3 +57,55 @@ def test_shared_product_ids(spark, shared, name):
 @pytest.mark.parametrize("name", ["result_qa", "result_qa_of_faults"])
 def test_result_checks_of_shared_product_ids(spark, shared, name):
     test_shared_product_ids(spark, shared, name)
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Joins as on large tables: dimensions are shuffled."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def moved(spark, run):
+    """Records each stage of ``run`` shuffled or wrote."""
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: [s.apply(k) for s in [store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)] for k in range(s.size())]
+    last = max((s.stageId() for s in stages()), default=-1)
+    run()
+    return [s.shuffleWriteRecords() + s.outputRecords() for s in stages() if s.stageId() > last]
+
+
+@pytest.mark.parametrize("name", ["bridge_validation_errors", "first_messages"])
+def test_bridge_checks_move_the_facts_once(spark, shared, unbroadcast, name):
+    n = spark.read.parquet(f"{shared[0]}/lineitem.parquet").count()
+    assert sum(moved(spark, lambda: queries.queries()[name](spark, shared[0]).collect())) < 6 * n  # to orders, suppliers and parts, then each side by id
+
+
+@pytest.mark.parametrize("name", ["refreshed_bridge", "refreshed_results"])
+def test_a_refresh_moves_no_row_of_the_bridge_twice(spark, shared, unbroadcast, name):
+    n = spark.read.parquet(f"{shared[0]}/lineitem.parquet").count()
+    run = lambda: queries.queries()[name](spark, shared[0]).write.format("noop").mode("overwrite").save()
+    assert max(moved(spark, run)) <= n  # a fact of a shared id is written once, with copies
+
+
+def test_counted_bridges_are_checked(spark, shared):
+    m = Model.bind(spark, shared[0])
+    rows, owed = m.counted_bridge().cache(), m.shared().cache()
+    facts = m.facts.cache()
+    again = lambda b: b.unionByName(b.limit(1))
+    assert bridge.expanded(rows).exceptAll(m.bridge()).count() == 0 and m.bridge().exceptAll(bridge.expanded(rows)).count() == 0
+    same = lambda b: validation.same_rows(facts, b, m.day, "", owed)
+    assert same(rows) and same(bridge.expanded(rows))
+    told = lambda b: {(r["check_id"], r["message"]) for r in validation.written_errors(facts, b, m.day, "", owed).collect()}
+    assert told(rows) == set()
+    for wrong, said in (
+        (rows.limit(facts.count() - 1), ("bridge-fact", "missing")), (again(rows), ("bridge-duplicate", "duplicate key")),
+        (rows.withColumn("copies", F.greatest(F.col("copies") - 1, F.lit(1))), ("bridge-fact", "missing")),
+        (rows.withColumn("sales_amount", (F.col("sales_amount") + 1).cast("decimal(18,2)")), ("bridge-fact", "lineage differs")),
+        (rows.withColumn("resolution_status", F.lit("Other")), ("bridge-state", "unsupported state")),
+    ):
+        assert not same(wrong) and said in told(wrong)
