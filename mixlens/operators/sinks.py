@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from mixlens.operators.validation import raise_if_any
 
 
+#: So many folders at most are written without dealing the rows first.
+FEW = 32
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     """Rows gathered by the columns that will partition their table, so that a task writes few folders and a folder has few files.
     Adaptive execution cuts what is large into tasks of the advisory size, so a value that a large part of all rows has is written
@@ -30,13 +34,14 @@ def write_checked(df: DataFrame, path: str, errors: DataFrame | None = None, col
     swap(df.sparkSession, staged, path)
 
 
-def write_validated(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, partition_by: tuple[str, ...] = ()) -> None:
+def write_validated(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, partition_by: tuple[str, ...] = (), deal: bool = True) -> None:
     """Overwrite a table with what has been checked as written: it is written beside the target, read back, and replaces
-    the target only if ``check`` of the rows read finds no error; else it is deleted and the old rows stay."""
+    the target only if ``check`` of the rows read finds no error; else it is deleted and the old rows stay.  Without ``deal``
+    every task writes its rows where they are, a file into each folder: for few folders."""
     if columns is not None and df.columns != list(columns):
         raise ValueError(f"columns {df.columns} are not {list(columns)}")
     spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
-    dealt(df, *partition_by).write.partitionBy(*partition_by).parquet(staged)
+    (dealt(df, *partition_by) if deal else df).write.partitionBy(*partition_by).parquet(staged)
     try:
         raise_if_any(check(spark.read.schema(df.schema).parquet(staged).select(*df.columns)))
     except BaseException:
